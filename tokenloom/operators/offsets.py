@@ -42,10 +42,15 @@ def running_offset(
     partition: Sequence[str] | str = (),
     out: str = "start",
     total: str | None = None,
+    totals_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over all earlier rows in ``partition``
     ordered by ``order``.  ``bucket`` must never decrease as the order key
     grows.  With ``total`` set, also add the partition-wide sum of weights.
+
+    ``totals_from`` is an optional narrow frame with the same rows (partition,
+    bucket and weight inputs only) used for the bucket totals, so that an
+    expensive wide projection upstream (tokenisation) is evaluated once.
     """
     order, part = _cols(order), _cols(partition)
     w = F.lit(1).cast("bigint") if weight is None else (
@@ -53,7 +58,9 @@ def running_offset(
     staged = (df.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w)
               .repartition(*part, "_bkt"))
     # bucket totals: tiny table, bounded by 2**bits rows per partition value
-    tot = staged.groupBy(*part, "_bkt").agg(F.sum("_w").alias("_bw"))
+    src = staged if totals_from is None else (
+        totals_from.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w))
+    tot = src.groupBy(*part, "_bkt").agg(F.sum("_w").alias("_bw"))
     before = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     base = tot.withColumn("_base", F.coalesce(F.sum("_bw").over(before), F.lit(0)))
     if total:

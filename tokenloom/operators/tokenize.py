@@ -37,6 +37,10 @@ class Tokenizer:
     def decode(self, ids: Column) -> Column:
         raise NotImplementedError
 
+    def length(self, text: Column, bos: bool | None = None, eos: bool = False, max_length: int = -1) -> Column:
+        """Number of ids ``encode`` would return (cheap where the tokenizer allows)."""
+        return F.size(self.encode(text, bos, eos, max_length))
+
     def encode(self, text: Column | str, bos: bool | None = None, eos: bool = False,
                max_length: int = -1) -> Column:
         """Bos is prepended when asked (or by policy), eos appended, and
@@ -67,6 +71,10 @@ class ByteTokenizer(Tokenizer):
         pairs = F.regexp_extract_all(hx, F.lit("(..)"), 1)
         return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int") + F.lit(self.offset))
 
+    def length(self, text: Column, bos: bool | None = None, eos: bool = False, max_length: int = -1) -> Column:
+        n = F.octet_length(text) + F.lit(int(bool(bos or (bos is None and self.use_bos))) + int(bool(eos)))
+        return F.least(n, F.lit(max_length)) if max_length > 0 else n
+
     def decode(self, ids: Column) -> Column:
         body = F.filter(ids, lambda x: x >= self.offset)
         hx = F.array_join(F.transform(body, lambda x: F.lpad(F.hex(x - self.offset), 2, "0")), "")

@@ -23,18 +23,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenized_splits(spark: SparkSession, sf_dir: str, seed: int = SEED, val_size: float = VAL_SIZE) -> DataFrame:
+def split_docs(spark: SparkSession, sf_dir: str, seed: int = SEED, val_size: float = VAL_SIZE) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    s = split(docs, "doc_id", val_size, seed, bits=BITS)
-    t = tokenize(s, ByteTokenizer(), keep=["split", "doc_id"])
-    return t.withColumn("h", h48(seed, F.col("doc_id")))
+    return split(docs, "doc_id", val_size, seed, bits=BITS).withColumn("h", h48(seed, F.col("doc_id")))
+
+
+def tokenized_splits(spark: SparkSession, sf_dir: str, seed: int = SEED, val_size: float = VAL_SIZE) -> DataFrame:
+    s = split_docs(spark, sf_dir, seed, val_size)
+    return tokenize(s, ByteTokenizer(), keep=["split", "doc_id", "h"])
 
 
 def pack_corpus(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK) -> DataFrame:
     """Flagship: documents -> seeded split -> byte tokens + eos -> ordered
     concat in shuffled order -> fixed-size chunks with separator fill."""
-    t = tokenized_splits(spark, sf_dir)
-    chunks = pack(t, chunk_size, SEP, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), BITS), part="split")
+    s = split_docs(spark, sf_dir)
+    tok = ByteTokenizer()
+    t = tokenize(s, tok, keep=["split", "doc_id", "h"])
+    lengths = s.select("split", "doc_id", "h", (tok.length(F.col("text")) + 1).alias("len"))
+    chunks = pack(t, chunk_size, SEP, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), BITS), part="split",
+                  lengths=lengths)
     return chunks.select("split", "chunk_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                          F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
