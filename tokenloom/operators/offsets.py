@@ -43,6 +43,7 @@ def running_offset(
     out: str = "start",
     total: str | None = None,
     totals_from: DataFrame | None = None,
+    dtype: str = "bigint",
 ) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over all earlier rows in ``partition``
     ordered by ``order``.  ``bucket`` must never decrease as the order key
@@ -54,7 +55,7 @@ def running_offset(
     """
     order, part = _cols(order), _cols(partition)
     w = F.lit(1).cast("bigint") if weight is None else (
-        F.col(weight) if isinstance(weight, str) else weight).cast("bigint")
+        F.col(weight) if isinstance(weight, str) else weight).cast(dtype)
     staged = (df.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w)
               .repartition(*part, "_bkt"))
     # bucket totals: tiny table, bounded by 2**bits rows per partition value
@@ -84,3 +85,22 @@ def contiguous_shards(df: DataFrame, order: Sequence[str] | str, bucket: Column,
     shard = F.when(F.col("_rank") < big, F.floor(F.col("_rank") / (q + 1))).otherwise(
         rem + F.floor((F.col("_rank") - big) / q))
     return ranked.withColumn(out, shard.cast("bigint")).drop("_rank", "_n")
+
+
+def halo_window(df: DataFrame, partition: Sequence[str] | str, step: str, halo: int, compute,
+                bucket_rows: int = 1 << 16) -> DataFrame:
+    """Evaluate a bounded-frame window (frame reaching ``halo`` rows back)
+    without one task per ``partition`` value: rows are cut into buckets of
+    ``bucket_rows`` consecutive dense steps; the last ``halo`` rows of each
+    bucket are copied into the next bucket as context, ``compute(df, w)``
+    adds columns with window ``w`` (partition + bucket, ordered by step), and
+    the copies are dropped."""
+    part = _cols(partition)
+    B = bucket_rows
+    if halo >= B:
+        raise ValueError("halo must be smaller than bucket_rows")
+    own = F.floor(F.col(step) / B)
+    copies = F.when((F.col(step) % B) >= B - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    d = df.withColumn("_hb", F.explode(copies)).withColumn("_halo", F.col("_hb") != own)
+    w = Window.partitionBy(*part, "_hb").orderBy(step)
+    return compute(d, w).filter(~F.col("_halo")).drop("_hb", "_halo")

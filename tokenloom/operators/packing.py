@@ -86,4 +86,5 @@ def chunk_groups(files: DataFrame, idx: str, n_chunks: int, epochs: int = 1, wra
     g = (files.withColumn("group_id", F.floor(F.col(idx) / n_chunks).cast("bigint"))
          .filter(F.col("group_id") < F.floor(n_files / n_chunks)))
     n_ep = epochs if wrap else 1
-    return g.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n_ep - 1))).cast("bigint"))
+    g = g.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n_ep - 1))))
+    return g.withColumn("epoch", F.col("epoch").cast("bigint"))

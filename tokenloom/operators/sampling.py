@@ -65,7 +65,7 @@ def draw_index(seed, draw: Column, n: Column) -> Column:
     return F.pmod(h48(seed, draw), n)
 
 
-def sample_windows(chunks: DataFrame, n_tokens_total: int, n: int, block_size: int, seed: int = 42,
+def sample_windows(chunks: DataFrame, n_tokens_total, n: int, block_size: int, seed: int = 42,
                    chunk_size: int | None = None, draws: DataFrame | None = None) -> DataFrame:
     """``n`` random windows with replacement over a token stream stored as
     fixed-size chunks ``(chunk_id, ids)``.  i ~ U[0, N - bs); x = data[i:i+bs],
@@ -76,7 +76,8 @@ def sample_windows(chunks: DataFrame, n_tokens_total: int, n: int, block_size: i
     C = chunk_size
     if draws is None:
         draws = chunks.sparkSession.range(n).withColumnRenamed("id", "draw")
-    d = draws.withColumn("i", draw_index(seed, F.col("draw"), F.lit(n_tokens_total - bs)))
+    N = n_tokens_total if isinstance(n_tokens_total, Column) else F.lit(n_tokens_total)
+    d = draws.withColumn("i", draw_index(seed, F.col("draw"), N - bs))
     d = d.withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("i") / C), F.floor((F.col("i") + bs) / C))))
     j = d.join(chunks.select("chunk_id", "ids"), "chunk_id")
     lo = F.greatest(F.col("i"), F.col("chunk_id") * C)
