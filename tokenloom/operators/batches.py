@@ -47,12 +47,18 @@ def mask_labels(ids: Column, prompt_len: Column, ignore_id: int = -1) -> Column:
 
 
 def first_match(ids: Column, stop: list[int]) -> Column:
-    """1-based start of the first occurrence of ``stop`` in ids (0 if none)."""
-    L = len(stop)
-    target = F.array(*[F.lit(int(t)) for t in stop])
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids) - L + 1, F.lit(1))),
-                    lambda i: F.slice(ids, i, L) == target)
-    return F.coalesce(hits[0], F.lit(0))
+    """1-based start of the first occurrence of ``stop`` in ids (0 if none).
+
+    Searched as text: ``,a,b,`` inside ``,id1,id2,...,`` with ``instr``, so
+    the cost is linear in the sequence and no lambda closes over ``ids``
+    (Catalyst may inline an upstream expression into a lambda, which would
+    re-evaluate it per element)."""
+    s = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+    pat = "," + ",".join(str(int(t)) for t in stop) + ","
+    p = F.instr(s, pat)
+    head = F.substring(s, F.lit(1), p)
+    commas = F.length(head) - F.length(F.replace(head, F.lit(","), F.lit("")))
+    return F.when(p > 0, commas).otherwise(F.lit(0))
 
 
 def truncate_at_stop(ids: Column, stops: list[list[int]], keep_stop: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["corpus"]
+_MODULES = ["corpus", "samples"]
 
 
 def _load():

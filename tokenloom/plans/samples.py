@@ -1,0 +1,236 @@
+"""Instruction-sample plans over ``conversations``: prompts, masking,
+shifting, batching, padding, stop cuts, response extraction, dispatch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.operators.batches import longest, mask_labels, pad_batch, shift_targets, truncate_at_stop
+from tokenloom.operators.joins import fetch_draws
+from tokenloom.operators.offsets import running_offset
+from tokenloom.operators.sampling import sample_batches
+from tokenloom.operators.text import (PROMPT_NO_INPUT, PROMPT_RULES, RESPONSE_MARKER, dispatch, extract_response,
+                                      format_prompt, instruction_prompt, rule_template)
+from tokenloom.operators.tokenize import ByteTokenizer
+from tokenloom.plans.common import SEED, h_sql, ids_md5, table
+from tokenloom.session import scratch_path
+from tokenloom.sources.tables import read_samples, write_samples
+
+TOK = ByteTokenizer()
+N_BATCHES, MICRO_BATCH = 8, 5
+STOPS = [[ord(".") + 3, ord(" ") + 3], [TOK.eos_id]]
+
+
+def examples(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, instruction, response): the first user turn and the first
+    assistant turn after it."""
+    c = table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min("turn").alias("ut"))
+    a = (c.filter(F.col("role") == "assistant").join(u, "conv_id").filter(F.col("turn") > F.col("ut"))
+         .groupBy("conv_id").agg(F.min("turn").alias("at")))
+    ci = c.select("conv_id", F.col("turn").alias("ut"), F.col("text").alias("instruction"))
+    ca = c.select("conv_id", F.col("turn").alias("at"), F.col("text").alias("response"))
+    return u.join(a, "conv_id").join(ci, ["conv_id", "ut"]).join(ca, ["conv_id", "at"]) \
+        .select("conv_id", "instruction", "response")
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample_id, input_ids, labels): prompt + response + eos, prompt masked."""
+    e = examples(spark, sf).withColumn("prompt", instruction_prompt(F.col("instruction")))
+    ids = TOK.encode(F.concat("prompt", "response"), eos=True)
+    return e.select(F.col("conv_id").alias("sample_id"), ids.alias("input_ids"),
+                    TOK.length(F.col("prompt")).alias("prompt_len")) \
+        .withColumn("labels", mask_labels(F.col("input_ids"), F.col("prompt_len")))
+
+
+def indexed_samples(spark: SparkSession, sf: str) -> DataFrame:
+    s = samples(spark, sf)
+    return running_offset(s, "sample_id", F.shiftright(F.col("sample_id"), 10), None, out="idx")
+
+
+def q_p6_instruction_prompt(spark, sf):
+    e = examples(spark, sf).withColumn("prompt", instruction_prompt(F.col("instruction")))
+    return e.select("conv_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("n_chars"))
+
+
+def q_k12_mask_labels(spark, sf):
+    s = samples(spark, sf)
+    return s.select("sample_id", F.size("input_ids").cast("bigint").alias("n"), ids_md5("input_ids").alias("input_md5"),
+                    ids_md5("labels").alias("labels_md5"),
+                    F.size(F.filter("labels", lambda x: x == -1)).cast("bigint").alias("n_masked"))
+
+
+def q_s7_read_samples(spark, sf):
+    path = scratch_path(spark, "samples")
+    write_samples(samples(spark, sf), path)
+    s = read_samples(spark, path)
+    return s.select("sample_id", F.size("input_ids").cast("bigint").alias("n"), ids_md5("input_ids").alias("input_md5"),
+                    ids_md5("labels").alias("labels_md5"))
+
+
+def q_k9_shift_targets(spark, sf):
+    s = samples(spark, sf)
+    x, y = shift_targets(F.col("input_ids"))
+    return s.select("sample_id", ids_md5(x).alias("x_md5"), ids_md5(y).alias("y_md5"))
+
+
+def q_k11_longest(spark, sf):
+    return longest(indexed_samples(spark, sf), "idx")
+
+
+def _batches(spark, sf):
+    s = indexed_samples(spark, sf)
+    li = longest(s, "idx").select("longest_idx").scalar()
+    return sample_batches(s, "idx", N_BATCHES, MICRO_BATCH, SEED, longest_idx=li)
+
+
+def q_r4_sample_batches(spark, sf):
+    b = _batches(spark, sf)
+    return b.select("batch", "slot", "idx", "sample_id", F.size("input_ids").cast("bigint").alias("n"))
+
+
+def q_j3_fetch_draws(spark, sf):
+    s = indexed_samples(spark, sf)
+    draws = spark.range(N_BATCHES * MICRO_BATCH).select(F.col("id").alias("draw"),
+                                                        F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"),
+                                                               s.agg(F.count(F.lit(1))).scalar()).alias("idx"))
+    return fetch_draws(draws, s, ["idx"]).select("draw", "idx", "sample_id")
+
+
+def q_k10_pad_batch(spark, sf):
+    p = pad_batch(_batches(spark, sf), "batch")
+    return p.select("batch", "slot", F.size("x").cast("bigint").alias("width"), ids_md5("x").alias("x_md5"),
+                    ids_md5("y").alias("y_md5"))
+
+
+def q_k13_truncate_at_stop(spark, sf):
+    e = examples(spark, sf)
+    ids = TOK.encode(F.col("response"), eos=True)
+    cut = truncate_at_stop(ids, STOPS)
+    return e.select("conv_id", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
+
+
+def q_p7_extract_response(spark, sf):
+    e = examples(spark, sf)
+    generated = F.concat(instruction_prompt(F.col("instruction")), F.lit(" "), F.col("response"))
+    return e.select("conv_id", extract_response(generated).alias("response"))
+
+
+def q_p5_format_prompt(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    rid = dispatch(F.col("text"))
+    out = format_prompt(rule_template(rid), F.col("text"))
+    return c.select("conv_id", "turn", rid.alias("rule_id"), F.md5(out).alias("prompt_md5"),
+                    F.length(out).cast("bigint").alias("n_chars"))
+
+
+def q_p4_dispatch(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", dispatch(F.col("text")).alias("rule_id"))
+
+
+def q_j2_template_dispatch(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", dispatch(F.col("text")).alias("rule_id"))
+
+
+QUERIES = {
+    "p6_instruction_prompt": q_p6_instruction_prompt,
+    "k12_mask_labels": q_k12_mask_labels,
+    "s7_read_samples": q_s7_read_samples,
+    "k9_shift_targets": q_k9_shift_targets,
+    "k11_longest": q_k11_longest,
+    "r4_sample_batches": q_r4_sample_batches,
+    "j3_fetch_draws": q_j3_fetch_draws,
+    "k10_pad_batch": q_k10_pad_batch,
+    "k13_truncate_at_stop": q_k13_truncate_at_stop,
+    "p7_extract_response": q_p7_extract_response,
+    "p5_format_prompt": q_p5_format_prompt,
+    "p4_dispatch": q_p4_dispatch,
+    "j2_template_dispatch": q_j2_template_dispatch,
+}
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_PROMPT = f"replace({lit(PROMPT_NO_INPUT)}, '{{instruction}}', instruction)"
+_EX = f"""
+u AS (SELECT conv_id, min(turn) AS ut FROM conversations WHERE role = 'user' GROUP BY conv_id),
+a AS (SELECT c.conv_id, min(c.turn) AS at FROM conversations c JOIN u ON c.conv_id = u.conv_id
+      WHERE c.role = 'assistant' AND c.turn > u.ut GROUP BY c.conv_id),
+ex AS (SELECT u.conv_id, ci.text AS instruction, ca.text AS response
+       FROM u JOIN a ON u.conv_id = a.conv_id
+       JOIN conversations ci ON ci.conv_id = u.conv_id AND ci.turn = u.ut
+       JOIN conversations ca ON ca.conv_id = a.conv_id AND ca.turn = a.at),
+ep AS (SELECT conv_id, instruction, response, {_PROMPT} AS prompt FROM ex),
+eb AS (SELECT conv_id AS sample_id, hex(encode(prompt || response)) AS hx, octet_length(encode(prompt || response)) AS l,
+              octet_length(encode(prompt)) AS p FROM ep),
+sm AS (SELECT sample_id, p, list_concat(list_transform(range(0, l), lambda i: CAST(('0x' || substr(hx, 2 * i + 1, 2)) AS INTEGER) + 3), [2]) AS ids
+       FROM eb),
+sl AS (SELECT sample_id, ids, list_concat(list_transform(range(0, least(p, len(ids))), lambda i: -1),
+                                   list_slice(ids, least(p, len(ids)) + 1, len(ids))) AS labels FROM sm),
+si AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS idx, count(*) OVER () AS n FROM sl),
+lg AS (SELECT max(len(ids)) AS longest, min(idx) FILTER (WHERE len(ids) = (SELECT max(len(ids)) FROM si)) AS longest_idx FROM si),
+dr AS (SELECT d // {MICRO_BATCH} AS batch, d % {MICRO_BATCH} AS slot,
+              CASE WHEN d = 0 THEN (SELECT longest_idx FROM lg) ELSE {h_sql('d')} % (SELECT max(n) FROM si) END AS idx
+       FROM range(0, {N_BATCHES * MICRO_BATCH}) t(d)),
+bt AS (SELECT dr.batch, dr.slot, si.* EXCLUDE (idx), dr.idx FROM dr JOIN si ON dr.idx = si.idx)"""
+
+
+def _md5(lst: str) -> str:
+    return f"md5(array_to_string({lst}, ','))"
+
+
+def _dispatch_sql(col: str) -> str:
+    parts = " ".join(f"WHEN regexp_matches({col}, {lit(p)}) THEN {rid}" for rid, p, _, _ in PROMPT_RULES)
+    return f"CASE {parts} ELSE 0 END"
+
+
+def _template_sql(rid: str) -> str:
+    parts = " ".join(f"WHEN {rid} = {i} THEN {lit(t)}" for i, _, t, _ in PROMPT_RULES)
+    return f"CASE {parts} ELSE '{{prompt}}' END"
+
+
+_RESP_IDS = "list_concat(list_transform(range(0, l), lambda i: CAST(('0x' || substr(hx, 2 * i + 1, 2)) AS INTEGER) + 3), [2])"
+_STOP1 = f",{STOPS[0][0]},{STOPS[0][1]},"
+
+ORACLE = {
+    "p6_instruction_prompt": f"WITH {_EX} SELECT conv_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS n_chars FROM ep",
+    "k12_mask_labels": f"""WITH {_EX} SELECT sample_id, CAST(len(ids) AS BIGINT) AS n, {_md5('ids')} AS input_md5,
+        {_md5('labels')} AS labels_md5, CAST(len(list_filter(labels, lambda x: x = -1)) AS BIGINT) AS n_masked FROM sl""",
+    "s7_read_samples": f"""WITH {_EX} SELECT sample_id, CAST(len(ids) AS BIGINT) AS n, {_md5('ids')} AS input_md5,
+        {_md5('labels')} AS labels_md5 FROM sl""",
+    "k9_shift_targets": f"""WITH {_EX} SELECT sample_id, {_md5('list_slice(ids, 1, len(ids) - 1)')} AS x_md5,
+        {_md5('list_slice(ids, 2, len(ids))')} AS y_md5 FROM sl""",
+    "k11_longest": f"WITH {_EX} SELECT CAST(longest AS BIGINT) AS longest, CAST(longest_idx AS BIGINT) AS longest_idx FROM lg",
+    "r4_sample_batches": f"""WITH {_EX} SELECT CAST(batch AS BIGINT) AS batch, CAST(slot AS BIGINT) AS slot,
+        CAST(idx AS BIGINT) AS idx, sample_id, CAST(len(ids) AS BIGINT) AS n FROM bt""",
+    "j3_fetch_draws": f"""WITH {_EX}, d2 AS (SELECT d AS draw, {h_sql('d')} % (SELECT max(n) FROM si) AS idx
+        FROM range(0, {N_BATCHES * MICRO_BATCH}) t(d))
+        SELECT CAST(draw AS BIGINT) AS draw, CAST(d2.idx AS BIGINT) AS idx, si.sample_id FROM d2 JOIN si ON d2.idx = si.idx""",
+    "k10_pad_batch": f"""WITH {_EX}, pw AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS m FROM bt)
+        SELECT CAST(batch AS BIGINT) AS batch, CAST(slot AS BIGINT) AS slot, CAST(m AS BIGINT) AS width,
+               {_md5("list_concat(ids, list_transform(range(0, m - len(ids)), lambda i: 0))")} AS x_md5,
+               {_md5("list_concat(labels, list_transform(range(0, m - len(labels)), lambda i: -1))")} AS y_md5 FROM pw""",
+    "k13_truncate_at_stop": f"""WITH {_EX},
+        rb AS (SELECT conv_id, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
+        ri AS (SELECT conv_id, {_RESP_IDS} AS ids FROM rb),
+        rs AS (SELECT conv_id, ids, ',' || array_to_string(ids, ',') || ',' AS s FROM ri),
+        rp AS (SELECT conv_id, ids, s, strpos(s, '{_STOP1}') AS p1, strpos(s, ',{STOPS[1][0]},') AS p2 FROM rs),
+        rk AS (SELECT conv_id, ids, least(
+                 CASE WHEN p1 > 0 THEN length(substr(s, 1, p1)) - length(replace(substr(s, 1, p1), ',', '')) - 1 ELSE 1000000000 END,
+                 CASE WHEN p2 > 0 THEN length(substr(s, 1, p2)) - length(replace(substr(s, 1, p2), ',', '')) - 1 ELSE 1000000000 END,
+                 len(ids)) AS k FROM rp)
+        SELECT conv_id, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
+    "p7_extract_response": f"""WITH {_EX} SELECT conv_id,
+        regexp_replace(regexp_replace(split_part(prompt || ' ' || response, {lit(RESPONSE_MARKER)}, 2), '^\\s+', ''), '\\s+$', '') AS response
+        FROM ep""",
+    "p5_format_prompt": f"""WITH c AS (SELECT conv_id, turn, text, {_dispatch_sql('text')} AS rule_id FROM conversations WHERE role = 'user'),
+        f AS (SELECT *, replace({_template_sql('rule_id')}, '{{prompt}}', text) AS o FROM c)
+        SELECT conv_id, turn, rule_id, md5(o) AS prompt_md5, CAST(length(o) AS BIGINT) AS n_chars FROM f""",
+    "p4_dispatch": f"SELECT doc_id, {_dispatch_sql('text')} AS rule_id FROM documents",
+    "j2_template_dispatch": f"SELECT conv_id, turn, {_dispatch_sql('text')} AS rule_id FROM conversations",
+}
