@@ -85,8 +85,11 @@ def iter_time(log: DataFrame, run: str, step: str, ts: Column, accum: int, bucke
 
 
 def cadence(log: DataFrame, step: str, every: int, accum: int = 1) -> DataFrame:
-    """Records on the eval/save/log cadence, counted in optimizer steps."""
-    return log.filter((F.col(step) % accum == 0) & ((F.floor(F.col(step) / accum) % every) == 0))
+    """Records on the eval/save/log cadence.  An optimizer step happens
+    at iteration ``step`` when (step + 1) % accum == 0; the cadence counts
+    optimizer steps: keep rows where that count is a multiple of ``every``."""
+    opt = (F.col(step) + 1) % accum == 0
+    return log.filter(opt & ((F.floor((F.col(step) + 1) / accum) % every) == 0))
 
 
 def first_n(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:

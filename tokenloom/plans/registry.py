@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["corpus", "samples"]
+_MODULES = ["corpus", "samples", "runs"]
 
 
 def _load():
