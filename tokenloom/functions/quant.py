@@ -91,8 +91,8 @@ def lfq_indices(vec: Column, bits: int, num_codebooks: int) -> Column:
 
 def lfq_index_to_codes(idx: Column, bits: int, scale: float = 1.0) -> Column:
     """Bits of idx (most significant first) -> bit*2*scale - scale."""
-    return F.transform(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)),
-                       lambda s: F.shiftright(idx, s).bitwiseAND(1).cast("double") * F.lit(2.0 * scale) - F.lit(scale))
+    bits_col = [F.floor(idx / (1 << s)) % 2 for s in range(bits - 1, -1, -1)]
+    return F.array(*[(b.cast("double") * F.lit(2.0 * scale) - F.lit(scale)) for b in bits_col])
 
 
 def quantize_weight(x: Column, scale: Column, zero: Column, maxq: int) -> Column:
@@ -129,6 +129,7 @@ def unpack_nibbles(blob: Column, n: Column | int, bits: int = 4) -> Column:
     mask = (1 << bits) - 1
     n = n if isinstance(n, Column) else F.lit(n)
     hx = F.hex(blob)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.shiftright(
-        F.conv(F.substring(hx, (F.floor(c / per) * 2 + 1).cast("int"), 2), 16, 10).cast("int"),
-        (c % per) * bits).bitwiseAND(mask))
+    byte_vals = F.transform(F.regexp_extract_all(hx, F.lit("(..)"), 1), lambda b: F.conv(b, 16, 10).cast("int"))
+    codes = F.flatten(F.transform(byte_vals, lambda v: F.array(
+        *[(F.floor(v / (1 << (k * bits))) % (mask + 1)).cast("int") for k in range(per)])))
+    return F.slice(codes, 1, n)

@@ -42,13 +42,23 @@ def flops(seq, layers, embd, trainable, frozen, training: Column | bool = True)
     return F.when(tr, F.lit(3.0) * ft + F.lit(2.0) * ff).otherwise(ft + ff)
 
 
+def spread(value: Column, like: Column) -> Column:
+    """A per-row scalar repeated to the length of ``like``.  Lambdas must
+    only see lambda variables: a per-row aggregate referenced inside a
+    lambda is re-evaluated for every element (quadratic), so scalars enter
+    element-wise maths through ``zip_with`` with this array instead."""
+    return F.array_repeat(value, F.size(like))
+
+
+def array_sum(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(arr: Column, temperature: float = 1.0) -> Column:
-    """C14: stable softmax of an array (max subtracted)."""
+    """C14: stable softmax of an array (max subtracted); linear per row."""
     z = F.transform(arr, lambda x: x.cast("double") / F.lit(float(temperature)))
-    m = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    e = F.zip_with(z, spread(F.array_max(z), z), lambda x, m: F.exp(x - m))
+    return F.zip_with(e, spread(array_sum(e), e), lambda x, s: x / s)
 
 
 def clamped_log(x: Column, eps: float = 1e-5) -> Column:
@@ -65,9 +75,10 @@ def rms_norm(vec: Column, weight: Column | None = None, eps: float = 1e-5) -> Co
     """X * rsqrt(mean(x^2) + eps) * w."""
     ms = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.size(vec)
     r = F.lit(1.0) / F.sqrt(ms + F.lit(eps))
+    y = F.zip_with(vec, spread(r, vec), lambda x, k: x * k)
     if weight is None:
-        return F.transform(vec, lambda x: x * r)
-    return F.zip_with(vec, weight, lambda x, w: x * r * w)
+        return y
+    return F.zip_with(y, weight, lambda x, w: x * w)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import u01
+from tokenloom.functions.scalar import array_sum, spread
 from tokenloom.operators.offsets import halo_window, running_offset
 
 
@@ -23,7 +24,7 @@ def row_cross_entropy(logits: Column, target: Column) -> Column:
     """logsumexp(z) - z[target] for one row (NULL when target = -1)."""
     z = F.transform(logits, lambda x: x.cast("double"))
     m = F.array_max(z)
-    lse = m + F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+    lse = m + F.log(array_sum(F.zip_with(z, spread(m, z), lambda x, mm: F.exp(x - mm))))
     return F.when(target != -1, lse - F.element_at(z, (target + 1).cast("int")))
 
 

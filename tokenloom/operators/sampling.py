@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48, u01
+from tokenloom.functions.scalar import spread
 from tokenloom.operators.offsets import hash_bucket, running_offset
 
 
@@ -162,8 +163,10 @@ def sample_tokens(df: DataFrame, logits: str, temperature: float, top_k: int | N
         tok = kept[0]["i"]
         return df.withColumn("token", tok.cast("int"))
     m = F.array_max(F.transform(kept, lambda s: -s["nz"] / temperature))
-    scored = F.transform(kept, lambda s: F.struct(
-        (F.exp(-s["nz"] / temperature - m) / -F.log(u01(seed, F.col(key), s["i"]))).alias("score"),
-        s["i"].alias("i")))
+    keys = F.array_repeat(F.col(key), F.size(kept))
+    scored = F.zip_with(kept, F.zip_with(keys, spread(m, kept), lambda k, mm: F.struct(k.alias("k"), mm.alias("m"))),
+                        lambda s, km: F.struct(
+                            (F.exp(-s["nz"] / temperature - km["m"]) / -F.log(u01(seed, km["k"], s["i"]))).alias("score"),
+                            s["i"].alias("i")))
     best = F.array_max(scored)
     return df.withColumn("token", best["i"].cast("int"))

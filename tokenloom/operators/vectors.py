@@ -53,10 +53,8 @@ def kernel_sums(a: DataFrame, b: DataFrame | None, vec: str, key: str, dim: int,
     blk_a = F.pmod(h48(seed, F.col(key)), nba).cast("int")
     A = a.select(F.col(vec).alias("v"), blk_a.alias("_blk"))
     if self_pairs:
-        pairs = F.transform(F.sequence(F.lit(0), nba - 1), lambda j: F.struct(
-            F.least(F.col("_blk"), j).alias("i"), F.greatest(F.col("_blk"), j).alias("j")))
-        rows = A.select("v", F.lit("a").alias("side"), "_blk", F.explode(pairs).alias("p"))
-        rows = rows.select("v", "side", "_blk", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+        rows = A.select("v", F.lit("a").alias("side"), "_blk", F.explode(F.sequence(F.lit(0), nba - 1)).alias("_o"))
+        rows = rows.select("v", "side", "_blk", F.least("_blk", "_o").alias("i"), F.greatest("_blk", "_o").alias("j"))
         # a row of block i paired with block j != i appears once in group (i,j); the
         # group needs to know which rows belong to which block
     else:
@@ -142,8 +140,8 @@ def lfq_long(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int, s
     d = df.select(key, F.explode(subs).alias("s")).select(key, F.col("s.cb").alias("codebook"), F.col("s.x").alias("x"))
     d = d.withColumn("dist", codebook_distances(F.col("x"), bits, scale))
     d = d.withColumn("prob", softmax(F.transform("dist", lambda v: -v * inv_temperature)))
-    idx = F.aggregate(F.transform(F.col("x"), lambda v, j: F.when(v > 0, F.shiftleft(F.lit(1), F.lit(bits - 1) - j)).otherwise(F.lit(0))),
-                      F.lit(0), lambda a, v: a + v)
+    # most significant bit first: acc * 2 + bit
+    idx = F.aggregate(F.col("x"), F.lit(0), lambda a, v: a * 2 + F.when(v > 0, F.lit(1)).otherwise(F.lit(0)))
     d = d.withColumn("index", idx)
     d = d.withColumn("ent_sum", F.aggregate(F.transform("prob", lambda p: entropy_term(p)), F.lit(0.0), lambda a, v: a + v))
     d = d.withColumn("commit_sum", F.aggregate(
