@@ -112,15 +112,18 @@ def pack_nibbles(codes: Column, bits: int = 4) -> Column:
     if 8 % bits:
         raise ValueError("8 % bits must be 0")
     per = 8 // bits
-    n_bytes = F.floor((F.size(codes) + per - 1) / per).cast("int")
     ints = F.transform(codes, lambda x: F.rint(x).cast("int"))
+    # code c goes to byte c // per: split by c % per, then zip the parts (linear)
+    def lane(k):
+        return F.filter(ints, lambda x, i: i % per == k)
 
-    def byte_at(b):
-        parts = [F.shiftleft(F.coalesce(F.element_at(ints, (b * per + k + 1).cast("int")), F.lit(0)), k * bits)
-                 for k in range(per)]
-        return F.lpad(F.hex(reduce(lambda a, c: a.bitwiseOR(c), parts)), 2, "0")
+    def merge(k):
+        return lambda a, b: F.coalesce(a, F.lit(0)).bitwiseOR(F.shiftleft(F.coalesce(b, F.lit(0)), k * bits))
 
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n_bytes - 1), byte_at), ""))
+    acc = F.transform(lane(0), lambda x: F.coalesce(x, F.lit(0)))
+    for k in range(1, per):
+        acc = F.zip_with(acc, lane(k), merge(k))
+    return F.unhex(F.array_join(F.transform(acc, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
 
 
 def unpack_nibbles(blob: Column, n: Column | int, bits: int = 4) -> Column:
