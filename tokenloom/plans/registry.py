@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["corpus", "samples", "runs", "vectors", "weights"]
+_MODULES = ["corpus", "samples", "runs", "vectors", "weights", "lookups"]
 
 
 def _load():
