@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["corpus", "samples", "runs", "vectors", "weights", "lookups", "formats"]
+_MODULES = ["corpus", "samples", "runs", "vectors", "weights", "lookups", "formats", "streams"]
 
 
 def _load():
