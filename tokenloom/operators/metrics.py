@@ -162,3 +162,22 @@ def daily_report(log: DataFrame, ts: str, metric: str, value: str, tie: str) ->
         F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"),
         F.count(F.lit(1)).cast("bigint").alias("n"))
     return g.withColumn("day_label", F.date_format("day", "dd/MM/yyyy"))
+
+
+def score_examples(df: DataFrame, score_fn, key: str, text: str, task: str | None = None) -> DataFrame:
+    """model plug-in.  ``score_fn(pandas.Series[str]) -> pandas.Series[float]``
+    scores a batch of examples inside ``mapInPandas`` (Arrow batches); the
+    result (key, task, score) feeds ``eval_rollup``."""
+    def run(it):
+        import pandas as pd
+        for pdf in it:
+            yield pd.DataFrame({key: pdf[key], "task": pdf["task"], "score": score_fn(pdf[text]).astype("float64")})
+
+    src = df.select(key, text, (F.lit(task) if task is not None else F.col("task")).alias("task"))
+    return src.mapInPandas(run, f"{key} bigint, task string, score double")
+
+
+def observe_totals(df: DataFrame, name: str, length: str = "len") -> DataFrame:
+    """scalar statistics collected while the data flows (rows, tokens),
+    read from ``Observation.get`` after the action; no extra job."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.sum(length).alias("tokens"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48
 from tokenloom.operators.joins import lookup_tokens, overlay, with_cache
-from tokenloom.operators.metrics import bootstrap_se, eval_rollup, poisson1_weight
+from tokenloom.operators.metrics import bootstrap_se, eval_rollup, poisson1_weight, score_examples
 from tokenloom.operators.text import glob_filter, glob_to_regex, glob_union, limit_per_group
 from tokenloom.operators.tokenize import token_to_id, vocab_size
 from tokenloom.plans.common import SEED, h_sql, r, table, u_sql
@@ -131,7 +131,20 @@ def q_s10_eval_json(spark, sf):
                        F.get_json_object("j.config", "$.num_fewshot").cast("bigint").alias("num_fewshot"))
 
 
+def word_count_scorer(texts):
+    """A stand-in model for the plug-in: 1.0 when the item has >= 10 words."""
+    return texts.fillna("").map(lambda t: 1.0 if len(t.split(" ")) >= 10 else 0.0)
+
+
+def q_f4_score_plugin(spark, sf):
+    b = table(spark, sf, "benchmark")
+    s = score_examples(b, word_count_scorer, "item_id", "text", task="benchmark")
+    e = eval_rollup(s, "task", "score", TASK_CONFIG)
+    return e.select("task", r("acc").alias("acc"), "n")
+
+
 QUERIES = {
+    "f4_score_plugin": q_f4_score_plugin,
     "p2_glob_filter": q_p2_glob_filter,
     "u1_glob_union": q_u1_glob_union,
     "p3_limit_per_group": q_p3_limit_per_group,
@@ -164,6 +177,8 @@ def _poisson_sql(u: str) -> str:
 
 
 ORACLE = {
+    "f4_score_plugin": """SELECT 'benchmark' AS task, round(avg(CASE WHEN len(string_split(coalesce(text, ''), ' ')) >= 10 THEN 1.0 ELSE 0.0 END), 6)
+        AS acc, CAST(count(*) AS BIGINT) AS n FROM benchmark""",
     "p2_glob_filter": f"SELECT DISTINCT p_name FROM part WHERE {_GLOB_SQL}",
     "u1_glob_union": f"SELECT DISTINCT p_name FROM part WHERE {_GLOB_SQL}",
     "p3_limit_per_group": f"""SELECT quality, toxic, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY doc_id) AS rn
