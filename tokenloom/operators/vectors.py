@@ -237,8 +237,8 @@ def quant_params(df: DataFrame, group: list[str], value: str, bits: int = 4, sym
         g = g.withColumn("xmax", F.greatest(F.abs("xmin"), F.col("xmax")))
         g = g.withColumn("xmin", F.when(F.col("xmin") < 0, -F.col("xmax")).otherwise(F.col("xmin")))
     both0 = (F.col("xmin") == 0) & (F.col("xmax") == 0)
-    g = g.withColumn("xmin", F.when(both0, F.lit(-1.0)).otherwise(F.col("xmin"))) \
-         .withColumn("xmax", F.when(both0, F.lit(1.0)).otherwise(F.col("xmax")))
+    g = g.select(*group, F.when(both0, F.lit(-1.0)).otherwise(F.col("xmin")).alias("xmin"),
+                 F.when(both0, F.lit(1.0)).otherwise(F.col("xmax")).alias("xmax"))
     g = g.withColumn("scale", (F.col("xmax") - F.col("xmin")) / F.lit(float(maxq)))
     zero = F.lit(float((maxq + 1) / 2)) if sym else F.rint(-F.col("xmin") / F.col("scale"))
     return g.withColumn("zero", zero)

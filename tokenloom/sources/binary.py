@@ -4,8 +4,9 @@
 as part files ``{split}/part-{start:015d}.bin`` (one per input row, named by
 its global start offset, so a retried task rewrites the same file); the
 parts concatenated in start order are the single stream file.  The reader
-takes a directory of parts or a single file and cuts it into rows of
-``tokens_per_row`` tokens aligned to global offsets.
+takes a directory of parts or a single file and cuts it into rows of at
+most ``tokens_per_row`` tokens; a row never crosses a multiple of
+``tokens_per_row`` (global offset) nor a part-file boundary.
 
 ``packedchunks``: one file per fixed-size chunk, ``{prefix}_{chunk:010d}.bin``:
 a 24-byte header (magic, version, dtype code, chunk size) then the array.
