@@ -167,15 +167,16 @@ class TokenStreamSource(DataSource):
 
 # ------------------------------------------------------------ packed chunks --
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class PackedReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.prefix = options.get("prefix")
+        self.files_per_partition = int(options.get("files_per_partition", 256))
 
     def _files(self):
         names = sorted(x for x in os.listdir(self.path) if x.endswith(".bin")
@@ -188,18 +189,33 @@ class PackedReader(DataSourceReader):
         heads = {read_header(f) for f in files}
         if len(heads) > 1:
             raise ValueError(f"packed files disagree on (dtype code, chunk size): {sorted(heads)}")
-        return [_File(f) for f in files]
-
-    def read(self, p: _File):
-        code, chunk_size = read_header(p.path)
-        name = os.path.basename(p.path)[:-4]
-        prefix, counter = name.rsplit("_", 1)
-        with open(p.path, "rb") as f:
-            f.seek(HDR_SIZE)
-            arr = np.frombuffer(f.read(), dtype=np.dtype(DTYPES[code]).newbyteorder("<"))
-        if len(arr) != chunk_size:
-            raise ValueError(f"{p.path}: payload has {len(arr)} items, header says {chunk_size}")
-        yield (prefix, int(counter), code, chunk_size, arr.astype(np.int64).tolist())
+        k = self.files_per_partition
+        return [_Files(files[i:i + k]) for i in range(0, len(files), k)]
+
+    def read(self, p: _Files):
+        import pyarrow as pa
+        prefixes, counters, codes, sizes, arrays = [], [], [], [], []
+        for path in p.paths:
+            code, chunk_size = read_header(path)
+            prefix, counter = os.path.basename(path)[:-4].rsplit("_", 1)
+            with open(path, "rb") as f:
+                f.seek(HDR_SIZE)
+                arr = np.frombuffer(f.read(), dtype=np.dtype(DTYPES[code]).newbyteorder("<"))
+            if len(arr) != chunk_size:
+                raise ValueError(f"{path}: payload has {len(arr)} items, header says {chunk_size}")
+            prefixes.append(prefix)
+            counters.append(int(counter))
+            codes.append(code)
+            sizes.append(chunk_size)
+            arrays.append(arr.astype(np.int32))
+        if not arrays:
+            return
+        offs = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(arrays)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(prefixes), pa.array(counters, pa.int64()), pa.array(codes, pa.int32()),
+             pa.array(sizes, pa.int64()), ids],
+            names=["prefix", "chunk_id", "dtype_code", "chunk_size", "ids"])
 
 
 class PackedWriter(DataSourceWriter):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,19 +41,17 @@ PACK_STATE = "tail array<int>, next_chunk bigint"
 
 def _packer(chunk_size: int, sep: int):
     def step(key, pdfs: Iterator[pd.DataFrame], state):
-        tail, nxt = (list(state.get[0]), int(state.get[1])) if state.exists else ([], 0)
+        tail, nxt = (np.asarray(state.get[0], np.int32), int(state.get[1])) if state.exists else (np.zeros(0, np.int32), 0)
         batch = pd.concat(list(pdfs)).sort_values("doc_id")
-        buf = tail
-        rows = []
-        for ids in batch["ids"]:
-            buf.extend(int(x) for x in ids)
-            while len(buf) >= chunk_size:
-                rows.append((key[0], nxt, chunk_size, buf[:chunk_size]))
-                buf = buf[chunk_size:]
-                nxt += 1
-        if buf:  # provisional tail: superseded once the chunk fills up
-            rows.append((key[0], nxt, len(buf), buf + [sep] * (chunk_size - len(buf))))
-        state.update((buf, nxt))
+        stream = np.concatenate([tail] + [np.asarray(x, np.int32) for x in batch["ids"]])
+        n_full = len(stream) // chunk_size
+        full = stream[:n_full * chunk_size].reshape(n_full, chunk_size)
+        rows = [(key[0], nxt + i, chunk_size, full[i]) for i in range(n_full)]
+        buf = stream[n_full * chunk_size:]
+        nxt += n_full
+        if len(buf):  # provisional tail: superseded once the chunk fills up
+            rows.append((key[0], nxt, len(buf), np.concatenate([buf, np.full(chunk_size - len(buf), sep, np.int32)])))
+        state.update((buf.tolist(), nxt))
         yield pd.DataFrame(rows, columns=["source", "chunk_id", "n_tokens", "ids"])
     return step
 
