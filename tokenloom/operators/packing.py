@@ -21,20 +21,36 @@ def token_totals(df: DataFrame, part: list[str] | str = "split", length: str = "
 
 
 def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucket: Column,
-         part: list[str] | str = (), ids: str = "ids", flush: bool = True,
-         lengths: DataFrame | None = None) -> DataFrame:
+         part: list[str] | str = (), ids: str | Column = "ids", flush: bool = True,
+         lengths: DataFrame | None = None, length: str | None = None) -> DataFrame:
     """K4: concatenate rows (in ``order`` within ``part``) into one stream and
     cut it into chunks of ``chunk_size``.  Rows are split across chunk
     boundaries; the last chunk is filled with ``sep``.  With ``flush`` the
     tail is kept (never an extra empty chunk); without, a partial tail is
     dropped.  ``lengths`` (optional): the same rows with ``len`` computed
-    cheaply, for the bucket totals.  Returns (part..., chunk_id, n_tokens, ids)."""
+    cheaply, for the bucket totals.
+
+    Late tokenisation: with ``ids`` given as a Column expression and
+    ``length`` naming a column that already holds each row's token count
+    (cheap for byte tokens), offsets are computed on the input rows and the
+    ids are evaluated only after the bucket shuffle, so the shuffle moves the
+    (smaller) input instead of the token arrays and tokenisation runs spread
+    over the shuffle partitions.  Returns (part..., chunk_id, n_tokens, ids)."""
     part = [part] if isinstance(part, str) else list(part)
     C = chunk_size
-    d = df.withColumn("_len", F.size(ids))
+    late = isinstance(ids, Column)
+    if late:
+        if length is None:
+            raise ValueError("late tokenisation needs a precomputed length column")
+        d = df.withColumn("_len", F.col(length).cast("int"))
+    else:
+        d = df.withColumn("_len", F.size(ids))
     tf = None if lengths is None else lengths.withColumn("_len", F.col("len"))
     d = running_offset(d, order, bucket, "_len", part, out="_start", totals_from=tf)
     d = d.filter(F.col("_len") > 0)  # empty rows add nothing (after the window: no pushdown)
+    if late:
+        d = d.withColumn("_ids", ids)
+        ids = "_ids"
     first = F.floor(F.col("_start") / C)
     last = F.floor((F.col("_start") + F.col("_len") - 1) / C)
     d = d.select(*part, "_start", "_len", ids, F.explode(F.sequence(first, last)).alias("chunk_id"))

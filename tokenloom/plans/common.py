@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input that arrives in fewer splits than task slots
+    (a single-row-group file); at cluster scale the scan already has
+    thousands of splits and this is a no-op."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def ids_md5(c: Column | str) -> Column:
     return F.md5(F.array_join(F.col(c) if isinstance(c, str) else c, ","))
 

@@ -13,7 +13,7 @@ from tokenloom.operators.packing import assign_shards, blocks, chunk_groups, pac
 from tokenloom.operators.sampling import mix, sample_rows, sample_windows, shuffle_blocks, split
 from tokenloom.operators.tokenize import ByteTokenizer, tokenize
 from tokenloom.plans.common import (BITS, CHUNK, SEED, SEP, SPLIT_CTE, STREAM_CTE, VAL_SIZE, byte_ids_sql,
-                                    h_sql, ids_md5, list_md5_sql, table, u_sql)
+                                    documents, h_sql, ids_md5, list_md5_sql, table, u_sql)
 from tokenloom.sources.tables import read_corpus
 
 TOK = ByteTokenizer()
@@ -27,7 +27,7 @@ N_SHARDS = 16  # K3
 
 
 def split_docs(spark: SparkSession, sf_dir: str, seed: int = SEED, val_size: float = VAL_SIZE) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return split(docs, "doc_id", val_size, seed, bits=BITS).withColumn("h", h48(seed, F.col("doc_id")))
 
 
@@ -36,11 +36,10 @@ def tokenized_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_chunks(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK) -> DataFrame:
-    s = split_docs(spark, sf_dir)
-    t = tokenize(s, TOK, keep=["split", "doc_id", "h"])
-    lengths = s.select("split", "doc_id", "h", (TOK.length(F.col("text")) + 1).alias("len"))
-    return pack(t, chunk_size, SEP, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), BITS), part="split",
-                lengths=lengths)
+    s = split_docs(spark, sf_dir).withColumn("len", TOK.length(F.col("text")) + 1)
+    ids = F.concat(TOK.encode(F.col("text")), F.array(F.lit(TOK.eos_id)))
+    return pack(s, chunk_size, SEP, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), BITS), part="split",
+                ids=ids, length="len")
 
 
 def pack_corpus(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK) -> DataFrame:
@@ -75,18 +74,18 @@ def q_t5_tokenize(spark, sf):
 
 
 def q_p1_drop_columns(spark, sf):
-    t = tokenize(table(spark, sf, "documents"), TOK, keep=["doc_id", "text", "lang"])
+    t = tokenize(documents(spark, sf), TOK, keep=["doc_id", "text", "lang"])
     return t.select("doc_id", "lang", F.col("len").cast("bigint").alias("len"))
 
 
 def q_t1_encode(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     ids = TOK.encode(F.col("text"), bos=True, eos=True)
     return d.select("doc_id", F.size(ids).cast("bigint").alias("len"), ids_md5(ids).alias("ids_md5"))
 
 
 def q_t2_decode(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     dec = TOK.decode(TOK.encode(F.col("text"), bos=True, eos=True))
     return d.select("doc_id", F.md5(dec).alias("text_md5"), (dec == F.col("text")).alias("roundtrip"))
 
