@@ -160,6 +160,8 @@ def daily_report(log: DataFrame, ts: str, metric: str, value: str, tie: str) ->
     g = d.groupBy("day", metric).agg(
         F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"),
         F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"),
+        # exact total of cent-valued metrics (mean = total / n without rounding ties)
+        F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total_value"),
         F.count(F.lit(1)).cast("bigint").alias("n"))
     return g.withColumn("day_label", F.date_format("day", "dd/MM/yyyy"))
 

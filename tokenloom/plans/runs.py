@@ -55,7 +55,7 @@ def q_s9_daily_report(spark, sf):
     return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "day_label", F.col("event_type").alias("metric"),
                     r("first_value").alias("first_value"), r("last_value").alias("last_value"),
                     r("min_value").alias("min_value"), r("max_value").alias("max_value"),
-                    r("mean_value").alias("mean_value"), "n")
+                    "total_value", "n")
 
 
 def q_a15_run_totals(spark, sf):
@@ -165,7 +165,8 @@ ORACLE = {
     "s8_metric_log": f"WITH {_RL} SELECT run, step, metric, round(value, 6) AS value FROM rl",
     "s9_daily_report": """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, strftime(CAST(ts AS DATE), '%d/%m/%Y') AS day_label,
         event_type AS metric, round(arg_min(value, ts), 6) AS first_value, round(arg_max(value, ts), 6) AS last_value,
-        round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(avg(value), 6) AS mean_value,
+        round(min(value), 6) AS min_value, round(max(value), 6) AS max_value,
+        CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total_value,
         CAST(count(*) AS BIGINT) AS n FROM events GROUP BY CAST(ts AS DATE), event_type""",
     "a15_run_totals": f"WITH {_TOT} SELECT run, step, round(lengths_total, 6) AS lengths_total, CAST(samples AS BIGINT) AS samples FROM tot",
     "w1_throughput": f"""WITH {_TOT} SELECT run, step, {_rate('batches')} AS batches_per_sec, {_rate('samples')} AS samples_per_sec,

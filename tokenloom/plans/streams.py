@@ -31,7 +31,7 @@ def q_x2_stream_metrics(spark, sf):
     stream_metrics(sdf, "ts", ["event_type"], "value", WINDOW, SLIDE, WATERMARK, out, ck)
     res = latest(spark, out, ["window_start", "event_type"])
     return res.select("window_start", F.col("event_type").alias("metric"), F.col("n").cast("bigint").alias("n"),
-                      r(F.col("total") / F.col("n")).alias("mean"))
+                      F.col("total").cast("double").alias("total"))
 
 
 QUERIES = {
@@ -53,5 +53,5 @@ ORACLE = {
     "x2_stream_metrics": """WITH b AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS s, event_type, value FROM events),
         w AS (SELECT s AS ws, event_type, value FROM b UNION ALL SELECT s - INTERVAL '30 minutes' AS ws, event_type, value FROM b)
         SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS metric, CAST(count(*) AS BIGINT) AS n,
-               round(sum(value) / count(*), 6) AS mean FROM w GROUP BY ws, event_type""",
+               CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM w GROUP BY ws, event_type""",
 }

@@ -78,7 +78,7 @@ def stream_metrics(sdf: DataFrame, ts: str, keys: list[str], value: str, window:
     watermark are dropped (Spark's rule).  Update mode into the upsert sink."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     agg = (sdf.withWatermark(ts, watermark).groupBy(w.alias("w"), *keys)
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).alias("total")))
     flat = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n", "total")
     q = (flat.writeStream.foreachBatch(_upsert_sink(out)).option("checkpointLocation", checkpoint)
          .outputMode("update").trigger(availableNow=True).start())
