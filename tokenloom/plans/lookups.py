@@ -57,8 +57,9 @@ def q_t3_token_to_id(spark, sf):
 
 def q_j1_vocab_lookup(spark, sf):
     v = word_vocab(spark, sf)
+    n_vocab = v.count()  # measured: broadcast only below the bound, shuffle join beyond it
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("token"))
-    j = lookup_tokens(d, v, "token", vocab_rows=MAX_VOCAB)
+    j = lookup_tokens(d, v, "token", vocab_rows=n_vocab)
     return j.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_words"),
                                    F.count("id").cast("bigint").alias("n_known"))
 
