@@ -15,12 +15,46 @@ as tokenisation runs once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKET_BITS = 20  # bucket table <= 2**20 rows per partition value: safe to broadcast
+MIN_BUCKET_BITS = 6
+TARGET_BUCKET_BYTES = 256 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the files behind ``df`` (Hadoop file system listing)."""
+    spark = df.sparkSession
+    total = 0
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for uri in df.inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(uri)
+            total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    except Exception:  # pragma: no cover - listing is best effort
+        import os
+        for uri in df.inputFiles():
+            p = uri.replace("file://", "").replace("file:", "")
+            total += os.path.getsize(p) if os.path.exists(p) else 0
+    return total
+
+
+def bucket_plan(n_bytes: int, expansion: float = 1.0, target: int = TARGET_BUCKET_BYTES,
+                min_partitions: int = 1) -> tuple[int, int]:
+    """(bits, shuffle partitions) for a two-level offset over ``n_bytes`` of
+    input whose shuffled rows are ``expansion`` times the file bytes (1 when
+    the shuffle carries text, ~4 for int32 token arrays): about ``target``
+    bytes per window task and at least two buckets per task.  Bits are
+    capped at 20, so the broadcast bucket table stays <= 2**20 rows per
+    partition value; at 100 TB of text: 20 bits, ~400k window tasks."""
+    work = max(1.0, n_bytes * expansion / target)
+    bits = min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, math.ceil(math.log2(work)) + 1))
+    return bits, min(2 ** bits, max(min_partitions, int(math.ceil(work))))
 
 
 def hash_bucket(h: Column, bits: int) -> Column:
@@ -44,6 +78,7 @@ def running_offset(
     total: str | None = None,
     totals_from: DataFrame | None = None,
     dtype: str = "bigint",
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over all earlier rows in ``partition``
     ordered by ``order``.  ``bucket`` must never decrease as the order key
@@ -56,8 +91,9 @@ def running_offset(
     order, part = _cols(order), _cols(partition)
     w = F.lit(1).cast("bigint") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast(dtype)
-    staged = (df.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w)
-              .repartition(*part, "_bkt"))
+    staged = df.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w)
+    staged = (staged.repartition(num_partitions, *part, "_bkt") if num_partitions
+              else staged.repartition(*part, "_bkt"))
     # bucket totals: tiny table, bounded by 2**bits rows per partition value
     src = staged if totals_from is None else (
         totals_from.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w))

@@ -22,7 +22,8 @@ def token_totals(df: DataFrame, part: list[str] | str = "split", length: str = "
 
 def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucket: Column,
          part: list[str] | str = (), ids: str | Column = "ids", flush: bool = True,
-         lengths: DataFrame | None = None, length: str | None = None) -> DataFrame:
+         lengths: DataFrame | None = None, length: str | None = None,
+         num_partitions: int | None = None) -> DataFrame:
     """K4: concatenate rows (in ``order`` within ``part``) into one stream and
     cut it into chunks of ``chunk_size``.  Rows are split across chunk
     boundaries; the last chunk is filled with ``sep``.  With ``flush`` the
@@ -46,7 +47,7 @@ def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucke
     else:
         d = df.withColumn("_len", F.size(ids))
     tf = None if lengths is None else lengths.withColumn("_len", F.col("len"))
-    d = running_offset(d, order, bucket, "_len", part, out="_start", totals_from=tf)
+    d = running_offset(d, order, bucket, "_len", part, out="_start", totals_from=tf, num_partitions=num_partitions)
     d = d.filter(F.col("_len") > 0)  # empty rows add nothing (after the window: no pushdown)
     if late:
         d = d.withColumn("_ids", ids)

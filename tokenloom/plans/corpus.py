@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48
-from tokenloom.operators.offsets import contiguous_shards, hash_bucket, running_offset
+from tokenloom.operators.offsets import bucket_plan, contiguous_shards, hash_bucket, input_bytes, running_offset
 from tokenloom.operators.packing import assign_shards, blocks, chunk_groups, pack, token_totals
 from tokenloom.operators.sampling import mix, sample_rows, sample_windows, shuffle_blocks, split
 from tokenloom.operators.tokenize import ByteTokenizer, tokenize
@@ -26,9 +26,16 @@ CAL_DOCS, CAL_SAMPLES, CAL_BLOCK = 2000, 32, 2048  # K8
 N_SHARDS = 16  # K3
 
 
+def corpus_buckets(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Bucket bits and window partitions sized from the corpus files."""
+    slots = spark.sparkContext.defaultParallelism
+    return bucket_plan(input_bytes(table(spark, sf_dir, "documents")), min_partitions=slots)
+
+
 def split_docs(spark: SparkSession, sf_dir: str, seed: int = SEED, val_size: float = VAL_SIZE) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return split(docs, "doc_id", val_size, seed, bits=BITS).withColumn("h", h48(seed, F.col("doc_id")))
+    bits, _ = corpus_buckets(spark, sf_dir)
+    return split(docs, "doc_id", val_size, seed, bits=bits).withColumn("h", h48(seed, F.col("doc_id")))
 
 
 def tokenized_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +45,9 @@ def tokenized_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_chunks(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK) -> DataFrame:
     s = split_docs(spark, sf_dir).withColumn("len", TOK.length(F.col("text")) + 1)
     ids = F.concat(TOK.encode(F.col("text")), F.array(F.lit(TOK.eos_id)))
-    return pack(s, chunk_size, SEP, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), BITS), part="split",
-                ids=ids, length="len")
+    bits, parts = corpus_buckets(spark, sf_dir)
+    return pack(s, chunk_size, SEP, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), bits), part="split",
+                ids=ids, length="len", num_partitions=parts)
 
 
 def pack_corpus(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK) -> DataFrame:
@@ -91,18 +99,23 @@ def q_t2_decode(spark, sf):
 
 
 def q_k1_token_totals(spark, sf):
-    return token_totals(tokenized_splits(spark, sf), "split", "len")
+    # token counts without materialising ids (exact for the byte tokenizer)
+    s = split_docs(spark, sf).select("split", (TOK.length(F.col("text")) + 1).alias("len"))
+    return token_totals(s, "split", "len")
 
 
 def q_k2_running_offset(spark, sf):
     t = split_docs(spark, sf).select("split", "doc_id", "h", (TOK.length(F.col("text")) + 1).alias("len"))
-    o = running_offset(t, ["h", "doc_id"], hash_bucket(F.col("h"), BITS), "len", "split", out="start")
+    bits, parts = corpus_buckets(spark, sf)
+    o = running_offset(t, ["h", "doc_id"], hash_bucket(F.col("h"), bits), "len", "split", out="start",
+                       num_partitions=parts)
     return o.select("split", "doc_id", "start", F.col("len").cast("bigint").alias("len"))
 
 
 def q_k3_contiguous_shards(spark, sf):
     s = split_docs(spark, sf).select("split", "doc_id", "h")
-    return contiguous_shards(s, ["h", "doc_id"], hash_bucket(F.col("h"), BITS), N_SHARDS, "split") \
+    bits, _ = corpus_buckets(spark, sf)
+    return contiguous_shards(s, ["h", "doc_id"], hash_bucket(F.col("h"), bits), N_SHARDS, "split") \
         .select("split", "doc_id", "shard")
 
 
@@ -134,8 +147,8 @@ def q_r6_shuffle_blocks(spark, sf):
 
 
 def q_r3_sample_windows(spark, sf):
-    t = tokenized_splits(spark, sf).filter(F.col("split") == "train")
-    total = t.agg(F.sum("len")).scalar()
+    t = split_docs(spark, sf).filter(F.col("split") == "train")
+    total = t.agg(F.sum(TOK.length(F.col("text")) + 1)).scalar()
     ch = _train_files(spark, sf)
     w = sample_windows(ch, total, WINDOWS, WINDOW_BLOCK - 1, SEED, chunk_size=CHUNK)
     return w.select("draw", "i", ids_md5("x").alias("x_md5"), ids_md5("y").alias("y_md5"))

@@ -74,9 +74,11 @@ def read_header(path: str) -> tuple[int, int]:
 
 # ------------------------------------------------------------ tokenstream ----
 
-class _Part(InputPartition):
-    def __init__(self, path: str, split: str, file_start: int, lo: int, hi: int):
-        self.path, self.split, self.file_start, self.lo, self.hi = path, split, file_start, lo, hi
+class _Segments(InputPartition):
+    """Consecutive byte ranges (split, file, file start offset, lo, hi) of the stream."""
+
+    def __init__(self, segments: list[tuple[str, str, int, int, int]]):
+        self.segments = segments
 
 
 class TokenStreamReader(DataSourceReader):
@@ -103,25 +105,45 @@ class TokenStreamReader(DataSourceReader):
         return out
 
     def partitions(self):
-        parts, span = [], self.per_row * self.rows_per_partition
+        """Cut big files at multiples of the partition span and pack small
+        consecutive parts together, so every task reads about one span."""
+        span = self.per_row * self.rows_per_partition
+        parts, cur, cur_n = [], [], 0
         for split, path, start, n in self._files():
             lo = start
             while lo < start + n:
                 hi = min(start + n, (lo // span + 1) * span)
-                parts.append(_Part(path, split, start, lo, hi))
+                cur.append((split, path, start, lo, hi))
+                cur_n += hi - lo
                 lo = hi
+                if cur_n >= span:
+                    parts.append(_Segments(cur))
+                    cur, cur_n = [], 0
+        if cur:
+            parts.append(_Segments(cur))
         return parts
 
-    def read(self, p: _Part):
+    def read(self, p: _Segments):
+        import pyarrow as pa
         isz = self.dtype.itemsize
-        with open(p.path, "rb") as f:
-            f.seek((p.lo - p.file_start) * isz)
-            arr = np.frombuffer(f.read((p.hi - p.lo) * isz), dtype=self.dtype).astype(np.int64)
-        lo = p.lo
-        while lo < p.hi:
-            hi = min(p.hi, (lo // self.per_row + 1) * self.per_row)
-            yield (p.split, lo, arr[lo - p.lo:hi - p.lo].tolist())
-            lo = hi
+        splits, starts, pieces = [], [], []
+        for split, path, file_start, lo, hi in p.segments:
+            with open(path, "rb") as f:
+                f.seek((lo - file_start) * isz)
+                arr = np.frombuffer(f.read((hi - lo) * isz), dtype=self.dtype).astype(np.int32)
+            a = lo
+            while a < hi:
+                b = min(hi, (a // self.per_row + 1) * self.per_row)
+                splits.append(split)
+                starts.append(a)
+                pieces.append(arr[a - lo:b - lo])
+                a = b
+        if not pieces:
+            return
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(pieces)))
+        yield pa.RecordBatch.from_arrays([pa.array(splits), pa.array(starts, pa.int64()), ids],
+                                         names=["split", "start", "ids"])
 
 
 class _Written(WriterCommitMessage):
