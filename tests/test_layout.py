@@ -89,3 +89,16 @@ def test_group_drop_and_wrap(spark):
     assert [x for x in groups if x[0] == 0] == [(0, 0, 0), (0, 0, 1), (0, 1, 2), (0, 1, 3)]
     assert {x[2] for x in groups} == {0, 1, 2, 3}
     assert {x[0] for x in groups} == {0, 1}
+
+
+def test_pack_independent_of_buckets_and_partitions(spark):
+    from tokenloom.functions.hashing import h48
+    from tokenloom.operators.offsets import hash_bucket
+    rows = [(i, list(range(i * 10, i * 10 + (i * 7) % 23))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>").withColumn("h", h48(7, F.col("doc_id")))
+    outs = []
+    for bits, parts, nparts in [(1, 1, None), (6, 4, 3), (12, 13, 17)]:
+        d = df.repartition(parts)
+        ch = pack(d, 16, 0, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), bits), num_partitions=nparts)
+        outs.append(sorted((r.chunk_id, r.n_tokens, tuple(r.ids)) for r in ch.collect()))
+    assert outs[0] == outs[1] == outs[2]

@@ -186,7 +186,8 @@ def code_usage(codes: DataFrame, code: str, keys: list[str] | None = None) -> Da
 def gram(df: DataFrame, vec: str, dim: int, n_items: Column | None = None) -> DataFrame:
     """H = (2 / N) Σ XᵀX (upper triangle, long form (i, j, h)).  Each
     partition adds its rows' XᵀX in numpy (mapInPandas); Spark sums the
-    (i, j) partials.  N counts rows unless ``n_items`` is given."""
+    (i, j) partials.  N counts rows unless ``n_items`` is given.  The
+    shuffle carries dim*(dim+1)/2 values per input partition."""
     iu = np.triu_indices(dim)
 
     def partial(it):
@@ -218,7 +219,8 @@ def salience(h: DataFrame, damp_frac: float = 0.01) -> DataFrame:
 
 
 def permutation(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """perm_pos = position of key in the order; inverse = key at position."""
+    """perm_pos = position of key in the order; inverse = key at position.
+    A global order over one row per dimension: for small tables only."""
     p = df.withColumn("perm_pos", (F.row_number().over(Window.orderBy(*order, key)) - 1).cast("int"))
     inv = p.select(F.col("perm_pos").alias(key + "_pos"), F.col(key).alias("at_pos"))
     return p.join(inv, p[key] == inv[key + "_pos"]).drop(key + "_pos")
