@@ -156,15 +156,49 @@ def lfq_losses(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int,
     """Per-sample entropy (mean over all probability elements),
     codebook entropy (entropy of the mean probability per (codebook, code)),
     aux = per_sample - gamma * codebook, commitment = mean (x - q)^2,
-    loss = aux * 0.1 + commit * 1.0."""
+    loss = aux * 0.1 + commit * 1.0.
+
+    Every partition reduces its rows in numpy to mergeable sums: the entropy
+    and commitment sums, the row count and the probability sum per
+    (codebook, code), i.e. 2**bits * num_codebooks + 3 numbers; Spark adds
+    the partials and finishes the means."""
     K = 2 ** bits
-    d = lfq_long(df, key, vec, bits, num_codebooks, scale, inv_temperature)
-    tot = d.agg(F.sum("ent_sum").alias("_es"), F.sum("commit_sum").alias("_cs"), F.count(F.lit(1)).alias("_rows"))
-    avgp = (d.select("codebook", F.posexplode("prob").alias("code", "p"))
-            .groupBy("codebook", "code").agg(F.avg("p").alias("avg_p")))
+    cb = np.asarray(lfq_codebook(bits, scale))          # (K, bits)
+    cb2 = (cb * cb).sum(1)
+
+    def partial(it):
+        ent = com = 0.0
+        rows = 0
+        psum = np.zeros((num_codebooks, K))
+        for pdf in it:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"].to_numpy()).astype(np.float64).reshape(len(pdf), num_codebooks, bits)
+            d = (x * x).sum(-1)[..., None] + cb2 - 2.0 * x @ cb.T        # (n, C, K)
+            z = -d * inv_temperature
+            z -= z.max(-1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(-1, keepdims=True)
+            ent += float((-p * np.log(np.maximum(p, 1e-5))).sum())
+            q = np.where(x > 0, scale, -scale)
+            com += float(((x - q) ** 2).sum())
+            psum += p.sum(0)
+            rows += len(pdf)
+        if rows:
+            c_idx, k_idx = np.indices((num_codebooks, K))
+            yield pd.DataFrame({"codebook": c_idx.ravel().astype(np.int32), "code": k_idx.ravel().astype(np.int32),
+                                "p_sum": psum.ravel(), "ent": ent, "com": com, "rows": rows,
+                                "first": (c_idx.ravel() == 0) & (k_idx.ravel() == 0)})
+
+    parts = df.select(F.col(vec).alias("v")).mapInPandas(
+        partial, "codebook int, code int, p_sum double, ent double, com double, rows long, first boolean")
+    # partition-level scalars are repeated on every (codebook, code) row: keep one copy
+    tot = parts.filter("first").agg(F.sum("ent").alias("_es"), F.sum("com").alias("_cs"), F.sum("rows").alias("_rows"))
+    n = tot.select("_rows").scalar()
+    avgp = parts.groupBy("codebook", "code").agg((F.sum("p_sum") / n).alias("avg_p"))
     cbe = avgp.agg(F.avg(entropy_term(F.col("avg_p"))).alias("codebook_entropy"))
-    out = tot.select((F.col("_es") / (F.col("_rows") * K)).alias("per_sample_entropy"),
-                     (F.col("_cs") / (F.col("_rows") * bits)).alias("commit_loss"),
+    out = tot.select((F.col("_es") / (F.col("_rows") * num_codebooks * K)).alias("per_sample_entropy"),
+                     (F.col("_cs") / (F.col("_rows") * num_codebooks * bits)).alias("commit_loss"),
                      cbe.scalar().alias("codebook_entropy"))
     out = out.withColumn("entropy_aux_loss", F.col("per_sample_entropy") - gamma * F.col("codebook_entropy"))
     return out.withColumn("aux_loss", F.col("entropy_aux_loss") * entropy_weight + F.col("commit_loss") * commitment_weight)
