@@ -109,3 +109,40 @@ def test_hf_tokenizer_pandas_udf(spark, tmp_path):
     got = [list(r.i) for r in df.select(tok.encode(F.col("text"), bos=True, eos=True).alias("i")).collect()]
     want = [[tok.bos_id] + tk.encode(t, add_special_tokens=False).ids + [tok.eos_id] for t in ["the cat sat", "a dog"]]
     assert got == want
+
+
+def test_sentencepiece_tokenizer_and_vocab(spark, tmp_path):
+    import io
+
+    import sentencepiece as spm
+
+    from tokenloom.operators.tokenize import SPTokenizer
+    from tokenloom.sources.tables import read_vocab
+    lines = ["the cat sat on the mat", "the dog sat on the log", "a bird flew over the tree"] * 30
+    model = io.BytesIO()
+    spm.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=model, vocab_size=40,
+                                   model_type="unigram", hard_vocab_limit=False)
+    path = tmp_path / "tokenizer.model"
+    path.write_bytes(model.getvalue())
+    tok = SPTokenizer(spark, str(path))
+    sp = spm.SentencePieceProcessor(model_file=str(path))
+    df = spark.createDataFrame([("the cat sat",), ("a dog flew",)], "text string")
+    got = df.select(tok.encode(F.col("text"), eos=True).alias("i"), tok.decode(tok.encode(F.col("text"))).alias("d")).collect()
+    assert [list(r.i) for r in got] == [sp.encode(t) + [sp.eos_id()] for t in ["the cat sat", "a dog flew"]]
+    assert [r.d for r in got] == ["the cat sat", "a dog flew"]
+    v = read_vocab(spark, str(tmp_path))
+    assert v.count() == sp.vocab_size()
+    assert v.filter("is_special").count() >= 2
+
+
+def test_read_vocab_from_tokenizer_json(spark, tmp_path):
+    import json
+
+    from tokenloom.sources.tables import read_vocab, special_ids
+    doc = {"model": {"vocab": {"a": 3, "b": 4, "<s>": 1}}, "added_tokens": [{"id": 1, "content": "<s>"}, {"id": 2, "content": "</s>"}]}
+    (tmp_path / "tokenizer.json").write_text(json.dumps(doc))
+    (tmp_path / "tokenizer_config.json").write_text(json.dumps({"bos_token": "<s>"}))
+    (tmp_path / "generation_config.json").write_text(json.dumps({"bos_token_id": 9, "eos_token_id": 2}))
+    v = {r.token: (r.id, r.is_special) for r in read_vocab(spark, str(tmp_path)).collect()}
+    assert v == {"a": (3, False), "b": (4, False), "<s>": (1, True), "</s>": (2, True)}
+    assert special_ids(str(tmp_path), {k: i for k, (i, _) in v.items()}) == {"bos_id": 1, "eos_id": 2}
