@@ -20,7 +20,7 @@ import os
 import struct
 
 import numpy as np
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
 # Fixed values of the packed-chunk file format.
@@ -151,24 +151,35 @@ class _Written(WriterCommitMessage):
         self.files = files
 
 
-class TokenStreamWriter(DataSourceWriter):
-    """Rows (split, start, ids) -> part files; ids must fit the dtype."""
+def _lists(batch, col: str):
+    """(offsets, values) numpy views of a list<int> column of an Arrow batch."""
+    arr = batch.column(batch.schema.get_field_index(col))
+    offs = arr.offsets.to_numpy()
+    vals = arr.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    return offs, vals
+
+
+class TokenStreamWriter(DataSourceArrowWriter):
+    """Arrow batches of (split, start, ids) -> part files; ids must fit the dtype."""
 
     def __init__(self, options):
         self.path = options["path"]
         self.code = NAMES[options.get("dtype", "uint16")]
 
-    def write(self, rows):
+    def write(self, batches):
         files = []
         dt = np.dtype(DTYPES[self.code]).newbyteorder("<")
-        for row in rows:
-            arr = np.asarray(row["ids"], dtype=np.int64)
-            _check_range(arr, self.code)
-            d = os.path.join(self.path, row["split"])
-            os.makedirs(d, exist_ok=True)
-            fn = os.path.join(d, f"part-{int(row['start']):015d}.bin")
-            _atomic_write(fn, arr.astype(dt).tobytes())
-            files.append(fn)
+        for b in batches:
+            offs, vals = _lists(b, "ids")
+            _check_range(vals, self.code)
+            splits = b.column(b.schema.get_field_index("split")).to_pylist()
+            starts = b.column(b.schema.get_field_index("start")).to_pylist()
+            for i, (split, start) in enumerate(zip(splits, starts)):
+                d = os.path.join(self.path, split)
+                os.makedirs(d, exist_ok=True)
+                fn = os.path.join(d, f"part-{int(start):015d}.bin")
+                _atomic_write(fn, vals[offs[i]:offs[i + 1]].astype(dt).tobytes())
+                files.append(fn)
         return _Written(files)
 
 
@@ -240,9 +251,9 @@ class PackedReader(DataSourceReader):
             names=["prefix", "chunk_id", "dtype_code", "chunk_size", "ids"])
 
 
-class PackedWriter(DataSourceWriter):
-    """Rows (prefix, chunk_id, ids) -> one file per chunk.  ids must be
-    exactly ``chunk_size`` long (pack() fills the last chunk)."""
+class PackedWriter(DataSourceArrowWriter):
+    """Arrow batches of (prefix, chunk_id, ids) -> one file per chunk.  ids
+    must be exactly ``chunk_size`` long (pack() fills the last chunk)."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -250,19 +261,24 @@ class PackedWriter(DataSourceWriter):
                                  int(options["vocab_size"]) if "vocab_size" in options else None)
         self.chunk_size = int(options["chunk_size"])
 
-    def write(self, rows):
+    def write(self, batches):
         files = []
         dt = np.dtype(DTYPES[self.code]).newbyteorder("<")
+        head = HDR_MAGIC + struct.pack("<Q", VERSION) + struct.pack("<B", self.code) + struct.pack("<Q", self.chunk_size)
         os.makedirs(self.path, exist_ok=True)
-        for row in rows:
-            arr = np.asarray(row["ids"], dtype=np.int64)
-            if len(arr) != self.chunk_size:
-                raise ValueError(f"chunk {row['chunk_id']} has {len(arr)} ids, expected {self.chunk_size}")
-            _check_range(arr, self.code)
-            head = HDR_MAGIC + struct.pack("<Q", VERSION) + struct.pack("<B", self.code) + struct.pack("<Q", self.chunk_size)
-            fn = os.path.join(self.path, f"{row['prefix']}_{int(row['chunk_id']):010d}.bin")
-            _atomic_write(fn, head + arr.astype(dt).tobytes())
-            files.append(fn)
+        for b in batches:
+            offs, vals = _lists(b, "ids")
+            sizes = np.diff(offs)
+            prefixes = b.column(b.schema.get_field_index("prefix")).to_pylist()
+            chunk_ids = b.column(b.schema.get_field_index("chunk_id")).to_pylist()
+            if len(sizes) and (sizes != self.chunk_size).any():
+                bad = int(np.nonzero(sizes != self.chunk_size)[0][0])
+                raise ValueError(f"chunk {chunk_ids[bad]} has {sizes[bad]} ids, expected {self.chunk_size}")
+            _check_range(vals, self.code)
+            for i, (prefix, cid) in enumerate(zip(prefixes, chunk_ids)):
+                fn = os.path.join(self.path, f"{prefix}_{int(cid):010d}.bin")
+                _atomic_write(fn, head + vals[offs[i]:offs[i + 1]].astype(dt).tobytes())
+                files.append(fn)
         return _Written(files)
 
 
