@@ -48,13 +48,19 @@ def bucket_plan(n_bytes: int, expansion: float = 1.0, target: int = TARGET_BUCKE
                 min_partitions: int = 1) -> tuple[int, int]:
     """(bits, shuffle partitions) for a two-level offset over ``n_bytes`` of
     input whose shuffled rows are ``expansion`` times the file bytes (1 when
-    the shuffle carries text, ~4 for int32 token arrays): about ``target``
-    bytes per window task and at least two buckets per task.  Bits are
-    capped at 20, so the broadcast bucket table stays <= 2**20 rows per
-    partition value; at 100 TB of text: 20 bits, ~400k window tasks."""
+    the shuffle carries text, ~4 for int32 token arrays).
+
+    About ``target`` bytes per window task, and many buckets per task so
+    that hash placement of buckets stays balanced (64 where the 2**20 cap on
+    the broadcast bucket table allows, never fewer than 16: beyond that the
+    tasks grow instead).  100 TB of text: 20 bits, 65,536 tasks of ~1.5 GB;
+    1 TB: 18 bits, ~3.7k tasks; the test tables: 9 bits, one task per slot."""
     work = max(1.0, n_bytes * expansion / target)
-    bits = min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, math.ceil(math.log2(work)) + 1))
-    return bits, min(2 ** bits, max(min_partitions, int(math.ceil(work))))
+    parts = max(min_partitions, int(math.ceil(work)))
+    bits = min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, math.ceil(math.log2(parts * 64))))
+    if (2 ** bits) // parts < 16:
+        parts = max(min_partitions, (2 ** bits) // 16)
+    return bits, parts
 
 
 def hash_bucket(h: Column, bits: int) -> Column:
