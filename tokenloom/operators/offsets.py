@@ -8,9 +8,10 @@ A global prefix sum is split in two levels:
    value) are prefix-summed and broadcast back; the in-bucket prefix sum is a
    window partitioned by bucket.
 
-The data is shuffled once, on the bucket; the bucket totals are read from
-the same exchange (Spark reuses it), so an expensive upstream projection such
-as tokenisation runs once.
+The wide rows are shuffled once, on the bucket.  The bucket totals are a
+map-side partial aggregation of the narrow (partition, bucket, weight)
+columns; when the weight needs an expensive upstream projection
+(tokenisation), ``totals_from`` supplies a cheap frame for the totals.
 """
 
 from __future__ import annotations
@@ -97,11 +98,14 @@ def running_offset(
     order, part = _cols(order), _cols(partition)
     w = F.lit(1).cast("bigint") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast(dtype)
-    staged = df.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w)
-    staged = (staged.repartition(num_partitions, *part, "_bkt") if num_partitions
-              else staged.repartition(*part, "_bkt"))
-    # bucket totals: tiny table, bounded by 2**bits rows per partition value
-    src = staged if totals_from is None else (
+    keyed = df.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w)
+    staged = (keyed.repartition(num_partitions, *part, "_bkt") if num_partitions
+              else keyed.repartition(*part, "_bkt"))
+    # bucket totals: tiny table, bounded by 2**bits rows per partition value.
+    # Summed from the frame *before* the shuffle (map-side partial
+    # aggregation, only the (partition, bucket, weight) columns survive
+    # pruning), so the wide rows are shuffled once, not twice.
+    src = keyed if totals_from is None else (
         totals_from.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w))
     tot = src.groupBy(*part, "_bkt").agg(F.sum("_w").alias("_bw"))
     before = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)

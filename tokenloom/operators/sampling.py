@@ -6,8 +6,6 @@ not depend on partitioning and can be re-stated in SQL.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

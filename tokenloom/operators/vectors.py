@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tokenloom.functions.hashing import h48
 from tokenloom.functions.scalar import entropy_term, softmax, sq_dist

@@ -12,7 +12,7 @@ from tokenloom.operators.offsets import bucket_plan, contiguous_shards, hash_buc
 from tokenloom.operators.packing import assign_shards, blocks, chunk_groups, pack, token_totals
 from tokenloom.operators.sampling import mix, sample_rows, sample_windows, shuffle_blocks, split
 from tokenloom.operators.tokenize import ByteTokenizer, tokenize
-from tokenloom.plans.common import (BITS, CHUNK, SEED, SEP, SPLIT_CTE, STREAM_CTE, VAL_SIZE, byte_ids_sql,
+from tokenloom.plans.common import (CHUNK, SEED, SEP, SPLIT_CTE, STREAM_CTE, VAL_SIZE, byte_ids_sql,
                                     documents, h_sql, ids_md5, list_md5_sql, table, u_sql)
 from tokenloom.sources.tables import read_corpus
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48
 from tokenloom.operators.joins import lookup_tokens, overlay, with_cache
-from tokenloom.operators.metrics import bootstrap_se, eval_rollup, poisson1_weight, score_examples
+from tokenloom.operators.metrics import bootstrap_se, eval_rollup, score_examples
 from tokenloom.operators.text import glob_filter, glob_to_regex, glob_union, limit_per_group
 from tokenloom.operators.tokenize import token_to_id, vocab_size
 from tokenloom.plans.common import SEED, h_sql, r, table, u_sql
