@@ -83,3 +83,18 @@ def stream_metrics(sdf: DataFrame, ts: str, keys: list[str], value: str, window:
     q = (flat.writeStream.foreachBatch(_upsert_sink(out)).option("checkpointLocation", checkpoint)
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+# -------------------------------------------------------- S8 stream sink --
+
+def stream_metric_log(sdf: DataFrame, path: str, checkpoint: str, trigger_once: bool = True):
+    """S8 (streaming form): append metric rows ``(run, step, ts, metric,
+    value)`` to a CSV log with a header.  The file sink's metadata log makes
+    the output exactly-once across restarts; ``read_metrics`` reads it."""
+    w = (sdf.select("run", "step", "ts", "metric", "value").writeStream.format("csv")
+         .option("header", True).option("path", path).option("checkpointLocation", checkpoint)
+         .outputMode("append"))
+    q = w.trigger(availableNow=True).start() if trigger_once else w.start()
+    if trigger_once:
+        q.awaitTermination()
+    return q
