@@ -146,3 +146,29 @@ def test_read_vocab_from_tokenizer_json(spark, tmp_path):
     v = {r.token: (r.id, r.is_special) for r in read_vocab(spark, str(tmp_path)).collect()}
     assert v == {"a": (3, False), "b": (4, False), "<s>": (1, True), "</s>": (2, True)}
     assert special_ids(str(tmp_path), {k: i for k, (i, _) in v.items()}) == {"bos_id": 1, "eos_id": 2}
+
+
+def _buffered(seq, stops):
+    """Brute force: release tokens in blocks of the longest stop length,
+    stop (dropping unreleased tokens) when any stop ends the generated text."""
+    L = max((len(s) for s in stops), default=1)
+    out, released = [], 0
+    for t in range(1, len(seq) + 1):
+        cur = seq[:t]
+        if any(len(s) <= t and cur[-len(s):] == s for s in stops):
+            return out
+        if t - released >= L:
+            out += seq[released:t]
+            released = t
+    return out
+
+
+def test_stop_truncation_compat_matches_buffered_rule(spark):
+    import random
+    rnd = random.Random(3)
+    stops = [[1, 2], [3], [4, 4, 4]]
+    seqs = [[rnd.randint(0, 5) for _ in range(rnd.randint(0, 15))] for _ in range(200)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "i int, ids array<int>")
+    got = {r.i: list(r.c) for r in df.select("i", truncate_at_stop(F.col("ids"), stops, compat=True).alias("c")).collect()}
+    for i, s in enumerate(seqs):
+        assert got[i] == _buffered(s, stops), (s, got[i])

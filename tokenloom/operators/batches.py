@@ -61,11 +61,25 @@ def first_match(ids: Column, stop: list[int]) -> Column:
     return F.when(p > 0, commas).otherwise(F.lit(0))
 
 
-def truncate_at_stop(ids: Column, stops: list[list[int]], keep_stop: bool = False) -> Column:
+def truncate_at_stop(ids: Column, stops: list[list[int]], keep_stop: bool = False, compat: bool = False) -> Column:
     """Cut a token sequence before the earliest occurrence of any stop
     sequence (``keep_stop``: keep the matched stop tokens, the single-eos
-    form of generation)."""
+    form of generation).
+
+    ``compat=True`` reproduces buffered streaming output: tokens are released
+    in blocks of L = the longest stop length, so at a stop ending at position
+    t only ``L * floor((t - 1) / L)`` tokens were released, and without a
+    stop the unreleased tail ``n mod L`` is lost."""
     big = F.size(ids) + 1
+    if compat:
+        L = max((len(st) for st in stops), default=1)
+        ends = []
+        for st in stops:
+            pos = first_match(ids, st)
+            ends.append(F.when(pos > 0, pos + len(st) - 1))
+        t = (F.least(*ends) if len(ends) > 1 else ends[0]) if ends else F.lit(None)
+        n_out = F.when(t.isNotNull(), F.floor((t - 1) / L) * L).otherwise(F.floor(F.size(ids) / L) * L)
+        return F.slice(ids, 1, n_out.cast("int"))
     ends = []
     for st in stops:
         pos = first_match(ids, st)

@@ -111,6 +111,13 @@ def q_k13_truncate_at_stop(spark, sf):
     return e.select("conv_id", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
 
 
+def q_k13_truncate_compat(spark, sf):
+    e = examples(spark, sf)
+    ids = TOK.encode(F.col("response"), eos=True)
+    cut = truncate_at_stop(ids, STOPS, compat=True)
+    return e.select("conv_id", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
+
+
 def q_p7_extract_response(spark, sf):
     e = examples(spark, sf)
     generated = F.concat(instruction_prompt(F.col("instruction")), F.lit(" "), F.col("response"))
@@ -145,6 +152,7 @@ QUERIES = {
     "j3_fetch_draws": q_j3_fetch_draws,
     "k10_pad_batch": q_k10_pad_batch,
     "k13_truncate_at_stop": q_k13_truncate_at_stop,
+    "k13_truncate_compat": q_k13_truncate_compat,
     "p7_extract_response": q_p7_extract_response,
     "p5_format_prompt": q_p5_format_prompt,
     "p4_dispatch": q_p4_dispatch,
@@ -225,6 +233,17 @@ ORACLE = {
                  CASE WHEN p2 > 0 THEN length(substr(s, 1, p2)) - length(replace(substr(s, 1, p2), ',', '')) - 1 ELSE 1000000000 END,
                  len(ids)) AS k FROM rp)
         SELECT conv_id, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
+    "k13_truncate_compat": f"""WITH {_EX},
+        rb AS (SELECT conv_id, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
+        ri AS (SELECT conv_id, {_RESP_IDS} AS ids FROM rb),
+        rs AS (SELECT conv_id, ids, ',' || array_to_string(ids, ',') || ',' AS s FROM ri),
+        rp AS (SELECT conv_id, ids, s, strpos(s, '{_STOP1}') AS p1, strpos(s, ',{STOPS[1][0]},') AS p2 FROM rs),
+        re AS (SELECT conv_id, ids, least(
+                 CASE WHEN p1 > 0 THEN length(substr(s, 1, p1)) - length(replace(substr(s, 1, p1), ',', '')) + 1 ELSE 1000000000 END,
+                 CASE WHEN p2 > 0 THEN length(substr(s, 1, p2)) - length(replace(substr(s, 1, p2), ',', '')) ELSE 1000000000 END) AS t
+               FROM rp),
+        rk AS (SELECT conv_id, ids, CASE WHEN t < 1000000000 THEN 2 * ((t - 1) // 2) ELSE 2 * (len(ids) // 2) END AS k FROM re)
+        SELECT conv_id, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
     "p7_extract_response": f"""WITH {_EX} SELECT conv_id,
         regexp_replace(regexp_replace(split_part(prompt || ' ' || response, {lit(RESPONSE_MARKER)}, 2), '^\\s+', ''), '\\s+$', '') AS response
         FROM ep""",
