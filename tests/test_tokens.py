@@ -172,3 +172,15 @@ def test_stop_truncation_compat_matches_buffered_rule(spark):
     got = {r.i: list(r.c) for r in df.select("i", truncate_at_stop(F.col("ids"), stops, compat=True).alias("c")).collect()}
     for i, s in enumerate(seqs):
         assert got[i] == _buffered(s, stops), (s, got[i])
+
+
+def test_vocab_tokenizer(spark):
+    from tokenloom.operators.tokenize import VocabTokenizer
+    v = spark.createDataFrame([("<unk>", 0, True), ("<s>", 1, True), ("</s>", 2, True), ("red", 3, False),
+                               ("ring", 4, False)], "token string, id int, is_special boolean")
+    tok = VocabTokenizer(spark, v)
+    df = spark.createDataFrame([("red ring",), ("blue  ring",)], "text string")
+    r = df.select(tok.encode(F.col("text"), bos=True, eos=True).alias("i")).collect()
+    assert [list(x.i) for x in r] == [[1, 3, 4, 2], [1, 0, 4, 2]]
+    assert df.select(tok.decode(tok.encode(F.col("text"))).alias("d")).first().d == "red ring"
+    assert tok.vocab_size == 2

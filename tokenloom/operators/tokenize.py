@@ -205,6 +205,49 @@ class SPTokenizer(Tokenizer):
         return dec(ids)
 
 
+class VocabTokenizer(Tokenizer):
+    """Word-level tokenizer over a vocabulary table ``(token, id, is_special)``:
+    whitespace split, unknown words -> ``unk_token``.  The vocabulary is a
+    fixed tokenizer file (size-checked), shipped once as a broadcast
+    variable and applied per Arrow batch."""
+
+    MAX_ROWS = 2_000_000
+
+    def __init__(self, spark: SparkSession, vocab: DataFrame, unk_token: str = "<unk>",
+                 bos_token: str | None = "<s>", eos_token: str | None = "</s>", use_bos: bool = False):
+        n = vocab.count()
+        if n > self.MAX_ROWS:
+            raise ValueError(f"vocabulary of {n} pieces is too large to broadcast")
+        table = {r.token: int(r.id) for r in vocab.select("token", "id").collect()}
+        self.vocab_size = vocab.filter(~F.col("is_special")).count()
+        self.unk_id = table.get(unk_token)
+        self.bos_id = table.get(bos_token) if bos_token else None
+        self.eos_id = table.get(eos_token) if eos_token else None
+        self.use_bos = use_bos
+        self._fwd = spark.sparkContext.broadcast(table)
+        self._inv = spark.sparkContext.broadcast({v: k for k, v in table.items()})
+
+    def _ids(self, text: Column) -> Column:
+        fwd, unk = self._fwd, self.unk_id
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def enc(s: pd.Series) -> pd.Series:
+            m = fwd.value
+            return s.fillna("").map(lambda t: [m.get(w, unk) for w in t.split()])
+
+        return enc(text)
+
+    def decode(self, ids: Column) -> Column:
+        inv = self._inv
+
+        @F.pandas_udf(T.StringType())
+        def dec(s: pd.Series) -> pd.Series:
+            m = inv.value
+            return s.map(lambda xs: " ".join(m.get(int(i), "") for i in xs))
+
+        return dec(ids)
+
+
 def tokenize(df: DataFrame, tok: Tokenizer, text_col: str = "text", keep: list[str] | None = None,
              max_length: int = -1) -> DataFrame:
     """T5 + P1: ``ids = encode(text) + [eos]``, ``len = size(ids)``; the text
