@@ -21,8 +21,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin an input that arrives in fewer splits than task slots
     (a single-row-group file); at cluster scale the scan already has
     thousands of splits and this is a no-op."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    except Exception:  # sessions without an RDD view: leave the scan as it is
+        return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,10 @@ N_SHARDS = 16  # K3
 
 def corpus_buckets(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """Bucket bits and window partitions sized from the corpus files."""
-    slots = spark.sparkContext.defaultParallelism
+    try:
+        slots = spark.sparkContext.defaultParallelism
+    except Exception:
+        slots = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     return bucket_plan(input_bytes(table(spark, sf_dir, "documents")), min_partitions=slots)
 
 
