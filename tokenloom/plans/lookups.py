@@ -55,6 +55,19 @@ def q_t3_token_to_id(spark, sf):
     return t.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "token", F.col("id").cast("bigint").alias("id"))
 
 
+def q_t1_encode_vocab(spark, sf):
+    """T1 with the word-vocabulary plug-in: part name + type encoded with the
+    vocabulary of part-name words; type words are unknown -> ``<unk>``."""
+    from tokenloom.operators.tokenize import VocabTokenizer
+    v = word_vocab(spark, sf)
+    unk = v.agg((F.max("id") + 1).cast("int").alias("id")).select(F.lit("<unk>").alias("token"), "id",
+                                                                   F.lit(True).alias("is_special"))
+    tok = VocabTokenizer(spark, v.unionByName(unk))
+    p = table(spark, sf, "part")
+    ids = tok.encode(F.concat_ws(" ", "p_name", "p_type"), bos=True, eos=True)
+    return p.select("p_partkey", F.size(ids).cast("bigint").alias("n"), F.md5(F.array_join(ids, ",")).alias("ids_md5"))
+
+
 def q_j1_vocab_lookup(spark, sf):
     v = word_vocab(spark, sf)
     n_vocab = v.count()  # measured: broadcast only below the bound, shuffle join beyond it
@@ -145,6 +158,7 @@ def q_f4_score_plugin(spark, sf):
 
 
 QUERIES = {
+    "t1_encode_vocab": q_t1_encode_vocab,
     "f4_score_plugin": q_f4_score_plugin,
     "p2_glob_filter": q_p2_glob_filter,
     "u1_glob_union": q_u1_glob_union,
@@ -178,6 +192,12 @@ def _poisson_sql(u: str) -> str:
 
 
 ORACLE = {
+    "t1_encode_vocab": f"""WITH {_VOCAB},
+        w AS (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) AS token,
+                     unnest(range(0, len(string_split(p_name || ' ' || p_type, ' ')))) AS pos FROM part),
+        j AS (SELECT p_partkey, pos, coalesce(vocab.id, (SELECT max(id) + 1 FROM vocab)) AS id FROM w LEFT JOIN vocab USING (token))
+        SELECT p_partkey, CAST(count(*) + 2 AS BIGINT) AS n,
+               md5('1,' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) || ',2') AS ids_md5 FROM j GROUP BY p_partkey""",
     "f4_score_plugin": """SELECT 'benchmark' AS task, round(avg(CASE WHEN len(string_split(coalesce(text, ''), ' ')) >= 10 THEN 1.0 ELSE 0.0 END), 6)
         AS acc, CAST(count(*) AS BIGINT) AS n FROM benchmark""",
     "p2_glob_filter": f"SELECT DISTINCT p_name FROM part WHERE {_GLOB_SQL}",
