@@ -10,7 +10,6 @@ SEED = 42
 VAL_SIZE = 0.05
 CHUNK = 4096
 SEP = 0
-BITS = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

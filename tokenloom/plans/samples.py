@@ -13,6 +13,7 @@ from tokenloom.operators.sampling import sample_batches
 from tokenloom.operators.text import (PROMPT_NO_INPUT, PROMPT_RULES, RESPONSE_MARKER, dispatch, extract_response,
                                       format_prompt, instruction_prompt, rule_template)
 from tokenloom.operators.tokenize import ByteTokenizer
+from tokenloom.functions.hashing import h48
 from tokenloom.plans.common import SEED, h_sql, ids_md5, table
 from tokenloom.session import scratch_path
 from tokenloom.sources.tables import read_samples, write_samples
@@ -92,9 +93,9 @@ def q_r4_sample_batches(spark, sf):
 
 def q_j3_fetch_draws(spark, sf):
     s = indexed_samples(spark, sf)
+    n = s.agg(F.count(F.lit(1))).scalar()
     draws = spark.range(N_BATCHES * MICRO_BATCH).select(F.col("id").alias("draw"),
-                                                        F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("bigint"),
-                                                               s.agg(F.count(F.lit(1))).scalar()).alias("idx"))
+                                                        F.pmod(h48(SEED, F.col("id")), n).alias("idx"))
     return fetch_draws(draws, s, ["idx"]).select("draw", "idx", "sample_id")
 
 
