@@ -102,3 +102,19 @@ def test_pack_independent_of_buckets_and_partitions(spark):
         ch = pack(d, 16, 0, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), bits), num_partitions=nparts)
         outs.append(sorted((r.chunk_id, r.n_tokens, tuple(r.ids)) for r in ch.collect()))
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_halo_window_equals_plain_window_across_buckets(spark):
+    from tokenloom.operators.metrics import iter_time, throughput
+    rows = [(r, s, float(s * 3 + r + (s % 5) * 0.25), float(s * 2 + r)) for r in range(3) for s in range(57)]
+    df = spark.createDataFrame(rows, "run bigint, step bigint, t double, c double")
+    got = throughput(df, "run", "step", F.col("t"), ["c"], window=5, bucket_rows=8)
+    it = iter_time(df, "run", "step", F.col("t"), 4, bucket_rows=8)
+    fr = Window.partitionBy("run").orderBy("step").rowsBetween(-4, 0)
+    dt = F.col("t") - F.first("t").over(fr)
+    ref = df.withColumn("ref", F.when(dt > 0, (F.col("c") - F.first("c").over(fr)) / dt)) \
+            .withColumn("ref_dt", F.col("t") - F.lag("t").over(Window.partitionBy("run").orderBy("step")))
+    j = got.join(ref, ["run", "step"]).join(it.select("run", "step", "dt"), ["run", "step"])
+    assert j.count() == len(rows)
+    bad = j.filter(~F.col("c_per_sec").eqNullSafe(F.col("ref")) | ~F.col("dt").eqNullSafe(F.col("ref_dt")))
+    assert bad.count() == 0
