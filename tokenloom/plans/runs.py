@@ -178,11 +178,12 @@ ORACLE = {
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS prompt, coalesce(dt, 0.0) AS seconds FROM it)
         SELECT run, CAST(sum(total - prompt) AS BIGINT) AS generated, round(sum(seconds), 6) AS seconds,
         round(CASE WHEN sum(seconds) > 0 THEN sum(total - prompt) / sum(seconds) END, 6) AS tokens_per_sec FROM g GROUP BY run""",
-    "c3_flops": f"WITH {_CFG} SELECT run, 3.0 * ft + 2.0 * ff AS flops_train, ft + ff AS flops_eval FROM fl",
+    "c3_flops": f"""WITH {_CFG} SELECT run, CAST(3.0 * ft + 2.0 * ff AS DOUBLE) AS flops_train,
+        CAST(ft + ff AS DOUBLE) AS flops_eval FROM fl""",
     "a17_compute_to_target": f"""WITH {_CFG}, hit AS (SELECT run, min(step) AS first_step FROM rl WHERE value <= {TARGET} GROUP BY run),
         c AS (SELECT fl.run, hit.first_step, (hit.first_step + 1) * ((3.0 * ft + 2.0 * ff) * {MBS}) AS compute
               FROM fl LEFT JOIN hit ON fl.run = hit.run)
-        SELECT run, CAST(coalesce(first_step, -1) AS BIGINT) AS first_step, coalesce(compute, -1.0) AS compute,
+        SELECT run, CAST(coalesce(first_step, -1) AS BIGINT) AS first_step, CAST(coalesce(compute, -1.0) AS DOUBLE) AS compute,
                CAST(coalesce(CASE WHEN compute IS NOT NULL THEN rank() OVER (PARTITION BY compute IS NULL ORDER BY compute, run) END, 0)
                     AS BIGINT) AS rank
         FROM c""",

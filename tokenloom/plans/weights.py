@@ -83,7 +83,8 @@ def _params_sql(sym: bool) -> str:
 
 _P = f"""pa AS (SELECT l_suppkey, xmin, xmax, (xmax - xmin) / {float(MAXQ)} AS scale,
                 round_even(-xmin / ((xmax - xmin) / {float(MAXQ)}), 0) AS zero FROM {_params_sql(False)}),
-ps AS (SELECT l_suppkey, (xmax - xmin) / {float(MAXQ)} AS scale_sym, {float((MAXQ + 1) / 2)} AS zero_sym FROM {_params_sql(True)}),
+ps AS (SELECT l_suppkey, (xmax - xmin) / {float(MAXQ)} AS scale_sym, CAST({float((MAXQ + 1) / 2)} AS DOUBLE) AS zero_sym
+       FROM {_params_sql(True)}),
 cd AS (SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_extendedprice AS w, pa.scale, pa.zero,
               least(greatest(round_even(l.l_extendedprice / pa.scale, 0) + pa.zero, 0.0), {float(MAXQ)}) AS q
        FROM lineitem l JOIN pa ON l.l_suppkey = pa.l_suppkey),
