@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from scripts.oracle_check import TABLES, canon
+from scripts.oracle_check import TABLES, canon, type_diff
 from tests.conftest import SF_SMALL
 
 KEYS = sorted(E.queries())
@@ -29,10 +29,12 @@ def test_entry_runs(spark):
 @pytest.mark.skipif(os.environ.get("TOKENLOOM_SKIP_ORACLE") == "1", reason="oracle sweep disabled")
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    s = E.queries()[key](spark, SF_SMALL).toPandas()
+    sdf = E.queries()[key](spark, SF_SMALL)
+    s = sdf.toPandas()
     sql = E.oracle_sql().get(key)
     if sql is None:
         assert len(s) >= 0
         return
     o = con.execute(sql).fetchdf()
     assert canon(s) == canon(o)
+    assert type_diff(sdf, con.sql(sql)) == {}
