@@ -26,9 +26,3 @@ def h48(seed, *parts) -> Column:
 def u01(seed, *parts) -> Column:
     """Uniform in (0, 1) from h48."""
     return (h48(seed, *parts).cast("double") + F.lit(0.5)) / F.lit(TWO48)
-
-
-def h48_sql(seed, *parts: str) -> str:
-    """The DuckDB/Spark SQL text of h48 (used by the oracle strings)."""
-    args = ", ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
-    return f"CAST(('0x' || substr(md5(concat_ws(':', {args})), 1, 12)) AS BIGINT)"
