@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from . import bytestext as B
 
 #: Text per id range, and window hashes per bucket (both bounded groups).
-RANGE_BYTES = 8 << 20
-BUCKET_WINDOWS = 2 << 20
+RANGE_BYTES = 4 << 20
+BUCKET_WINDOWS = 1 << 20
 #: Window hashes that a task holds before it sends them.
-HOLD = 1 << 21
+HOLD = 1 << 20
 _NULL_ID = -(1 << 63)
 _RANGE = "__tl_id_range"
 
@@ -55,9 +55,22 @@ def _bounds(docs: DataFrame, id_col: str, text_col: str) -> tuple[list[int], int
 
 
 def _hash_windows(data, off, width):
-    starts, ends, first = B.words(data, off, B.SPACED)
-    h, at = B.window_hashes(B.word_hashes(data, starts, ends), first, width)
-    return starts, ends, first, h, at
+    """Word bounds, first word per document, window hashes and their first words; hashed slice by slice."""
+    out, i, n = [], 0, len(off) - 1
+    seen = 0
+    while i < n:
+        j = min(max(int(np.searchsorted(off, off[i] + B.SLICE_BYTES, side="right")) - 1, i + 1), n)
+        part = data[off[i]:off[j]]
+        starts, ends, first = B.words(part, off[i:j + 1] - off[i], B.SPACED)
+        h, at = B.window_hashes(B.word_hashes(part, starts, ends), first, width)
+        out.append((starts + off[i], ends + off[i], first[:-1] + seen, h, at + seen))
+        seen += len(starts)
+        i = j
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(1, np.int64), np.zeros(0, np.uint64), z
+    starts, ends, first, h, at = (np.concatenate([o[k] for o in out]) for k in range(5))
+    return starts, ends, np.append(first, seen), h, at
 
 
 def _sender(id_col, text_col, width, bounds, buckets):
