@@ -9,16 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import substring_dedup
+from tokenloom.llm import best_fit_packing, ngram_jaccard, substring_dedup
 from tokenloom.llm.common import documents, written
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays.
+
+    Rows without an id that link with an identified document go; repeated rows of one id stay as they came.
+    """
+    classes = ngram_jaccard.classes_of(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(classes, "doc_id", "left_semi").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: the pieces of all documents with their sequences."""
+    return best_fit_packing.pack(docs)
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: repeated 13-word passages are cut from the later documents' texts."""
     return substring_dedup.cut_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-STAGES = [("substring dedup", drop_repeats)]
+STAGES = [("n-gram jaccard join", drop_near_copies), ("substring dedup", drop_repeats), ("best-fit packing", pack_sequences)]
 
 #: Language models, tokenizers and packing are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -28,3 +28,27 @@ def substring_dedup(rows, width=13):
         kept = [x for k, x in enumerate(w) if k not in gone]
         out.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return sorted(out)
+
+
+def ngram_classes(rows, n=3, num=90, den=100):
+    """rows: (doc_id, text) -> sorted [(doc_id, n_shingles, component_id)]"""
+    sets = []
+    for _, t in rows:
+        w = SPACED.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                label[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
