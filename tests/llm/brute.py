@@ -52,3 +52,63 @@ def ngram_classes(rows, n=3, num=90, den=100):
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), d), d)
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+def base_counts(text):
+    text = text or ""
+    w = SPACED.findall(text)
+    lines = [x for x in text.split("\n") if SPACED.search(x)]
+    grams = [tuple(w[k:k + 3]) for k in range(len(w) - 2)]
+    cover = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover)
+
+
+class KneserNey:
+    """Modified Kneser-Ney from dictionaries over symbol tuples, orders 1 to 4."""
+
+    def __init__(self, texts, classes):
+        from collections import Counter
+        top = Counter()
+        for t in texts:
+            s = [0, 0, 0] + [int(classes[b]) for b in t.encode()]
+            for k in range(len(s) - 3):
+                top[tuple(s[k:k + 4])] += 1
+        self.tables = [top]
+        for _ in range(3):
+            self.tables.insert(0, Counter(g[1:] for g in self.tables[0]))
+
+    def p(self, gram):
+        if not gram:
+            return 1 / 64
+        t = self.tables[len(gram) - 1]
+        n = [max(1, sum(v == i for v in t.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        d = [0.0] + [min(max(x, 0.1), hi) for x, hi in zip(raw, (0.9, 1.8, 2.7))]
+        after = [v for g, v in t.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return self.p(gram[1:])
+        total = sum(after)
+        c = t.get(gram, 0)
+        return (c - d[min(c, 3)]) / total + sum(d[min(v, 3)] for v in after) / total * self.p(gram[1:])
+
+
+def licence(text, phrases, notices, block, threshold):
+    """(n_words, n_base, first, last, base labels, labels, best containment) of one text."""
+    w = ALNUM.findall((text or "").translate(LOWER))
+    places, base = [], set()
+    for p, label in phrases:
+        p = p.split()
+        at = [k for k in range(len(w) - len(p) + 1) if w[k:k + len(p)] == p]
+        places += at
+        base |= {label} if at else set()
+    half = block // 2
+    labels, best = set(base), 0.0
+    for b in range(max(1, -(-len(w) // half) - 1)):
+        have = set(w[b * half:b * half + block])
+        for label, t in notices:
+            t = set(ALNUM.findall(t.translate(LOWER)))
+            if len(have & t) >= threshold * len(t) - 1e-9:
+                labels.add(label)
+                best = max(best, len(have & t) / len(t))
+    return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else best)
