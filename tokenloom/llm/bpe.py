@@ -11,13 +11,15 @@ characters or scripts beyond Latin letters are encoded whole by the library.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 
-#: Pieces that a worker remembers before it starts anew (about 60 MB).
-MEMORY = 300_000
+#: Pieces that a worker remembers before it starts anew (about 200 MB).
+MEMORY = 1_000_000
 #: ASCII marks that form one pre-token when they follow a letter and end a piece.
 _MARKS = ".,|!%$*&#"
+_MARK_SET = set(_MARKS)
 _CODERS: dict[str, Encoder] = {}
 
 # byte table of texts that go to the library whole: controls other than newline, and lead bytes of
@@ -44,47 +46,59 @@ class Encoder:
 
     def forget(self):
         self.at: dict[str, int] = {}
-        self.off = np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.n = 0
+        self.n = self.used = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, piece: str, ids: np.ndarray):
-        start = self.off[self.n]
-        if self.n + 2 > len(self.off):
-            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-        while start + len(ids) > len(self.flat):
+    def _put(self, pieces: list[str], ids: np.ndarray, start: np.ndarray, size: np.ndarray):
+        """Remember pieces whose ids lie at the given places of ``ids``."""
+        n, m = self.n + len(pieces), self.used + len(ids)
+        while n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while m > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[start:start + len(ids)] = ids
-        self.off[self.n + 1] = start + len(ids)
-        self.at[piece] = self.n
-        self.n += 1
+        self.start[self.n:n], self.size[self.n:n], self.flat[self.used:m] = start + self.used, size, ids
+        self.at.update(zip(pieces, range(self.n, n), strict=True))
+        self.n, self.used = n, m
 
     def _learn(self, pieces: set[str]):
-        """Pieces: '\\x01w' opens a text, '\\nw' follows a newline, 'w' follows a space."""
-        cores: dict[str, list[tuple[str, str]]] = {}
+        """Pieces: '\x01w' opens a text, '\nw' follows a newline, 'w' follows a space."""
+        new, marked, cores, marks = [], [], [], []
+        known, wanted = self.at, set()
         for p in pieces:
-            core = p.rstrip(_MARKS)
-            if core == p or len(core) < 2 or not core[-1].isalpha():
-                core = p
-            cores.setdefault(core, []).append((p, p[len(core):]))
-        new = [c for c in cores if c not in self.at]
+            if p[-1:] in _MARK_SET:
+                core = p.rstrip(_MARKS)
+                if len(core) > 1 and core[-1].isalpha():
+                    marked.append(p)
+                    cores.append(core)
+                    marks.append(p[len(core):])
+                    p = core
+            if p not in known and p not in wanted:
+                wanted.add(p)
+                new.append(p)
         # one text, a newline before every piece: the newline id separates them again
         for i in range(0, len(new), 2000):
             block = new[i:i + 2000]
-            ids = self.whole(["\n" + "\n".join(c[1:] if c[0] in "\x01\n" else " " + c for c in block)])[0]
+            ids = self.whole(["\n" + "\n".join([c[1:] if c[0] in "\x01\n" else " " + c for c in block])])[0]
             cut = np.flatnonzero(ids == self.line)
-            for c, a, b in zip(block, cut, np.append(cut[1:], len(ids)), strict=True):
-                self._put(c, ids[a:b] if c[0] == "\n" else ids[a + 1:b])
-        marks = sorted({m for forms in cores.values() for _, m in forms if m})
-        tail = dict(zip(marks, self.whole(marks), strict=True)) if marks else {}
-        for core, forms in cores.items():
-            k = self.at[core]
-            for piece, mark in forms:
-                if mark and piece not in self.at:
-                    self._put(piece, np.concatenate([self.flat[self.off[k]:self.off[k + 1]], tail[mark]]))
+            skip = np.array([c[0] != "\n" for c in block], np.int64)
+            self._put(block, ids, cut + skip, np.diff(np.append(cut, len(ids))) - skip)
+        if marked:
+            kinds = {m: k for k, m in enumerate(dict.fromkeys(marks))}
+            tails = self.whole(list(kinds))
+            tail_size = np.array([len(t) for t in tails])
+            tail_at = self.used + np.cumsum(tail_size) - tail_size
+            self._put([], np.concatenate(tails), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            c, t = np.array([known[x] for x in cores]), np.array([kinds[m] for m in marks])
+            both = np.stack([self.size[c], tail_size[t]], axis=1).ravel()
+            origin = np.stack([self.start[c], tail_at[t]], axis=1).ravel()
+            ends = np.cumsum(both)
+            ids = self.flat[np.repeat(origin - (ends - both), both) + np.arange(ends[-1])]
+            size = self.size[c] + tail_size[t]
+            self._put(marked, ids, np.cumsum(size) - size, size)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text) of UTF-8 texts given as bytes and offsets."""
@@ -107,12 +121,13 @@ class Encoder:
             pieces += w
         if self.n > MEMORY:
             self.forget()
-        found = list(map(self.at.get, pieces))
-        if None in found:
-            self._learn({p for p, k in zip(pieces, found, strict=True) if k is None})
-            found = list(map(self.at.get, pieces))
-        k = np.array(found, np.int64)
-        start, size = self.off[k], self.off[k + 1] - self.off[k]
+        k = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        miss = np.flatnonzero(k < 0).tolist()
+        if miss:
+            missed = [pieces[i] for i in miss]
+            self._learn(set(missed))
+            k[miss] = [self.at[p] for p in missed]
+        start, size = self.start[k], self.size[k]
         at = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat[np.repeat(start - at[:-1], size) + np.arange(at[-1])] if len(k) else np.zeros(0, np.uint32)
         ends = np.concatenate(([0], np.cumsum(count)))
