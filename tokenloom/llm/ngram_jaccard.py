@@ -9,8 +9,9 @@ distinct ``n``-word shingles.  The product is never formed whole:
   with columns in one fixed order, rare ones first, ``n - ceil(t n) + 1``
   entries.  The order comes from a count sketch of fixed size over all texts
   (any order is exact; a rare-first one keeps columns short).
-* An entry at position ``p`` bounds the overlap by ``size - p``; pairs whose
-  bound is below ``num (|A|+|B|) / (num+den)`` are discarded unseen.
+* An entry at position ``p`` bounds the overlap by ``size - p``, and the kept columns of a
+  pair bound it by their common ones plus the rest of the smaller row; pairs whose
+  bound is below ``num (|A|+|B|) / (num+den)`` are discarded before their sets are read.
 * A column's rows are first multiplied with one leading row only (linear in the
   column).  Verified links form components; then only rows of different
   components of a column are multiplied, so a group of near copies never
@@ -111,7 +112,8 @@ def _sketch(docs, id_col, text_col, n, lower) -> np.ndarray:
 
 def _rows(docs, id_col, text_col, n, lower, num, den, sketch) -> DataFrame:
     """(id, size, key, s1, s2, prefix columns) per document."""
-    order_by = docs.sparkSession.sparkContext.broadcast(sketch)
+    steps = np.minimum(np.log2(sketch.astype(np.float64) + 1) * 64, 2047).astype(np.uint64)
+    order_by = docs.sparkSession.sparkContext.broadcast(steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = order_by.value
@@ -119,7 +121,10 @@ def _rows(docs, id_col, text_col, n, lower, num, den, sketch) -> DataFrame:
             for part, data, off in B.slices(batch, text_col):
                 h, doc, size = _sets(part, data, off, n, lower)
                 one, two, key = _class_key(h, doc, size, part.num_rows)
-                seq = np.lexsort((h, weight[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
+                # a column's number follows the order: its weight in 64 steps an octave, then 52 bits of its hash
+                # (columns that share a number only make more candidates)
+                code = (weight[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(52)) | (h >> np.uint64(12))
+                seq = np.lexsort((code, doc))
                 at = np.cumsum(size) - size
                 place = np.arange(len(h)) - np.repeat(at, size)
                 prefix = np.where(size > 0, size - -(-num * size // den) + 1, 0)
@@ -127,7 +132,7 @@ def _rows(docs, id_col, text_col, n, lower, num, den, sketch) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(key), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                     pa.ListArray.from_arrays(offsets, pa.array(h[seq][keep].view(np.int64)))], names=["id", "size", "key", "s1", "s2", "columns"])
+                     pa.ListArray.from_arrays(offsets, pa.array(code[seq][keep].view(np.int64)))], names=["id", "size", "key", "s1", "s2", "columns"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "id long, size long, key long, s1 long, s2 long, columns array<long>")
 
@@ -185,6 +190,23 @@ def _fetch_sets(docs, id_col, text_col, n, lower, classes, wanted) -> DataFrame:
     return hashed.join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
+def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose kept columns leave the threshold possible.
+
+    Up to the smaller of the two last kept columns both rows are known whole: the overlap is
+    at most the common columns so far plus what either row has beyond.
+    """
+    side = lambda k: classes.select(F.col("key").alias(k), F.col("size").alias(f"n{k}"), F.col("columns").alias(f"c{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("upto", F.least(F.element_at("ca", -1), F.element_at("cb", -1)))
+    known = lambda k: F.size(F.filter(f"c{k}", lambda x: x <= F.col("upto")))
+    best = F.size(F.array_intersect("ca", "cb")) + F.least(F.col("na") - known("a"), F.col("nb") - known("b"))
+    return both.where(best * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     a, b = (sets.select(F.col("key").alias(k), F.col("set").alias(s)) for k, s in (("a", "sa"), ("b", "sb")))
     return pairs.join(a, "a").join(b, "b").mapInArrow(_overlaps(num, den), "a long, b long, overlap long")
@@ -213,9 +235,9 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = multi.join(least, "column").where((F.col("size") - F.col("place")) * (num + den) >= (F.col("size") + F.col("least")) * num).drop("least")
     alone = able.groupBy("column").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("column")
     able = written(able.join(alone, "column"), "ngram-able")
-    wanted = first.select(F.col("a").alias("key")).union(first.select("b")).union(able.select("key")).distinct()
-    sets = written(_fetch_sets(docs, id_col, text_col, n, lower, classes, wanted), "ngram-sets")
-    links = written(_links(first, sets, num, den), "ngram-links")
+    hash_again = lambda pairs, name: written(_fetch_sets(docs, id_col, text_col, n, lower, classes, _ends(pairs)), name)
+    likely = written(_likely(first, classes, num, den), "ngram-likely")
+    links = written(_links(likely, hash_again(likely, "ngram-sets"), num, den), "ngram-links")
     roots = written(components(links), "ngram-roots")
 
     # second products: rows of one column in different components
@@ -226,7 +248,8 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     side = seen.join(main, "column").where("root <> main")
     second = (side.alias("x").join(seen.alias("y"), F.col("x.column") == F.col("y.column")).where((F.col("x.root") != F.col("y.root")) & bound("x", "y"))
               .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = written(_links(second, sets, num, den), "ngram-more")
+    second = written(_likely(second, classes, num, den), "ngram-second")
+    more = written(_links(second, hash_again(second, "ngram-sets"), num, den), "ngram-more")
     edges = links.select("a", "b").unionByName(more.select("a", "b"))
     roots = components(edges)
 
