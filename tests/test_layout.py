@@ -118,3 +118,28 @@ def test_halo_window_equals_plain_window_across_buckets(spark):
     assert j.count() == len(rows)
     bad = j.filter(~F.col("c_per_sec").eqNullSafe(F.col("ref")) | ~F.col("dt").eqNullSafe(F.col("ref_dt")))
     assert bad.count() == 0
+
+
+def test_running_offset_with_one_row_per_bucket(spark):
+    from pyspark.sql import functions as F
+
+    from tokenloom.operators.offsets import running_offset
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("w"), (F.col("id") % 3).alias("p"))
+    got = running_offset(df, "id", F.col("id"), "w", "p", total="all")
+    assert "BroadcastExchange" not in got._jdf.queryExecution().sparkPlan().toString()
+    seen, want = {0: 0, 1: 0, 2: 0}, {}
+    for i in range(5000):
+        want[i] = seen[i % 3]
+        seen[i % 3] += i % 7
+    assert {r.id: r.start for r in got.collect()} == want
+    assert {r.p: r.all for r in got.select("p", "all").distinct().collect()} == seen
+
+
+def test_one_long_row_packs(spark):
+    from pyspark.sql import functions as F
+
+    from tokenloom.operators.packing import pack
+    n = 1_000_000
+    df = spark.range(1).select("id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: (x % 251).cast("int")).alias("ids"))
+    got = pack(df, 4096, 0, order=["id"], bucket=F.lit(0)).select("chunk_id", "n_tokens", F.element_at("ids", 1).alias("first")).collect()
+    assert sum(r.n_tokens for r in got) == n and all(r.first == r.chunk_id * 4096 % 251 for r in got)

@@ -97,14 +97,11 @@ def test_glob_union_without_duplicates(spark):
 
 
 def test_hf_tokenizer_pandas_udf(spark, tmp_path):
-    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
-    tk = Tokenizer(models.BPE(unk_token="<unk>"))
-    tk.pre_tokenizer = pre_tokenizers.Whitespace()
-    tk.train_from_iterator(["the cat sat on the mat", "the dog sat"] * 20,
-                           trainers.BpeTrainer(vocab_size=60, special_tokens=["<unk>", "<s>", "</s>"]))
-    path = str(tmp_path / "tokenizer.json")
-    tk.save(path)
-    tok = HFTokenizer(spark, path, bos_token="<s>", eos_token="</s>")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    tok = HFTokenizer(spark, path, bos_token="<|startoftext|>", eos_token="<|endoftext|>")
     df = spark.createDataFrame([("the cat sat",), ("a dog",)], "text string")
     got = [list(r.i) for r in df.select(tok.encode(F.col("text"), bos=True, eos=True).alias("i")).collect()]
     want = [[tok.bos_id] + tk.encode(t, add_special_tokens=False).ids + [tok.eos_id] for t in ["the cat sat", "a dog"]]
@@ -112,18 +109,15 @@ def test_hf_tokenizer_pandas_udf(spark, tmp_path):
 
 
 def test_sentencepiece_tokenizer_and_vocab(spark, tmp_path):
-    import io
+    import shutil
 
+    import public_tokenizers
     import sentencepiece as spm
 
     from tokenloom.operators.tokenize import SPTokenizer
     from tokenloom.sources.tables import read_vocab
-    lines = ["the cat sat on the mat", "the dog sat on the log", "a bird flew over the tree"] * 30
-    model = io.BytesIO()
-    spm.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=model, vocab_size=40,
-                                   model_type="unigram", hard_vocab_limit=False)
     path = tmp_path / "tokenizer.model"
-    path.write_bytes(model.getvalue())
+    shutil.copyfile(public_tokenizers.path("piece_bpe_32k.model"), path)
     tok = SPTokenizer(spark, str(path))
     sp = spm.SentencePieceProcessor(model_file=str(path))
     df = spark.createDataFrame([("the cat sat",), ("a dog flew",)], "text string")
@@ -145,7 +139,7 @@ def test_read_vocab_from_tokenizer_json(spark, tmp_path):
     (tmp_path / "generation_config.json").write_text(json.dumps({"bos_token_id": 9, "eos_token_id": 2}))
     v = {r.token: (r.id, r.is_special) for r in read_vocab(spark, str(tmp_path)).collect()}
     assert v == {"a": (3, False), "b": (4, False), "<s>": (1, True), "</s>": (2, True)}
-    assert special_ids(str(tmp_path), {k: i for k, (i, _) in v.items()}) == {"bos_id": 1, "eos_id": 2}
+    assert special_ids(spark, str(tmp_path), {k: i for k, (i, _) in v.items()}) == {"bos_id": 1, "eos_id": 2, "use_bos": False}
 
 
 def _buffered(seq, stops):
@@ -184,3 +178,73 @@ def test_vocab_tokenizer(spark):
     assert [list(x.i) for x in r] == [[1, 3, 4, 2], [1, 0, 4, 2]]
     assert df.select(tok.decode(tok.encode(F.col("text"))).alias("d")).first().d == "red ring"
     assert tok.vocab_size == 2
+
+
+def test_read_vocab_case_differing_pieces_and_policy(spark, tmp_path):
+    import json
+
+    from tokenloom.operators.tokenize import VocabTokenizer
+    from tokenloom.sources.tables import read_vocab, write_vocab
+    (tmp_path / "tokenizer.json").write_text(json.dumps({"model": {"vocab": {"the": 3, "The": 4, "<unk>": 0, "<s>": 1}}, "added_tokens": []}))
+    (tmp_path / "tokenizer_config.json").write_text(json.dumps({"bos_token": {"content": "<s>"}, "add_bos_token": True}))
+    v = read_vocab(spark, str(tmp_path))
+    assert {r.token: r.id for r in v.collect()} == {"the": 3, "The": 4, "<unk>": 0, "<s>": 1}
+    tok = VocabTokenizer.from_files(spark, str(tmp_path))
+    df = spark.createDataFrame([("The the x",)], "text string")
+    assert list(df.select(tok.encode(F.col("text")).alias("i")).first().i) == [1, 4, 3, 0]
+    write_vocab(v, f"file://{tmp_path}/copy")
+    assert sorted(map(tuple, read_vocab(spark, f"file://{tmp_path}/copy").collect())) == sorted(map(tuple, v.collect()))
+
+
+def test_models_of_one_name_do_not_collide(spark, tmp_path):
+    import shutil
+
+    import public_tokenizers
+    files = []
+    for k, name in enumerate(("byte_bpe_50k.json", "word_bpe_49k.json")):
+        (tmp_path / str(k)).mkdir()
+        files.append(str(tmp_path / str(k) / "tokenizer.json"))
+        shutil.copyfile(public_tokenizers.path(name), files[-1])
+    a, b = (HFTokenizer(spark, f) for f in files)
+    r = spark.createDataFrame([("some words",)], "t string").select(a.encode("t").alias("a"), b.encode("t").alias("b")).first()
+    assert list(r.a) != list(r.b)
+
+
+def test_null_text_leaves_before_lengths_and_ids(spark):
+    from pyspark.sql import Observation
+
+    from tokenloom.operators.packing import pack
+    from tokenloom.operators.tokenize import ByteTokenizer, drop_null_text, tokenize
+    tok = ByteTokenizer()
+    df = spark.createDataFrame([(0, "ab"), (1, None), (2, ""), (3, "c")], "doc_id long, text string")
+    eager = pack(tokenize(df, tok, keep=["doc_id"]), 16, 0, order=["doc_id"], bucket=F.lit(0))
+    late = pack(drop_null_text(df).withColumn("n", tok.length(F.col("text")) + 1), 16, 0, order=["doc_id"], bucket=F.lit(0),
+                ids=F.concat(tok.encode(F.col("text")), F.array(F.lit(tok.eos_id))), length="n")
+    assert [list(r.ids) for r in eager.collect()] == [list(r.ids) for r in late.collect()]
+    assert list(eager.first().ids)[:7] == [100, 101, 2, 2, 102, 2, 0]
+    seen = Observation("texts")
+    drop_null_text(df, metric=seen).collect()
+    assert seen.get == {"dropped": 1, "rows": 4}
+
+
+def test_nested_stops_end_with_the_first_complete_one(spark):
+    df = spark.createDataFrame([([9, 1, 2, 5, 3],), ([7, 1, 2],), ([4, 4],)], "ids array<int>")
+    cut = [list(r.c) for r in df.select(truncate_at_stop(F.col("ids"), [[1, 2, 5, 3], [2]]).alias("c")).collect()]
+    assert cut == [[9, 1], [7, 1], [4, 4]]
+    keep = [list(r.c) for r in df.select(truncate_at_stop(F.col("ids"), [[1, 2, 5, 3], [2]], keep_stop=True).alias("c")).collect()]
+    assert keep == [[9, 1, 2], [7, 1, 2], [4, 4]]
+
+
+def test_every_rule_is_reached(spark):
+    from tokenloom.plans.samples import q_p4_dispatch, q_j2_template_dispatch
+    for q in (q_p4_dispatch, q_j2_template_dispatch):
+        assert {r.rule_id for r in q(spark, "/root/testdata/sf0.001").select("rule_id").distinct().collect()} == set(range(13))
+
+
+def test_uniform_mixture(spark):
+    from tokenloom.operators.sampling import mix
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(600)], "doc_id long, source string")
+    got = mix(df, "source", "doc_id", None, 300, 5).collect()
+    counts = [sum(r.source == f"s{k}" for r in got) for k in range(3)]
+    assert len(got) == 300 and min(counts) > 70
+    assert mix(df.limit(0), "source", "doc_id", None, 10, 5).collect() == []

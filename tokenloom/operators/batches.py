@@ -34,10 +34,11 @@ def pad_batch(df: DataFrame, batch: str | list[str], input_ids: str = "input_ids
     return d.withColumn("x", x).withColumn("y", y).drop("_m")
 
 
-def longest(df: DataFrame, idx: str, ids: str = "input_ids") -> DataFrame:
-    """The maximum length and the first index reaching it."""
-    return df.agg(F.max(F.size(ids)).cast("bigint").alias("longest"),
-                  F.min_by(F.col(idx), F.struct(-F.size(ids), F.col(idx))).cast("bigint").alias("longest_idx"))
+def longest(df: DataFrame, idx: str, ids: str = "input_ids", size: Column | None = None) -> DataFrame:
+    """The maximum length and the first index reaching it (``size``: lengths already at hand)."""
+    n = F.size(ids) if size is None else size
+    return df.agg(F.max(n).cast("bigint").alias("longest"),
+                  F.min_by(F.col(idx), F.struct(-n, F.col(idx))).cast("bigint").alias("longest_idx"))
 
 
 def mask_labels(ids: Column, prompt_len: Column, ignore_id: int = -1) -> Column:
@@ -62,9 +63,9 @@ def first_match(ids: Column, stop: list[int]) -> Column:
 
 
 def truncate_at_stop(ids: Column, stops: list[list[int]], keep_stop: bool = False, compat: bool = False) -> Column:
-    """Cut a token sequence before the earliest occurrence of any stop
-    sequence (``keep_stop``: keep the matched stop tokens, the single-eos
-    form of generation).
+    """Generation ends with the stop sequence that is complete first; cut
+    before it (``keep_stop``: after it, the single-eos form of generation).
+    Of several that end at the same token the longest is cut.
 
     ``compat=True`` reproduces buffered streaming output: tokens are released
     in blocks of L = the longest stop length, so at a stop ending at position
@@ -80,9 +81,11 @@ def truncate_at_stop(ids: Column, stops: list[list[int]], keep_stop: bool = Fals
         t = (F.least(*ends) if len(ends) > 1 else ends[0]) if ends else F.lit(None)
         n_out = F.when(t.isNotNull(), F.floor((t - 1) / L) * L).otherwise(F.floor(F.size(ids) / L) * L)
         return F.slice(ids, 1, n_out.cast("int"))
-    ends = []
+    found = []
     for st in stops:
         pos = first_match(ids, st)
-        ends.append(F.when(pos > 0, pos + (len(st) if keep_stop else 0)).otherwise(big))
-    cut = F.least(*ends) if len(ends) > 1 else ends[0]
+        found.append(F.when(pos > 0, F.struct((pos + len(st)).alias("end"), pos.alias("start")))
+                     .otherwise(F.struct((big + 1).alias("end"), big.alias("start"))))
+    first = F.array_min(F.array(*found))
+    cut = F.least(first["end"], big) if keep_stop else first["start"]
     return F.slice(ids, 1, cut - 1)

@@ -7,18 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000  # a vocabulary or rule table above this is joined by shuffle
-
-
-def lookup_tokens(df: DataFrame, vocab: DataFrame, token_col: str = "token", vocab_rows: int | None = None,
-                  how: str = "left") -> DataFrame:
-    """Piece -> id.  The vocabulary is broadcast only when its row count
-    is known and bounded (a tokenizer vocabulary has a fixed size); otherwise
-    the planner (AQE) chooses a shuffle join."""
-    v = vocab.select(F.col("token").alias(token_col), "id")
-    if vocab_rows is not None and vocab_rows <= BROADCAST_MAX_ROWS:
-        v = F.broadcast(v)
-    return df.join(v, token_col, how)
+
+def lookup_tokens(df: DataFrame, vocab: DataFrame, token_col: str = "token", how: str = "left") -> DataFrame:
+    """Piece -> id, an equi-join; the planner broadcasts the vocabulary
+    when its measured size is below ``spark.sql.autoBroadcastJoinThreshold``."""
+    return df.join(vocab.select(F.col("token").alias(token_col), "id"), token_col, how)
 
 
 def fetch_draws(draws: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

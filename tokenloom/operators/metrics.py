@@ -7,12 +7,12 @@ sums from ``running_offset`` and bounded frames from ``halo_window``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import u01
 from tokenloom.functions.scalar import array_sum, spread
-from tokenloom.operators.offsets import halo_window, running_offset
+from tokenloom.operators.offsets import halo_window, measured_bucket, running_offset
 
 
 def with_steps(log: DataFrame, run: str, order: list[str], bucket: Column, out: str = "step") -> DataFrame:
@@ -116,9 +116,9 @@ def compute_to_target(log: DataFrame, run: str, step: str, loss: str, flops_per_
     if budget is not None:
         d = d.withColumn("compute", F.when(F.col("compute") <= budget, F.col("compute")))
     reached = d.filter(F.col("compute").isNotNull())
-    # rank over one row per run: a small table
-    ranked = reached.withColumn("rank", F.rank().over(Window.orderBy("compute", run)))
-    return d.join(ranked.select(run, "rank"), run, "left").drop("_fps")
+    # (compute, run) is unique, so the rank is the two-level row number
+    ranked = running_offset(reached.select(run, "compute"), ["compute", run], measured_bucket(reached, F.col("compute")), None, out="_r")
+    return d.join(ranked.select(run, (F.col("_r") + 1).alias("rank")), run, "left").drop("_fps")
 
 
 def eval_rollup(scores: DataFrame, task: str, score: str, config: dict) -> DataFrame:
@@ -129,8 +129,9 @@ def eval_rollup(scores: DataFrame, task: str, score: str, config: dict) -> DataF
     return g
 
 
-def poisson1_weight(u: Column, kmax: int = 12) -> Column:
-    """Inverse CDF of Poisson(1) at u (k! grows fast: kmax 12 is exact to 1e-9)."""
+def poisson1_weight(u: Column, kmax: int = 17) -> Column:
+    """Inverse CDF of Poisson(1) at u; larger weights than ``kmax + 1`` lie beyond the
+    resolution of u (2**-48)."""
     import math
     cdf, expr = 0.0, None
     for k in range(kmax + 1):
@@ -160,8 +161,7 @@ def daily_report(log: DataFrame, ts: str, metric: str, value: str, tie: str) ->
     g = d.groupBy("day", metric).agg(
         F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"),
         F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"),
-        # exact total of cent-valued metrics (mean = total / n without rounding ties)
-        F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total_value"),
+        F.sum(value).alias("total_value"),
         F.count(F.lit(1)).cast("bigint").alias("n"))
     return g.withColumn("day_label", F.date_format("day", "dd/MM/yyyy"))
 

@@ -4,11 +4,13 @@ A global prefix sum is split in two levels:
 
 1. every row gets a *bucket* that is monotone in the order key (for hash
    orders: the high bits of the hash; for dense ids: ``id >> k``);
-2. per-bucket totals (a table of at most ``2**bits`` rows per partition
-   value) are prefix-summed and broadcast back; the in-bucket prefix sum is a
-   window partitioned by bucket.
+2. per-bucket totals are prefix-summed, again in two levels (``FAN`` buckets to a
+   group), and joined back on the bucket; the in-bucket prefix sum is a window
+   partitioned by bucket.
 
-The wide rows are shuffled once, on the bucket.  The bucket totals are a
+No table is broadcast by force: rows and totals are dealt by the same key, and
+the planner may still broadcast totals that it measures as small.  The wide
+rows are shuffled once, on the bucket.  The bucket totals are a
 map-side partial aggregation of the narrow (partition, bucket, weight)
 columns; when the weight needs an expensive upstream projection
 (tokenisation), ``totals_from`` supplies a cheap frame for the totals.
@@ -22,27 +24,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKET_BITS = 20  # bucket table <= 2**20 rows per partition value: safe to broadcast
+HASH_BITS = 48
 MIN_BUCKET_BITS = 6
 TARGET_BUCKET_BYTES = 256 << 20
+FAN = 1 << 10  # buckets whose totals are summed in one window
+BUCKET_ROWS = 1 << 20  # rows per bucket of a measured order
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Total size of the files behind ``df`` (Hadoop file system listing)."""
-    spark = df.sparkSession
-    total = 0
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for uri in df.inputFiles():
-            path = jvm.org.apache.hadoop.fs.Path(uri)
-            total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    except Exception:  # pragma: no cover - listing is best effort
-        import os
-        for uri in df.inputFiles():
-            p = uri.replace("file://", "").replace("file:", "")
-            total += os.path.getsize(p) if os.path.exists(p) else 0
-    return total
+    """Total size of the files behind a scan, from the listing that Spark already made."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 def bucket_plan(n_bytes: int, expansion: float = 1.0, target: int = TARGET_BUCKET_BYTES,
@@ -51,24 +42,30 @@ def bucket_plan(n_bytes: int, expansion: float = 1.0, target: int = TARGET_BUCKE
     input whose shuffled rows are ``expansion`` times the file bytes (1 when
     the shuffle carries text, ~4 for int32 token arrays).
 
-    About ``target`` bytes per window task, and many buckets per task so
-    that hash placement of buckets stays balanced (64 where the 2**20 cap on
-    the broadcast bucket table allows, never fewer than 16: beyond that the
-    tasks grow instead).  100 TB of text: 20 bits, 65,536 tasks of ~1.5 GB;
-    1 TB: 18 bits, ~3.7k tasks; the test tables: 9 bits, one task per slot."""
-    work = max(1.0, n_bytes * expansion / target)
-    parts = max(min_partitions, int(math.ceil(work)))
-    bits = min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, math.ceil(math.log2(parts * 64))))
-    if (2 ** bits) // parts < 16:
-        parts = max(min_partitions, (2 ** bits) // 16)
-    return bits, parts
+    About ``target`` bytes per window task and at least 64 buckets per task, so
+    that hash placement of buckets stays balanced.  100 TB of text: 25 bits,
+    ~410k tasks; 1 TB: 18 bits, ~4.1k tasks; the test tables: 9 bits, one
+    task per slot."""
+    parts = max(min_partitions, math.ceil(max(1.0, n_bytes * expansion / target)))
+    return max(MIN_BUCKET_BITS, math.ceil(math.log2(parts * 64))), parts
 
 
 def hash_bucket(h: Column, bits: int) -> Column:
     """Monotone bucket of a 48-bit hash: its top ``bits`` bits."""
-    if not 0 < bits <= MAX_BUCKET_BITS:
-        raise ValueError(f"bits must be in 1..{MAX_BUCKET_BITS}")
-    return F.shiftright(h, 48 - bits)
+    if not 0 < bits <= HASH_BITS:
+        raise ValueError(f"bits must be in 1..{HASH_BITS}")
+    return F.shiftright(h, HASH_BITS - bits)
+
+
+def measured_bucket(df: DataFrame, order: Column, rows: int = BUCKET_ROWS) -> Column:
+    """Monotone bucket of a numeric order key: equal steps between its extremes,
+    about ``rows`` rows each (one narrow aggregate over the key)."""
+    n, lo, hi = df.agg(F.count(order), F.min(order), F.max(order)).first()
+    steps = max(1, math.ceil((n or 0) / rows))
+    if steps == 1 or lo == hi:
+        return F.lit(0).cast("bigint")
+    width = (float(hi) - float(lo)) / steps
+    return F.least(F.floor((order - F.lit(lo)) / F.lit(width)), F.lit(steps - 1)).cast("bigint")
 
 
 def _cols(xs) -> list[str]:
@@ -99,23 +96,27 @@ def running_offset(
     w = F.lit(1).cast("bigint") if weight is None else (
         F.col(weight) if isinstance(weight, str) else weight).cast(dtype)
     keyed = df.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w)
-    staged = (keyed.repartition(num_partitions, *part, "_bkt") if num_partitions
-              else keyed.repartition(*part, "_bkt"))
-    # bucket totals: tiny table, bounded by 2**bits rows per partition value.
-    # Summed from the frame *before* the shuffle (map-side partial
+    def dealt(d):
+        return d.repartition(num_partitions, *part, "_bkt") if num_partitions else d.repartition(*part, "_bkt")
+
+    # bucket totals: summed from the frame *before* the shuffle (map-side partial
     # aggregation, only the (partition, bucket, weight) columns survive
     # pruning), so the wide rows are shuffled once, not twice.
     src = keyed if totals_from is None else (
         totals_from.withColumn("_bkt", bucket.cast("bigint")).withColumn("_w", w))
-    tot = src.groupBy(*part, "_bkt").agg(F.sum("_w").alias("_bw"))
-    before = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    base = tot.withColumn("_base", F.coalesce(F.sum("_bw").over(before), F.lit(0)))
+    tot = src.groupBy(*part, "_bkt").agg(F.sum("_w").alias("_bw")).withColumn("_grp", F.floor(F.col("_bkt") / FAN))
+    grp = tot.groupBy(*part, "_grp").agg(F.sum("_bw").alias("_gw"))
+    before = Window.partitionBy(*part).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
+    grp = grp.withColumn("_gbase", F.coalesce(F.sum("_gw").over(before), F.lit(0)))
     if total:
-        base = base.withColumn(total, F.sum("_bw").over(Window.partitionBy(*part)))
-    base = base.drop("_bw")
+        grp = grp.withColumn(total, F.sum("_gw").over(Window.partitionBy(*part)))
+    within = Window.partitionBy(*part, "_grp").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*part, "_grp"]
+    base = (tot.withColumn("_base", F.coalesce(F.sum("_bw").over(within), F.lit(0))).join(grp.drop("_gw"), keys)
+            .withColumn("_base", F.col("_base") + F.col("_gbase")).drop("_bw", "_grp", "_gbase"))
     inside = Window.partitionBy(*part, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    res = (staged.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-           .join(F.broadcast(base), [*part, "_bkt"])
+    res = (dealt(keyed).withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+           .join(dealt(base), [*part, "_bkt"])
            .withColumn(out, F.col("_base") + F.col("_in")))
     return res.drop("_bkt", "_w", "_base", "_in")
 

@@ -54,12 +54,16 @@ def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucke
         ids = "_ids"
     first = F.floor(F.col("_start") / C)
     last = F.floor((F.col("_start") + F.col("_len") - 1) / C)
-    d = d.select(*part, "_start", "_len", ids, F.explode(F.sequence(first, last)).alias("chunk_id"))
-    lo = F.greatest(F.col("_start"), F.col("chunk_id") * C)
-    hi = F.least(F.col("_start") + F.col("_len"), (F.col("chunk_id") + 1) * C)
-    piece = F.slice(ids, (lo - F.col("_start") + 1).cast("int"), (hi - lo).cast("int"))
-    pieces = d.select(*part, F.col("chunk_id").cast("bigint").alias("chunk_id"), lo.alias("_lo"),
-                      piece.alias("_p"))
+    # a row's pieces are cut inside the row (an array of slices, each id once) and
+    # exploded: a row of L ids carries L ids through the explode, not L per chunk
+    d = d.select(*part, "_start", "_len", F.col(ids).alias("_row"), F.sequence(first, last).alias("_cs"))
+    lo = F.transform("_cs", lambda c: F.greatest(F.col("_start"), c * C))
+    hi = F.transform("_cs", lambda c: F.least(F.col("_start") + F.col("_len"), (c + 1) * C))
+    d = d.withColumn("_lo", lo).withColumn("_hi", hi)
+    cuts = F.zip_with("_lo", "_hi", lambda x, y: F.struct(
+        F.floor(x / C).cast("bigint").alias("chunk_id"), x.alias("_lo"),
+        F.slice(F.col("_row"), (x - F.col("_start") + 1).cast("int"), (y - x).cast("int")).alias("_p")))
+    pieces = d.select(*part, F.explode(cuts).alias("_c")).select(*part, "_c.chunk_id", "_c._lo", "_c._p")
     g = pieces.groupBy(*part, "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("_lo", "_p"))).alias("_ps"))
     flat = F.flatten(F.transform("_ps", lambda s: s["_p"]))
@@ -71,6 +75,23 @@ def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucke
     return out.select(*part, "chunk_id", "n_tokens", "ids")
 
 
+def calibration_blocks(sample: DataFrame, tok, n_samples: int, block_size: int, order: list[str], bucket: Column,
+                       text: str = "text", joiner: str = "\n") -> DataFrame:
+    """K8: the sampled texts joined by ``joiner``, encoded with one closing eos and
+    cut into ``n_samples`` blocks of ``block_size`` ids; fewer ids raise.  Exact for
+    tokenizers that do not merge across the joiner.  Returns (sample, ids)."""
+    key = F.struct(*order)
+    last = sample.agg(F.max(key)).scalar()
+    ids = F.concat(tok.encode(F.when(key < last, F.concat(F.col(text), F.lit(joiner))).otherwise(F.col(text))),
+                   F.when(key < last, F.array().cast("array<int>")).otherwise(F.array(F.lit(tok.eos_id))))
+    chunks = pack(sample.withColumn("_ids8", ids), block_size, 0, order=order, bucket=bucket, ids="_ids8")
+    chunks = chunks.filter(F.col("chunk_id") < n_samples)
+    full = chunks.filter(F.col("n_tokens") == block_size).agg(F.count(F.lit(1))).scalar()
+    checked = F.when(full >= n_samples, F.col("ids")).otherwise(
+        F.raise_error(F.lit("not enough calibration tokens for n_samples * block_size")))
+    return chunks.select(F.col("chunk_id").alias("sample"), checked.alias("ids"))
+
+
 def blocks(chunks: DataFrame, block_size: int, chunk_size: int, ids: str = "ids",
            keys: list[str] | None = None) -> DataFrame:
     """K5: ``chunk_size // block_size`` blocks per chunk, the remainder of

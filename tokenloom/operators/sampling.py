@@ -89,12 +89,13 @@ def sample_windows(chunks: DataFrame, n_tokens_total, n: int, block_size: int, s
 
 
 def sample_batches(df: DataFrame, idx: str, n_batches: int, micro_batch_size: int, seed: int = 42,
-                   longest_idx: Column | None = None) -> DataFrame:
+                   longest_idx: Column | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``n_batches * micro_batch_size`` draws of row indices with
     replacement; slot 0 of batch 0 is forced to the longest row (K11).
-    Returns draws joined to rows: (batch, slot, <row columns>)."""
+    Returns draws joined to rows: (batch, slot, <row columns>).  ``counted``: a
+    narrow frame of as many rows to take the row count from."""
     spark = df.sparkSession
-    n = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, not a join
+    n = (df if counted is None else counted).agg(F.count(F.lit(1))).scalar()  # scalar subquery, not a join
     draws = spark.range(n_batches * micro_batch_size).select(
         F.floor(F.col("id") / micro_batch_size).cast("bigint").alias("batch"),
         (F.col("id") % micro_batch_size).cast("bigint").alias("slot"), F.col("id").alias("_d"))
@@ -108,12 +109,18 @@ def sample_batches(df: DataFrame, idx: str, n_batches: int, micro_batch_size: in
 def mix(sources: DataFrame, source_col: str, order: str, weights: dict[str, float] | None,
         n: int, seed: int = 42, order_shift: int = 10, draw_shift: int = 12) -> DataFrame:
     """Weighted mixture.  Draw t picks a source with probability w/sum(w)
-    (inverse CDF of u01(seed, t)), then that source's next row.  Stops at the
-    first draw whose source is exhausted.  Returns (draw, source, rank, rows...)."""
+    (inverse CDF of u01(seed, t); every source alike without weights), then
+    that source's next row.  Stops at the first draw whose source is
+    exhausted.  Returns (draw, source, rank, rows...).  The source names of a
+    mixture are a short list: they become one CASE expression."""
     spark = sources.sparkSession
-    names = sorted(weights) if weights else None
-    if names is None:
-        raise ValueError("weights required (use equal weights for uniform)")
+    if weights is None:
+        weights = {row[0]: 1.0 for row in sources.select(source_col).distinct().toLocalIterator()}
+    names = sorted(weights)
+    if not names:
+        return spark.range(0).withColumnRenamed("id", "draw").select(
+            "draw", F.lit("").alias(source_col), F.lit(0).cast("bigint").alias("rank")).join(
+            sources.withColumn("rank", F.lit(0).cast("bigint")), [source_col, "rank"])
     tot = float(sum(weights.values()))
     # inverse CDF over the fixed, small list of source names
     u = u01(seed, F.col("draw"))
@@ -127,8 +134,8 @@ def mix(sources: DataFrame, source_col: str, order: str, weights: dict[str, floa
     # rank of a draw inside its source: a per-source prefix count, computed
     # two-level so that a dominant source is never one window partition
     d = running_offset(d, "draw", F.shiftright(F.col("draw"), draw_shift), None, source_col, out="rank")
-    counts = sources.groupBy(source_col).agg(F.count(F.lit(1)).alias("_cnt"))  # one row per source
-    d = d.join(F.broadcast(counts), source_col, "left").fillna(0, ["_cnt"])
+    counts = sources.groupBy(source_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    d = d.join(counts, source_col, "left").fillna(0, ["_cnt"])
     stop = d.filter(F.col("rank") >= F.col("_cnt")).agg(F.min("draw")).scalar()
     d = d.filter(stop.isNull() | (F.col("draw") < stop))
     ranked = running_offset(sources, order, F.shiftright(F.col(order), order_shift), None, source_col, out="rank")

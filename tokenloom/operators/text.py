@@ -3,6 +3,7 @@ response extraction (P2-P7, J2, U1)."""
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Ordered prompt rules (pattern searched anywhere in the model
-# name, template with a {prompt} placeholder, stop pieces besides eos).
+# name, template with a {prompt} placeholder, stop sequences besides eos: pieces
+# to look up, or ids that are fixed for that family's vocabulary).
 # The first matching rule wins; no match -> the default "{prompt}".
 LLAMA2_SYSTEM = (
     "You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe."
@@ -29,9 +31,9 @@ PROMPT_RULES = [
      [["<|SYSTEM|>"], ["<|ASSISTANT|>"], ["<|USER|>"]]),
     (2, r"togethercomputer.*Chat", "<human>: {prompt}\n<bot>:", [["<", "human", ">:"], ["<", "bot", ">:"]]),
     (3, r"togethercomputer.*Instruct", "Q: {prompt}\nA:",
-     [["Q", ":"], ["Question"], ["A", ":"], ["Label", ":"], ["\n", "\n"], ["\n\n"], ["\n\n\n"]]),
+     [["Q", ":"], ["Question"], ["A", ":"], ["Label", ":"], [187, 187], [535], [2756]]),
     (4, r"falcon.*-instruct", "Do not prefix your replies with 'Bot: '\nUser: {prompt}\n",
-     [["User", ":"], ["\n", "User"]]),
+     [["User", ":"], [193, "User"]]),
     (5, r"vicuna|longchat",
      "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed,"
      " and polite answers to the user's questions. USER: {prompt} ASSISTANT:", []),
@@ -43,7 +45,7 @@ PROMPT_RULES = [
     (9, r"NousResearch", "### Instruction:\n{prompt}\n\n### Response:\n", []),
     (10, r"stablecode-instruct", "###Instruction\n{prompt}###Response\n", []),
     (11, r"CodeLlama|Mistral.*Instruct", "<s>[INST] {prompt} [/INST]", []),
-    (12, r"phi", "{prompt}\n\nAnswer:", [["Answer", ":"], ["\n", "Answer", ":"]]),
+    (12, r"phi", "{prompt}\n\nAnswer:", [["Answer", ":"], [198, "Answer", ":"]]),
 ]
 DEFAULT_RULE = (0, "", "{prompt}", [])
 
@@ -134,6 +136,26 @@ def rule_template(rule_id: Column, rules=PROMPT_RULES) -> Column:
     return expr.otherwise(F.lit(DEFAULT_RULE[2]))
 
 
+def stops_text(stops: list[list]) -> str:
+    """A rule's stop sequences as JSON, the end token first (``"<eos>"``); numbers are fixed ids."""
+    return json.dumps([["<eos>"], *stops], separators=(",", ":"))
+
+
+def rule_stops(rule_id: Column, rules=PROMPT_RULES) -> Column:
+    """Stop sequences of a rule, as JSON."""
+    expr = None
+    for rid, _, _, stops in rules:
+        text = F.lit(stops_text(stops))
+        expr = F.when(rule_id == rid, text) if expr is None else expr.when(rule_id == rid, text)
+    return expr.otherwise(F.lit(stops_text(DEFAULT_RULE[3])))
+
+
+def rule_table(spark, rules=PROMPT_RULES) -> DataFrame:
+    """The rules as a table (rule_id, pattern, template, stops), default included."""
+    return spark.createDataFrame([(rid, pat, tpl, stops_text(stops)) for rid, pat, tpl, stops in [*rules, DEFAULT_RULE]],
+                                 "rule_id int, pattern string, template string, stops string")
+
+
 def format_prompt(template: Column, prompt: Column) -> Column:
     """P5: literal substitution of ``{prompt}`` (never a regex)."""
     return F.replace(template, F.lit("{prompt}"), prompt)

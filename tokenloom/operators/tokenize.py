@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,26 @@ def _load_sp(path: str):
     return spm.SentencePieceProcessor(model_file=path)
 
 
+def _ship(spark: SparkSession, path: str) -> str:
+    """Send a model file to the executors under a name of its own content, so that
+    files of one name do not collide; returns the shipped name."""
+    import hashlib
+    import shutil
+    import tempfile
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()[:16]
+    name = f"{digest}-{os.path.basename(path)}"
+    if name not in _SHIPPED.setdefault(spark.sparkContext.applicationId, set()):
+        copy = os.path.join(tempfile.mkdtemp(prefix="tokenloom-model-"), name)  # the driver's file server sends it on
+        shutil.copyfile(path, copy)
+        spark.sparkContext.addFile(copy)
+        _SHIPPED[spark.sparkContext.applicationId].add(name)
+    return name
+
+
+_SHIPPED: dict[str, set[str]] = {}
+
+
 def _local(path: str) -> str:
     from pyspark import SparkFiles
     name = os.path.basename(path)
@@ -142,8 +162,7 @@ class HFTokenizer(Tokenizer):
 
     def __init__(self, spark: SparkSession, path: str, bos_token: str | None = None,
                  eos_token: str | None = None, use_bos: bool = False):
-        spark.sparkContext.addFile(path)
-        self.path = path
+        self.path = _ship(spark, path)
         tok = _load_hf(path)
         self.bos_id = tok.token_to_id(bos_token) if bos_token else None
         self.eos_id = tok.token_to_id(eos_token) if eos_token else None
@@ -176,8 +195,7 @@ class SPTokenizer(Tokenizer):
     """``tokenizer.model`` through sentencepiece, Arrow batched."""
 
     def __init__(self, spark: SparkSession, path: str, use_bos: bool = False):
-        spark.sparkContext.addFile(path)
-        self.path = path
+        self.path = _ship(spark, path)
         sp = _load_sp(path)
         self.bos_id = sp.bos_id() if sp.bos_id() >= 0 else None
         self.eos_id = sp.eos_id() if sp.eos_id() >= 0 else None
@@ -207,9 +225,9 @@ class SPTokenizer(Tokenizer):
 
 class VocabTokenizer(Tokenizer):
     """Word-level tokenizer over a vocabulary table ``(token, id, is_special)``:
-    whitespace split, unknown words -> ``unk_token``.  The vocabulary is a
-    fixed tokenizer file (size-checked), shipped once as a broadcast
-    variable and applied per Arrow batch."""
+    whitespace split, unknown words -> ``unk_token``.  As a Column plug-in it
+    ships the vocabulary of a tokenizer file once as a broadcast variable
+    (size-checked); ``encode_words`` joins a vocabulary of any size."""
 
     MAX_ROWS = 2_000_000
 
@@ -217,7 +235,7 @@ class VocabTokenizer(Tokenizer):
                  bos_token: str | None = "<s>", eos_token: str | None = "</s>", use_bos: bool = False):
         n = vocab.count()
         if n > self.MAX_ROWS:
-            raise ValueError(f"vocabulary of {n} pieces is too large to broadcast")
+            raise ValueError(f"vocabulary of {n} pieces is too large to ship with a column: use encode_words")
         table = {r.token: int(r.id) for r in vocab.select("token", "id").collect()}
         self.vocab_size = vocab.filter(~F.col("is_special")).count()
         self.unk_id = table.get(unk_token)
@@ -227,6 +245,15 @@ class VocabTokenizer(Tokenizer):
         self._fwd = spark.sparkContext.broadcast(table)
         self._inv = spark.sparkContext.broadcast({v: k for k, v in table.items()})
 
+    @classmethod
+    def from_files(cls, spark: SparkSession, checkpoint_dir: str, unk_token: str = "<unk>") -> VocabTokenizer:
+        """Vocabulary, bos/eos and BOS policy from the tokenizer files of a checkpoint folder."""
+        from tokenloom.sources.tables import read_vocab, special_ids
+        tok = cls(spark, read_vocab(spark, checkpoint_dir), unk_token, None, None)
+        ids = special_ids(spark, checkpoint_dir, tok._fwd.value)
+        tok.bos_id, tok.eos_id, tok.use_bos = ids["bos_id"], ids["eos_id"], ids["use_bos"]
+        return tok
+
     def _ids(self, text: Column) -> Column:
         fwd, unk = self._fwd, self.unk_id
 
@@ -248,20 +275,41 @@ class VocabTokenizer(Tokenizer):
         return dec(ids)
 
 
+def drop_null_text(df: DataFrame, text_col: str = "text", metric: Observation | None = None) -> DataFrame:
+    """Rows with null text leave the corpus before lengths or ids are taken.
+    With ``metric`` (F3) their number is observed while the data flows (``dropped``)."""
+    if metric is not None:
+        df = df.observe(metric, F.count(F.when(F.col(text_col).isNull(), 1)).alias("dropped"), F.count(F.lit(1)).alias("rows"))
+    return df.filter(F.col(text_col).isNotNull())
+
+
+def encode_words(df: DataFrame, key: str, text: Column, vocab: DataFrame, unk_id: Column, bos_id: int | None = None,
+                 eos_id: int | None = None) -> DataFrame:
+    """T1 over a vocabulary table of any size: (key, ids) with whitespace words
+    looked up by an equi-join; unknown words take ``unk_id``.  ``key`` is unique per row."""
+    words = df.select(key, F.posexplode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("_p", "token"))
+    found = words.join(vocab.select("token", "id"), "token", "left").select(key, "_p", F.coalesce("id", unk_id).cast("int").alias("id"))
+    ids = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "id"))), lambda s: s["id"]).alias("_ids"))
+    edge = lambda i: F.array(F.lit(i)).cast("array<int>") if i is not None else F.array().cast("array<int>")
+    return (df.select(key).join(ids, key, "left")
+            .select(key, F.concat(edge(bos_id), F.coalesce("_ids", F.array().cast("array<int>")), edge(eos_id)).alias("ids")))
+
+
 def tokenize(df: DataFrame, tok: Tokenizer, text_col: str = "text", keep: list[str] | None = None,
              max_length: int = -1) -> DataFrame:
     """T5 + P1: ``ids = encode(text) + [eos]``, ``len = size(ids)``; the text
-    column is dropped (only ``keep`` columns survive)."""
+    column is dropped (only ``keep`` columns survive), rows without text go first."""
+    df = drop_null_text(df, text_col)
     ids = F.concat(tok.encode(F.col(text_col), max_length=max_length), F.array(F.lit(tok.eos_id)))
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
     return df.select(*keep, ids.alias("ids")).withColumn("len", F.size("ids"))
 
 
 def token_to_id(df: DataFrame, token_col: str, vocab: DataFrame, on_missing: str = "error") -> DataFrame:
-    """Exact piece -> id through a broadcast equi-join with the
-    vocabulary (a fixed, size-bounded table); missing pieces raise."""
+    """Exact piece -> id through an equi-join with the vocabulary
+    (broadcast when the planner measures it as small); missing pieces raise."""
     v = vocab.select(F.col("token").alias(token_col), "id")
-    out = df.join(F.broadcast(v), token_col, "left")
+    out = df.join(v, token_col, "left")
     if on_missing == "error":
         out = out.withColumn("id", F.when(F.col("id").isNotNull(), F.col("id")).otherwise(
             F.raise_error(F.concat(F.lit("token not in vocabulary: "), F.col(token_col)))))

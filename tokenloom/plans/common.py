@@ -13,18 +13,11 @@ SEP = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an input that arrives in fewer splits than task slots
-    (a single-row-group file); at cluster scale the scan already has
-    thousands of splits and this is a no-op."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-    except Exception:  # sessions without an RDD view: leave the scan as it is
-        return df
+    """A test table.  ``spark.tokenloom.inputPartitions`` (a setting of the
+    session, unset by default) deals the scan to that many partitions, for files of a single row group."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get("spark.tokenloom.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

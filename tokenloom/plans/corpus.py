@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48
 from tokenloom.operators.offsets import bucket_plan, contiguous_shards, hash_bucket, input_bytes, running_offset
-from tokenloom.operators.packing import assign_shards, blocks, chunk_groups, pack, token_totals
+from tokenloom.operators.packing import assign_shards, blocks, calibration_blocks, chunk_groups, pack, token_totals
 from tokenloom.operators.sampling import mix, sample_rows, sample_windows, shuffle_blocks, split
-from tokenloom.operators.tokenize import ByteTokenizer, tokenize
+from tokenloom.operators.tokenize import ByteTokenizer, drop_null_text, tokenize
 from tokenloom.plans.common import (CHUNK, SEED, SEP, SPLIT_CTE, STREAM_CTE, VAL_SIZE, byte_ids_sql,
                                     documents, h_sql, ids_md5, list_md5_sql, table, u_sql)
 from tokenloom.sources.tables import read_corpus
@@ -22,23 +22,20 @@ WORKERS, PROCS = 3, 2  # K6
 N_CHUNKS, EPOCHS = 4, 2  # K7
 WINDOWS, WINDOW_BLOCK = 256, 2048  # R3
 MIX_DRAWS = 3000  # R5
+SAMPLE_ROWS = 150  # R2
 CAL_DOCS, CAL_SAMPLES, CAL_BLOCK = 2000, 32, 2048  # K8
 N_SHARDS = 16  # K3
 
 
 def corpus_buckets(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """Bucket bits and window partitions sized from the corpus files."""
-    try:
-        slots = spark.sparkContext.defaultParallelism
-    except Exception:
-        slots = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    return bucket_plan(input_bytes(table(spark, sf_dir, "documents")), min_partitions=slots)
+    files = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return bucket_plan(input_bytes(files), min_partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def split_docs(spark: SparkSession, sf_dir: str, seed: int = SEED, val_size: float = VAL_SIZE) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    bits, _ = corpus_buckets(spark, sf_dir)
-    return split(docs, "doc_id", val_size, seed, bits=bits).withColumn("h", h48(seed, F.col("doc_id")))
+    return split(docs, "doc_id", val_size, seed).withColumn("h", h48(seed, F.col("doc_id")))
 
 
 def tokenized_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +43,7 @@ def tokenized_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_chunks(spark: SparkSession, sf_dir: str, chunk_size: int = CHUNK) -> DataFrame:
-    s = split_docs(spark, sf_dir).withColumn("len", TOK.length(F.col("text")) + 1)
+    s = drop_null_text(split_docs(spark, sf_dir)).withColumn("len", TOK.length(F.col("text")) + 1)
     ids = F.concat(TOK.encode(F.col("text")), F.array(F.lit(TOK.eos_id)))
     bits, parts = corpus_buckets(spark, sf_dir)
     return pack(s, chunk_size, SEP, order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), bits), part="split",
@@ -73,7 +70,7 @@ def q_r1_split(spark, sf):
 
 def q_r2_sample_rows(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
-    s = sample_rows(d, "doc_id", CAL_DOCS, SEED)
+    s = sample_rows(d, "doc_id", SAMPLE_ROWS, SEED)
     # rank inside the k sampled rows (k is the feature's bound)
     return s.withColumn("rank", (F.row_number().over(Window.orderBy(h48(SEED, F.col("doc_id")), "doc_id")) - 1)
                         .cast("bigint"))
@@ -131,19 +128,26 @@ def _train_files(spark, sf):
     return packed_chunks(spark, sf).filter(F.col("split") == "train")
 
 
+def _train_file_ids(spark, sf):
+    """The chunk ids of the train split from its token total alone: nothing is packed."""
+    t = split_docs(spark, sf).filter(F.col("split") == "train")
+    n = t.agg(F.ceil(F.sum(TOK.length(F.col("text")) + 1) / CHUNK).alias("n"))
+    return n.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("chunk_id"))
+
+
 def q_k6_assign_shards(spark, sf):
-    f = _train_files(spark, sf).select("chunk_id")
+    f = _train_file_ids(spark, sf)
     return assign_shards(f, "chunk_id", WORKERS, PROCS).select("chunk_id", "shard", "worker", "rank")
 
 
 def q_k7_chunk_groups(spark, sf):
-    f = _train_files(spark, sf).select("chunk_id")
+    f = _train_file_ids(spark, sf)
     return chunk_groups(f, "chunk_id", N_CHUNKS, EPOCHS, wrap=True).select("chunk_id", "group_id", "epoch")
 
 
 def q_r6_shuffle_blocks(spark, sf):
-    ch = _train_files(spark, sf)
-    g = chunk_groups(ch, "chunk_id", N_CHUNKS, EPOCHS, wrap=True)
+    g = chunk_groups(_train_file_ids(spark, sf), "chunk_id", N_CHUNKS, EPOCHS, wrap=True)
+    g = _train_files(spark, sf).drop("split").join(g, "chunk_id")
     b = blocks(g, BLOCK, CHUNK, keys=["epoch", "group_id", "chunk_id"])
     s = shuffle_blocks(b, ["epoch", "group_id"], ["chunk_id", "block_id"], SEED)
     return s.select("epoch", "group_id", "chunk_id", "block_id", "pos", ids_md5("ids").alias("ids_md5"))
@@ -170,19 +174,9 @@ def q_r5_mix(spark, sf):
 def q_k8_calibration_blocks(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     s = sample_rows(d, "doc_id", CAL_DOCS, SEED)
-    s = s.withColumn("rank", (F.row_number().over(Window.orderBy(h48(SEED, F.col("doc_id")), "doc_id")) - 1))
-    last = F.max("rank").over(Window.partitionBy())
-    s = s.withColumn("_last", last)
-    ids = F.concat(TOK.encode(F.col("text")),
-                   F.when(F.col("rank") < F.col("_last"), F.array(F.lit(10 + TOK.offset)))
-                   .otherwise(F.array(F.lit(TOK.eos_id))))
-    t = s.select("rank", ids.alias("ids"), F.lit(0).alias("bucket0"))
-    ch = pack(t, CAL_BLOCK, SEP, order=["rank"], bucket=F.col("bucket0"))
-    ch = ch.filter(F.col("chunk_id") < CAL_SAMPLES)
-    n_full = ch.filter(F.col("n_tokens") == CAL_BLOCK).agg(F.count(F.lit(1))).scalar()
-    ch = ch.withColumn("_ok", F.when(n_full >= CAL_SAMPLES, F.lit(True)).otherwise(
-        F.raise_error(F.lit("not enough calibration tokens for n_samples * block_size"))))
-    return ch.filter(F.col("_ok")).select(F.col("chunk_id").alias("sample"), ids_md5("ids").alias("ids_md5"))
+    ch = calibration_blocks(s.withColumn("h", h48(SEED, F.col("doc_id"))), TOK, CAL_SAMPLES, CAL_BLOCK,
+                            order=["h", "doc_id"], bucket=hash_bucket(F.col("h"), 6))
+    return ch.select("sample", ids_md5("ids").alias("ids_md5"))
 
 
 QUERIES = {
@@ -236,7 +230,7 @@ ORACLE = {
                          FROM documents""",
     "r1_split": f"WITH {SPLIT_CTE} SELECT doc_id, split FROM ds",
     "r2_sample_rows": f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY {h_sql('doc_id')}, doc_id) - 1 AS BIGINT) AS rank
-                          FROM documents ORDER BY {h_sql('doc_id')}, doc_id LIMIT {CAL_DOCS}""",
+                          FROM documents ORDER BY {h_sql('doc_id')}, doc_id LIMIT {SAMPLE_ROWS}""",
     "t5_tokenize": f"""SELECT doc_id, CAST(l + 1 AS BIGINT) AS len, {list_md5_sql(byte_ids_sql('text'))} AS ids_md5
                        FROM {_DOC_BYTES}""",
     "p1_drop_columns": "SELECT doc_id, lang, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS len FROM documents",

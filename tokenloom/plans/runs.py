@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.scalar import cosine_lr, flops, linear_warmup
 from tokenloom.operators.metrics import (cadence, compute_to_target, daily_report, first_n, iter_time, run_totals,
                                          throughput, tokens_per_sec, with_steps)
+from tokenloom.operators.offsets import measured_bucket
 from tokenloom.plans.common import r, table
 from tokenloom.session import scratch_path
 from tokenloom.sources.tables import read_metrics, write_metrics
@@ -25,17 +26,17 @@ SEQ = 2048
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("user_id").alias("run"), "event_id", "ts",
                                           F.col("event_type").alias("metric"), "value", "props")
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)  # monotone in (ts, event_id)
-    return with_steps(e, "run", ["ts", "event_id"], hour)
+    when = F.unix_micros(F.col("ts").cast("timestamp"))  # buckets by time, wide enough for the log's size
+    return with_steps(e, "run", ["ts", "event_id"], measured_bucket(e, when))
 
 
 def _t():
     return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
 
 
-def run_config(log: DataFrame) -> DataFrame:
+def run_config(spark: SparkSession, sf: str) -> DataFrame:
     """One configuration row per run, derived from the run id."""
-    runs = log.select("run").distinct()
+    runs = table(spark, sf, "events").select(F.col("user_id").alias("run")).distinct()
     return runs.select("run", F.lit(SEQ).alias("seq"), (F.col("run") % 6 + 6).alias("layers"),
                        ((F.col("run") % 4 + 1) * 256).alias("embd"),
                        ((F.col("run") % 10 + 1) * 1_000_000).alias("trainable"),
@@ -55,7 +56,7 @@ def q_s9_daily_report(spark, sf):
     return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "day_label", F.col("event_type").alias("metric"),
                     r("first_value").alias("first_value"), r("last_value").alias("last_value"),
                     r("min_value").alias("min_value"), r("max_value").alias("max_value"),
-                    "total_value", "n")
+                    r("mean_value", 9).alias("mean_value"), r("total_value", 9).alias("total_value"), "n")
 
 
 def q_a15_run_totals(spark, sf):
@@ -100,13 +101,13 @@ def _flops_col(c, training=True):
 
 
 def q_c3_flops(spark, sf):
-    c = run_config(run_log(spark, sf))
+    c = run_config(spark, sf)
     return c.select("run", _flops_col(c, True).alias("flops_train"), _flops_col(c, False).alias("flops_eval"))
 
 
 def q_a17_compute_to_target(spark, sf):
     log = run_log(spark, sf)
-    c = run_config(log)
+    c = run_config(spark, sf)
     lg = log.join(c.select("run", (_flops_col(c, True) * MBS).alias("fps")), "run")
     out = compute_to_target(lg, "run", "step", "value", F.col("fps"), TARGET)
     # runs that never reach the target: first_step -1, compute -1, rank 0
@@ -166,7 +167,7 @@ ORACLE = {
     "s9_daily_report": """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, strftime(CAST(ts AS DATE), '%d/%m/%Y') AS day_label,
         event_type AS metric, round(arg_min(value, ts), 6) AS first_value, round(arg_max(value, ts), 6) AS last_value,
         round(min(value), 6) AS min_value, round(max(value), 6) AS max_value,
-        CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total_value,
+        round(avg(value), 9) AS mean_value, round(sum(value), 9) AS total_value,
         CAST(count(*) AS BIGINT) AS n FROM events GROUP BY CAST(ts AS DATE), event_type""",
     "a15_run_totals": f"WITH {_TOT} SELECT run, step, round(lengths_total, 6) AS lengths_total, CAST(samples AS BIGINT) AS samples FROM tot",
     "w1_throughput": f"""WITH {_TOT} SELECT run, step, {_rate('batches')} AS batches_per_sec, {_rate('samples')} AS samples_per_sec,

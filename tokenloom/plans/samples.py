@@ -3,15 +3,16 @@ shifting, batching, padding, stop cuts, response extraction, dispatch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators.batches import longest, mask_labels, pad_batch, shift_targets, truncate_at_stop
 from tokenloom.operators.joins import fetch_draws
 from tokenloom.operators.offsets import running_offset
 from tokenloom.operators.sampling import sample_batches
-from tokenloom.operators.text import (PROMPT_NO_INPUT, PROMPT_RULES, RESPONSE_MARKER, dispatch, extract_response,
-                                      format_prompt, instruction_prompt, rule_template)
+from tokenloom.operators.text import (PROMPT_NO_INPUT, PROMPT_RULES, PROMPT_WITH_INPUT, RESPONSE_MARKER, dispatch,
+                                      extract_response, format_prompt, instruction_prompt, rule_stops, rule_table,
+                                      rule_template, stops_text)
 from tokenloom.operators.tokenize import ByteTokenizer
 from tokenloom.functions.hashing import h48
 from tokenloom.plans.common import SEED, h_sql, ids_md5, table
@@ -21,38 +22,51 @@ from tokenloom.sources.tables import read_samples, write_samples
 TOK = ByteTokenizer()
 N_BATCHES, MICRO_BATCH = 8, 5
 STOPS = [[ord(".") + 3, ord(" ") + 3], [TOK.eos_id]]
+TURN_BITS = 20  # turns per conversation in a sample id
+#: Names that reach every prompt rule and the default; rows take them in turn.
+NAMES = ["stabilityai/stablelm-tuned-alpha-3b", "togethercomputer/RedPajama-3B-Chat", "togethercomputer/RedPajama-3B-Instruct",
+         "tiiuae/falcon-7b-instruct", "lmsys/vicuna-7b", "lmsys/longchat-7b", "meta-llama/Llama-2-7b-chat", "NousResearch/Llama-2-7b-chat",
+         "stabilityai/FreeWilly2", "garage/Platypus-30B", "NousResearch/Nous-Hermes-13b", "stabilityai/stablecode-instruct",
+         "codellama/CodeLlama-7b", "mistralai/Mistral-7B-Instruct", "microsoft/phi-1_5", "eleuther/pythia-70m"]
+
+
+def _name_of(key):
+    return F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.pmod(key, F.lit(len(NAMES))) + 1).cast("int"))
 
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:
-    """(conv_id, instruction, response): the first user turn and the first
-    assistant turn after it."""
-    c = table(spark, sf, "conversations")
-    u = c.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min("turn").alias("ut"))
-    a = (c.filter(F.col("role") == "assistant").join(u, "conv_id").filter(F.col("turn") > F.col("ut"))
-         .groupBy("conv_id").agg(F.min("turn").alias("at")))
-    ci = c.select("conv_id", F.col("turn").alias("ut"), F.col("text").alias("instruction"))
-    ca = c.select("conv_id", F.col("turn").alias("at"), F.col("text").alias("response"))
-    return u.join(a, "conv_id").join(ci, ["conv_id", "ut"]).join(ca, ["conv_id", "at"]) \
-        .select("conv_id", "instruction", "response")
+    """(conv_id, turn, instruction, context, response): every user turn with the next
+    assistant turn after it; the context is the text of the turn before, if any."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    answer = F.when(F.col("role") == "assistant", F.col("text"))
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn", "role", F.col("text").alias("instruction"), F.coalesce(F.lag("text").over(w), F.lit("")).alias("context"),
+        F.first(answer, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("response"))
+    return c.filter((F.col("role") == "user") & F.col("response").isNotNull()).drop("role")
+
+
+def sample_id():
+    """One number per (conversation, turn)."""
+    return F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """(sample_id, input_ids, labels): prompt + response + eos, prompt masked."""
     e = examples(spark, sf).withColumn("prompt", instruction_prompt(F.col("instruction")))
     ids = TOK.encode(F.concat("prompt", "response"), eos=True)
-    return e.select(F.col("conv_id").alias("sample_id"), ids.alias("input_ids"),
+    return e.select(sample_id().alias("sample_id"), ids.alias("input_ids"),
                     TOK.length(F.col("prompt")).alias("prompt_len")) \
         .withColumn("labels", mask_labels(F.col("input_ids"), F.col("prompt_len")))
 
 
 def indexed_samples(spark: SparkSession, sf: str) -> DataFrame:
     s = samples(spark, sf)
-    return running_offset(s, "sample_id", F.shiftright(F.col("sample_id"), 10), None, out="idx")
+    return running_offset(s, "sample_id", F.shiftright(F.col("sample_id"), TURN_BITS + 10), None, out="idx")
 
 
 def q_p6_instruction_prompt(spark, sf):
-    e = examples(spark, sf).withColumn("prompt", instruction_prompt(F.col("instruction")))
-    return e.select("conv_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("n_chars"))
+    e = examples(spark, sf).withColumn("prompt", instruction_prompt(F.col("instruction"), F.col("context")))
+    return e.select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 
 def q_k12_mask_labels(spark, sf):
@@ -82,8 +96,12 @@ def q_k11_longest(spark, sf):
 
 def _batches(spark, sf):
     s = indexed_samples(spark, sf)
-    li = longest(s, "idx").select("longest_idx").scalar()
-    return sample_batches(s, "idx", N_BATCHES, MICRO_BATCH, SEED, longest_idx=li)
+    # count and longest row from one small written frame of lengths, not from the samples again
+    path = scratch_path(spark, "lengths")
+    s.select("idx", F.size("input_ids").alias("n")).write.parquet(path)
+    narrow = spark.read.parquet(path)
+    li = longest(narrow, "idx", size=F.col("n")).select("longest_idx").scalar()
+    return sample_batches(s, "idx", N_BATCHES, MICRO_BATCH, SEED, longest_idx=li, counted=narrow)
 
 
 def q_r4_sample_batches(spark, sf):
@@ -109,38 +127,41 @@ def q_k13_truncate_at_stop(spark, sf):
     e = examples(spark, sf)
     ids = TOK.encode(F.col("response"), eos=True)
     cut = truncate_at_stop(ids, STOPS)
-    return e.select("conv_id", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
+    return e.select("conv_id", "turn", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
 
 
 def q_k13_truncate_compat(spark, sf):
     e = examples(spark, sf)
     ids = TOK.encode(F.col("response"), eos=True)
     cut = truncate_at_stop(ids, STOPS, compat=True)
-    return e.select("conv_id", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
+    return e.select("conv_id", "turn", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
 
 
 def q_p7_extract_response(spark, sf):
     e = examples(spark, sf)
     generated = F.concat(instruction_prompt(F.col("instruction")), F.lit(" "), F.col("response"))
-    return e.select("conv_id", extract_response(generated).alias("response"))
+    return e.select("conv_id", "turn", extract_response(generated).alias("response"))
 
 
 def q_p5_format_prompt(spark, sf):
     c = table(spark, sf, "conversations").filter(F.col("role") == "user")
-    rid = dispatch(F.col("text"))
+    rid = dispatch(_name_of(F.col("conv_id") + F.col("turn")))
     out = format_prompt(rule_template(rid), F.col("text"))
     return c.select("conv_id", "turn", rid.alias("rule_id"), F.md5(out).alias("prompt_md5"),
                     F.length(out).cast("bigint").alias("n_chars"))
 
 
 def q_p4_dispatch(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", dispatch(F.col("text")).alias("rule_id"))
+    p = table(spark, sf, "part")
+    rid = dispatch(F.concat_ws("/", _name_of(F.col("p_partkey")), F.col("p_name")))
+    return p.select("p_partkey", rid.alias("rule_id"), F.md5(rule_template(rid)).alias("template_md5"),
+                    rule_stops(rid).alias("stops"))
 
 
 def q_j2_template_dispatch(spark, sf):
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", dispatch(F.col("text")).alias("rule_id"))
+    d = table(spark, sf, "documents").select("doc_id", dispatch(_name_of(F.col("doc_id"))).alias("rule_id"))
+    j = d.join(rule_table(spark), "rule_id")
+    return j.select("doc_id", "rule_id", F.md5("template").alias("template_md5"), "stops")
 
 
 QUERIES = {
@@ -166,16 +187,17 @@ def lit(s: str) -> str:
 
 
 _PROMPT = f"replace({lit(PROMPT_NO_INPUT)}, '{{instruction}}', instruction)"
+_CONTEXT = (f"CASE WHEN length(context) > 0 THEN replace(replace({lit(PROMPT_WITH_INPUT)}, '{{instruction}}', instruction), '{{input}}', context) "
+            f"ELSE {_PROMPT} END")
 _EX = f"""
-u AS (SELECT conv_id, min(turn) AS ut FROM conversations WHERE role = 'user' GROUP BY conv_id),
-a AS (SELECT c.conv_id, min(c.turn) AS at FROM conversations c JOIN u ON c.conv_id = u.conv_id
-      WHERE c.role = 'assistant' AND c.turn > u.ut GROUP BY c.conv_id),
-ex AS (SELECT u.conv_id, ci.text AS instruction, ca.text AS response
-       FROM u JOIN a ON u.conv_id = a.conv_id
-       JOIN conversations ci ON ci.conv_id = u.conv_id AND ci.turn = u.ut
-       JOIN conversations ca ON ca.conv_id = a.conv_id AND ca.turn = a.at),
-ep AS (SELECT conv_id, instruction, response, {_PROMPT} AS prompt FROM ex),
-eb AS (SELECT conv_id AS sample_id, hex(encode(prompt || response)) AS hx, octet_length(encode(prompt || response)) AS l,
+nx AS (SELECT u.conv_id, u.turn, min(a.turn) AS at FROM conversations u JOIN conversations a
+       ON a.conv_id = u.conv_id AND a.turn > u.turn AND a.role = 'assistant' AND a.text IS NOT NULL WHERE u.role = 'user' GROUP BY u.conv_id, u.turn),
+ex AS (SELECT nx.conv_id, nx.turn, ci.text AS instruction, ca.text AS response, coalesce(
+         (SELECT arg_max(p.text, p.turn) FROM conversations p WHERE p.conv_id = nx.conv_id AND p.turn < nx.turn), '') AS context
+       FROM nx JOIN conversations ci ON ci.conv_id = nx.conv_id AND ci.turn = nx.turn
+       JOIN conversations ca ON ca.conv_id = nx.conv_id AND ca.turn = nx.at),
+ep AS (SELECT conv_id, turn, instruction, response, {_PROMPT} AS prompt, {_CONTEXT} AS full_prompt FROM ex),
+eb AS (SELECT (CAST(conv_id AS BIGINT) << {TURN_BITS}) + turn AS sample_id, hex(encode(prompt || response)) AS hx, octet_length(encode(prompt || response)) AS l,
               octet_length(encode(prompt)) AS p FROM ep),
 sm AS (SELECT sample_id, p, list_concat(list_transform(range(0, l), lambda i: CAST(('0x' || substr(hx, 2 * i + 1, 2)) AS INTEGER) + 3), [2]) AS ids
        FROM eb),
@@ -203,11 +225,20 @@ def _template_sql(rid: str) -> str:
     return f"CASE {parts} ELSE '{{prompt}}' END"
 
 
+def _stops_sql(rid: str) -> str:
+    parts = " ".join(f"WHEN {rid} = {i} THEN {lit(stops_text(s))}" for i, _, _, s in PROMPT_RULES)
+    return f"CASE {parts} ELSE {lit(stops_text([]))} END"
+
+
+def _name_sql(key: str) -> str:
+    return f"[{', '.join(lit(n) for n in NAMES)}][CAST(({key}) % {len(NAMES)} AS INTEGER) + 1]"
+
+
 _RESP_IDS = "list_concat(list_transform(range(0, l), lambda i: CAST(('0x' || substr(hx, 2 * i + 1, 2)) AS INTEGER) + 3), [2])"
 _STOP1 = f",{STOPS[0][0]},{STOPS[0][1]},"
 
 ORACLE = {
-    "p6_instruction_prompt": f"WITH {_EX} SELECT conv_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS n_chars FROM ep",
+    "p6_instruction_prompt": f"WITH {_EX} SELECT conv_id, turn, md5(full_prompt) AS prompt_md5, CAST(length(full_prompt) AS BIGINT) AS n_chars FROM ep",
     "k12_mask_labels": f"""WITH {_EX} SELECT sample_id, CAST(len(ids) AS BIGINT) AS n, {_md5('ids')} AS input_md5,
         {_md5('labels')} AS labels_md5, CAST(len(list_filter(labels, lambda x: x = -1)) AS BIGINT) AS n_masked FROM sl""",
     "s7_read_samples": f"""WITH {_EX} SELECT sample_id, CAST(len(ids) AS BIGINT) AS n, {_md5('ids')} AS input_md5,
@@ -225,32 +256,37 @@ ORACLE = {
                {_md5("list_concat(ids, list_transform(range(0, m - len(ids)), lambda i: 0))")} AS x_md5,
                {_md5("list_concat(labels, list_transform(range(0, m - len(labels)), lambda i: -1))")} AS y_md5 FROM pw""",
     "k13_truncate_at_stop": f"""WITH {_EX},
-        rb AS (SELECT conv_id, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
-        ri AS (SELECT conv_id, {_RESP_IDS} AS ids FROM rb),
-        rs AS (SELECT conv_id, ids, ',' || array_to_string(ids, ',') || ',' AS s FROM ri),
-        rp AS (SELECT conv_id, ids, s, strpos(s, '{_STOP1}') AS p1, strpos(s, ',{STOPS[1][0]},') AS p2 FROM rs),
-        rk AS (SELECT conv_id, ids, least(
+        rb AS (SELECT conv_id, turn, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
+        ri AS (SELECT conv_id, turn, {_RESP_IDS} AS ids FROM rb),
+        rs AS (SELECT conv_id, turn, ids, ',' || array_to_string(ids, ',') || ',' AS s FROM ri),
+        rp AS (SELECT conv_id, turn, ids, s, strpos(s, '{_STOP1}') AS p1, strpos(s, ',{STOPS[1][0]},') AS p2 FROM rs),
+        rk AS (SELECT conv_id, turn, ids, least(
                  CASE WHEN p1 > 0 THEN length(substr(s, 1, p1)) - length(replace(substr(s, 1, p1), ',', '')) - 1 ELSE 1000000000 END,
                  CASE WHEN p2 > 0 THEN length(substr(s, 1, p2)) - length(replace(substr(s, 1, p2), ',', '')) - 1 ELSE 1000000000 END,
                  len(ids)) AS k FROM rp)
-        SELECT conv_id, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
+        SELECT conv_id, turn, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
     "k13_truncate_compat": f"""WITH {_EX},
-        rb AS (SELECT conv_id, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
-        ri AS (SELECT conv_id, {_RESP_IDS} AS ids FROM rb),
-        rs AS (SELECT conv_id, ids, ',' || array_to_string(ids, ',') || ',' AS s FROM ri),
-        rp AS (SELECT conv_id, ids, s, strpos(s, '{_STOP1}') AS p1, strpos(s, ',{STOPS[1][0]},') AS p2 FROM rs),
-        re AS (SELECT conv_id, ids, least(
+        rb AS (SELECT conv_id, turn, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
+        ri AS (SELECT conv_id, turn, {_RESP_IDS} AS ids FROM rb),
+        rs AS (SELECT conv_id, turn, ids, ',' || array_to_string(ids, ',') || ',' AS s FROM ri),
+        rp AS (SELECT conv_id, turn, ids, s, strpos(s, '{_STOP1}') AS p1, strpos(s, ',{STOPS[1][0]},') AS p2 FROM rs),
+        re AS (SELECT conv_id, turn, ids, least(
                  CASE WHEN p1 > 0 THEN length(substr(s, 1, p1)) - length(replace(substr(s, 1, p1), ',', '')) + 1 ELSE 1000000000 END,
                  CASE WHEN p2 > 0 THEN length(substr(s, 1, p2)) - length(replace(substr(s, 1, p2), ',', '')) ELSE 1000000000 END) AS t
                FROM rp),
-        rk AS (SELECT conv_id, ids, CASE WHEN t < 1000000000 THEN 2 * ((t - 1) // 2) ELSE 2 * (len(ids) // 2) END AS k FROM re)
-        SELECT conv_id, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
-    "p7_extract_response": f"""WITH {_EX} SELECT conv_id,
+        rk AS (SELECT conv_id, turn, ids, CASE WHEN t < 1000000000 THEN 2 * ((t - 1) // 2) ELSE 2 * (len(ids) // 2) END AS k FROM re)
+        SELECT conv_id, turn, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
+    "p7_extract_response": f"""WITH {_EX} SELECT conv_id, turn,
         regexp_replace(regexp_replace(split_part(prompt || ' ' || response, {lit(RESPONSE_MARKER)}, 2), '^\\s+', ''), '\\s+$', '') AS response
         FROM ep""",
-    "p5_format_prompt": f"""WITH c AS (SELECT conv_id, turn, text, {_dispatch_sql('text')} AS rule_id FROM conversations WHERE role = 'user'),
+    "p5_format_prompt": f"""WITH c0 AS (SELECT conv_id, turn, text, {_name_sql('conv_id + turn')} AS name FROM conversations WHERE role = 'user'),
+        c AS (SELECT conv_id, turn, text, {_dispatch_sql('name')} AS rule_id FROM c0),
         f AS (SELECT *, replace({_template_sql('rule_id')}, '{{prompt}}', text) AS o FROM c)
         SELECT conv_id, turn, rule_id, md5(o) AS prompt_md5, CAST(length(o) AS BIGINT) AS n_chars FROM f""",
-    "p4_dispatch": f"SELECT doc_id, {_dispatch_sql('text')} AS rule_id FROM documents",
-    "j2_template_dispatch": f"SELECT conv_id, turn, {_dispatch_sql('text')} AS rule_id FROM conversations",
+    "p4_dispatch": f"""WITH n AS (SELECT p_partkey, {_name_sql('p_partkey')} || '/' || p_name AS name FROM part),
+        d AS (SELECT p_partkey, {_dispatch_sql('name')} AS rule_id FROM n)
+        SELECT p_partkey, rule_id, md5({_template_sql('rule_id')}) AS template_md5, {_stops_sql('rule_id')} AS stops FROM d""",
+    "j2_template_dispatch": f"""WITH n AS (SELECT doc_id, {_name_sql('doc_id')} AS name FROM documents),
+        d AS (SELECT doc_id, {_dispatch_sql('name')} AS rule_id FROM n)
+        SELECT doc_id, rule_id, md5({_template_sql('rule_id')}) AS template_md5, {_stops_sql('rule_id')} AS stops FROM d""",
 }

@@ -3,30 +3,30 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-CORPUS_SCHEMA = T.StructType([T.StructField("text", T.StringType())])
+from pyspark.errors import AnalysisException
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text",
-                id_col: str | None = "doc_id", min_partitions: int | None = None) -> DataFrame:
-    """Read a text corpus.  parquet/json/text; ``.json.gz`` shards are
-    not splittable, so they are repartitioned after the scan when asked.
-    Without an id column a stable id is derived from file name and row."""
+                id_col: str | None = "doc_id", min_partitions: int | None = None, schema: str | None = None) -> DataFrame:
+    """Read a text corpus.  parquet/json/text; JSON lines are read with a
+    schema (id and text unless given), never by a pass that infers one.
+    ``.json.gz`` shards are not splittable, so they are repartitioned after the
+    scan when asked.  Without an id column the id is a 60-bit digest of the file
+    name and the text, the same for any partitioning."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "json":
-        df = spark.read.json(path)
+        df = spark.read.schema(schema or f"{id_col} bigint, {text_col} string" if id_col else schema or f"{text_col} string").json(path)
     elif fmt == "text":
         df = spark.read.text(path).withColumnRenamed("value", text_col)
     else:
         raise ValueError(f"unknown corpus format {fmt}")
     if id_col and id_col not in df.columns:
-        df = df.withColumn(id_col, F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()))
+        name = F.concat_ws("\n", F.input_file_name(), F.col(text_col))
+        df = df.withColumn(id_col, F.conv(F.substring(F.sha2(name, 256), 1, 15), 16, 10).cast("bigint"))
     if min_partitions:
         df = df.repartition(min_partitions)
     return df.withColumnRenamed(text_col, "text") if text_col != "text" else df
@@ -63,55 +63,72 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_eval(df: DataFrame, path: str | None, config: dict) -> DataFrame:
-    """Results + config as JSON documents (one per task row); without a
-    path the JSON rows are returned for printing."""
-    doc = df.select(F.to_json(F.struct(F.struct(*df.columns).alias("results"),
-                                       F.lit(json.dumps(config, sort_keys=True)).alias("config"))).alias("json"))
+    """One JSON document ``{"results": {task: {...}}, "config": {...}}`` (a
+    roll-up has one row per task); without a path the JSON row is returned for printing."""
+    values = F.struct(*[c for c in df.columns if c != "task"])
+    results = df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("task"), values)))).alias("results"))
+    fields = F.struct(*[F.lit(v).alias(k) for k, v in sorted(config.items())])
+    doc = results.select(F.to_json(F.struct("results", fields.alias("config"))).alias("json"))
     if path:
         doc.write.mode("overwrite").text(path)
     return doc
 
 
+VOCAB_SCHEMA = "model struct<vocab: map<string, int>>, added_tokens array<struct<id: int, content: string>>"
+
+
+def read_small(spark: SparkSession, path: str) -> bytes | None:
+    """One small configuration file, or folder of one part, by any path Spark reads; None if absent."""
+    try:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(
+            ~F.element_at(F.split("path", "/"), -1).rlike("^[._]")).orderBy("path").select("content").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return b"".join(bytes(r.content) for r in rows) if rows else None
+
+
+def write_vocab(vocab: DataFrame, checkpoint_dir: str) -> None:
+    """A vocabulary table as ``tokenizer.json`` (one JSON document, as the format wants)."""
+    pieces = vocab.agg(
+        F.map_from_entries(F.collect_list(F.when(~F.col("is_special"), F.struct("token", "id")))).alias("vocab"),
+        F.array_sort(F.collect_list(F.when(F.col("is_special"), F.struct("id", F.col("token").alias("content"))))).alias("added_tokens"))
+    doc = pieces.select(F.to_json(F.struct(F.struct("vocab").alias("model"), "added_tokens")).alias("value"))
+    doc.coalesce(1).write.mode("overwrite").text(f"{checkpoint_dir.rstrip('/')}/tokenizer.json")
+
+
 def read_vocab(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
     """``(token, id, is_special)`` from the tokenizer files of a
     checkpoint folder.  ``tokenizer.json`` pieces come from ``model.vocab``
-    (a map) and ``added_tokens`` (special); the bos/eos ids of
-    ``tokenizer_config.json`` are resolved, gaps filled from
-    ``generation_config.json``.  ``tokenizer.model`` (sentencepiece) wins
-    when present.  Tokenizer files are small configuration files."""
+    (a map) and ``added_tokens`` (special).  ``tokenizer.model`` (sentencepiece)
+    wins when present.  Tokenizer files are small configuration files."""
     d = checkpoint_dir.rstrip("/")
-    sp_path = f"{d}/tokenizer.model"
-    if os.path.exists(sp_path):
+    model = read_small(spark, f"{d}/tokenizer.model")
+    if model is not None:
         import sentencepiece as spm
-        sp = spm.SentencePieceProcessor(model_file=sp_path)
+        sp = spm.SentencePieceProcessor(model_proto=model)
         specials = {sp.bos_id(), sp.eos_id(), sp.pad_id(), sp.unk_id()}
         rows = [(sp.id_to_piece(i), i, i in specials) for i in range(sp.vocab_size())]
         return spark.createDataFrame(rows, "token string, id int, is_special boolean")
-    raw = spark.read.option("multiLine", True).json(f"{d}/tokenizer.json")
-    vocab = raw.select(F.explode(F.from_json(F.to_json("model.vocab"), "map<string,int>")).alias("token", "id")) \
-        .withColumn("is_special", F.lit(False))
+    raw = spark.read.schema(VOCAB_SCHEMA).option("multiLine", True).json(f"{d}/tokenizer.json")
+    vocab = raw.select(F.explode("model.vocab").alias("token", "id")).withColumn("is_special", F.lit(False))
     added = raw.select(F.explode("added_tokens").alias("t")).select(
-        F.col("t.content").alias("token"), F.col("t.id").cast("int").alias("id"), F.lit(True).alias("is_special"))
+        F.col("t.content").alias("token"), F.col("t.id").alias("id"), F.lit(True).alias("is_special"))
     return vocab.join(added.select("token"), "token", "left_anti").unionByName(added)
 
 
-def special_ids(checkpoint_dir: str, vocab: dict[str, int]) -> dict[str, int | None]:
-    """bos/eos ids: tokenizer_config tokens first, generation_config as fallback."""
+def special_ids(spark: SparkSession, checkpoint_dir: str, vocab: dict[str, int]) -> dict[str, int | bool | None]:
+    """bos/eos ids (tokenizer_config tokens first, generation_config as fallback) and the BOS policy."""
+    from tokenloom.operators.tokenize import use_bos_policy
     d = checkpoint_dir.rstrip("/")
-    out: dict[str, int | None] = {"bos_id": None, "eos_id": None}
-    cfg = os.path.join(d, "tokenizer_config.json")
-    if os.path.exists(cfg):
-        c = json.load(open(cfg))
-        for k in ("bos", "eos"):
-            tok = c.get(f"{k}_token")
-            if isinstance(tok, dict):
-                tok = tok.get("content")
-            if tok is not None:
-                out[f"{k}_id"] = vocab.get(tok)
-    gen = os.path.join(d, "generation_config.json")
-    if os.path.exists(gen):
-        g = json.load(open(gen))
-        for k in ("bos", "eos"):
-            if out[f"{k}_id"] is None and g.get(f"{k}_token_id") is not None:
-                out[f"{k}_id"] = int(g[f"{k}_token_id"])
+    cfg, gen = (json.loads(raw) if (raw := read_small(spark, f"{d}/{name}.json")) else {} for name in ("tokenizer_config", "generation_config"))
+    out: dict[str, int | bool | None] = {"bos_id": None, "eos_id": None, "use_bos": use_bos_policy(cfg)}
+    for k in ("bos", "eos"):
+        tok = cfg.get(f"{k}_token")
+        tok = tok.get("content") if isinstance(tok, dict) else tok
+        if tok is not None:
+            out[f"{k}_id"] = vocab.get(tok)
+        if out[f"{k}_id"] is None and gen.get(f"{k}_token_id") is not None:
+            out[f"{k}_id"] = int(gen[f"{k}_token_id"])
     return out
