@@ -66,7 +66,10 @@ def fsq_index_to_codes(idx: Column, levels: list[int]) -> Column:
 
 
 def fsq(vec: Column, levels: list[int], num_codebooks: int) -> tuple[Column, Column]:
-    """(codes ARRAY<DOUBLE> of length len(levels)*num_codebooks, indices ARRAY<INT>)."""
+    """(codes ARRAY<DOUBLE> of length len(levels)*num_codebooks, indices ARRAY<INT>).
+    A vector of another length raises (the reference projects it first)."""
+    dim = len(levels) * num_codebooks
+    vec = F.when(F.size(vec) == dim, vec).otherwise(F.raise_error(F.lit(f"fsq needs vectors of {dim} values")))
     codes, idx = [], []
     for c in range(num_codebooks):
         cc = fsq_codes(vec, levels, c)
@@ -89,6 +92,16 @@ def lfq_indices(vec: Column, bits: int, num_codebooks: int) -> Column:
     return F.array(*out)
 
 
+def lfq(vec: Column, codebook_size: int, num_codebooks: int, scale: float = 1.0, activation=None) -> tuple[Column, Column]:
+    """(quantised ARRAY<DOUBLE>, indices ARRAY<INT>); ``codebook_size`` must be a power of two.
+    ``activation`` (F2): a Column function applied to the quantised values; indices come from the input's signs."""
+    bits = codebook_size.bit_length() - 1
+    if codebook_size < 2 or 1 << bits != codebook_size:
+        raise ValueError("codebook_size must be a power of two")
+    q = lfq_quantize(vec, scale)
+    return (activation(q) if activation else q), lfq_indices(vec, bits, num_codebooks)
+
+
 def lfq_index_to_codes(idx: Column, bits: int, scale: float = 1.0) -> Column:
     """Bits of idx (most significant first) -> bit*2*scale - scale."""
     bits_col = [F.floor(idx / (1 << s)) % 2 for s in range(bits - 1, -1, -1)]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.hashing import h48
+from tokenloom.functions.hashing import h48, u01
 from tokenloom.functions.scalar import entropy_term, softmax, sq_dist
 
 
@@ -101,6 +101,35 @@ def mmd(a: DataFrame, b: DataFrame, vec: str, key: str, dim: int, block_rows: in
     return out.withColumn("mmd", F.col("k_aa") + F.col("k_bb") - 2 * F.col("k_ab"))
 
 
+def normal_draws(spark, n: int, dim: int, seed: int = 7) -> DataFrame:
+    """``n`` seeded standard normal vectors (draw, z): Box-Muller over u01(seed, draw, position, name)."""
+    d = spark.range(n).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("k"))
+    u, v = (u01(seed, F.col("draw"), F.col("k"), F.lit(name)) for name in ("r", "a"))
+    z = F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * F.pi() * v)
+    g = d.select("draw", "k", z.alias("x")).groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s"))
+    return g.select("draw", F.transform("s", lambda e: e["x"]).alias("z"))
+
+
+def batch_mmd(df: DataFrame, batch: str, vec: str, dim: int, draws: int = 256, seed: int = 7) -> DataFrame:
+    """A4/J4 as training evaluates them: per batch, mean kernels within the
+    batch, with ``draws`` seeded normal vectors and among those, and the
+    biased MMD k_aa + k_bb - 2 k_ab.
+
+    A batch is one group of bounded size and the draws are a fixed table, so the
+    work is linear in the rows."""
+    z = np.array([row["z"] for row in normal_draws(df.sparkSession, draws, dim, seed).orderBy("draw").collect()])  # ``draws`` rows
+    k_bb = _kernel_block_sum(z, z, dim) / draws ** 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        k_aa = _kernel_block_sum(x, x, dim) / len(x) ** 2
+        k_ab = _kernel_block_sum(x, z, dim) / (len(x) * draws)
+        return pd.DataFrame({batch: [pdf[batch].iloc[0]], "k_aa": [k_aa], "k_ab": [k_ab], "k_bb": [k_bb], "mmd": [k_aa + k_bb - 2 * k_ab]})
+
+    kind = df.schema[batch].dataType.simpleString()
+    return df.select(batch, F.col(vec).alias("v")).groupBy(batch).applyInPandas(run, f"{batch} {kind}, k_aa double, k_ab double, k_bb double, mmd double")
+
+
 # ---------------------------------------------------------------- pooling ----
 
 def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -151,56 +180,48 @@ def lfq_long(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int, s
 
 def lfq_losses(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int, scale: float = 1.0,
                inv_temperature: float = 1.0, gamma: float = 2.5, entropy_weight: float = 0.1,
-               commitment_weight: float = 1.0) -> DataFrame:
+               commitment_weight: float = 1.0, batch: str | None = None) -> DataFrame:
     """Per-sample entropy (mean over all probability elements),
     codebook entropy (entropy of the mean probability per (codebook, code)),
     aux = per_sample - gamma * codebook, commitment = mean (x - q)^2,
     loss = aux * 0.1 + commit * 1.0.
 
-    Every partition reduces its rows in numpy to mergeable sums: the entropy
-    and commitment sums, the row count and the probability sum per
-    (codebook, code), i.e. 2**bits * num_codebooks + 3 numbers; Spark adds
-    the partials and finishes the means."""
+    With ``batch`` the statistics are those of each batch (mean probabilities
+    are taken within a batch).  Every partition reduces its rows of a batch in
+    numpy to mergeable sums: the entropy and commitment sums, the row count and
+    the probability sum per (codebook, code); Spark adds the partials and
+    finishes the means."""
     K = 2 ** bits
     cb = np.asarray(lfq_codebook(bits, scale))          # (K, bits)
     cb2 = (cb * cb).sum(1)
+    c_idx, k_idx = (x.ravel().astype(np.int32) for x in np.indices((num_codebooks, K)))
+
+    def sums(name, rows):
+        x = np.stack(rows.to_numpy()).astype(np.float64).reshape(len(rows), num_codebooks, bits)
+        d = (x * x).sum(-1)[..., None] + cb2 - 2.0 * x @ cb.T        # (n, C, K)
+        z = -d * inv_temperature
+        z -= z.max(-1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(-1, keepdims=True)
+        q = np.where(x > 0, scale, -scale)
+        return pd.DataFrame({"batch": name, "codebook": c_idx, "code": k_idx, "p_sum": p.sum(0).ravel(),
+                             "ent": float((-p * np.log(np.maximum(p, 1e-5))).sum()), "com": float(((x - q) ** 2).sum()), "rows": len(rows)})
 
     def partial(it):
-        ent = com = 0.0
-        rows = 0
-        psum = np.zeros((num_codebooks, K))
         for pdf in it:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64).reshape(len(pdf), num_codebooks, bits)
-            d = (x * x).sum(-1)[..., None] + cb2 - 2.0 * x @ cb.T        # (n, C, K)
-            z = -d * inv_temperature
-            z -= z.max(-1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(-1, keepdims=True)
-            ent += float((-p * np.log(np.maximum(p, 1e-5))).sum())
-            q = np.where(x > 0, scale, -scale)
-            com += float(((x - q) ** 2).sum())
-            psum += p.sum(0)
-            rows += len(pdf)
-        if rows:
-            c_idx, k_idx = np.indices((num_codebooks, K))
-            yield pd.DataFrame({"codebook": c_idx.ravel().astype(np.int32), "code": k_idx.ravel().astype(np.int32),
-                                "p_sum": psum.ravel(), "ent": ent, "com": com, "rows": rows,
-                                "first": (c_idx.ravel() == 0) & (k_idx.ravel() == 0)})
-
-    parts = df.select(F.col(vec).alias("v")).mapInPandas(
-        partial, "codebook int, code int, p_sum double, ent double, com double, rows long, first boolean")
-    # partition-level scalars are repeated on every (codebook, code) row: keep one copy
-    tot = parts.filter("first").agg(F.sum("ent").alias("_es"), F.sum("com").alias("_cs"), F.sum("rows").alias("_rows"))
-    n = tot.select("_rows").scalar()
-    avgp = parts.groupBy("codebook", "code").agg((F.sum("p_sum") / n).alias("avg_p"))
-    cbe = avgp.agg(F.avg(entropy_term(F.col("avg_p"))).alias("codebook_entropy"))
-    out = tot.select((F.col("_es") / (F.col("_rows") * num_codebooks * K)).alias("per_sample_entropy"),
-                     (F.col("_cs") / (F.col("_rows") * num_codebooks * bits)).alias("commit_loss"),
-                     cbe.scalar().alias("codebook_entropy"))
+            for name, rows in pdf.groupby("b")["v"]:
+                yield sums(int(name), rows)
+
+    named = df.select(F.col(vec).alias("v"), (F.col(batch).cast("bigint") if batch else F.lit(0).cast("bigint")).alias("b"))
+    parts = named.mapInPandas(partial, "batch long, codebook int, code int, p_sum double, ent double, com double, rows long")
+    per = parts.groupBy("batch", "codebook", "code").agg(F.sum("p_sum").alias("p"), F.sum("ent").alias("ent"), F.sum("com").alias("com"), F.sum("rows").alias("rows"))
+    out = per.groupBy("batch").agg(
+        F.avg(entropy_term(F.col("p") / F.col("rows"))).alias("codebook_entropy"),
+        (F.max("ent") / (F.max("rows") * num_codebooks * K)).alias("per_sample_entropy"),
+        (F.max("com") / (F.max("rows") * num_codebooks * bits)).alias("commit_loss"))
     out = out.withColumn("entropy_aux_loss", F.col("per_sample_entropy") - gamma * F.col("codebook_entropy"))
-    return out.withColumn("aux_loss", F.col("entropy_aux_loss") * entropy_weight + F.col("commit_loss") * commitment_weight)
+    out = out.withColumn("aux_loss", F.col("entropy_aux_loss") * entropy_weight + F.col("commit_loss") * commitment_weight)
+    return out if batch else out.drop("batch")
 
 
 def code_usage(codes: DataFrame, code: str, keys: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenloom.operators.tokenize import ByteTokenizer
-from tokenloom.plans.common import CHUNK, SEP, ids_md5, table
+from tokenloom.plans.common import CHUNK, SEP, ids_md5, r, table
 from tokenloom.session import scratch_path
 from tokenloom.streaming.jobs import latest, stream_metrics, stream_pack
 
@@ -31,7 +31,7 @@ def q_x2_stream_metrics(spark, sf):
     stream_metrics(sdf, "ts", ["event_type"], "value", WINDOW, SLIDE, WATERMARK, out, ck)
     res = latest(spark, out, ["window_start", "event_type"])
     return res.select("window_start", F.col("event_type").alias("metric"), F.col("n").cast("bigint").alias("n"),
-                      F.col("total").cast("double").alias("total"))
+                      r("total", 9).alias("total"), r("mean", 9).alias("mean"), r("per_sec", 9).alias("per_sec"))
 
 
 QUERIES = {
@@ -53,5 +53,6 @@ ORACLE = {
     "x2_stream_metrics": """WITH b AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS s, event_type, value FROM events),
         w AS (SELECT s AS ws, event_type, value FROM b UNION ALL SELECT s - INTERVAL '30 minutes' AS ws, event_type, value FROM b)
         SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS metric, CAST(count(*) AS BIGINT) AS n,
-               CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM w GROUP BY ws, event_type""",
+               round(sum(value), 9) AS total, round(avg(value), 9) AS mean, round(count(*) / 3600.0, 9) AS per_sec
+        FROM w GROUP BY ws, event_type""",
 }

@@ -7,19 +7,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.functions.quant import (fsq_bound, fsq_codes, fsq_codes_to_index, fsq_constants, fsq_index_to_codes,
-                                       fsq_quantize, lfq_index_to_codes, lfq_indices, lfq_quantize)
+from tokenloom.functions.quant import (fsq, fsq_bound, fsq_codes, fsq_codes_to_index, fsq_constants, fsq_index_to_codes,
+                                       fsq_quantize, lfq, lfq_index_to_codes, lfq_indices, lfq_quantize)
 from tokenloom.functions.scalar import entropy_term, rms_norm, softmax
 from tokenloom.operators.metrics import cross_entropy, validation_loss
 from tokenloom.operators.sampling import sample_tokens
-from tokenloom.operators.vectors import (code_usage, gram, kernel_sums, lfq_long, lfq_losses, mean_pool, mmd,
+from tokenloom.operators.vectors import (batch_mmd, code_usage, gaussian_kernel, gram, lfq_long, lfq_losses, mean_pool,
                                          salience)
 from tokenloom.plans.common import SEED, r, table, u_sql
 
 DIM = 64
 BITS, CODEBOOKS = 4, 16           # LFQ: 16 codebooks x 4 bits
-LEVELS, FSQ_BOOKS = [8, 8, 8, 5, 5, 5], 10   # FSQ on the first 60 dims
+LEVELS, FSQ_BOOKS = [8, 5, 5, 5], 16   # FSQ: 16 codebooks of 4 dims
 BATCH_ROWS, MAX_BATCHES = 50, 100
+DRAWS = 64  # normal draws on the other side of a batch's MMD (the reference takes 256)
 TOP_K, TEMP = 5, 0.8
 
 
@@ -33,9 +34,9 @@ def logits(spark, sf):
                     F.when(F.col("label") == 0, F.lit(-1)).otherwise(F.col("label")).alias("target"))
 
 
-def sides(spark, sf):
-    e = emb(spark, sf)
-    return e.filter(F.col("label") % 2 == 0), e.filter(F.col("label") % 2 == 1)
+def batched(spark, sf):
+    """The embeddings with the batch they are evaluated in."""
+    return emb(spark, sf).withColumn("batch", F.floor(F.col("vec_id") / BATCH_ROWS))
 
 
 def q_a1_cross_entropy(spark, sf):
@@ -51,19 +52,20 @@ def q_a2_validation_loss(spark, sf):
 
 
 def q_a3_gaussian_kernel(spark, sf):
-    a, b = sides(spark, sf)
-    m = mmd(a, b, "embedding", "vec_id", DIM, block_rows=128)
-    return m.select(r("k_aa", 9).alias("k_aa"), r("k_bb", 9).alias("k_bb"), r("k_ab", 9).alias("k_ab"))
+    # the kernel of every vector with the first vector of its batch
+    e = batched(spark, sf)
+    first = e.groupBy("batch").agg(F.min_by("embedding", "vec_id").alias("z"))
+    return e.join(first, "batch").select("vec_id", r(gaussian_kernel(F.col("embedding"), F.col("z"), DIM), 9).alias("kernel"))
 
 
 def q_a4_mmd(spark, sf):
-    a, b = sides(spark, sf)
-    return mmd(a, b, "embedding", "vec_id", DIM, block_rows=128).select(r("mmd", 12).alias("mmd"))
+    m = batch_mmd(batched(spark, sf), "batch", "embedding", DIM, DRAWS, SEED)
+    return m.select("batch", r("mmd", 9).alias("mmd"))
 
 
 def q_j4_pairwise(spark, sf):
-    a, b = sides(spark, sf)
-    return kernel_sums(a, b, "embedding", "vec_id", DIM, block_rows=128).select(r("ksum", 6).alias("ksum"))
+    m = batch_mmd(batched(spark, sf), "batch", "embedding", DIM, DRAWS, SEED)
+    return m.select("batch", r("k_aa", 9).alias("k_aa"), r("k_ab", 9).alias("k_ab"), r("k_bb", 9).alias("k_bb"))
 
 
 def q_a5_mean_pool(spark, sf):
@@ -83,21 +85,21 @@ def q_a6_sq_dist(spark, sf):
 
 
 def _losses(spark, sf):
-    return lfq_losses(emb(spark, sf), "vec_id", "embedding", BITS, CODEBOOKS)
+    return lfq_losses(batched(spark, sf), "vec_id", "embedding", BITS, CODEBOOKS, batch="batch")
 
 
 def q_a7_lfq_entropy(spark, sf):
     l = _losses(spark, sf)
-    return l.select(r("per_sample_entropy").alias("per_sample_entropy"), r("codebook_entropy").alias("codebook_entropy"),
+    return l.select("batch", r("per_sample_entropy").alias("per_sample_entropy"), r("codebook_entropy").alias("codebook_entropy"),
                     r("entropy_aux_loss").alias("entropy_aux_loss"))
 
 
 def q_a8_lfq_commit(spark, sf):
-    return _losses(spark, sf).select(r("commit_loss").alias("commit_loss"))
+    return _losses(spark, sf).select("batch", r("commit_loss").alias("commit_loss"))
 
 
 def q_a9_lfq_loss(spark, sf):
-    return _losses(spark, sf).select(r("aux_loss").alias("aux_loss"))
+    return _losses(spark, sf).select("batch", r("aux_loss").alias("aux_loss"))
 
 
 def q_a10_code_usage(spark, sf):
@@ -185,9 +187,8 @@ def q_c6_fsq_indices(spark, sf):
 
 
 def q_c7_fsq(spark, sf):
-    b = _fsq_books(spark, sf)
-    g = b.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("codebook", "index"))).alias("s"))  # 10 per row
-    return g.select("vec_id", F.md5(F.array_join(F.transform("s", lambda x: x["index"]), ",")).alias("indices_md5"))
+    _, idx = fsq(F.col("embedding"), LEVELS, FSQ_BOOKS)
+    return emb(spark, sf).select("vec_id", F.md5(F.array_join(idx, ",")).alias("indices_md5"))
 
 
 def q_c8_lfq_index(spark, sf):
@@ -205,8 +206,8 @@ def q_c9_lfq_codes(spark, sf):
 
 def q_c10_lfq(spark, sf):
     e = emb(spark, sf)
-    q = lfq_quantize(F.col("embedding"))
-    return e.select("vec_id", F.md5(F.array_join(lfq_indices(F.col("embedding"), BITS, CODEBOOKS), ",")).alias("indices_md5"),
+    q, idx = lfq(F.col("embedding"), 2 ** BITS, CODEBOOKS)
+    return e.select("vec_id", F.md5(F.array_join(idx, ",")).alias("indices_md5"),
                     F.size(F.filter(q, lambda v: v > 0)).cast("bigint").alias("n_positive"))
 
 
@@ -270,12 +271,15 @@ QUERIES = {
 _LG = """lg AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z, CASE WHEN label = 0 THEN -1 ELSE label END AS target FROM embeddings),
 ce AS (SELECT vec_id, target, CASE WHEN target <> -1 THEN
           list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) - z[target + 1] END AS loss FROM lg)"""
-_KER = """ab AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label % 2 AS side FROM embeddings),
-kk AS (SELECT x.side AS sx, y.side AS sy,
-        exp(-list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 4096.0) AS k
-       FROM ab x, ab y),
-km AS (SELECT avg(k) FILTER (WHERE sx = 0 AND sy = 0) AS k_aa, avg(k) FILTER (WHERE sx = 1 AND sy = 1) AS k_bb,
-              avg(k) FILTER (WHERE sx = 0 AND sy = 1) AS k_ab, sum(k) FILTER (WHERE sx = 0 AND sy = 1) AS ksum FROM kk)"""
+_K = "exp(-list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 4096.0)"
+_KER = f"""ab AS (SELECT vec_id, CAST(vec_id // {BATCH_ROWS} AS BIGINT) AS batch, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+uu AS (SELECT d, k, {u_sql('d', 'k', "'r'")} AS u, {u_sql('d', 'k', "'a'")} AS v FROM range(0, {DRAWS}) t(d), range(0, {DIM}) s(k)),
+dr AS (SELECT d, list(sqrt(-2.0 * ln(u)) * cos(2.0 * pi() * v) ORDER BY k) AS e FROM uu GROUP BY d),
+kaa AS (SELECT x.batch, avg({_K}) AS k_aa FROM ab x JOIN ab y ON x.batch = y.batch GROUP BY x.batch),
+kvd AS (SELECT x.vec_id, x.batch, avg({_K}) AS k FROM ab x, dr y GROUP BY x.vec_id, x.batch),
+kab AS (SELECT batch, avg(k) AS k_ab FROM kvd GROUP BY batch),
+kbb AS (SELECT avg({_K}) AS k_bb FROM dr x, dr y),
+km AS (SELECT batch, k_aa, k_ab, k_bb FROM kaa JOIN kab USING (batch), kbb)"""
 
 
 def _code_vec(c: str) -> str:
@@ -292,13 +296,13 @@ dm AS (SELECT *, max(-d) OVER (PARTITION BY vec_id, cb) AS m FROM dist),
 pr AS (SELECT *, exp(-d - m) / sum(exp(-d - m)) OVER (PARTITION BY vec_id, cb) AS p FROM dm),
 idx AS (SELECT vec_id, cb, x, list_sum(list_transform(range(0, {BITS}), lambda j: CASE WHEN x[j + 1] > 0 THEN 1 << ({BITS - 1} - j) ELSE 0 END)) AS ix
         FROM sub),
-ls AS (SELECT avg(-p * ln(greatest(p, 1e-5))) AS per_sample_entropy FROM pr),
-ap AS (SELECT cb, code, avg(p) AS avg_p FROM pr GROUP BY cb, code),
-cbe AS (SELECT avg(-avg_p * ln(greatest(avg_p, 1e-5))) AS codebook_entropy FROM ap),
-cm AS (SELECT avg((v - CASE WHEN v > 0 THEN 1.0 ELSE -1.0 END) * (v - CASE WHEN v > 0 THEN 1.0 ELSE -1.0 END)) AS commit_loss
-       FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)),
-lo AS (SELECT per_sample_entropy, codebook_entropy, per_sample_entropy - 2.5 * codebook_entropy AS entropy_aux_loss,
-              commit_loss FROM ls, cbe, cm)"""
+ls AS (SELECT CAST(vec_id // {BATCH_ROWS} AS BIGINT) AS batch, avg(-p * ln(greatest(p, 1e-5))) AS per_sample_entropy FROM pr GROUP BY vec_id // {BATCH_ROWS}),
+ap AS (SELECT CAST(vec_id // {BATCH_ROWS} AS BIGINT) AS batch, cb, code, avg(p) AS avg_p FROM pr GROUP BY vec_id // {BATCH_ROWS}, cb, code),
+cbe AS (SELECT batch, avg(-avg_p * ln(greatest(avg_p, 1e-5))) AS codebook_entropy FROM ap GROUP BY batch),
+cm AS (SELECT batch, avg((v - CASE WHEN v > 0 THEN 1.0 ELSE -1.0 END) * (v - CASE WHEN v > 0 THEN 1.0 ELSE -1.0 END)) AS commit_loss
+       FROM (SELECT CAST(vec_id // {BATCH_ROWS} AS BIGINT) AS batch, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY batch),
+lo AS (SELECT batch, per_sample_entropy, codebook_entropy, per_sample_entropy - 2.5 * codebook_entropy AS entropy_aux_loss,
+              commit_loss FROM ls JOIN cbe USING (batch) JOIN cm USING (batch))"""
 
 _UN = """un AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings)"""
 _GR = _UN + """, gr AS (SELECT a.pos AS i, b.pos AS j, 2.0 * sum(a.x * b.x) / (SELECT count(*) FROM embeddings) AS h
@@ -337,16 +341,17 @@ ORACLE = {
     "a2_validation_loss": f"""WITH {_LG}, pb AS (SELECT vec_id // {BATCH_ROWS} AS batch,
         CASE WHEN count(loss) > 0 THEN sum(loss) / count(loss) ELSE 0.0 END AS loss FROM ce GROUP BY vec_id // {BATCH_ROWS})
         SELECT round(avg(loss), 6) AS val_loss, CAST(count(*) AS BIGINT) AS n_batches FROM pb WHERE batch < {MAX_BATCHES}""",
-    "a3_gaussian_kernel": f"WITH {_KER} SELECT round(k_aa, 9) AS k_aa, round(k_bb, 9) AS k_bb, round(k_ab, 9) AS k_ab FROM km",
-    "a4_mmd": f"WITH {_KER} SELECT round(k_aa + k_bb - 2 * k_ab, 12) AS mmd FROM km",
-    "j4_pairwise": f"WITH {_KER} SELECT round(ksum, 6) AS ksum FROM km",
+    "a3_gaussian_kernel": f"""WITH {_KER}, fi AS (SELECT batch, arg_min(e, vec_id) AS e FROM ab GROUP BY batch)
+        SELECT x.vec_id, round({_K}, 9) AS kernel FROM ab x JOIN fi y ON x.batch = y.batch""",
+    "a4_mmd": f"WITH {_KER} SELECT batch, round(k_aa + k_bb - 2 * k_ab, 9) AS mmd FROM km",
+    "j4_pairwise": f"WITH {_KER} SELECT batch, round(k_aa, 9) AS k_aa, round(k_ab, 9) AS k_ab, round(k_bb, 9) AS k_bb FROM km",
     "a5_mean_pool": f"WITH {_UN} SELECT label, CAST(pos AS BIGINT) AS pos, round(avg(x), 6) AS mean FROM un GROUP BY label, pos",
     "a6_sq_dist": f"""WITH {_LFQ} SELECT vec_id, CAST(cb AS BIGINT) AS codebook, round(min(d), 6) AS min_dist,
         CAST(arg_min(code, d) AS BIGINT) AS argmin FROM dist GROUP BY vec_id, cb""",
-    "a7_lfq_entropy": f"""WITH {_LFQ} SELECT round(per_sample_entropy, 6) AS per_sample_entropy,
+    "a7_lfq_entropy": f"""WITH {_LFQ} SELECT batch, round(per_sample_entropy, 6) AS per_sample_entropy,
         round(codebook_entropy, 6) AS codebook_entropy, round(entropy_aux_loss, 6) AS entropy_aux_loss FROM lo""",
-    "a8_lfq_commit": f"WITH {_LFQ} SELECT round(commit_loss, 6) AS commit_loss FROM lo",
-    "a9_lfq_loss": f"WITH {_LFQ} SELECT round(entropy_aux_loss * 0.1 + commit_loss * 1.0, 6) AS aux_loss FROM lo",
+    "a8_lfq_commit": f"WITH {_LFQ} SELECT batch, round(commit_loss, 6) AS commit_loss FROM lo",
+    "a9_lfq_loss": f"WITH {_LFQ} SELECT batch, round(entropy_aux_loss * 0.1 + commit_loss * 1.0, 6) AS aux_loss FROM lo",
     "a10_code_usage": f"""WITH {_LFQ}, u AS (SELECT cb, ix, count(*) AS uses FROM idx GROUP BY cb, ix),
         s AS (SELECT *, uses / sum(uses) OVER (PARTITION BY cb) AS share FROM u)
         SELECT CAST(cb AS BIGINT) AS codebook, CAST(ix AS BIGINT) AS code, CAST(uses AS BIGINT) AS uses, round(share, 6) AS share,

@@ -74,12 +74,14 @@ def stream_pack(sdf: DataFrame, key: str, tok: Tokenizer, chunk_size: int, sep:
 
 def stream_metrics(sdf: DataFrame, ts: str, keys: list[str], value: str, window: str, slide: str | None,
                    watermark: str, out: str, checkpoint: str) -> None:
-    """Windowed count/mean per key with a watermark; rows later than the
+    """Windowed count, total, mean and records per second per key with a watermark; rows later than the
     watermark are dropped (Spark's rule).  Update mode into the upsert sink."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     agg = (sdf.withWatermark(ts, watermark).groupBy(w.alias("w"), *keys)
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).alias("total")))
-    flat = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n", "total")
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value)).alias("total"), F.avg(F.col(value)).alias("mean")))
+    seconds = F.unix_seconds("w.end") - F.unix_seconds("w.start")
+    flat = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n", "total", "mean",
+                      (F.col("n") / seconds).alias("per_sec"))
     q = (flat.writeStream.foreachBatch(_upsert_sink(out)).option("checkpointLocation", checkpoint)
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
