@@ -1,36 +1,43 @@
-"""Binary token formats as Python Data Sources.
+"""Binary token formats as Python Data Sources (S3-S6), on any file system by URI.
 
-``tokenstream``: headerless little-endian token files.  A stream is written
-as part files ``{split}/part-{start:015d}.bin`` (one per input row, named by
-its global start offset, so a retried task rewrites the same file); the
-parts concatenated in start order are the single stream file.  The reader
-takes a directory of parts or a single file and cuts it into rows of at
-most ``tokens_per_row`` tokens; a row never crosses a multiple of
-``tokens_per_row`` (global offset) nor a part-file boundary.
+``tokenstream``: headerless little-endian token files.  Rows (split, start, ids)
+are range-partitioned by position; a task joins consecutive rows into part files
+``{split}/part-{start:015d}.bin`` of up to ``part_bytes``, and the commit writes a
+manifest (split, start, n_tokens, file).  The parts concatenated in manifest
+order are the single stream file.  The reader takes a folder with a manifest, a
+folder of parts or a single file and cuts it into rows of at most
+``tokens_per_row`` tokens; a row never crosses a multiple of ``tokens_per_row``
+(global offset) nor a part-file boundary.
 
 ``packedchunks``: one file per fixed-size chunk, ``{prefix}_{chunk:010d}.bin``:
 a 24-byte header (magic, version, dtype code, chunk size) then the array.
-Every file's header is validated on read; mixed dtypes or chunk sizes and
-ids that do not fit the on-disk dtype raise.
+Every task validates the headers of its files against the first file's, so mixed
+dtypes or chunk sizes raise; ids that do not fit the on-disk dtype raise.
+
+Arrays keep the dtype of the file: up to 32 bits ``array<int>``, int64
+``array<bigint>``, float32/float64 ``array<float>``/``array<double>``.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import struct
 
 import numpy as np
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
+from tokenloom.sources.files import folder, get, get_json, list_files, put
+
 # Fixed values of the packed-chunk file format.
 HDR_MAGIC = b"LITPKDS"
 HDR_SIZE = 24  # magic 7 + version <Q 8 + dtype code <B 1 + chunk size <Q 8
 VERSION = 1
 DTYPES = {1: np.uint8, 2: np.int8, 3: np.int16, 4: np.int32, 5: np.int64, 6: np.float32, 7: np.float64,
           8: np.uint16}
-CODES = {np.dtype(v): k for k, v in DTYPES.items()}
 NAMES = {"uint8": 1, "int8": 2, "int16": 3, "int32": 4, "int64": 5, "float32": 6, "float64": 7, "uint16": 8}
+MANIFEST = "_manifest.json"
+PART_BYTES = 64 << 20
 
 
 def choose_dtype(dtype: str, vocab_size: int | None) -> int:
@@ -42,24 +49,31 @@ def choose_dtype(dtype: str, vocab_size: int | None) -> int:
     return NAMES[dtype]
 
 
-def _check_range(arr: np.ndarray, code: int) -> None:
-    dt = np.dtype(DTYPES[code])
-    if dt.kind in "iu" and len(arr):
-        info = np.iinfo(dt)
-        if arr.min() < info.min or arr.max() > info.max:
-            raise ValueError(f"token id out of range for {dt.name}: [{arr.min()}, {arr.max()}]")
+def column_type(code: int) -> tuple[str, np.dtype]:
+    """(SQL element type, in-memory dtype) that holds every value of a dtype code."""
+    kind = np.dtype(DTYPES[code])
+    if kind.kind == "f":
+        return ("float", np.dtype(np.float32)) if kind.itemsize == 4 else ("double", np.dtype(np.float64))
+    return ("bigint", np.dtype(np.int64)) if kind.itemsize == 8 else ("int", np.dtype(np.int32))
 
 
-def _atomic_write(path: str, payload: bytes) -> None:
-    tmp = f"{path}.tmp-{os.getpid()}"
-    with open(tmp, "wb") as f:
-        f.write(payload)
-    os.replace(tmp, path)
+def _little(code: int) -> np.dtype:
+    return np.dtype(DTYPES[code]).newbyteorder("<")
 
 
-def read_header(path: str) -> tuple[int, int]:
-    with open(path, "rb") as f:
-        head = f.read(HDR_SIZE)
+def _check_range(arr: np.ndarray, code: int) -> None:
+    dt = np.dtype(DTYPES[code])
+    if dt.kind not in "iu" or not len(arr):
+        return
+    if arr.dtype.kind == "f" and (arr != np.rint(arr)).any():
+        raise ValueError(f"values are not whole numbers, {dt.name} would cut them")
+    info = np.iinfo(dt)
+    if arr.min() < info.min or arr.max() > info.max:
+        raise ValueError(f"token id out of range for {dt.name}: [{arr.min()}, {arr.max()}]")
+
+
+def parse_header(head: bytes, path: str) -> tuple[int, int]:
+    """(dtype code, chunk size) of a packed chunk file."""
     if len(head) < HDR_SIZE or head[:7] != HDR_MAGIC:
         raise ValueError(f"{path}: not a packed chunk file (bad magic)")
     (version,) = struct.unpack("<Q", head[7:15])
@@ -75,7 +89,7 @@ def read_header(path: str) -> tuple[int, int]:
 # ------------------------------------------------------------ tokenstream ----
 
 class _Segments(InputPartition):
-    """Consecutive byte ranges (split, file, file start offset, lo, hi) of the stream."""
+    """Consecutive ranges (split, file, file start offset, lo, hi) of the stream."""
 
     def __init__(self, segments: list[tuple[str, str, int, int, int]]):
         self.segments = segments
@@ -84,25 +98,23 @@ class _Segments(InputPartition):
 class TokenStreamReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.dtype = np.dtype(options.get("dtype", "uint16")).newbyteorder("<")
+        self.code = NAMES[options.get("dtype", "uint16")]
         self.per_row = int(options.get("tokens_per_row", 4096))
         self.rows_per_partition = int(options.get("rows_per_partition", 64))
 
     def _files(self):
-        """(split, file, start token offset, n tokens) in stream order."""
-        out = []
-        if os.path.isfile(self.path):
-            n = os.path.getsize(self.path) // self.dtype.itemsize
-            return [(os.path.splitext(os.path.basename(self.path))[0], self.path, 0, n)]
-        for split in sorted(os.listdir(self.path)):
-            d = os.path.join(self.path, split)
-            if not os.path.isdir(d):
-                continue
-            for name in sorted(x for x in os.listdir(d) if x.startswith("part-") and x.endswith(".bin")):
-                start = int(name[5:-4])
-                n = os.path.getsize(os.path.join(d, name)) // self.dtype.itemsize
-                out.append((split, os.path.join(d, name), start, n))
-        return out
+        """(split, file, start token offset, n tokens) in stream order; a manifest spares the listing."""
+        import pyarrow.fs as pafs
+        fs, root = folder(self.path)
+        size = _little(self.code).itemsize
+        info = fs.get_file_info(root)
+        if info.type == pafs.FileType.File:
+            return [(info.base_name.rsplit(".", 1)[0], root, 0, info.size // size)]
+        manifest = get_json(fs, f"{root}/{MANIFEST}")
+        if manifest is not None:
+            return sorted((m["split"], f"{root}/{m['file']}", m["start"], m["n_tokens"]) for m in manifest)
+        splits = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root)) if i.type == pafs.FileType.Directory)
+        return [(d.rsplit("/", 1)[1], f, int(f.rsplit("/part-", 1)[1][:-4]), n // size) for d in splits for f, n in list_files(fs, d, ".bin")]
 
     def partitions(self):
         """Cut big files at multiples of the partition span and pack small
@@ -125,12 +137,14 @@ class TokenStreamReader(DataSourceReader):
 
     def read(self, p: _Segments):
         import pyarrow as pa
-        isz = self.dtype.itemsize
+        fs, _ = folder(self.path)
+        kind, memory = _little(self.code), column_type(self.code)[1]
         splits, starts, pieces = [], [], []
         for split, path, file_start, lo, hi in p.segments:
-            with open(path, "rb") as f:
-                f.seek((lo - file_start) * isz)
-                arr = np.frombuffer(f.read((hi - lo) * isz), dtype=self.dtype).astype(np.int32)
+            raw = get(fs, path, (lo - file_start) * kind.itemsize, (hi - lo) * kind.itemsize)
+            arr = np.frombuffer(raw, dtype=kind).astype(memory)
+            if len(arr) != hi - lo:
+                raise ValueError(f"{path}: shorter than its manifest says")
             a = lo
             while a < hi:
                 b = min(hi, (a // self.per_row + 1) * self.per_row)
@@ -152,36 +166,72 @@ class _Written(WriterCommitMessage):
 
 
 def _lists(batch, col: str):
-    """(offsets, values) numpy views of a list<int> column of an Arrow batch."""
+    """(offsets, values) numpy views of a list column of an Arrow batch, in the values' own dtype."""
     arr = batch.column(batch.schema.get_field_index(col))
-    offs = arr.offsets.to_numpy()
-    vals = arr.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return offs, vals
+    return arr.offsets.to_numpy(), arr.values.to_numpy(zero_copy_only=False)
 
 
 class TokenStreamWriter(DataSourceArrowWriter):
-    """Arrow batches of (split, start, ids) -> part files; ids must fit the dtype."""
+    """Arrow batches of (split, start, ids), sorted by position within a task -> part files and the manifest."""
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite: bool):
         self.path = options["path"]
         self.code = NAMES[options.get("dtype", "uint16")]
+        self.part_bytes = int(options.get("part_bytes", PART_BYTES))
+        self.overwrite = overwrite
 
     def write(self, batches):
-        files = []
-        dt = np.dtype(DTYPES[self.code]).newbyteorder("<")
+        fs, root = folder(self.path, create=True)
+        files, dt, held, size, at = [], _little(self.code), [], 0, None
+
+        def flush():
+            nonlocal held, size, at
+            if held:
+                split, start, n = at
+                name = f"{split}/part-{start:015d}.bin"
+                fs.create_dir(f"{root}/{split}", recursive=True)
+                put(fs, f"{root}/{name}", b"".join(held))
+                files.append({"split": split, "start": start, "n_tokens": n, "file": name})
+            held, size, at = [], 0, None
+
         for b in batches:
             offs, vals = _lists(b, "ids")
-            _check_range(vals, self.code)
+            _check_range(vals[offs[0]:offs[-1]], self.code)
             splits = b.column(b.schema.get_field_index("split")).to_pylist()
             starts = b.column(b.schema.get_field_index("start")).to_pylist()
-            for i, (split, start) in enumerate(zip(splits, starts)):
-                d = os.path.join(self.path, split)
-                os.makedirs(d, exist_ok=True)
-                fn = os.path.join(d, f"part-{int(start):015d}.bin")
-                _atomic_write(fn, vals[offs[i]:offs[i + 1]].astype(dt).tobytes())
-                files.append(fn)
+            for i, (split, start) in enumerate(zip(splits, starts, strict=True)):
+                raw = vals[offs[i]:offs[i + 1]].astype(dt).tobytes()
+                n = len(raw) // dt.itemsize
+                if at is None or at[0] != split or at[1] + at[2] != start or size + len(raw) > self.part_bytes:
+                    flush()
+                    at = (split, int(start), 0)
+                held.append(raw)
+                size += len(raw)
+                at = (at[0], at[1], at[2] + n)
+        flush()
         return _Written(files)
 
+    def commit(self, messages):
+        """The manifest names the files of this write (after those that are kept); overwritten parts go."""
+        fs, root = folder(self.path, create=True)
+        old = get_json(fs, f"{root}/{MANIFEST}") or []
+        new = [f for m in messages if m is not None for f in m.files]
+        names = {f["file"] for f in new}
+        kept = [] if self.overwrite else [f for f in old if f["file"] not in names]
+        put(fs, f"{root}/{MANIFEST}", json.dumps(sorted(kept + new, key=lambda f: (f["split"], f["start"]))).encode())
+        for f in old if self.overwrite else []:
+            if f["file"] not in names:
+                fs.delete_file(f"{root}/{f['file']}")
+
+    def abort(self, messages):
+        """Files of a failed write are not in the manifest; those that no manifest names go."""
+        fs, root = folder(self.path)
+        kept = {f["file"] for f in get_json(fs, f"{root}/{MANIFEST}") or []}
+        for m in messages:
+            for f in m.files if m is not None else []:
+                if f["file"] not in kept:
+                    fs.delete_file(f"{root}/{f['file']}")
+
 
 class TokenStreamSource(DataSource):
     @classmethod
@@ -189,13 +239,13 @@ class TokenStreamSource(DataSource):
         return "tokenstream"
 
     def schema(self):
-        return "split string, start bigint, ids array<int>"
+        return f"split string, start bigint, ids array<{column_type(NAMES[self.options.get('dtype', 'uint16')])[0]}>"
 
     def reader(self, schema):
         return TokenStreamReader(self.options)
 
     def writer(self, schema, overwrite):
-        return TokenStreamWriter(self.options)
+        return TokenStreamWriter(self.options, overwrite)
 
 
 # ------------------------------------------------------------ packed chunks --
@@ -206,48 +256,41 @@ class _Files(InputPartition):
 
 
 class PackedReader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, expected: tuple[int, int]):
         self.path = options["path"]
         self.prefix = options.get("prefix")
         self.files_per_partition = int(options.get("files_per_partition", 256))
-
-    def _files(self):
-        names = sorted(x for x in os.listdir(self.path) if x.endswith(".bin")
-                       and (self.prefix is None or x.startswith(self.prefix + "_")))
-        return [os.path.join(self.path, x) for x in names]
+        self.expected = expected
 
     def partitions(self):
-        files = self._files()
-        # every header is checked; all files must agree on dtype and chunk size
-        heads = {read_header(f) for f in files}
-        if len(heads) > 1:
-            raise ValueError(f"packed files disagree on (dtype code, chunk size): {sorted(heads)}")
+        fs, root = folder(self.path)
+        files = [f for f, _ in list_files(fs, root, ".bin") if self.prefix is None or f.rsplit("/", 1)[1].startswith(self.prefix + "_")]
         k = self.files_per_partition
         return [_Files(files[i:i + k]) for i in range(0, len(files), k)]
 
     def read(self, p: _Files):
         import pyarrow as pa
-        prefixes, counters, codes, sizes, arrays = [], [], [], [], []
+        fs, _ = folder(self.path)
+        prefixes, counters, arrays = [], [], []
+        code, chunk_size = self.expected
         for path in p.paths:
-            code, chunk_size = read_header(path)
-            prefix, counter = os.path.basename(path)[:-4].rsplit("_", 1)
-            with open(path, "rb") as f:
-                f.seek(HDR_SIZE)
-                arr = np.frombuffer(f.read(), dtype=np.dtype(DTYPES[code]).newbyteorder("<"))
+            raw = get(fs, path)
+            if (found := parse_header(raw[:HDR_SIZE], path)) != self.expected:
+                raise ValueError(f"packed files disagree on (dtype code, chunk size): {path} has {found}, others {self.expected}")
+            arr = np.frombuffer(raw, dtype=_little(code), offset=HDR_SIZE)
             if len(arr) != chunk_size:
                 raise ValueError(f"{path}: payload has {len(arr)} items, header says {chunk_size}")
+            prefix, counter = path.rsplit("/", 1)[1][:-4].rsplit("_", 1)
             prefixes.append(prefix)
             counters.append(int(counter))
-            codes.append(code)
-            sizes.append(chunk_size)
-            arrays.append(arr.astype(np.int32))
+            arrays.append(arr.astype(column_type(code)[1]))
         if not arrays:
             return
-        offs = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+        offs = (np.arange(len(arrays) + 1) * chunk_size).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(arrays)))
+        n = len(arrays)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(prefixes), pa.array(counters, pa.int64()), pa.array(codes, pa.int32()),
-             pa.array(sizes, pa.int64()), ids],
+            [pa.array(prefixes), pa.array(counters, pa.int64()), pa.array([code] * n, pa.int32()), pa.array([chunk_size] * n, pa.int64()), ids],
             names=["prefix", "chunk_id", "dtype_code", "chunk_size", "ids"])
 
 
@@ -255,17 +298,17 @@ class PackedWriter(DataSourceArrowWriter):
     """Arrow batches of (prefix, chunk_id, ids) -> one file per chunk.  ids
     must be exactly ``chunk_size`` long (pack() fills the last chunk)."""
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite: bool):
         self.path = options["path"]
         self.code = choose_dtype(options.get("dtype", "auto"),
                                  int(options["vocab_size"]) if "vocab_size" in options else None)
         self.chunk_size = int(options["chunk_size"])
+        self.overwrite = overwrite
 
     def write(self, batches):
-        files = []
-        dt = np.dtype(DTYPES[self.code]).newbyteorder("<")
+        fs, root = folder(self.path, create=True)
+        files, dt = [], _little(self.code)
         head = HDR_MAGIC + struct.pack("<Q", VERSION) + struct.pack("<B", self.code) + struct.pack("<Q", self.chunk_size)
-        os.makedirs(self.path, exist_ok=True)
         for b in batches:
             offs, vals = _lists(b, "ids")
             sizes = np.diff(offs)
@@ -274,27 +317,42 @@ class PackedWriter(DataSourceArrowWriter):
             if len(sizes) and (sizes != self.chunk_size).any():
                 bad = int(np.nonzero(sizes != self.chunk_size)[0][0])
                 raise ValueError(f"chunk {chunk_ids[bad]} has {sizes[bad]} ids, expected {self.chunk_size}")
-            _check_range(vals, self.code)
-            for i, (prefix, cid) in enumerate(zip(prefixes, chunk_ids)):
-                fn = os.path.join(self.path, f"{prefix}_{int(cid):010d}.bin")
-                _atomic_write(fn, head + vals[offs[i]:offs[i + 1]].astype(dt).tobytes())
-                files.append(fn)
+            _check_range(vals[offs[0]:offs[-1]], self.code)
+            for i, (prefix, cid) in enumerate(zip(prefixes, chunk_ids, strict=True)):
+                name = f"{prefix}_{int(cid):010d}.bin"
+                put(fs, f"{root}/{name}", head + vals[offs[i]:offs[i + 1]].astype(dt).tobytes())
+                files.append(name)
         return _Written(files)
 
+    def commit(self, messages):
+        """With overwrite, chunk files that this write did not make go."""
+        if self.overwrite:
+            fs, root = folder(self.path)
+            names = {f for m in messages if m is not None for f in m.files}
+            for path, _ in list_files(fs, root, ".bin"):
+                if path.rsplit("/", 1)[1] not in names:
+                    fs.delete_file(path)
+
 
 class PackedSource(DataSource):
     @classmethod
     def name(cls):
         return "packedchunks"
 
+    def _head(self) -> tuple[int, int]:
+        """Header of the first file; the tasks hold every other file against it."""
+        fs, root = folder(self.options["path"])
+        files = list_files(fs, root, ".bin")
+        return parse_header(get(fs, files[0][0], 0, HDR_SIZE), files[0][0]) if files else (4, 0)
+
     def schema(self):
-        return "prefix string, chunk_id bigint, dtype_code int, chunk_size bigint, ids array<int>"
+        return f"prefix string, chunk_id bigint, dtype_code int, chunk_size bigint, ids array<{column_type(self._head()[0])[0]}>"
 
     def reader(self, schema):
-        return PackedReader(self.options)
+        return PackedReader(self.options, self._head())
 
     def writer(self, schema, overwrite):
-        return PackedWriter(self.options)
+        return PackedWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
@@ -302,24 +360,24 @@ def register(spark) -> None:
     spark.dataSource.register(PackedSource)
 
 
-def write_token_stream(df, path: str, dtype: str = "uint16") -> None:
-    """S3: rows (split, start, ids) -> part files + the manifest they imply."""
+def write_token_stream(df, path: str, dtype: str = "uint16", mode: str = "overwrite", part_bytes: int = PART_BYTES) -> None:
+    """S3: rows (split, start, ids) -> part files and a manifest."""
     register(df.sparkSession)
-    df.select("split", "start", "ids").write.format("tokenstream").mode("append") \
-        .option("path", path).option("dtype", dtype).save()
+    rows = df.select("split", "start", "ids").repartitionByRange("split", "start").sortWithinPartitions("split", "start")
+    rows.write.format("tokenstream").mode(mode).option("path", path).option("dtype", dtype).option("part_bytes", part_bytes).save()
 
 
 def read_token_stream(spark, path: str, dtype: str = "uint16", tokens_per_row: int = 4096):
-    """(split, start, ids) rows of a token stream directory or file."""
+    """(split, start, ids) rows of a token stream folder or file."""
     register(spark)
     return spark.read.format("tokenstream").option("path", path).option("dtype", dtype) \
         .option("tokens_per_row", tokens_per_row).load()
 
 
-def write_packed(df, path: str, chunk_size: int, dtype: str = "auto", vocab_size: int | None = None) -> None:
+def write_packed(df, path: str, chunk_size: int, dtype: str = "auto", vocab_size: int | None = None, mode: str = "append") -> None:
     """Rows (prefix, chunk_id, ids) -> ``{prefix}_{chunk:010d}.bin`` files."""
     register(df.sparkSession)
-    w = df.select("prefix", "chunk_id", "ids").write.format("packedchunks").mode("append") \
+    w = df.select("prefix", "chunk_id", "ids").write.format("packedchunks").mode(mode) \
         .option("path", path).option("dtype", dtype).option("chunk_size", chunk_size)
     if vocab_size is not None:
         w = w.option("vocab_size", vocab_size)
