@@ -1,12 +1,15 @@
 """Session helpers.
 
-The cluster owns ``spark.checkpoint.dir``; we only read it.  Tests and local
-runs that start without one get a private folder under the system temp dir.
+The cluster owns ``spark.checkpoint.dir``, a folder that the driver and all
+executors share; we only read it.  A local[..] session (tests) that starts without
+one gets a private folder; anywhere else an unset folder is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -40,9 +43,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when unset."""
+    """Return the shared checkpoint folder; a local[..] session may make its own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tokenloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -53,6 +58,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, unless PYTHONPATH already names it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        name = os.path.join(tempfile.mkdtemp(prefix="tokenloom-package-"), "tokenloom")  # the driver's file server sends it on
+        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "tokenloom"))
+        _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
