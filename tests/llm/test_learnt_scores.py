@@ -69,7 +69,7 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(good, want) and np.allclose(pair, wpair) and np.isclose(z, wz)
 
 
-def test_toxic_model_equals_dictionaries():
+def test_toxic_model_equals_dictionaries(spark):
     from collections import Counter
     from math import log
     rnd = random.Random(4)
@@ -90,9 +90,10 @@ def test_toxic_model_equals_dictionaries():
     for name, y in (("bad", 1), ("good", 0)):
         table[name] = np.array([pairs[a, b, y] for a, b in keys] + [0] * len(order))
         table[name + "_texts"] = np.array([holds[a, b, y] for a, b in keys] + [alone[w, y] for w in order])
-    names = sorted(shared, key=lambda w: int(raw(w)))
-    total, kinds = sum(shared.values()), len(shared) + 3
-    model = toxicity.Scores(table, np.array([9.0, 9.0]), {"word": np.array([raw(w) for w in names], np.uint64).view(np.int64), "n": np.array([shared[w] for w in names])}, total, kinds)
+    total, kinds = sum(shared.values()), len(shared)
+    counts = spark.createDataFrame([tuple(int(table[c][k]) for c in toxicity._COUNTS) for k in range(len(table["l"]))], ", ".join(f"{c} long" for c in toxicity._COUNTS))
+    common = spark.createDataFrame([(int(np.uint64(raw(w)).view(np.int64)), n) for w, n in shared.items()], "word long, n long")
+    model = toxicity.Scores(*toxicity.kept_tables(counts, common, {0: 9, 1: 9}))
 
     def strong(c):
         cells = [(c[y], 9) for y in (0, 1)] + [(9 - c[y], 9) for y in (0, 1)]
