@@ -73,53 +73,81 @@ def test_toxic_model_equals_dictionaries(spark):
     from collections import Counter
     from math import log
     rnd = random.Random(4)
-    texts = [(" ".join(rnd.choice("aabbcdef" if y else "cdefgghh") for _ in range(60)), y) for y in (0, 1) * 9]
-    pairs, shared = Counter(), Counter()
+    size = 40
+    bad_words, good_words = ["rotten", "rotters", "rot", "vile", "the", "common", "words"], ["the", "common", "words", "lovely", "nice", "comma"]
+    texts = [(" ".join(rnd.choice(bad_words if y else good_words) for _ in range(rnd.randint(4, 20))), y) for y in (0, 1) * size]
+    pairs, shared, stems, holds, alone, held_stems = (Counter() for _ in range(6))
+    stem_of = lambda w: w.encode()[:toxicity.STEM] if len(w.encode()) > toxicity.STEM else None
     for t, y in texts:
         w = t.split()
         shared.update(w)
-        pairs.update((a, b, y) for a, b in zip([""] + w, w))
-    raw = lambda w: toxicity._tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] if w else np.uint64(0)
-    keys = sorted({(a, b) for a, b, _ in pairs})
-    holds = Counter(x for t, y in texts for x in {(a, b, y) for a, b in zip([""] + t.split(), t.split())})
-    alone = Counter(x for t, y in texts for x in {(b, y) for b in t.split()})
-    order = sorted(shared)
-    raws = lambda ws: np.array([raw(w) for w in ws], np.uint64).view(np.int64)
-    table = {"kind": np.repeat([0, 1], [len(keys), len(order)]), "l": np.concatenate([raws(a for a, _ in keys), np.zeros(len(order), np.int64)]),
-             "r": np.concatenate([raws(b for _, b in keys), raws(order)])}
-    for name, y in (("bad", 1), ("good", 0)):
-        table[name] = np.array([pairs[a, b, y] for a, b in keys] + [0] * len(order))
-        table[name + "_texts"] = np.array([holds[a, b, y] for a, b in keys] + [alone[w, y] for w in order])
-    total, kinds = sum(shared.values()), len(shared)
-    counts = spark.createDataFrame([tuple(int(table[c][k]) for c in toxicity._COUNTS) for k in range(len(table["l"]))], ", ".join(f"{c} long" for c in toxicity._COUNTS))
+        both = [(a, b, y) for a, b in zip([""] + w, w)]
+        pairs.update(both)
+        holds.update(set(both))
+        alone.update({(b, y) for b in w})
+        stems.update((stem_of(b), y) for b in w)
+        held_stems.update({(stem_of(b), y) for b in w})
+    counts = spark.createDataFrame(texts, "text string, toxic int").mapInArrow(toxicity._pair_counts("text"), ", ".join(f"{c} {'int' if c == 'kind' else 'long'}" for c in toxicity._COUNTS))
+    from pyspark.sql import functions as F
+    counts = counts.groupBy("kind", "l", "r").agg(*[F.sum(c).alias(c) for c in toxicity._COUNTS[3:]])
+    assert {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum(F.col("bad") + F.col("good")).alias("n")).collect()} == {k: sum(shared.values()) for k in range(3)}
+    raw = lambda w: toxicity._tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0]
     common = spark.createDataFrame([(int(np.uint64(raw(w)).view(np.int64)), n) for w, n in shared.items()], "word long, n long")
-    model = toxicity.Scores(*toxicity.kept_tables(counts, common, {0: 9, 1: 9}))
+    total, kinds = sum(shared.values()), len(shared)
+    model = toxicity.Scores(*toxicity.kept_tables(counts, common, {0: size, 1: size}))
 
     def strong(c):
-        cells = [(c[y], 9) for y in (0, 1)] + [(9 - c[y], 9) for y in (0, 1)]
-        rows = (c[0] + c[1], 18 - c[0] - c[1])
-        return 2 * sum(n * log(n / (rows[k // 2] / 2)) for k, (n, _) in enumerate(cells) if n) >= toxicity.EVIDENCE
+        cells = (c[0], c[1], size - c[0], size - c[1])
+        rows = (c[0] + c[1], 2 * size - c[0] - c[1])
+        g2 = 2 * sum(n * log(n / (rows[k // 2] / 2)) for k, n in enumerate(cells) if n)
+        return g2 >= toxicity.EVIDENCE and c[1] >= toxicity.RATIO * c[0]
 
-    kept_words = {w for w in shared if strong({y: alone[w, y] for y in (0, 1)})}
-    kept_pairs = {p for p in keys if strong({y: holds[*p, y] for y in (0, 1)})}
-    assert kept_words and kept_pairs and kept_words != set(shared)
+    kept_words = {w for w in shared if strong([alone[w, y] for y in (0, 1)])}
+    kept_pairs = {(a, b) for a, b, _ in pairs if strong([holds[a, b, y] for y in (0, 1)])}
+    kept_stems = {s for s, _ in stems if s and strong([held_stems[s, y] for y in (0, 1)])}
+    assert {"rotten", "vile"} <= kept_words and b"rott" in kept_stems and not kept_words & set(good_words)
 
     def discount(c):
         n1, n2 = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
         return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
-    def prob(v, w, y):
+    def parts(y):
+        """(word probability, plain word's ratio to its shared one, pair terms) of a class."""
         c = {(a, b): n for (a, b, k), n in pairs.items() if k == y}
-        cont = Counter(b for _, b in c)
-        d, e = discount(c), discount(cont)
+        cont, sc = Counter(b for _, b in c), {s: n for (s, k), n in stems.items() if k == y and s}
+        d, e, ds = discount(c), discount(cont), discount(sc)
         first = {x: max(cont[x] - e, 0) / sum(cont.values()) for x in kept_words}
-        low = first.get(w, 0) + (1 - sum(first.values())) * (shared[w] + 1) / (total + kinds)
-        size = sum(n for (a, _), n in c.items() if a == v)
-        high = {b: max(c.get((a, b), 0) - d, 0) / max(size, 1) for a, b in kept_pairs if a == v}
-        return high.get(w, 0) + (1 - sum(high.values())) * low
-
-    for text in ("a b c c g h", "zz a zz", "", "h"):
+        free = 1 - sum(first.values())
+        low = {w: first.get(w, 0) + free * (n + 1) / (total + kinds) for w, n in shared.items()}
+        high = {s: max(sc.get(s, 0) - ds, 0) / sum(sc.values()) for s in kept_stems}
+        n_stems = len({s for s, _ in stems if s})
+        back = 1 - sum(high.values())
+        all_stems = sum(n for (s, _), n in stems.items() if s)
+        share = {s: (stems[s, 0] + stems[s, 1] + 1) / (all_stems + n_stems + 1) for s in kept_stems}
+        stem = {s: (high[s] + back * share[s]) / share[s] for s in kept_stems}
+        size_of = Counter()
+        for (a, _), n in c.items():
+            size_of[a] += n
+        terms = {(a, b): max(c.get((a, b), 0) - d, 0) / max(size_of[a], 1) for a, b in kept_pairs}
+        return low, free, stem, back, terms
+
+    both = [parts(0), parts(1)]
+
+    def diff(v, w):
+        out = []
+        for low, free, stem, back, terms in both:
+            rest = 1 - sum(x for (a, _), x in terms.items() if a == v)
+            if (v, w) in kept_pairs:
+                out.append(log(terms[v, w] + rest * low[w]))
+            elif w in kept_words:
+                out.append(log(rest * low[w]))
+            else:
+                s = stem_of(w)
+                out.append(log(rest * free * (stem[s] if s in stem else back)))
+        return out[1] - out[0]
+
+    for text in ("the rotten common rottings", "zz vile zz", "", "lovely words the", "rotting"):
         w = text.split()
-        want = np.mean([np.log(prob(v, x, 1) / prob(v, x, 0)) for v, x in zip([""] + w, w)]) if w else 0.0
+        want = np.mean([diff(v, x) - diff(v, "zz") for v, x in zip([""] + w, w)]) if w else 0.0
         got = model.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
         assert np.isclose(got[0], want, atol=1e-4), text
