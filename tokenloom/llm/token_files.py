@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,15 +140,21 @@ def _encode(path, end_id):
                 for a, b in zip(cut, cut[1:]):
                     x = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
                     crc.append(zlib.crc32(x.tobytes()))
-                    # low and high bytes apart pack better
-                    rows.append(zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+                    rows.append(pack_ids(x))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes + 1), pa.array(np.array(crc, np.int64)), pa.array(rows, pa.binary())], names=["id", "n", "crc", "ids"])
 
     return run
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """A document's ids on their way: as few bytes an id as the largest needs (2 or 4), low and high bytes apart."""
+    width = 2 if int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + zstandard.compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
 def unpack_ids(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    width = blob[0]
+    return np.frombuffer(zstandard.decompress(blob[1:]), np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +246,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                         [pa.array(names[i:i + n], mask=names[i:i + n] == _NULL_ID), pa.array(first.value[part] + cut[i:i + n]), pa.array(sizes[i:i + n]), pa.array([zlib.crc32(x) for x in raws], pa.int64()), pa.array(raws, pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return files.repartition("part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.repartition(max(1, len(totals)), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
