@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         from pyspark import TaskContext
         coder, task, block = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, data, off in B.slices(batch, text_col):
+            for part, data, off in B.slices(batch, text_col, holds=True):
                 ids, sizes = coder.encode(data, off)
                 cut = np.concatenate(([0], np.cumsum(sizes)))
                 total = sizes + 1

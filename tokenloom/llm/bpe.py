@@ -15,12 +15,13 @@ from itertools import repeat
 
 import numpy as np
 
+from .bytestext import HELD
+
 #: Pieces that a worker remembers before it starts anew (about 200 MB).
 MEMORY = 1_000_000
 #: ASCII marks that form one pre-token when they follow a letter and end a piece.
 _MARKS = ".,|!%$*&#"
 _MARK_SET = set(_MARKS)
-_CODERS: dict[str, Encoder] = {}
 
 # byte table of texts that go to the library whole: controls other than newline, and lead bytes of
 # characters beyond U+017F; U+0080-U+00A0 (C2 80 - C2 A0) is looked for apart
@@ -149,6 +150,6 @@ def _after_c2(data: np.ndarray) -> np.ndarray:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file."""
-    if path not in _CODERS:
-        _CODERS[path] = Encoder(path)
-    return _CODERS[path]
+    if path not in HELD:
+        HELD[path] = Encoder(path)
+    return HELD[path]

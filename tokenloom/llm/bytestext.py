@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes per slice; the numpy work holds some tens of bytes per text byte.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _WS = np.ones(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = False
@@ -31,6 +31,8 @@ _B1 = 0x9E3779B97F4A7C15
 _B2 = 0xC2B2AE3D27D4EB4F
 _M64 = (1 << 64) - 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: What a Python worker keeps between tasks (encoders); tasks that do not use it let it go.
+HELD: dict[str, object] = {}
 
 
 def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +52,10 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Row ranges of at most ``max_bytes`` of text (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, holds: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Row ranges of at most ``max_bytes`` of text (one row at least).  ``holds``: the task uses what the worker holds."""
+    if not holds:
+        HELD.clear()
     data, off = utf8_column(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:
@@ -89,7 +93,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POWERS[base] = have
     return have
 

@@ -133,7 +133,7 @@ def _encode(path, end_id):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part, data, off in B.slices(batch, "text"):
+            for part, data, off in B.slices(batch, "text", holds=True):
                 ids, sizes = coder.encode(data, off)
                 cut = np.concatenate(([0], np.cumsum(sizes)))
                 rows, crc = [], []
