@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import best_fit_packing, decontamination, ngram_jaccard, substring_dedup, toxicity
-from tokenloom.llm.common import documents, table, written
+from tokenloom.llm.common import bounded_batches, documents, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat the id and the text of the one that stays become one row; documents
     without an id stay unless they link with one that has an id.
     """
+    bounded_batches(spark)
     classes = ngram_jaccard.classes_of(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__tl_id")).distinct()
     kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["__tl_id"]), "left_semi")
     return kept.withColumn("__tl_text", F.xxhash64("text")).dropDuplicates(["doc_id", "__tl_text"]).select(*docs.columns)
@@ -38,6 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: repeated 13-word passages are cut from the later documents' texts."""
+    bounded_batches(spark)
     cut = substring_dedup.cut_repeats(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -51,6 +53,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: the pieces of all documents with their sequences."""
+    bounded_batches(spark)
     return best_fit_packing.pack(docs)
 
 

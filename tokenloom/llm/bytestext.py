@@ -35,6 +35,17 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 HELD: dict[str, object] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system (where the C library can)."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     """(data bytes, offsets) of a string column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -54,8 +65,9 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, holds: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of at most ``max_bytes`` of text (one row at least).  ``holds``: the task uses what the worker holds."""
-    if not holds:
+    if not holds and HELD:
         HELD.clear()
+        _give_back()
     data, off = utf8_column(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:
