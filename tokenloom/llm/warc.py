@@ -141,7 +141,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield _batch(held, names)
 
-    return files.repartition("file").mapInArrow(run, schema)
+    return files.repartition(max(1, files.count()), "file").mapInArrow(run, schema)  # a task per archive
 
 
 def _batch(rows, names):
