@@ -26,15 +26,18 @@ def _aside(docs: DataFrame) -> dict[str, str]:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays.
+    """N-gram Jaccard join (5-word shingles, similarity 0.8): of each group of linked documents the one with the smallest id stays.
 
-    Rows that repeat the id and the text of the one that stays become one row; documents
-    without an id stay unless they link with one that has an id.
+    A row is decided by its own text, not by its id: rows that share an id, or have none,
+    stay or go one by one.  Rows that repeat the id and the text of the one that stays become
+    one row; documents without an id stay unless they link with one that has an id.
     """
     bounded_batches(spark)
-    classes = ngram_jaccard.classes_of(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__tl_id")).distinct()
-    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["__tl_id"]), "left_semi")
-    return kept.withColumn("__tl_text", F.xxhash64("text")).dropDuplicates(["doc_id", "__tl_text"]).select(*docs.columns)
+    keyed = docs.withColumn("__tl_text", F.xxhash64("text"))
+    classes = ngram_jaccard.classes_of(keyed, n=5, num=80, den=100, carry="__tl_text").where("doc_id = component_id OR component_id IS NULL")
+    classes = classes.select(F.col("doc_id").alias("__tl_id"), F.col("__tl_text").alias("__tl_key")).distinct()
+    kept = keyed.join(classes, keyed["doc_id"].eqNullSafe(classes["__tl_id"]) & (keyed["__tl_text"] == classes["__tl_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__tl_text"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,21 @@ def test_corner_rows(spark, tmp_path):
     for _, stage in P.STAGES:
         empty = written(stage(spark, empty, SF), "test-empty")
     assert empty.count() == 0
+
+
+def test_near_copies_of_five_words(outputs):
+    before = rows(outputs[1])
+    keep = {d for d, _, c in brute.ngram_classes(before, 5, 80, 100) if d == c}
+    assert sorted(rows(outputs[2])) == sorted(r for r in before if r[0] in keep)
+
+
+def test_near_copy_between_the_thresholds(spark):
+    base = [f"w{i}" for i in range(100)]
+    copy = base[:20] + ["x"] + base[21:60] + ["y"] + base[61:]
+    assert len({c for _, _, c in brute.ngram_classes([(1, " ".join(base)), (2, " ".join(copy))])}) == 2  # 3 words, 90 %
+    one, two = " ".join(base), " ".join(copy)
+    other, last = " ".join(f"v{i}" for i in range(80)), " ".join(f"u{i}" for i in range(80))
+    rows = [(1, one), (2, two), (None, one + " z"), (None, other), (3, last), (3, two + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in written(P.drop_near_copies(spark, docs, SF), "test-between").collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (None, other), (3, last)], key=str)

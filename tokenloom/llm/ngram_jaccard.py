@@ -110,8 +110,8 @@ def _sketch(docs, id_col, text_col, n, lower) -> np.ndarray:
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
-def _rows(docs, id_col, text_col, n, lower, num, den, sketch) -> DataFrame:
-    """(id, size, key, s1, s2, prefix columns) per document."""
+def _rows(docs, id_col, text_col, n, lower, num, den, sketch, carry) -> DataFrame:
+    """(id, size, key, s1, s2, prefix columns) per document, with a further long column if ``carry`` names one."""
     steps = np.minimum(np.log2(sketch.astype(np.float64) + 1) * 64, 2047).astype(np.uint64)
     order_by = docs.sparkSession.sparkContext.broadcast(steps)
 
@@ -132,9 +132,11 @@ def _rows(docs, id_col, text_col, n, lower, num, den, sketch) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(key), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                     pa.ListArray.from_arrays(offsets, pa.array(code[seq][keep].view(np.int64)))], names=["id", "size", "key", "s1", "s2", "columns"])
+                     pa.ListArray.from_arrays(offsets, pa.array(code[seq][keep].view(np.int64))), *(part.column(c) for c in further)],
+                    names=["id", "size", "key", "s1", "s2", "columns", *further])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, size long, key long, s1 long, s2 long, columns array<long>")
+    further = [carry] if carry else []
+    return docs.select(id_col, text_col, *further).mapInArrow(run, "id long, size long, key long, s1 long, s2 long, columns array<long>" + "".join(f", `{c}` long" for c in further))
 
 
 def _overlaps(num, den):
@@ -212,9 +214,9 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(_overlaps(num, den), "a long, b long, overlap long")
 
 
-def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
-    """(id, n_shingles, component_id) per document."""
-    rows = written(_rows(docs, id_col, text_col, n, lower, num, den, _sketch(docs, id_col, text_col, n, lower)), "ngram-rows")
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, lower: bool = True, carry: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) per document, and its long column ``carry`` if one is named."""
+    rows = written(_rows(docs, id_col, text_col, n, lower, num, den, _sketch(docs, id_col, text_col, n, lower), carry), "ngram-rows")
     classes = written(rows.where("size > 0").groupBy("key", "size", "s1", "s2").agg(F.min("id").alias("id"), F.first("columns").alias("columns")).drop("s1", "s2"), "ngram-classes")
 
     entries = classes.select("key", "size", F.posexplode("columns").alias("place", "column"))
@@ -257,4 +259,4 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least_id = named.groupBy("root").agg(F.min("id").alias("component_id"))
     moved = written(named.join(least_id, "root").select("key", "component_id"), "ngram-components")
     return (rows.join(moved, "key", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-                                                  F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
+                                                  F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *([carry] if carry else [])))
