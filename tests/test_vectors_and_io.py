@@ -161,6 +161,19 @@ def test_batch_mmd_equals_brute_force(spark):
         assert got[b] == pytest.approx(k(a, a) + k(z, z) - 2 * k(a, z), rel=1e-9)
 
 
+def test_registered_mmd_and_bootstrap_have_the_reference_counts(spark):
+    from tests.conftest import SF_SMALL
+    from tokenloom.operators.vectors import normal_draws
+    from tokenloom.plans import lookups, vectors
+    z = np.array([r.z for r in normal_draws(spark, 256, vectors.DIM, vectors.SEED).orderBy("draw").collect()])
+    rows = vectors.batched(spark, SF_SMALL).where("batch = 0").collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    k = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(-1) / vectors.DIM ** 2).mean()
+    got = vectors.q_j4_pairwise(spark, SF_SMALL).where("batch = 0").first()
+    assert [got.k_aa, got.k_ab, got.k_bb] == pytest.approx([k(x, x), k(x, z), k(z, z)], abs=2e-9)
+    assert {r.bootstrap_iters for r in lookups.q_a18_eval_rollup(spark, SF_SMALL).collect()} == {100000}
+
+
 def test_vectors_of_another_length_raise(spark):
     from tokenloom.functions.quant import fsq, lfq
     df = spark.createDataFrame([([0.1] * 7,)], "v array<double>")

@@ -20,7 +20,7 @@ DIM = 64
 BITS, CODEBOOKS = 4, 16           # LFQ: 16 codebooks x 4 bits
 LEVELS, FSQ_BOOKS = [8, 5, 5, 5], 16   # FSQ: 16 codebooks of 4 dims
 BATCH_ROWS, MAX_BATCHES = 50, 100
-DRAWS = 64  # normal draws on the other side of a batch's MMD (the reference takes 256)
+DRAWS = 256  # normal draws on the other side of a batch's MMD, as in the reference
 TOP_K, TEMP = 5, 0.8
 
 
