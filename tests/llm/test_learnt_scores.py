@@ -151,3 +151,15 @@ def test_toxic_model_equals_dictionaries(spark):
         want = np.mean([diff(v, x) - diff(v, "zz") for v, x in zip([""] + w, w)]) if w else 0.0
         got = model.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
         assert np.isclose(got[0], want, atol=1e-4), text
+
+
+def test_a_very_long_document_does_not_empty_the_training(spark):
+    rnd = random.Random(6)
+    text = lambda y: "\n".join(" ".join(rnd.choice(["plain", "words", "here"]) if y else rnd.choice(["##", "$$$", "%%"]) for _ in range(8)) for _ in range(5))
+    rows = [(i, text(i % 2), i % 2) for i in range(2, 200)] + [(0, "plain words\n" * 210_000, 1), (1, "## %%\n" * 210_000, 0), (7, text(1), 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    got = quality_crf.score(df, df.select("doc_id", "quality").distinct()).collect()
+    said = {r["doc_id"]: r["predicted"] for r in got}
+    assert len(got) == len(rows) and all(said[i] == i % 2 for i in range(2, 200))
+    assert quality_crf.fitting([0, 1, 0, 1, 1], [5, 90, 4, 3, 60], 100) == [0, 2, 3, 4]
+    assert quality_crf.draw_limit(10 ** 12) > 1 and quality_crf.draw_limit(10) == 1 << 53

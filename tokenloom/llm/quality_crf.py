@@ -8,8 +8,10 @@ their document.  A document's quality is the length-weighted mean of its
 lines' marginals; a one-feature logistic regression on texts kept out of the
 training turns it into the score.
 
-Training sees a bounded sample of labelled documents (``SAMPLE`` per class,
-picked by a hash of the id, and at most ``SAMPLE_LINES`` lines); scoring covers every line of every text.
+Training sees a bounded sample of labelled documents (``SAMPLE`` per class, picked by a hash of
+the id; of each the first ``DOC_LINES`` lines, in all about ``SAMPLE_LINES`` lines, shared by
+the classes); only the sample's sizes and its bounded line features reach the driver.
+Scoring covers every line of every text.
 
 Rows: null and empty texts have one empty line; repeated labels of an id count as
 low quality if any is; null labels and ids are not learnt from; with fewer than two classes
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from . import bytestext as B
 from .toxicity import calibrate, held_out
 
-#: Labelled documents per class (an expected number) and lines of them that train the field.
+#: Labelled documents per class (an expected number), lines of them that train the field, and lines of one of them.
 SAMPLE = 1500
 SAMPLE_LINES = 200_000
+DOC_LINES = 2000
 FOLDS = 4
 STEPS = 150
 RATE = 0.05
@@ -176,6 +179,28 @@ def _logit(q):
     return np.log(q / (1 - q))
 
 
+def draw_limit(n: int) -> float:
+    """Bound on a 53-bit hash that draws about ``SAMPLE`` of ``n`` rows (never 0)."""
+    return min(1.0, SAMPLE / n) * (1 << 53)
+
+
+def fitting(classes: list[int], lengths: list[int], room: int) -> list[int]:
+    """Documents, taken in order, whose lines fit: half the room for each class, then what is left for all; one that does not fit is passed over."""
+    taken, left = [], room
+    for c in (0, 1):
+        mine = room // 2
+        for k, n in enumerate(lengths):
+            if classes[k] == c and n <= mine:
+                taken.append(k)
+                mine -= n
+                left -= n
+    for k in sorted(set(range(len(lengths))) - set(taken)):
+        if lengths[k] <= left:
+            taken.append(k)
+            left -= lengths[k]
+    return sorted(taken)
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", test=None) -> DataFrame:
     """(id, held_out, score, predicted) per document; null ids are held out."""
     spark = docs.sparkSession
@@ -187,17 +212,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = sizes.get(1, 0) / sum(sizes.values()) if sizes else 1.0
     model, slope, bias, scale = None, 0.0, 0.0, 1.0
     if len(sizes) == 2:
-        share = {c: min(1.0, SAMPLE / n) for c, n in sizes.items()}
-        u = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000))
-        picked = F.broadcast(known.where(u < F.when(F.col("good") == 1, int(share[1] * 1e6)).otherwise(int(share[0] * 1e6))))  # about 2 * SAMPLE rows
-        sample = rows.join(picked, "id").select("id", "text", "good").mapInArrow(_sample, "id long, good int, x binary, n int, size binary").toArrow()
-        order = np.argsort(sample.column("id").to_numpy(), kind="stable")
+        u = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 53))
+        picked = F.broadcast(known.where(u < F.when(F.col("good") == 1, draw_limit(sizes[1])).otherwise(draw_limit(sizes[0]))))  # about 2 * SAMPLE rows
+        drawn = rows.join(picked, "id").select("id", F.xxhash64("text").alias("h"), "good", F.substring_index("text", "\n", DOC_LINES).alias("text"))
+        n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+        # ids that many rows share cannot make this longer
+        lengths = drawn.select("id", "h", "good", n_lines.alias("n")).distinct().orderBy(F.xxhash64("id", "h"), "id", "h").limit(4 * SAMPLE).collect()
+        chosen = fitting([r["good"] for r in lengths], [r["n"] for r in lengths], SAMPLE_LINES * FOLDS // (FOLDS - 1))
+        keys = spark.createDataFrame([(lengths[k]["id"], lengths[k]["h"]) for k in chosen], "id long, h long")
+        sample = (drawn.join(F.broadcast(keys), ["id", "h"], "left_semi").select("id", "h", "text", "good")
+                  .mapInArrow(_sample, "id long, h long, good int, x binary, n int, size binary").dropDuplicates(["id", "h"]).toArrow())
+        order = np.lexsort((sample.column("h").to_numpy(), sample.column("id").to_numpy()))
         ids, good = sample.column("id").to_numpy()[order], sample.column("good").to_numpy()[order]
         x = [np.frombuffer(b, np.float32).reshape(-1, N_LINE).astype(np.float64) for b in sample.column("x").take(pa.array(order)).to_pylist()]
+        share = {c: (good == c).sum() / n for c, n in sizes.items()}
         fold = np.arange(len(ids)) % FOLDS
         fit = [k for k in np.flatnonzero(fold > 0)]
-        total = np.cumsum([len(x[k]) for k in fit])
-        fit = [k for k, t in zip(fit, total, strict=True) if t <= SAMPLE_LINES]
         if len(set(good[fit].tolist())) == 2:
             doc = np.repeat(np.arange(len(fit)), [len(x[k]) for k in fit])
             model = train(with_neighbours(np.concatenate([x[k] for k in fit]), doc), doc, np.repeat(good[fit], [len(x[k]) for k in fit]).astype(np.int64))
@@ -237,5 +267,5 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
             x, n = x.astype(np.float32), n.astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("good").cast(pa.int32()), pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
-                 pa.array(np.diff(cut).astype(np.int32)), pa.array([n[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["id", "good", "x", "n", "size"])
+                [part.column("id"), part.column("h"), part.column("good").cast(pa.int32()), pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                 pa.array(np.diff(cut).astype(np.int32)), pa.array([n[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["id", "h", "good", "x", "n", "size"])
