@@ -216,8 +216,9 @@ def mine(rows: DataFrame, is_anchor: Column, label: Column, id_col: str = "vec_i
     anchors = anchors.drop("reach")
     pos = _rounds(vectors, anchors, first, facts, True, positives, POSITIVE_ROUNDS, "positives")
     pos = written(pos.select("anchor_id", F.col("vec_id").alias("window"), F.col("score").alias("positive_score")), "positives")
-    # low * p <= 100 * s <= high * p over integers; below zero the window is empty
-    second = pos.where("positive_score >= 0").select("anchor_id", "window", F.expr(f"({low} * positive_score + 99) div 100").alias("low"), F.expr(f"({high} * positive_score) div 100").alias("high"))
+    # low * p <= 100 * s <= high * p over integers, within 64 bits; below zero the window is empty
+    part = lambda percent, up: F.expr(f"{percent} * (positive_score div 100) + ({percent} * (positive_score % 100) + {up}) div 100")
+    second = pos.where("positive_score >= 0").select("anchor_id", "window", part(low, 99).alias("low"), part(high, 0).alias("high"))
     second = second.where("low <= high").withColumn("reach", F.col("high").cast("double"))
     neg = _rounds(vectors, anchors, second, facts, False, negatives, WINDOW_ROUNDS, "negatives")
     return neg.join(pos, ["anchor_id", "window"]).select("anchor_id", F.col("window").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"),
