@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.hashing import u01
+from tokenloom.functions.hashing import h48
 from tokenloom.functions.scalar import array_sum, spread
 from tokenloom.operators.offsets import halo_window, measured_bucket, running_offset
 
@@ -129,28 +129,92 @@ def eval_rollup(scores: DataFrame, task: str, score: str, config: dict) -> DataF
     return g
 
 
-def poisson1_weight(u: Column, kmax: int = 17) -> Column:
-    """Inverse CDF of Poisson(1) at u; larger weights than ``kmax + 1`` lie beyond the
-    resolution of u (2**-48)."""
+#: Iterations of one vector of the bootstrap, and vectors a task holds before it sends them.
+BOOT_BLOCK, BOOT_HOLD = 1 << 13, 512
+
+
+def counter_uniforms(key: int, first: int, n: int):
+    """``n`` uniforms in (0, 1) of a counter-based generator: the finaliser of ``key`` plus a multiple of
+    the counter, 48 bits each; any range of counters can be had by itself."""
+    import numpy as np
+    z = np.uint64(key) + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(16)).astype(np.float64) / 2.0 ** 48 + 2.0 ** -49
+
+
+def poisson_table(n: int):
+    """(least count, cumulative probabilities) of Poisson(n) within 12 standard deviations: O(sqrt n) entries."""
     import math
-    cdf, expr = 0.0, None
-    for k in range(kmax + 1):
-        cdf += math.exp(-1.0) / math.factorial(k)
-        expr = F.when(u < F.lit(cdf), F.lit(k)) if expr is None else expr.when(u < F.lit(cdf), F.lit(k))
-    return expr.otherwise(F.lit(kmax + 1))
-
-
-def bootstrap_se(scores: DataFrame, task: str, key: str, score: str, iters: int, seed: int = 42) -> DataFrame:
-    """Bootstrap standard error of the per-task mean.  Resample weights
-    are Poisson(1) from h48(seed, key, iter); every example expands into its
-    ``iters`` weights inside the map stage and is combined map-side into
-    (task, iter) partial sums, so the shuffle carries tasks x iters rows."""
-    d = scores.select(task, key, score, F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("iter"))
-    w = poisson1_weight(u01(seed, F.col(key), F.col("iter")))
-    d = d.withColumn("_w", w)
-    per_iter = d.groupBy(task, "iter").agg(F.sum(F.col("_w") * F.col(score)).alias("_sw"), F.sum("_w").alias("_n"))
-    means = per_iter.withColumn("_m", F.col("_sw") / F.col("_n"))
-    return means.groupBy(task).agg(F.stddev_samp("_m").alias("stderr"), F.count(F.lit(1)).cast("bigint").alias("iters"))
+
+    import numpy as np
+    lo, hi = max(0, int(n - 12 * n ** 0.5 - 20)), int(n + 12 * n ** 0.5 + 40)
+    logs = np.concatenate(([lo * math.log(n) - n - math.lgamma(lo + 1)], math.log(n) - np.log(np.arange(lo + 1, hi + 1))))
+    return lo, np.cumsum(np.exp(np.cumsum(logs)))
+
+
+def _boot_partials(iters: int):
+    """Arrow batches of (task, score, n, key, block) -> weighted sums and weights per iteration of a (task, block)."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        held, tables = {}, {}
+
+        def send():
+            rows = list(held.items())
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()),
+                 pa.array([v[0] for _, v in rows], pa.list_(pa.float64())), pa.array([v[1] for _, v in rows], pa.list_(pa.float64()))],
+                names=["task", "block", "sums", "weights"])
+
+        for b in batches:
+            for task, score, n, key, block in zip(*(b.column(c).to_pylist() for c in ("task", "score", "n", "key", "block")), strict=True):
+                size = min(BOOT_BLOCK, iters - block * BOOT_BLOCK)
+                if n not in tables:
+                    if len(tables) >= 64:
+                        tables.clear()
+                    tables[n] = poisson_table(n)
+                lo, cdf = tables[n]
+                w = lo + np.searchsorted(cdf, counter_uniforms(key, block * BOOT_BLOCK, size), side="left")
+                sums, weights = held.setdefault((task, block), (np.zeros(size), np.zeros(size)))
+                sums += w * score
+                weights += w
+                if len(held) >= BOOT_HOLD:
+                    yield send()
+        if held:
+            yield send()
+
+    return run
+
+
+def _boot_means(group):
+    """Partial vectors of one (task, block) -> the resampled mean of every iteration that drew something."""
+    import numpy as np
+    import pyarrow as pa
+    sums, weights = (np.sum([np.asarray(x) for x in group.column(c).to_pylist()], axis=0) for c in ("sums", "weights"))
+    means = (sums / np.where(weights > 0, weights, np.nan))[weights > 0]
+    return pa.table({"task": pa.array(group.column("task").to_pylist()[:1], pa.string()), "means": pa.array([means], pa.list_(pa.float64()))})
+
+
+def bootstrap_se(scores: DataFrame, task: str, score: str, iters: int, seed: int = 42) -> DataFrame:
+    """(task, stderr, iters), the bootstrap standard error of the per-task mean.
+
+    Every example has a Poisson(1) weight in an iteration, so the n examples that share a score
+    have a Poisson(n) weight together: it is drawn once per distinct (task, score) and iteration,
+    by inversion of a uniform from a counter-based generator.  Tasks add up vectors of
+    ``BOOT_BLOCK`` iterations, the shuffle carries those vectors, and the result does not depend
+    on the partitioning.  Null scores are left out, as are iterations that draw nothing.
+    """
+    spark = scores.sparkSession
+    d = scores.where(F.col(score).isNotNull()).select(F.col(task).cast("string").alias("task"), F.col(score).cast("double").alias("score"))
+    d = d.groupBy("task", "score").agg(F.count(F.lit(1)).alias("n")).withColumn("key", h48(seed, F.col("task"), F.col("score")))
+    d = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-iters // BOOT_BLOCK) - 1).cast("long"))))
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "score", "block")  # the draws are the work, not the bytes
+    parts = d.mapInArrow(_boot_partials(iters), "task string, block long, sums array<double>, weights array<double>")
+    means = parts.groupBy("task", "block").applyInArrow(_boot_means, "task string, means array<double>")
+    return means.select("task", F.explode("means").alias("_m")).groupBy("task").agg(
+        F.stddev_samp("_m").alias("stderr"), F.count(F.lit(1)).cast("bigint").alias("iters")).withColumnRenamed("task", task)
 
 
 def daily_report(log: DataFrame, ts: str, metric: str, value: str, tie: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tokenloom.operators.metrics import bootstrap_se, eval_rollup, score_example
 from tokenloom.operators.text import glob_filter, glob_to_regex, glob_union, limit_per_group
 from tokenloom.operators.offsets import running_offset
 from tokenloom.operators.tokenize import encode_words, token_to_id, vocab_size
-from tokenloom.plans.common import SEED, h_sql, r, table, u_sql
+from tokenloom.plans.common import SEED, h_sql, r, table
 from tokenloom.session import scratch_path
 from tokenloom.sources.tables import read_vocab, write_eval, write_vocab
 
@@ -114,7 +114,7 @@ def q_a18_eval_rollup(spark, sf):
 
 
 def q_a19_bootstrap_se(spark, sf):
-    b = bootstrap_se(task_scores(spark, sf), "task", "doc_id", "score", BOOT_ITERS, SEED)
+    b = bootstrap_se(task_scores(spark, sf), "task", "score", BOOT_ITERS, SEED)
     return b.select("task", r("stderr", 9).alias("stderr"), "iters")
 
 
@@ -165,13 +165,13 @@ _SCORES = """ts AS (SELECT doc_id, 'quality' AS task, CAST(quality AS DOUBLE) AS
        UNION ALL SELECT doc_id, 'toxic' AS task, CAST(toxic AS DOUBLE) AS score FROM labels)"""
 
 
-def _poisson_sql(u: str) -> str:
-    import math
-    cdf, parts = 0.0, []
-    for k in range(18):
-        cdf += math.exp(-1.0) / math.factorial(k)
-        parts.append(f"WHEN {u} < {cdf!r} THEN {k}")
-    return "CASE " + " ".join(parts) + " ELSE 18 END"
+def _uniform_sql(key: str, i: str) -> str:
+    """The counter-based uniform of the bootstrap: 64-bit products modulo 2**64."""
+    mul = lambda x, c: f"CAST((CAST({x} AS UHUGEINT) * {c}) % 18446744073709551616 AS UBIGINT)"
+    z0 = f"CAST((CAST({key} AS UHUGEINT) + CAST({i} + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15}) % 18446744073709551616 AS UBIGINT)"
+    return f"""a AS (SELECT *, {z0} AS z FROM ex), b AS (SELECT * REPLACE ({mul('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)} AS z) FROM a),
+        c AS (SELECT * REPLACE ({mul('xor(z, z >> 27)', 0x94D049BB133111EB)} AS z) FROM b),
+        u AS (SELECT *, CAST(xor(z, z >> 31) >> 16 AS DOUBLE) / 281474976710656.0 + 1.0 / 562949953421312.0 AS u FROM c)"""
 
 
 ORACLE = {
@@ -203,10 +203,13 @@ ORACLE = {
     "a18_eval_rollup": f"""WITH {_SCORES} SELECT task, round(avg(score), 6) AS acc, CAST(count(*) AS BIGINT) AS n,
         CAST({TASK_CONFIG['num_fewshot']} AS BIGINT) AS num_fewshot, CAST({TASK_CONFIG['bootstrap_iters']} AS BIGINT) AS bootstrap_iters
         FROM ts GROUP BY task""",
-    "a19_bootstrap_se": f"""WITH {_SCORES}, ex AS (SELECT task, doc_id, score, it FROM ts, range(0, {BOOT_ITERS}) t(it)),
-        w AS (SELECT task, it, score, {_poisson_sql(u_sql('doc_id', 'it'))} AS w FROM ex),
-        m AS (SELECT task, it, sum(w * score) / sum(w) AS mean FROM w GROUP BY task, it)
-        SELECT task, round(stddev_samp(mean), 9) AS stderr, CAST(count(*) AS BIGINT) AS iters FROM m GROUP BY task""",
+    "a19_bootstrap_se": f"""WITH {_SCORES}, g AS (SELECT task, score, count(*) AS n FROM ts GROUP BY ALL),
+        t AS (SELECT task, score, n, unnest(range(greatest(0, CAST(n - 12 * sqrt(n) - 20 AS BIGINT)), CAST(n + 12 * sqrt(n) + 40 AS BIGINT))) AS k FROM g),
+        cdf AS (SELECT task, score, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY task, score ORDER BY k) AS p FROM t),
+        ex AS (SELECT task, score, it, {h_sql('task', 'score')} AS key FROM g, range(0, {BOOT_ITERS}) r(it)), {_uniform_sql('key', 'it')},
+        w AS (SELECT u.task, u.it, u.score, cdf.k AS w FROM u ASOF JOIN cdf ON u.task = cdf.task AND u.score = cdf.score AND u.u <= cdf.p),
+        m AS (SELECT task, it, sum(w * score) / nullif(sum(w), 0) AS mean FROM w GROUP BY task, it)
+        SELECT task, round(stddev_samp(mean), 9) AS stderr, CAST(count(mean) AS BIGINT) AS iters FROM m GROUP BY task""",
     "s10_eval_json": f"""WITH {_SCORES} SELECT task, round(avg(score), 6) AS acc, CAST(count(*) AS BIGINT) AS n,
         CAST({TASK_CONFIG['num_fewshot']} AS BIGINT) AS num_fewshot, CAST({TASK_CONFIG['bootstrap_iters']} AS BIGINT) AS bootstrap_iters
         FROM ts GROUP BY task""",
