@@ -1,56 +1,113 @@
-"""Streaming pack: state carried across micro-batches and across a restart
-from the checkpoint equals batch packing of the same arrival order."""
+"""Streaming jobs: state carried across micro-batches and restarts from the checkpoint equals
+the batch form over the same arrival order."""
 
-import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.operators.tokenize import ByteTokenizer
 from tokenloom.session import scratch_path
-from tokenloom.streaming.jobs import latest, stream_pack
+from tokenloom.streaming.jobs import latest, packed_chunks, stream_pack, stream_throughput
 
 SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, source string, text string"
 
 
-def _expected(rows, C, sep=0):
-    """Sequential packing per source: file order, doc_id order inside a file."""
-    out = {}
-    for src in sorted({r[1] for r in rows}):
-        stream = []
-        for f in (0, 1):
-            for doc_id, s, text, file_no in sorted(rows):
-                if s == src and file_no == f:
-                    stream += [b + 3 for b in text.encode("utf-8")] + [2]
-        chunks = [stream[i:i + C] for i in range(0, len(stream), C)]
-        out[src] = [c + [sep] * (C - len(c)) for c in chunks]
+def _expected(parts, lane, C, sep=0):
+    """Sequential packing per (source, lane): parts in order, ids in order inside a part."""
+    streams = {}
+    for part in parts:
+        for doc_id, source, text in sorted(part, key=lambda r: (r[0] is not None, r[0] or 0)):
+            streams.setdefault((source, lane(doc_id)), []).extend([b + 3 for b in (text or "").encode()] + [2])
+    return {(k, i // C): (min(C, len(x) - i), x[i:i + C] + [sep] * (C - len(x[i:i + C]))) for k, x in streams.items() for i in range(0, len(x), C)}
+
+
+def _pack(spark, tmp_path, parts, C, lanes=1, files=1):
+    """Write the parts one after the other and restart the job after each; the number of micro-batches."""
+    src, out, ck = str(tmp_path / "in"), scratch_path(spark, "t-x1-out"), scratch_path(spark, "t-x1-ck")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).repartition(files).write.mode("append").parquet(src)
+        lane = F.coalesce(F.col("doc_id") % lanes, F.lit(0))
+        stream_pack(spark.readStream.schema(SCHEMA).parquet(src), "source", ByteTokenizer(), C, 0, out, ck, lanes, lane)
     return out
 
 
-def test_stream_pack_restart(spark, tmp_path):
+def _same(spark, out, expected):
+    got = {((r["source"], r["lane"]), r["chunk_id"]): (r["n_tokens"], list(r["ids"])) for r in packed_chunks(spark, out).collect()}
+    assert got == expected
+
+
+def test_stream_pack_of_three_parts_with_restarts(spark, tmp_path):
     C = 512
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text", "lang", "n_chars")
-    docs = docs.filter(F.col("source").isin("src0", "src1", "src2"))
-    src_dir = str(tmp_path / "in")
-    first = docs.filter(F.col("doc_id") % 2 == 0)
-    second = docs.filter(F.col("doc_id") % 2 == 1)
-    first.coalesce(1).write.parquet(os.path.join(src_dir, "f0"))
-    schema = docs.schema
-    out, ck = scratch_path(spark, "t-x1-out"), scratch_path(spark, "t-x1-ck")
-
-    def run():
-        sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src_dir, "*"))
-        stream_pack(sdf, "source", ByteTokenizer(), C, 0, out, ck)
-
-    run()
-    second.coalesce(1).write.parquet(os.path.join(src_dir, "f1"))
-    run()  # restart from the checkpoint: the carried tail continues
-    got = latest(spark, out, ["source", "chunk_id"]).collect()
-    rows = [(r.doc_id, r.source, r.text, 0) for r in first.collect()] + \
-           [(r.doc_id, r.source, r.text, 1) for r in second.collect()]
-    exp = _expected(rows, C)
-    for src, chunks in exp.items():
-        mine = sorted((r.chunk_id, list(r.ids)) for r in got if r.source == src)
-        assert [c for _, c in mine] == chunks
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").where("source < 'src3'").collect()]
+    parts = [[d for d in docs if d[0] % 3 == k] for k in range(3)]
+    _same(spark, _pack(spark, tmp_path, parts, C), _expected(parts, lambda d: 0, C))
+
+
+def test_hot_source_is_spread_and_closed_chunks_are_written_once(spark, tmp_path):
+    C, rnd = 64, random.Random(3)
+    docs = [(i, rnd.choice(["hot"] * 9 + ["b", None]), "x" * rnd.choice([0, 3, 62, 63, 64, 200])) for i in range(300)] + [(None, "hot", "no id"), (1000, "b", None)]
+    parts = [docs[k::3] for k in range(3)]
+    out = _pack(spark, tmp_path, parts, C, lanes=5, files=3)
+    _same(spark, out, _expected(parts, lambda d: 0 if d is None else d % 5, C))
+    rows = spark.read.parquet(out).withColumn("closed", F.col("closed").cast("boolean"))
+    closed = rows.where("closed")
+    assert closed.select("source", "lane", "chunk_id").distinct().count() == closed.count()
+    assert closed.where("source = 'hot'").select("lane").distinct().count() == 5
+    assert rows.where("NOT closed").count() <= 3 * rows.select("source", "lane").distinct().count()  # a tail per lane and batch
+
+
+def test_tail_that_closes_exactly_is_taken_back(spark, tmp_path):
+    parts = [[(1, "a", "x" * 3)], [(2, "a", "x" * 3)], [(3, "a", "y")]]  # 4 + 4 tokens close a chunk of 8
+    _same(spark, _pack(spark, tmp_path / "1", parts[:2], 8), _expected(parts[:2], lambda d: 0, 8))
+    _same(spark, _pack(spark, tmp_path / "2", parts, 8), _expected(parts, lambda d: 0, 8))
+
+
+# ------------------------------------------------------------ X2 by records --
+
+def _rates(rows, window):
+    """rows: (run, t, tie, x) -> {(run, tie): rate over the last ``window`` records}"""
+    out = {}
+    for run in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == run)
+        for i, (t, tie, _) in enumerate(own):
+            first = max(0, i - window + 1)
+            dt = t - own[first][0]
+            out[run, tie] = sum(r[2] for r in own[first + 1:i + 1]) / dt if dt > 0 else None
+    return out
+
+
+def _stream_rates(spark, tmp_path, parts, window, late):
+    src, out, ck = str(tmp_path / "in"), scratch_path(spark, "t-x2-out"), scratch_path(spark, "t-x2-ck")
+    schema = "run long, t double, tie long, x double"
+    for part in parts:
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(src)
+        stream_throughput(spark.readStream.schema(schema).parquet(src), "run", F.col("t"), "tie", {"x": F.col("x")}, out, ck, window, late)
+    rows = latest(spark, out, ["run", "tie"]).collect()
+    return {(r["run"], r["tie"]): r["x_per_sec"] for r in rows if not r["dropped"]}, {(r["run"], r["tie"]) for r in rows if r["dropped"]}
+
+
+def test_record_rates_equal_the_batch_form_with_late_records(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(run, float(i // 2), 1000 * run + i, rnd.random()) for run in (1, 2) for i in range(120)]
+    # some records of the end of a part come with the next one
+    part = lambda i: min(2, (i + (8 if i % 5 == 0 else 0)) // 40)
+    parts = [[r for r in rows if part(r[2] % 1000) == k] for k in range(3)]
+    assert any(r[2] % 1000 < 40 for r in parts[1])
+    got, dropped = _stream_rates(spark, tmp_path, parts, window=10, late=12)
+    want = _rates(rows, 10)
+    assert not dropped and set(got) == set(want)
+    assert all((got[k] is None) == (want[k] is None) and (got[k] is None or got[k] == pytest.approx(want[k], abs=1e-9)) for k in want)
+
+
+def test_records_later_than_the_buffer_are_marked(spark, tmp_path):
+    rows = [(1, float(i), i, 1.0) for i in range(60)]
+    late = (1, 3.5, 900, 1.0)
+    got, dropped = _stream_rates(spark, tmp_path, [rows[:30], rows[30:], [late]], window=5, late=4)
+    assert dropped == {(1, 900)}
+    want = _rates(rows, 5)
+    assert got == {k: pytest.approx(v) if v is not None else None for k, v in want.items()}
 
 
 def test_stream_metric_log_equals_batch(spark, tmp_path):

@@ -1,73 +1,144 @@
 """Streaming tokenise + pack (X1) and streaming run metrics.
 
-Both sinks are idempotent upserts: ``foreachBatch`` writes each micro-batch
-into ``{out}/batch={id}`` (a retried batch overwrites its own folder) and
-readers keep the latest version of every key.  Restart is from the
+Sinks are written by ``foreachBatch`` into ``{out}/batch={id}`` (a retried batch
+overwrites its own folder).  Closed chunks are appended once and never written again;
+provisional rows (tails, windows, rates) are versions of which readers keep the last.
+Keyed state is kept by ``transformWithStateInPandas`` in RocksDB; restart is from the
 checkpoint location.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tokenloom.operators.tokenize import Tokenizer
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _upsert_sink(out: str):
+
+@contextlib.contextmanager
+def _rocksdb(spark: SparkSession):
+    """Keyed list and value state needs the RocksDB store; the session's own setting comes back."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before) if before is not None else spark.conf.unset(_STORE)
+
+
+def _folder_sink(out: str, by: list[str] | None = None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite") \
-            .parquet(f"{out}/batch={batch_id}")
+        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+        (rows.partitionBy(*by) if by else rows).parquet(f"{out}/batch={batch_id}")
     return write
 
 
+def _run(rows: DataFrame, out: str, checkpoint: str, by: list[str] | None = None) -> None:
+    """All input that is there now, in update mode, to the folder sink."""
+    q = (rows.writeStream.foreachBatch(_folder_sink(out, by)).option("checkpointLocation", checkpoint)
+         .outputMode("update").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _versions(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read.option("basePath", out)
+    return (reader.schema(schema) if schema else reader).parquet(f"{out}/batch=*")
+
+
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Read an upsert sink: the row of the latest batch for every key."""
-    d = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
-    return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "batch")
+    """Read a sink of versions: the row of the last batch for every key (one version per key and
+    batch), by a partial aggregation."""
+    d = _versions(spark, out).drop("batch")
+    rest = [c for c in d.columns if c not in (*keys, "batch_id")]
+    best = d.groupBy(*keys).agg(F.max_by(F.struct("batch_id", *rest), "batch_id").alias("_v"))
+    return best.select(*keys, "_v.*")
 
 
 # ---------------------------------------------------------------- X1 pack --
 
-PACK_OUT = "source string, chunk_id bigint, n_tokens int, ids array<int>"
-PACK_STATE = "tail array<int>, next_chunk bigint"
-
-
-def _packer(chunk_size: int, sep: int):
-    def step(key, pdfs: Iterator[pd.DataFrame], state):
-        tail, nxt = (np.asarray(state.get[0], np.int32), int(state.get[1])) if state.exists else (np.zeros(0, np.int32), 0)
-        batch = pd.concat(list(pdfs)).sort_values("doc_id")
-        stream = np.concatenate([tail] + [np.asarray(x, np.int32) for x in batch["ids"]])
-        n_full = len(stream) // chunk_size
-        full = stream[:n_full * chunk_size].reshape(n_full, chunk_size)
-        rows = [(key[0], nxt + i, chunk_size, full[i]) for i in range(n_full)]
-        buf = stream[n_full * chunk_size:]
-        nxt += n_full
-        if len(buf):  # provisional tail: superseded once the chunk fills up
-            rows.append((key[0], nxt, len(buf), np.concatenate([buf, np.full(chunk_size - len(buf), sep, np.int32)])))
-        state.update((buf.tolist(), nxt))
-        yield pd.DataFrame(rows, columns=["source", "chunk_id", "n_tokens", "ids"])
-    return step
-
-
-def stream_pack(sdf: DataFrame, key: str, tok: Tokenizer, chunk_size: int, sep: int, out: str,
-                checkpoint: str) -> None:
-    """Per ``key`` (source), concatenate tokenised rows in arrival order
-    (doc_id order inside a micro-batch) and emit fixed-size chunks; the
-    partial chunk is carried in state and written as a provisional row."""
-    t = sdf.select(F.col(key).alias("source"), "doc_id",
+PACK_OUT = "source string, lane int, chunk_id bigint, n_tokens int, ids array<int>, closed boolean"
+#: Closed chunks that a task hands over at a time.
+PACK_ROWS = 64
+
+
+def _entry(ids: np.ndarray) -> tuple[bytes]:
+    return (ids.astype("<i4").tobytes(),)
+
+
+class Packer(StatefulProcessor):
+    """Packs one (source, lane): the tail is list state, one entry per document's tokens, to which
+    new documents are appended; it is replaced only when a chunk closes."""
+
+    def __init__(self, chunk_size: int, sep: int):
+        self.chunk_size, self.sep = chunk_size, sep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "next_chunk bigint, held int")
+        self.tail = handle.getListState("tail", "ids binary")  # little-endian 32-bit ids
+
+    def _rows(self, key, first: int, chunks: np.ndarray) -> pd.DataFrame:
+        n = len(chunks)
+        return pd.DataFrame({"source": [key[0]] * n, "lane": np.full(n, key[1], np.int32), "chunk_id": np.arange(first, first + n),
+                             "n_tokens": np.full(n, self.chunk_size, np.int32), "ids": list(chunks), "closed": [True] * n})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        size = self.chunk_size
+        nxt, held = self.at.get() if self.at.exists() else (0, 0)
+        docs = [(d, np.asarray(x, np.int32)) for pdf in rows for d, x in zip(pdf["doc_id"], pdf["ids"], strict=True)]
+        docs.sort(key=lambda d: (d[0] is not None and d[0] == d[0], d[0]))  # arrival order inside a batch
+        closes = held + sum(len(x) for _, x in docs) >= size
+        kept = [np.frombuffer(t[0], "<i4") for t in self.tail.get()] if held else []
+        buffer, have, old = list(kept), held, len(kept)
+        for i, (_, x) in enumerate(docs):
+            docs[i] = None  # what is packed is let go
+            buffer.append(x)
+            have += len(x)
+            if have >= size * PACK_ROWS or (i + 1 == len(docs) and have >= size):
+                stream = np.concatenate(buffer)
+                n = len(stream) // size
+                yield self._rows(key, nxt, stream[:n * size].reshape(n, size))
+                nxt, buffer = nxt + n, [stream[n * size:]]
+                have = len(buffer[0])
+        if closes:
+            self.tail.put([_entry(x) for x in buffer if len(x)]) if have else self.tail.clear()
+        else:
+            self.tail.appendList([_entry(x) for x in buffer[old:] if len(x)])
+        self.at.update((nxt, have))
+        # the tail so far: this version replaces the one before; an empty one takes it back
+        ids = np.concatenate([*buffer, np.full(size - have, self.sep, np.int32)]) if have else np.zeros(0, np.int32)
+        yield pd.DataFrame({"source": [key[0]], "lane": np.array([key[1]], np.int32), "chunk_id": [nxt], "n_tokens": np.array([have], np.int32), "ids": [ids], "closed": [False]})
+
+
+def stream_pack(sdf: DataFrame, key: str, tok: Tokenizer, chunk_size: int, sep: int, out: str, checkpoint: str, lanes: int = 1,
+                lane: Column | None = None) -> None:
+    """Per (``key``, lane) concatenate tokenised rows in arrival order (doc_id order inside a
+    micro-batch) and emit fixed-size chunks.  ``lanes`` sub-streams per source (by a hash of the id
+    unless ``lane`` says otherwise) spread a hot source over as many tasks, each of which holds its own
+    lane's part of one micro-batch; limit that by the source's ``maxBytesPerTrigger``."""
+    where = lane if lane is not None else F.pmod(F.xxhash64("doc_id"), F.lit(lanes))
+    t = sdf.select(F.col(key).alias("source"), where.cast("int").alias("lane"), "doc_id",
                    F.concat(tok.encode(F.col("text")), F.array(F.lit(tok.eos_id))).alias("ids"))
-    packed = t.groupBy("source").applyInPandasWithState(
-        _packer(chunk_size, sep), PACK_OUT, PACK_STATE, "update", GroupStateTimeout.NoTimeout)
-    q = (packed.writeStream.foreachBatch(_upsert_sink(out)).option("checkpointLocation", checkpoint)
-         .outputMode("update").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with _rocksdb(sdf.sparkSession):
+        packed = t.groupBy("source", "lane").transformWithStateInPandas(Packer(chunk_size, sep), PACK_OUT, "Update", "None")
+        _run(packed, out, checkpoint, ["closed"])
+
+
+def packed_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """(source, lane, chunk_id, n_tokens, ids) of a stream_pack sink: closed chunks as they are, and the last
+    version of each lane's tail; only the tails are grouped."""
+    d = _versions(spark, out, PACK_OUT + ", batch bigint")
+    tails = d.where("NOT closed").groupBy("source", "lane").agg(F.max_by(F.struct("chunk_id", "n_tokens", "ids"), "batch").alias("t"))
+    return d.where("closed").select("source", "lane", "chunk_id", "n_tokens", "ids").unionByName(
+        tails.where("t.n_tokens > 0").select("source", "lane", "t.*"))
 
 
 # ------------------------------------------------------------- X2 metrics --
@@ -82,9 +153,69 @@ def stream_metrics(sdf: DataFrame, ts: str, keys: list[str], value: str, window:
     seconds = F.unix_seconds("w.end") - F.unix_seconds("w.start")
     flat = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n", "total", "mean",
                       (F.col("n") / seconds).alias("per_sec"))
-    q = (flat.writeStream.foreachBatch(_upsert_sink(out)).option("checkpointLocation", checkpoint)
-         .outputMode("update").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(flat, out, checkpoint)
+
+
+class RateWindow(StatefulProcessor):
+    """Rates of one run over its last ``window`` records, from a ring buffer of records in time order.
+
+    The buffer keeps ``window - 1`` records more than the ``late`` newest ones, so a record that comes
+    up to ``late`` records late finds its place and its whole window; the rates from there on
+    are emitted again.  Records that come later than that are marked as dropped.
+    """
+
+    def __init__(self, counters: list[str], window: int, late: int):
+        self.counters, self.window, self.late = counters, window, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "t double, tie bigint, " + ", ".join(f"{c} double" for c in self.counters))
+        self.cut = handle.getValueState("cut", "cut boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["t", "tie", *self.counters]
+        old = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
+        cut = self.cut.exists() and bool(self.cut.get()[0])
+        new = [r for pdf in rows for r in pdf[columns].itertuples(index=False, name=None)]
+        # with records already let go, a place before the first whole window comes too late
+        limit = old[self.window - 1][:2] if cut else None
+        dropped = [r for r in new if limit is not None and r[:2] < limit]
+        new = sorted(r for r in new if limit is None or r[:2] >= limit)
+        if dropped:
+            yield self._frame(key, dropped, np.full((len(dropped), len(self.counters)), np.nan), True)
+        if not new:
+            return
+        all_ = sorted(old + new)
+        first = next(i for i, r in enumerate(all_) if i >= len(old) or r != old[i])
+        a = np.array(all_, np.float64)
+        total = np.cumsum(a[:, 2:], axis=0)
+        at = np.arange(first, len(all_))
+        back = np.maximum(at - self.window + 1, 0)
+        dt = a[at, 0] - a[back, 0]
+        rates = (total[at] - total[back]) / np.where(dt > 0, dt, np.nan)[:, None]
+        yield self._frame(key, all_[first:], rates, False)
+        keep = self.window - 1 + self.late
+        self.ring.put(all_[-keep:])
+        self.cut.update((cut or len(all_) > keep,))
+
+    def _frame(self, key, records, rates, dropped: bool) -> pd.DataFrame:
+        out = pd.DataFrame({"run": [key[0]] * len(records), "t": [r[0] for r in records], "tie": [int(r[1]) for r in records]})
+        for i, c in enumerate(self.counters):
+            out[f"{c}_per_sec"] = pd.Series(rates[:, i], dtype="object").where(~np.isnan(rates[:, i]), None)
+        out["dropped"] = dropped
+        return out
+
+
+def stream_throughput(sdf: DataFrame, run: str, t: Column, tie: str, counters: dict[str, Column], out: str, checkpoint: str, window: int = 50,
+                      late: int = 50) -> None:
+    """X2 by records: W1 on a log as it arrives.  ``t`` is in seconds, ``tie`` (unique in a run) orders
+    records of one time, ``counters`` are what each record adds; rates are (last - first) / (t_last -
+    t_first) over the last ``window`` records, NULL while no time has passed."""
+    d = sdf.select(F.col(run).alias("run"), t.cast("double").alias("t"), F.col(tie).cast("bigint").alias("tie"),
+                   *[c.cast("double").alias(k) for k, c in counters.items()])
+    schema = "run bigint, t double, tie bigint, " + ", ".join(f"{c}_per_sec double" for c in counters) + ", dropped boolean"
+    with _rocksdb(sdf.sparkSession):
+        rates = d.groupBy("run").transformWithStateInPandas(RateWindow(list(counters), window, late), schema, "Update", "None")
+        _run(rates, out, checkpoint)
 
 
 # -------------------------------------------------------- S8 stream sink --
