@@ -47,3 +47,24 @@ def test_empty_table_and_clashing_columns(spark):
     assert rows[1]["text"] == text and rows[2]["text"] == "lead  in tail" and rows[2]["hashes"] == "b" and rows[3]["text"] is None
     spans = {r["doc_id"]: r["intervals"] for r in S.removals(df).collect()}
     assert [tuple(x) for x in spans[2]] == [(2, 15)] and spans[1] == []
+
+
+def test_messages_do_not_depend_on_the_order_of_the_rows(spark):
+    """One row per (flush, bucket), however many id ranges a task holds."""
+    import numpy as np
+    import pyarrow as pa
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(40))) for i in range(400)]
+    sent = {}
+    for name, order in (("sorted", rows), ("shuffled", rnd.sample(rows, len(rows)))):
+        send = S._sender("doc_id", "text", 13, [i * 20 - 1 for i in range(1, 20)], 7)
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in order]), pa.array([r[1] for r in order])], names=["doc_id", "text"])
+        out = [b for b in send(iter([batch]))]
+        sent[name] = sum(b.num_rows for b in out)
+        pairs = [(h, r) for b in out for x, u, c in zip(*(b.column(k).to_pylist() for k in ("hashes", "ranges", "codes")))
+                 for h, r in zip(S.B.unpack_sorted(x), S._unpack_ranges(u, c, len(S.B.unpack_sorted(x))))]
+        assert len(set(pairs)) == len(pairs)
+        sent[name, "pairs"] = set(pairs)
+    assert sent["sorted"] == sent["shuffled"] == 7
+    assert sent["sorted", "pairs"] == sent["shuffled", "pairs"] and len({r for _, r in sent["sorted", "pairs"]}) == 20
+    assert np.array_equal(S._unpack_ranges(*S._pack_ranges(np.array([5, 5, 5])), 3), [5, 5, 5])

@@ -4,8 +4,9 @@ A word goes when it lies in a window whose word sequence also starts in a
 document with a smaller id.  Three passes:
 
 1. Every task hashes all windows of its texts (one prefix sum, all windows at
-   once), keeps one copy per (id range, hash) and sends sorted difference
-   coded hashes to hash buckets.
+   once), keeps one copy per (id range, hash) and sends one row per hash bucket:
+   sorted difference coded hashes with the id range of each.  The number of rows
+   does not depend on the order in which the documents lie.
 2. A bucket finds, per id range, the hashes that also occur in a smaller
    range, and answers with those only.
 3. Each id range (a bounded amount of text) meets its answers, settles its
@@ -73,23 +74,33 @@ def _hash_windows(data, off, width):
     return starts, ends, np.append(first, seen), h, at
 
 
+def _pack_ranges(ranges: np.ndarray) -> tuple[bytes, bytes]:
+    """(distinct ranges, code of each entry in as few bytes as they need; none for a single range)."""
+    distinct, codes = np.unique(ranges, return_inverse=True)
+    width = "" if len(distinct) == 1 else "<u1" if len(distinct) <= 1 << 8 else "<u2" if len(distinct) <= 1 << 16 else "<u4"
+    return distinct.astype("<i4").tobytes(), codes.astype(width).tobytes() if width else b""
+
+
+def _unpack_ranges(ranges: bytes, codes: bytes, n: int) -> np.ndarray:
+    distinct = np.frombuffer(ranges, "<i4")
+    return distinct[np.frombuffer(codes, f"<u{len(codes) // n}")] if codes else np.repeat(distinct, n)
+
+
 def _sender(id_col, text_col, width, bounds, buckets):
     cuts = np.array(bounds, dtype=np.int64)
     step = min((1 << 64) - 1, (1 << 64) // buckets + 1)
 
     def flush(ranges, hashes):
         r, h = np.concatenate(ranges), np.concatenate(hashes)
-        order = np.lexsort((h, r))
+        order = np.lexsort((r, h))
         r, h = r[order], h[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
         r, h = r[keep], h[keep]
         b = (h // np.uint64(step)).astype(np.int32)
-        cut = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (r[1:] != r[:-1]))))
-        ends = np.append(cut[1:], len(h))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(b[cut], pa.int32()), pa.array(r[cut], pa.int32()), pa.array([B.pack_sorted(h[i:j]) for i, j in zip(cut, ends, strict=True)], pa.binary())],
-            names=["bucket", "id_range", "hashes"])
+        cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True])))
+        packed = [(B.pack_sorted(h[i:j]), *_pack_ranges(r[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(b[cut[:-1]], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*packed, strict=True))], names=["bucket", "hashes", "ranges", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, hashes, held = [], [], 0
@@ -113,10 +124,9 @@ def _sender(id_col, text_col, width, bounds, buckets):
 
 def _answer(group: pa.Table) -> pa.Table:
     """Per id range: the hashes that a smaller range also holds."""
-    ranges = group.column("id_range").to_numpy()
     parts = [B.unpack_sorted(x) for x in group.column("hashes").to_pylist()]
     h = np.concatenate(parts)
-    r = np.repeat(ranges, [len(p) for p in parts])
+    r = np.concatenate([_unpack_ranges(x, c, len(p)) for x, c, p in zip(group.column("ranges").to_pylist(), group.column("codes").to_pylist(), parts, strict=True)])
     del parts
     order = np.lexsort((r, h))
     h, r = h[order], r[order]
@@ -216,7 +226,7 @@ def _ranged(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Da
         import pandas as pd
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype(np.int32))
 
-    sent = docs.select(id_col, text_col).mapInArrow(_sender(id_col, text_col, width, bounds, buckets), "bucket int, id_range int, hashes binary")
+    sent = docs.select(id_col, text_col).mapInArrow(_sender(id_col, text_col, width, bounds, buckets), "bucket int, hashes binary, ranges binary, codes binary")
     answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, "id_range int, hashes binary")
     return docs.withColumn(_RANGE, found(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)))), answers, ranges
 
