@@ -10,9 +10,14 @@ folder of parts or a single file and cuts it into rows of at most
 (global offset) nor a part-file boundary.
 
 ``packedchunks``: one file per fixed-size chunk, ``{prefix}_{chunk:010d}.bin``:
-a 24-byte header (magic, version, dtype code, chunk size) then the array.
-Every task validates the headers of its files against the first file's, so mixed
-dtypes or chunk sizes raise; ids that do not fit the on-disk dtype raise.
+a 24-byte header (magic, version, dtype code, chunk size) then the array.  The
+commit writes a manifest: dtype code, chunk size and the runs of consecutive chunks
+of each prefix, so neither commit nor read lists the folder; a folder without one is
+listed once.  Every task validates the headers of its files against the manifest's (or
+the first file's), so mixed dtypes or chunk sizes raise; ids that do not fit the on-disk dtype raise.
+
+Both readers settle comparisons on their position columns (``split`` and ``start``,
+``prefix`` and ``chunk_id``) themselves: only the parts and chunks that can hold such rows are planned and opened.
 
 Arrays keep the dtype of the file: up to 32 bits ``array<int>``, int64
 ``array<bigint>``, float32/float64 ``array<float>``/``array<double>``.
@@ -24,8 +29,9 @@ import json
 import struct
 
 import numpy as np
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
-                                    WriterCommitMessage)
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull,
+                                    LessThan, LessThanOrEqual, WriterCommitMessage)
 
 from tokenloom.sources.files import folder, get, get_json, list_files, put
 
@@ -86,6 +92,44 @@ def parse_header(head: bytes, path: str) -> tuple[int, int]:
     return code, chunk_size
 
 
+class Where:
+    """A conjunction of comparisons with constants on some columns, as pushed by the planner."""
+
+    TESTS = {EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v,
+             LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v, IsNotNull: lambda x, v: True}
+
+    def __init__(self, *columns: str):
+        self.columns, self.terms = columns, []
+
+    def push(self, filters) -> list:
+        """Take what can be settled here; the rest is returned for Spark."""
+        rest = []
+        for f in filters:
+            value = getattr(f, "value", None)
+            if type(f) in self.TESTS and f.attribute[0] in self.columns and len(f.attribute) == 1 and (value is not None or isinstance(f, IsNotNull)):
+                self.terms.append((type(f).__name__, f.attribute[0], value))
+            else:
+                rest.append(f)
+        return rest
+
+    def holds(self, column: str, x) -> bool:
+        tests = {k.__name__: t for k, t in self.TESTS.items()}
+        return all(tests[kind](x, v) for kind, c, v in self.terms if c == column)
+
+    def bounds(self, column: str) -> tuple[float, float]:
+        """Closed bounds of the whole numbers that can hold."""
+        lo, hi = -np.inf, np.inf
+        for kind, c, v in self.terms:
+            if c != column or kind == "IsNotNull":
+                continue
+            least, most = (min(v), max(v)) if kind == "In" else (v, v)
+            if kind in ("EqualTo", "In", "GreaterThan", "GreaterThanOrEqual"):
+                lo = max(lo, least + (kind == "GreaterThan"))
+            if kind in ("EqualTo", "In", "LessThan", "LessThanOrEqual"):
+                hi = min(hi, most - (kind == "LessThan"))
+        return lo, hi
+
+
 # ------------------------------------------------------------ tokenstream ----
 
 class _Segments(InputPartition):
@@ -101,6 +145,19 @@ class TokenStreamReader(DataSourceReader):
         self.code = NAMES[options.get("dtype", "uint16")]
         self.per_row = int(options.get("tokens_per_row", 4096))
         self.rows_per_partition = int(options.get("rows_per_partition", 64))
+        self.where = Where("split", "start")
+
+    def pushFilters(self, filters):
+        return self.where.push(filters)
+
+    def _rows(self, start: int, end: int) -> tuple[int, int]:
+        """The part of a file's tokens whose rows begin inside the pushed bounds."""
+        lo, hi = self.where.bounds("start")
+        if lo > start:
+            start = -(-int(min(lo, end)) // self.per_row) * self.per_row
+        if hi < end:
+            end = min(end, (int(hi) // self.per_row + 1) * self.per_row) if hi >= start else start
+        return start, end
 
     def _files(self):
         """(split, file, start token offset, n tokens) in stream order; a manifest spares the listing."""
@@ -122,16 +179,18 @@ class TokenStreamReader(DataSourceReader):
         span = self.per_row * self.rows_per_partition
         parts, cur, cur_n = [], [], 0
         for split, path, start, n in self._files():
-            lo = start
-            while lo < start + n:
-                hi = min(start + n, (lo // span + 1) * span)
+            if not self.where.holds("split", split):
+                continue
+            lo, end = self._rows(start, start + n)
+            while lo < end:
+                hi = min(end, (lo // span + 1) * span)
                 cur.append((split, path, start, lo, hi))
                 cur_n += hi - lo
                 lo = hi
                 if cur_n >= span:
                     parts.append(_Segments(cur))
                     cur, cur_n = [], 0
-        if cur:
+        if cur or not parts:  # the planner wants one partition at least
             parts.append(_Segments(cur))
         return parts
 
@@ -148,9 +207,10 @@ class TokenStreamReader(DataSourceReader):
             a = lo
             while a < hi:
                 b = min(hi, (a // self.per_row + 1) * self.per_row)
-                splits.append(split)
-                starts.append(a)
-                pieces.append(arr[a - lo:b - lo])
+                if self.where.holds("start", a):
+                    splits.append(split)
+                    starts.append(a)
+                    pieces.append(arr[a - lo:b - lo])
                 a = b
         if not pieces:
             return
@@ -251,38 +311,85 @@ class TokenStreamSource(DataSource):
 # ------------------------------------------------------------ packed chunks --
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Runs (prefix, first chunk, last chunk) of consecutive chunk files."""
+
+    def __init__(self, runs: list[tuple[str, int, int]]):
+        self.runs = runs
+
+
+def chunk_file(prefix: str, chunk_id: int) -> str:
+    return f"{prefix}_{chunk_id:010d}.bin"
+
+
+def runs_of(chunks) -> list[tuple[str, int, int]]:
+    """Runs of consecutive ids per prefix of (prefix, first, last) entries, overlaps merged."""
+    out: list[tuple[str, int, int]] = []
+    for prefix, first, last in sorted(chunks):
+        if out and out[-1][0] == prefix and first <= out[-1][2] + 1:
+            out[-1] = (prefix, out[-1][1], max(out[-1][2], last))
+        else:
+            out.append((prefix, first, last))
+    return out
+
+
+def packed_summary(path: str) -> tuple[tuple[int, int], list[tuple[str, int, int]]]:
+    """((dtype code, chunk size), runs) of a folder of chunk files: its manifest, or one listing and the first header."""
+    fs, root = folder(path)
+    manifest = get_json(fs, f"{root}/{MANIFEST}")
+    if manifest is not None:
+        return (manifest["dtype_code"], manifest["chunk_size"]), [tuple(r) for r in manifest["runs"]]
+    files = list_files(fs, root, ".bin")
+    if not files:
+        return (4, 0), []
+    names = [f.rsplit("/", 1)[1][:-4].rsplit("_", 1) for f, _ in files]
+    return parse_header(get(fs, files[0][0], 0, HDR_SIZE), files[0][0]), runs_of((p, int(c), int(c)) for p, c in names)
 
 
 class PackedReader(DataSourceReader):
-    def __init__(self, options, expected: tuple[int, int]):
+    def __init__(self, options, summary):
         self.path = options["path"]
         self.prefix = options.get("prefix")
         self.files_per_partition = int(options.get("files_per_partition", 256))
-        self.expected = expected
+        self.expected, self.runs = summary
+        self.where = Where("prefix", "chunk_id")
+
+    def pushFilters(self, filters):
+        return self.where.push(filters)
 
     def partitions(self):
-        fs, root = folder(self.path)
-        files = [f for f, _ in list_files(fs, root, ".bin") if self.prefix is None or f.rsplit("/", 1)[1].startswith(self.prefix + "_")]
-        k = self.files_per_partition
-        return [_Files(files[i:i + k]) for i in range(0, len(files), k)]
+        lo, hi = self.where.bounds("chunk_id")
+        parts, held, n = [], [], 0
+        for prefix, first, last in self.runs:
+            if (self.prefix is not None and prefix != self.prefix) or not self.where.holds("prefix", prefix):
+                continue
+            first, last = int(max(first, lo)), int(min(last, hi))
+            while first <= last:
+                upto = min(last, first + self.files_per_partition - n - 1)
+                held.append((prefix, first, upto))
+                n += upto - first + 1
+                first = upto + 1
+                if n == self.files_per_partition:
+                    parts.append(_Files(held))
+                    held, n = [], 0
+        return parts + ([_Files(held)] if held or not parts else [])  # the planner wants one partition at least
 
     def read(self, p: _Files):
         import pyarrow as pa
-        fs, _ = folder(self.path)
+        fs, root = folder(self.path)
         prefixes, counters, arrays = [], [], []
         code, chunk_size = self.expected
-        for path in p.paths:
+        for prefix, counter in ((x, c) for x, first, last in p.runs for c in range(first, last + 1)):
+            if not self.where.holds("chunk_id", counter):
+                continue
+            path = f"{root}/{chunk_file(prefix, counter)}"
             raw = get(fs, path)
             if (found := parse_header(raw[:HDR_SIZE], path)) != self.expected:
                 raise ValueError(f"packed files disagree on (dtype code, chunk size): {path} has {found}, others {self.expected}")
             arr = np.frombuffer(raw, dtype=_little(code), offset=HDR_SIZE)
             if len(arr) != chunk_size:
                 raise ValueError(f"{path}: payload has {len(arr)} items, header says {chunk_size}")
-            prefix, counter = path.rsplit("/", 1)[1][:-4].rsplit("_", 1)
             prefixes.append(prefix)
-            counters.append(int(counter))
+            counters.append(counter)
             arrays.append(arr.astype(column_type(code)[1]))
         if not arrays:
             return
@@ -319,19 +426,25 @@ class PackedWriter(DataSourceArrowWriter):
                 raise ValueError(f"chunk {chunk_ids[bad]} has {sizes[bad]} ids, expected {self.chunk_size}")
             _check_range(vals[offs[0]:offs[-1]], self.code)
             for i, (prefix, cid) in enumerate(zip(prefixes, chunk_ids, strict=True)):
-                name = f"{prefix}_{int(cid):010d}.bin"
-                put(fs, f"{root}/{name}", head + vals[offs[i]:offs[i + 1]].astype(dt).tobytes())
-                files.append(name)
-        return _Written(files)
+                put(fs, f"{root}/{chunk_file(prefix, int(cid))}", head + vals[offs[i]:offs[i + 1]].astype(dt).tobytes())
+                files.append((prefix, int(cid), int(cid)))
+        return _Written(runs_of(files))
 
     def commit(self, messages):
-        """With overwrite, chunk files that this write did not make go."""
-        if self.overwrite:
-            fs, root = folder(self.path)
-            names = {f for m in messages if m is not None for f in m.files}
-            for path, _ in list_files(fs, root, ".bin"):
-                if path.rsplit("/", 1)[1] not in names:
-                    fs.delete_file(path)
+        """The manifest of this write, after the chunks that are kept; with overwrite, those that were there before go."""
+        fs, root = folder(self.path, create=True)
+        new = runs_of(r for m in messages if m is not None for r in m.files)
+        expected, old = packed_summary(self.path)
+        if not self.overwrite and old and expected != (self.code, self.chunk_size):
+            raise ValueError(f"packed files disagree on (dtype code, chunk size): {expected} is there, {(self.code, self.chunk_size)} was appended")
+        runs = new if self.overwrite else runs_of(old + new)
+        manifest = {"dtype_code": self.code, "chunk_size": self.chunk_size, "runs": runs}
+        put(fs, f"{root}/{MANIFEST}", json.dumps(manifest).encode())
+        for prefix, first, last in old if self.overwrite else []:
+            kept = [(a, b) for p, a, b in new if p == prefix]
+            for c in range(first, last + 1):
+                if not any(a <= c <= b for a, b in kept):
+                    fs.delete_file(f"{root}/{chunk_file(prefix, c)}")
 
 
 class PackedSource(DataSource):
@@ -339,23 +452,21 @@ class PackedSource(DataSource):
     def name(cls):
         return "packedchunks"
 
-    def _head(self) -> tuple[int, int]:
-        """Header of the first file; the tasks hold every other file against it."""
-        fs, root = folder(self.options["path"])
-        files = list_files(fs, root, ".bin")
-        return parse_header(get(fs, files[0][0], 0, HDR_SIZE), files[0][0]) if files else (4, 0)
+    def _summary(self):
+        return packed_summary(self.options["path"])
 
     def schema(self):
-        return f"prefix string, chunk_id bigint, dtype_code int, chunk_size bigint, ids array<{column_type(self._head()[0])[0]}>"
+        return f"prefix string, chunk_id bigint, dtype_code int, chunk_size bigint, ids array<{column_type(self._summary()[0][0])[0]}>"
 
     def reader(self, schema):
-        return PackedReader(self.options, self._head())
+        return PackedReader(self.options, self._summary())
 
     def writer(self, schema, overwrite):
         return PackedWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TokenStreamSource)
     spark.dataSource.register(PackedSource)
 
@@ -374,6 +485,15 @@ def read_token_stream(spark, path: str, dtype: str = "uint16", tokens_per_row: i
         .option("tokens_per_row", tokens_per_row).load()
 
 
+def read_token_range(spark, path: str, split: str, lo: int, hi: int, dtype: str = "uint16", tokens_per_row: int = 4096):
+    """Rows (start, ids) of the tokens [lo, hi) of a split; only parts that hold them are opened."""
+    rows = read_token_stream(spark, path, dtype, tokens_per_row)
+    # a row starts at a multiple of tokens_per_row or where its part starts, so at most that far before ``lo``
+    rows = rows.where((F.col("split") == split) & (F.col("start") > lo - tokens_per_row) & (F.col("start") < hi) & (F.col("start") + F.size("ids") > lo))
+    a, b = F.greatest("start", F.lit(lo)), F.least(F.col("start") + F.size("ids"), F.lit(hi))
+    return rows.select(a.cast("bigint").alias("start"), F.slice("ids", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("ids"))
+
+
 def write_packed(df, path: str, chunk_size: int, dtype: str = "auto", vocab_size: int | None = None, mode: str = "append") -> None:
     """Rows (prefix, chunk_id, ids) -> ``{prefix}_{chunk:010d}.bin`` files."""
     register(df.sparkSession)
