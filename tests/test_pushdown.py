@@ -65,11 +65,12 @@ def test_packed_chunks_by_manifest(spark, tmp_path):
     with open(f"{p}/{binary.MANIFEST}") as f:
         manifest = json.load(f)
     assert manifest == {"dtype_code": 8, "chunk_size": 2, "runs": [["a", 0, 19], ["b_c", 0, 19]]}
-    # appended chunks join the runs, another dtype is refused
+    # appended chunks join the runs; the manifest's header stays, so a chunk of another dtype raises when it is read
     binary.write_packed(spark.createDataFrame([("a", 20, [1, 2]), ("a", 30, [3, 4])], "prefix string, chunk_id bigint, ids array<int>"), p, 2, "uint16")
     assert binary.packed_summary(p)[1] == [("a", 0, 20), ("a", 30, 30), ("b_c", 0, 19)]
+    binary.write_packed(spark.createDataFrame([("z", 0, [1, 2])], "prefix string, chunk_id bigint, ids array<int>"), p, 2, "int32")
     with pytest.raises(Exception, match="disagree"):
-        binary.write_packed(df.limit(1), p, 2, "int32")
+        binary.read_packed(spark, p).where("prefix = 'z'").collect()
     # only planned files are opened
     for c in range(5, 20):
         os.remove(f"{p}/{binary.chunk_file('a', c)}")

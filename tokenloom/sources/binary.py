@@ -431,14 +431,13 @@ class PackedWriter(DataSourceArrowWriter):
         return _Written(runs_of(files))
 
     def commit(self, messages):
-        """The manifest of this write, after the chunks that are kept; with overwrite, those that were there before go."""
+        """The manifest of this write, after the chunks that are kept (whose header stays: a chunk of another dtype or
+        size raises when it is read); with overwrite, those that were there before go."""
         fs, root = folder(self.path, create=True)
         new = runs_of(r for m in messages if m is not None for r in m.files)
         expected, old = packed_summary(self.path)
-        if not self.overwrite and old and expected != (self.code, self.chunk_size):
-            raise ValueError(f"packed files disagree on (dtype code, chunk size): {expected} is there, {(self.code, self.chunk_size)} was appended")
-        runs = new if self.overwrite else runs_of(old + new)
-        manifest = {"dtype_code": self.code, "chunk_size": self.chunk_size, "runs": runs}
+        code, chunk_size = expected if old and not self.overwrite else (self.code, self.chunk_size)
+        manifest = {"dtype_code": code, "chunk_size": chunk_size, "runs": new if self.overwrite else runs_of(old + new)}
         put(fs, f"{root}/{MANIFEST}", json.dumps(manifest).encode())
         for prefix, first, last in old if self.overwrite else []:
             kept = [(a, b) for p, a, b in new if p == prefix]
