@@ -52,8 +52,8 @@ def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucke
     if late:
         d = d.withColumn("_ids", ids)
         ids = "_ids"
-    first = F.floor(F.col("_start") / C)
-    last = F.floor((F.col("_start") + F.col("_len") - 1) / C)
+    first = F.expr(f"_start div {C}")  # whole-number division: offsets beyond 2**53 stay exact
+    last = F.expr(f"(_start + _len - 1) div {C}")
     # a row's pieces are cut inside the row (an array of slices, each id once) and
     # exploded: a row of L ids carries L ids through the explode, not L per chunk
     d = d.select(*part, "_start", "_len", F.col(ids).alias("_row"), F.sequence(first, last).alias("_cs"))
@@ -61,7 +61,7 @@ def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucke
     hi = F.transform("_cs", lambda c: F.least(F.col("_start") + F.col("_len"), (c + 1) * C))
     d = d.withColumn("_lo", lo).withColumn("_hi", hi)
     cuts = F.zip_with("_lo", "_hi", lambda x, y: F.struct(
-        F.floor(x / C).cast("bigint").alias("chunk_id"), x.alias("_lo"),
+        F.call_function("div", x, F.lit(C)).alias("chunk_id"), x.alias("_lo"),
         F.slice(F.col("_row"), (x - F.col("_start") + 1).cast("int"), (y - x).cast("int")).alias("_p")))
     pieces = d.select(*part, F.explode(cuts).alias("_c")).select(*part, "_c.chunk_id", "_c._lo", "_c._p")
     g = pieces.groupBy(*part, "chunk_id").agg(

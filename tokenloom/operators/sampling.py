@@ -77,7 +77,7 @@ def sample_windows(chunks: DataFrame, n_tokens_total, n: int, block_size: int, s
         draws = chunks.sparkSession.range(n).withColumnRenamed("id", "draw")
     N = n_tokens_total if isinstance(n_tokens_total, Column) else F.lit(n_tokens_total)
     d = draws.withColumn("i", draw_index(seed, F.col("draw"), N - bs))
-    d = d.withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("i") / C), F.floor((F.col("i") + bs) / C))))
+    d = d.withColumn("chunk_id", F.explode(F.expr(f"sequence(i div {C}, (i + {bs}) div {C})")))
     j = d.join(chunks.select("chunk_id", "ids"), "chunk_id")
     lo = F.greatest(F.col("i"), F.col("chunk_id") * C)
     hi = F.least(F.col("i") + bs + 1, (F.col("chunk_id") + 1) * C)
@@ -88,6 +88,39 @@ def sample_windows(chunks: DataFrame, n_tokens_total, n: int, block_size: int, s
     return g.select("draw", "i", F.slice(full, 1, bs).alias("x"), F.slice(full, 2, bs).alias("y"))
 
 
+def covering_rows(draws: DataFrame, offsets: DataFrame, key: str, width: int, span: int) -> DataFrame:
+    """Bucketed interval join: (draw, i, key, start) for every row [start, start + len) that meets a
+    draw's [i, i + width).  Both sides are dealt to steps of ``span`` positions and equi-joined on the step; a
+    pair that shares several steps is kept in the first of them."""
+    step = lambda c: F.expr(f"({c}) div {span}")
+    rows = offsets.where("len > 0").select(key, "start", "len", F.explode(F.sequence(step("start"), step("start + len - 1"))).alias("_step"))
+    d = draws.select("draw", "i", F.explode(F.sequence(step("i"), step(f"i + {width - 1}"))).alias("_step"))
+    meets = (F.col("start") < F.col("i") + width) & (F.col("start") + F.col("len") > F.col("i"))
+    return d.join(rows, "_step").where(meets & (F.col("_step") == F.greatest(step("i"), step("start")))).select("draw", "i", key, "start")
+
+
+def sample_windows_by_offset(offsets: DataFrame, key: str, tokens, n: int, block_size: int, seed: int = 42, n_tokens_total=None, span: int | None = None) -> DataFrame:
+    """R3 over documents that are not tokenised yet: ``n`` random windows with replacement of the stream whose
+    row ``key`` occupies [start, start + len).
+
+    ``offsets``: narrow (key, start, len) rows.  ``tokens(keys)`` gives (key, ids) for a table of keys: only
+    documents that a window meets are tokenised, each once, whatever the number of windows on it.
+    i ~ U[0, N - bs); x = data[i:i+bs], y = data[i+1:i+1+bs].
+    """
+    width = block_size + 1
+    total = n_tokens_total if n_tokens_total is not None else offsets.agg(F.sum("len")).scalar()
+    N = total if isinstance(total, Column) else F.lit(total)
+    draws = offsets.sparkSession.range(n).select(F.col("id").alias("draw"), draw_index(seed, F.col("id"), N - block_size).alias("i"))
+    met = covering_rows(draws, offsets, key, width, span or max(1 << 14, width))
+    ids = tokens(met.select(key).distinct()).select(key, F.col("ids").alias("_ids"))
+    lo = F.greatest(F.col("i") - F.col("start"), F.lit(0))
+    take = F.least(F.col("i") + width - F.col("start"), F.size("_ids").cast("bigint")) - lo
+    pieces = met.join(ids, key).select("draw", "i", "start", F.slice("_ids", (lo + 1).cast("int"), take.cast("int")).alias("_p"))
+    g = pieces.groupBy("draw", "i").agg(F.array_sort(F.collect_list(F.struct("start", "_p"))).alias("_ps"))
+    full = F.flatten(F.transform("_ps", lambda p: p["_p"]))
+    return g.select("draw", "i", F.slice(full, 1, block_size).alias("x"), F.slice(full, 2, block_size).alias("y"))
+
+
 def sample_batches(df: DataFrame, idx: str, n_batches: int, micro_batch_size: int, seed: int = 42,
                    longest_idx: Column | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``n_batches * micro_batch_size`` draws of row indices with
@@ -97,7 +130,7 @@ def sample_batches(df: DataFrame, idx: str, n_batches: int, micro_batch_size: in
     spark = df.sparkSession
     n = (df if counted is None else counted).agg(F.count(F.lit(1))).scalar()  # scalar subquery, not a join
     draws = spark.range(n_batches * micro_batch_size).select(
-        F.floor(F.col("id") / micro_batch_size).cast("bigint").alias("batch"),
+        F.expr(f"id div {micro_batch_size}").alias("batch"),
         (F.col("id") % micro_batch_size).cast("bigint").alias("slot"), F.col("id").alias("_d"))
     pick = F.pmod(h48(seed, F.col("_d")), n)
     if longest_idx is not None:

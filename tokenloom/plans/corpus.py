@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tokenloom.functions.hashing import h48
 from tokenloom.operators.offsets import bucket_plan, contiguous_shards, hash_bucket, input_bytes, running_offset
 from tokenloom.operators.packing import assign_shards, blocks, calibration_blocks, chunk_groups, pack, token_totals
-from tokenloom.operators.sampling import mix, sample_rows, sample_windows, shuffle_blocks, split
+from tokenloom.operators.sampling import mix, sample_rows, sample_windows_by_offset, shuffle_blocks, split
 from tokenloom.operators.tokenize import ByteTokenizer, drop_null_text, tokenize
 from tokenloom.plans.common import (CHUNK, SEED, SEP, SPLIT_CTE, STREAM_CTE, VAL_SIZE, byte_ids_sql,
                                     documents, h_sql, ids_md5, list_md5_sql, table, u_sql)
+from tokenloom.session import scratch_path
 from tokenloom.sources.tables import read_corpus
 
 TOK = ByteTokenizer()
@@ -153,11 +154,20 @@ def q_r6_shuffle_blocks(spark, sf):
     return s.select("epoch", "group_id", "chunk_id", "block_id", "pos", ids_md5("ids").alias("ids_md5"))
 
 
+def train_offsets(spark, sf):
+    """(doc_id, start, len) of the train split's byte tokens in shuffled order, written once: no text, no ids."""
+    t = drop_null_text(split_docs(spark, sf).filter(F.col("split") == "train")).select("doc_id", "h", (TOK.length(F.col("text")) + 1).cast("bigint").alias("len"))
+    bits, parts = corpus_buckets(spark, sf)
+    path = scratch_path(spark, "train-offsets")
+    running_offset(t, ["h", "doc_id"], hash_bucket(F.col("h"), bits), "len", out="start", num_partitions=parts).select("doc_id", "start", "len").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def q_r3_sample_windows(spark, sf):
-    t = split_docs(spark, sf).filter(F.col("split") == "train")
-    total = t.agg(F.sum(TOK.length(F.col("text")) + 1)).scalar()
-    ch = _train_files(spark, sf)
-    w = sample_windows(ch, total, WINDOWS, WINDOW_BLOCK - 1, SEED, chunk_size=CHUNK)
+    def tokens(keys):
+        return tokenize(documents(spark, sf).select("doc_id", "text").join(keys, "doc_id"), TOK, keep=["doc_id"])
+
+    w = sample_windows_by_offset(train_offsets(spark, sf), "doc_id", tokens, WINDOWS, WINDOW_BLOCK - 1, SEED)
     return w.select("draw", "i", ids_md5("x").alias("x_md5"), ids_md5("y").alias("y_md5"))
 
 
