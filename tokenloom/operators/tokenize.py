@@ -1,7 +1,7 @@
 """Tokenisers as Column transforms.
 
 ``ByteTokenizer`` is pure Spark SQL: UTF-8 bytes shifted by 3, with
-0 = pad, 1 = bos, 2 = eos.  ``HFTokenizer`` and ``SPTokenizer`` wrap a model
+0 = pad, 1 = bos, 2 = eos.  Byte-pair encoding is in ``bpe.py``.  ``HFTokenizer`` and ``SPTokenizer`` wrap a model
 file in an Arrow-batched ``pandas_udf``; the model is shipped once with
 ``SparkContext.addFile`` and loaded once per Python worker.
 """
@@ -26,7 +26,7 @@ def use_bos_policy(tokenizer_config: dict | None) -> bool:
         return False
     if tokenizer_config.get("add_bos_token") or tokenizer_config.get("add_prefix_space"):
         return True
-    return "add_bos_token" not in tokenizer_config and tokenizer_config.get("tokenizer_class") == "LlamaTokenizer"
+    return tokenizer_config.get("add_bos_token") is None and tokenizer_config.get("tokenizer_class") == "LlamaTokenizer"
 
 
 class Tokenizer:

@@ -11,6 +11,7 @@ from tokenloom.functions.hashing import h48
 from tokenloom.operators.offsets import bucket_plan, contiguous_shards, hash_bucket, input_bytes, running_offset
 from tokenloom.operators.packing import assign_shards, blocks, calibration_blocks, chunk_groups, pack, token_totals
 from tokenloom.operators.sampling import mix, sample_rows, sample_windows_by_offset, shuffle_blocks, split
+from tokenloom.operators.bpe import BytePairTokenizer
 from tokenloom.operators.tokenize import ByteTokenizer, drop_null_text, tokenize
 from tokenloom.plans.common import (CHUNK, SEED, SEP, SPLIT_CTE, STREAM_CTE, VAL_SIZE, byte_ids_sql,
                                     documents, h_sql, ids_md5, list_md5_sql, table, u_sql)
@@ -93,6 +94,18 @@ def q_t1_encode(spark, sf):
     return d.select("doc_id", F.size(ids).cast("bigint").alias("len"), ids_md5(ids).alias("ids_md5"))
 
 
+def bpe_file() -> str:
+    """The public byte-level BPE file that the registered query encodes with (never copied, any path Spark reads will do)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def q_t1_encode_bpe(spark, sf):
+    tok = BytePairTokenizer(spark, bpe_file(), eos_token="<|endoftext|>")
+    ids = documents(spark, sf).select("doc_id", tok.encode(F.col("text"), eos=True).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("len"), ids_md5("ids").alias("ids_md5"))
+
+
 def q_t2_decode(spark, sf):
     d = documents(spark, sf)
     dec = TOK.decode(TOK.encode(F.col("text"), bos=True, eos=True))
@@ -196,6 +209,7 @@ QUERIES = {
     "t5_tokenize": q_t5_tokenize,
     "p1_drop_columns": q_p1_drop_columns,
     "t1_encode": q_t1_encode,
+    "t1_encode_bpe": q_t1_encode_bpe,
     "t2_decode": q_t2_decode,
     "k1_token_totals": q_k1_token_totals,
     "k2_running_offset": q_k2_running_offset,

@@ -118,6 +118,27 @@ def read_vocab(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
     return vocab.join(added.select("token"), "token", "left_anti").unionByName(added)
 
 
+BPE_SCHEMA = ("model struct<type: string, dropout: double, unk_token: string, continuing_subword_prefix: string, end_of_word_suffix: string, byte_fallback: boolean, "
+              "ignore_merges: boolean, vocab: map<string, int>, merges: array<string>>, normalizer string, pre_tokenizer string, "
+              "added_tokens array<struct<id: int, content: string, single_word: boolean, lstrip: boolean, rstrip: boolean, normalized: boolean>>")
+
+
+def read_bpe(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
+    """S11 of a byte-pair model: (settings, (token, id, is_special), (rank, left, right)) of a ``tokenizer.json``.
+    Merges are pairs, or in older files two tokens with a space between."""
+    raw = spark.read.schema(BPE_SCHEMA).option("multiLine", True).json(path)
+    parts = [f for f in raw.schema["model"].dataType.fieldNames() if f not in ("vocab", "merges")]
+    row = raw.select(*[F.col(f"model.{f}").alias(f) for f in parts], "normalizer", "pre_tokenizer", "added_tokens").first()
+    spec = {"model": {f: row[f] for f in parts}, "added_tokens": [t.asDict() for t in row["added_tokens"] or []],
+            **{k: json.loads(row[k]) if row[k] else None for k in ("normalizer", "pre_tokenizer")}}
+    added = raw.select(F.explode("added_tokens").alias("t")).select(F.col("t.content").alias("token"), F.col("t.id").alias("id"), F.lit(True).alias("is_special"))
+    vocab = raw.select(F.explode("model.vocab").alias("token", "id")).withColumn("is_special", F.lit(False))
+    vocab = vocab.join(added.select("token"), "token", "left_anti").unionByName(added)
+    merge = raw.select(F.posexplode("model.merges").alias("rank", "m"))
+    pair = F.when(F.instr("m", " ") > 0, F.split("m", " ")).otherwise(F.from_json("m", "array<string>"))
+    return spec, vocab, merge.select("rank", pair.alias("p")).select("rank", F.col("p")[0].alias("left"), F.col("p")[1].alias("right"))
+
+
 def special_ids(spark: SparkSession, checkpoint_dir: str, vocab: dict[str, int]) -> dict[str, int | bool | None]:
     """bos/eos ids (tokenizer_config tokens first, generation_config as fallback) and the BOS policy."""
     from tokenloom.operators.tokenize import use_bos_policy
