@@ -69,13 +69,14 @@ def fsq(vec: Column, levels: list[int], num_codebooks: int) -> tuple[Column, Col
     """(codes ARRAY<DOUBLE> of length len(levels)*num_codebooks, indices ARRAY<INT>).
     A vector of another length raises (the reference projects it first)."""
     dim = len(levels) * num_codebooks
-    vec = F.when(F.size(vec) == dim, vec).otherwise(F.raise_error(F.lit(f"fsq needs vectors of {dim} values")))
+    # the guard stands around the results: around the input it would be repeated for every value
+    checked = lambda out: F.when(F.size(vec) == dim, out).otherwise(F.raise_error(F.lit(f"fsq needs vectors of {dim} values")))
     codes, idx = [], []
     for c in range(num_codebooks):
         cc = fsq_codes(vec, levels, c)
         codes.extend(cc)
         idx.append(fsq_codes_to_index(cc, levels))
-    return F.array(*codes), F.array(*idx)
+    return checked(F.array(*codes)), checked(F.array(*idx))
 
 
 def lfq_quantize(vec: Column, scale: float = 1.0) -> Column:

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48, u01
 from tokenloom.functions.scalar import entropy_term, softmax, sq_dist
+from tokenloom.operators.offsets import input_bytes
 
 
 # ---------------------------------------------------------------- kernels ----
@@ -159,6 +161,84 @@ def codebook_distances(sub: Column, bits: int, scale: float = 1.0) -> Column:
                                            F.lit(0.0), lambda a, v: a + v))
 
 
+#: Vectors and codes of one block of the nearest-code search, and codes that are shipped to every task instead.
+VECTOR_BLOCK, CODE_BLOCK = 1 << 13, 1 << 14
+
+
+def _matrix(column: pa.Array, what: str) -> np.ndarray:
+    """A list column of equal lengths as a matrix; other lengths raise."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (column.null_count or (sizes != sizes[0]).any()):
+        raise ValueError(f"{what} of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), int(sizes[0]) if len(sizes) else 0)
+
+
+def _nearest(x: np.ndarray, codes: np.ndarray, code_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, squared distance) of the nearest code of each row, of equally near ones the least id.
+
+    ||x||^2 + ||y||^2 - 2 x.y by matrix products finds the candidates, rows a step at a time; those within
+    its rounding error are measured directly.
+    """
+    ids, best = np.zeros(len(x), np.int64), np.zeros(len(x))
+    y2 = (codes * codes).sum(1)
+    step = max(1, (1 << 22) // max(1, len(codes)))
+    for i in range(0, len(x), step):
+        part = x[i:i + step]
+        x2 = (part * part).sum(1)
+        d = x2[:, None] + y2[None, :] - 2.0 * part @ codes.T
+        near = d <= (d.min(axis=1) + 1e-9 * (x2 + y2.max(initial=0)))[:, None]
+        row, code = np.nonzero(near)
+        exact = ((part[row] - codes[code]) ** 2).sum(1)
+        order = np.lexsort((code_ids[code], exact, row))
+        first = order[np.searchsorted(row[order], np.arange(len(part)))]
+        ids[i:i + step], best[i:i + step] = code_ids[code[first]], exact[first]
+    return ids, best
+
+
+def nearest_codes(df: DataFrame, key: str, vec: str, codebook: DataFrame, code_id: str, code_vec: str) -> DataFrame:
+    """A6 over a codebook table of any size: (key, code, distance), the nearest code by squared distance
+    (of equally near ones the least id).
+
+    A codebook of one block is shipped to the tasks that read the vectors.  A larger one is dealt to
+    blocks, every block of vectors meets every block of codes in a task of bounded memory, and the
+    blocks' minima run together in an aggregation by key.  Null vectors have no row, an empty codebook
+    gives none, and ``key`` is unique.
+    """
+    codes = codebook.select(F.col(code_id).cast("bigint").alias("code"), F.col(code_vec).alias("y")).where("code IS NOT NULL AND y IS NOT NULL")
+    kind = dict(df.dtypes)[key]
+    schema = f"k {kind}, code bigint, distance double"
+    x = df.select(F.col(key).alias("k"), F.col(vec).alias("x")).where("x IS NOT NULL")
+    n = codes.count()
+    if n <= CODE_BLOCK:
+        table = codes.toArrow()
+        ids, book = table.column("code").to_numpy(), _matrix(table.column("y"), "codes")
+
+        def run(batches):
+            for b in batches:
+                for i in range(0, b.num_rows if len(ids) else 0, VECTOR_BLOCK):
+                    part = b.slice(i, VECTOR_BLOCK)
+                    code, distance = _nearest(_matrix(part.column("x"), "vectors"), book, ids)
+                    yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(code), pa.array(distance)], names=["k", "code", "distance"])
+
+        return x.mapInArrow(run, schema).withColumnRenamed("k", key)
+
+    def meet(vectors: pa.Table, own: pa.Table) -> pa.Table:
+        if not (vectors.num_rows and own.num_rows):
+            return pa.table({"k": vectors.column("k").slice(0, 0), "code": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        code, distance = _nearest(_matrix(vectors.column("x"), "vectors"), _matrix(own.column("y"), "codes"), own.column("code").to_numpy())
+        return pa.table({"k": vectors.column("k"), "code": pa.array(code), "distance": pa.array(distance)})
+
+    vector_blocks, code_blocks = -(-max(1, x.count()) // VECTOR_BLOCK), -(-n // CODE_BLOCK)
+    block = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    left = x.withColumn("vb", block("k", vector_blocks)).withColumn("cb", every(code_blocks))
+    right = codes.withColumn("cb", block("code", code_blocks)).withColumn("vb", every(vector_blocks))
+    least = left.groupBy("vb", "cb").cogroup(right.groupBy("vb", "cb")).applyInArrow(meet, schema)
+    best = least.groupBy("k").agg(F.min(F.struct("distance", "code")).alias("m"))
+    return best.select(F.col("k").alias(key), "m.code", "m.distance")
+
+
 def lfq_long(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int, scale: float = 1.0,
              inv_temperature: float = 1.0) -> DataFrame:
     """One row per (key, codebook) with sub-vector, distances, probabilities,
@@ -180,7 +260,7 @@ def lfq_long(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int, s
 
 def lfq_losses(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int, scale: float = 1.0,
                inv_temperature: float = 1.0, gamma: float = 2.5, entropy_weight: float = 0.1,
-               commitment_weight: float = 1.0, batch: str | None = None) -> DataFrame:
+               commitment_weight: float = 1.0, batch: str | None = None, training: bool = True, return_breakdown: bool = True) -> DataFrame:
     """Per-sample entropy (mean over all probability elements),
     codebook entropy (entropy of the mean probability per (codebook, code)),
     aux = per_sample - gamma * codebook, commitment = mean (x - q)^2,
@@ -190,7 +270,15 @@ def lfq_losses(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int,
     are taken within a batch).  Every partition reduces its rows of a batch in
     numpy to mergeable sums: the entropy and commitment sums, the row count and
     the probability sum per (codebook, code); Spark adds the partials and
-    finishes the means."""
+    finishes the means.
+
+    ``training=False``: all losses are 0 (outside training nothing is
+    measured, and no vector is read).  ``return_breakdown=False``: only ``aux_loss``."""
+    names = ["codebook_entropy", "per_sample_entropy", "commit_loss", "entropy_aux_loss", "aux_loss"]
+    names = names if return_breakdown else names[-1:]
+    if not training:
+        rows = df.select(F.col(batch).cast("bigint").alias("batch")).distinct() if batch else df.sparkSession.range(1).drop("id")
+        return rows.select(*rows.columns, *[F.lit(0.0).alias(c) for c in names])
     K = 2 ** bits
     cb = np.asarray(lfq_codebook(bits, scale))          # (K, bits)
     cb2 = (cb * cb).sum(1)
@@ -221,7 +309,7 @@ def lfq_losses(df: DataFrame, key: str, vec: str, bits: int, num_codebooks: int,
         (F.max("com") / (F.max("rows") * num_codebooks * bits)).alias("commit_loss"))
     out = out.withColumn("entropy_aux_loss", F.col("per_sample_entropy") - gamma * F.col("codebook_entropy"))
     out = out.withColumn("aux_loss", F.col("entropy_aux_loss") * entropy_weight + F.col("commit_loss") * commitment_weight)
-    return out if batch else out.drop("batch")
+    return out.select(*(["batch"] if batch else []), *names)
 
 
 def code_usage(codes: DataFrame, code: str, keys: list[str] | None = None) -> DataFrame:
@@ -237,27 +325,85 @@ def code_usage(codes: DataFrame, code: str, keys: list[str] | None = None) -> Da
 
 # --------------------------------------------------------------- Gram / H ----
 
+#: Edge of a tile of the Gram matrix, bytes of tiles that a task adds up in one pass, and tiles merged at a time.
+TILE, TILE_BYTES, TILE_FAN = 256, 128 << 20, 32
+
+
+def _tile_pass(df: DataFrame, dim: int, pairs: list[tuple[int, int]]) -> DataFrame:
+    """One partial per partition and tile pair: (i, j, part, n, tile as 64-bit floats)."""
+
+    def run(batches):
+        from pyspark import TaskContext
+        part, n = TaskContext.get().partitionId(), 0
+        tiles = {}
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                x = _matrix(b.column(0).slice(at, 4096), "vectors")
+                if x.shape[1] != dim:
+                    raise ValueError(f"vectors of {x.shape[1]} values, expected {dim}")
+                n += len(x)
+                for i, j in pairs:
+                    new = x[:, i * TILE:(i + 1) * TILE].T @ x[:, j * TILE:(j + 1) * TILE]
+                    if (i, j) in tiles:
+                        tiles[i, j] += new
+                    else:
+                        tiles[i, j] = new
+        for (i, j), t in tiles.items():  # a row at a time: a batch of them would hold all tiles again
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([part], pa.int64()), pa.array([n], pa.int64()),
+                                              pa.array([t.tobytes()], pa.binary())], names=["i", "j", "part", "n", "tile"])
+
+    return df.mapInArrow(run, "i int, j int, part long, n long, tile binary")
+
+
+def gram_tiles(df: DataFrame, vec: str, dim: int) -> DataFrame:
+    """A11 for wide vectors: (i, j, n, tile) of Σ XᵀX over the upper triangle, tiles of ``TILE`` x ``TILE`` 64-bit
+    floats in row order (cut at the edge).
+
+    A task adds up as many tiles as fit ``TILE_BYTES``; wider matrices take further passes over the
+    vectors.  Partitions' tiles travel as binaries and are merged ``TILE_FAN`` at a time, so memory does not
+    grow with the width or with the number of partitions.  Null vectors are left out.
+    """
+    t = -(-dim // TILE)
+    pairs = [(i, j) for i in range(t) for j in range(i, t)]
+    per_pass = max(1, TILE_BYTES // (8 * min(TILE, dim) ** 2))
+    src = df.select(F.col(vec).alias("v")).where("v IS NOT NULL")
+    parts = [_tile_pass(src, dim, pairs[k:k + per_pass]) for k in range(0, len(pairs), per_pass)]
+    tiles = parts[0]
+    for p in parts[1:]:
+        tiles = tiles.unionByName(p)
+
+    def merge(group: pa.Table) -> pa.Table:
+        blobs = group.column("tile")
+        total = np.frombuffer(blobs[0].as_py(), np.float64).copy()
+        for k in range(1, len(blobs)):
+            total += np.frombuffer(blobs[k].as_py(), np.float64)
+        first = {c: group.column(c)[:1] for c in ("i", "j", "part")}
+        return pa.table({**first, "n": pa.array([sum(group.column("n").to_pylist())], pa.int64()), "tile": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "i int, j int, part long, n long, tile binary"
+    # partials there may be: partitions of a shuffle, or of at least 4 MB of files; the last step takes what is left
+    left = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) >> 22) * len(parts)
+    while left > TILE_FAN:
+        tiles = tiles.withColumn("part", F.expr(f"part div {TILE_FAN}")).groupBy("i", "j", "part").applyInArrow(merge, schema)
+        left = -(-left // TILE_FAN)
+    return tiles.groupBy("i", "j").applyInArrow(merge, schema).drop("part")
+
+
 def gram(df: DataFrame, vec: str, dim: int, n_items: Column | None = None) -> DataFrame:
-    """H = (2 / N) Σ XᵀX (upper triangle, long form (i, j, h)).  Each
-    partition adds its rows' XᵀX in numpy (mapInPandas); Spark sums the
-    (i, j) partials.  N counts rows unless ``n_items`` is given.  The
-    shuffle carries dim*(dim+1)/2 values per input partition."""
-    iu = np.triu_indices(dim)
+    """H = (2 / N) Σ XᵀX (upper triangle, long form (i, j, h)) from ``gram_tiles``.  N counts rows unless
+    ``n_items`` is given."""
 
-    def partial(it):
-        acc = np.zeros((dim, dim))
-        seen = False
-        for pdf in it:
-            if len(pdf):
-                x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                acc += x.T @ x
-                seen = True
-        if seen:
-            yield pd.DataFrame({"i": iu[0].astype(np.int32), "j": iu[1].astype(np.int32), "v": acc[iu]})
+    def entries(batches):
+        for b in batches:
+            for i, j, n, blob in zip(*(b.column(c).to_pylist() for c in ("i", "j", "n", "tile")), strict=True):
+                h, w = min(TILE, dim - i * TILE), min(TILE, dim - j * TILE)
+                t = np.frombuffer(blob, np.float64).reshape(h, w)
+                r, c = np.nonzero(np.triu(np.ones((h, w), bool))) if i == j else np.indices((h, w)).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array((r + i * TILE).astype(np.int32)), pa.array((c + j * TILE).astype(np.int32)), pa.array(np.full(len(r), n)),
+                                                  pa.array(t[r, c])], names=["i", "j", "n", "v"])
 
-    parts = df.select(F.col(vec).alias("v")).mapInPandas(partial, "i int, j int, v double")
-    n = n_items if n_items is not None else df.agg(F.count(F.lit(1))).scalar()
-    return parts.groupBy("i", "j").agg((F.sum("v") * 2.0 / n).alias("h"))
+    long = gram_tiles(df, vec, dim).mapInArrow(entries, "i int, j int, n long, v double")
+    return long.select("i", "j", (F.col("v") * 2.0 / (n_items if n_items is not None else F.col("n"))).alias("h"))
 
 
 def salience(h: DataFrame, damp_frac: float = 0.01) -> DataFrame:
@@ -298,3 +444,10 @@ def quant_params(df: DataFrame, group: list[str], value: str, bits: int = 4, sym
     g = g.withColumn("scale", (F.col("xmax") - F.col("xmin")) / F.lit(float(maxq)))
     zero = F.lit(float((maxq + 1) / 2)) if sym else F.rint(-F.col("xmin") / F.col("scale"))
     return g.withColumn("zero", zero)
+
+
+def quant_error(df: DataFrame, group: list[str], value: Column, quantized: Column, weight: Column | None = None) -> DataFrame:
+    """Per group Σ weight (w - q)^2 (weight 1 unless given, the diagonal weights of the solver) and the number
+    of values; null values are left out."""
+    e = (value - quantized) ** 2
+    return df.groupBy(*group).agg(F.sum(e * weight if weight is not None else e).alias("error"), F.count(e).cast("bigint").alias("n"))

@@ -13,6 +13,7 @@ from tokenloom.operators.sampling import sample_batches
 from tokenloom.operators.text import (PROMPT_NO_INPUT, PROMPT_RULES, PROMPT_WITH_INPUT, RESPONSE_MARKER, dispatch,
                                       extract_response, format_prompt, instruction_prompt, rule_stops, rule_table,
                                       rule_template, stops_text)
+from tokenloom.operators.stops import truncate_at_stops
 from tokenloom.operators.tokenize import ByteTokenizer
 from tokenloom.functions.hashing import h48
 from tokenloom.plans.common import SEED, h_sql, ids_md5, table
@@ -46,8 +47,9 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_id():
-    """One number per (conversation, turn)."""
-    return F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")
+    """One number per (conversation, turn); ids and turns that do not fit raise."""
+    fits = F.col("conv_id").between(0, (1 << (63 - TURN_BITS)) - 1) & F.col("turn").between(0, (1 << TURN_BITS) - 1)
+    return F.when(fits, F.shiftleft(F.col("conv_id"), TURN_BITS) + F.col("turn")).otherwise(F.raise_error(F.lit("conversation or turn beyond the sample id")).cast("bigint"))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +112,11 @@ def q_r4_sample_batches(spark, sf):
 
 
 def q_j3_fetch_draws(spark, sf):
-    s = indexed_samples(spark, sf)
+    # the rows' ids and numbers once, without prompts and tokens; count and join read that table
+    path = scratch_path(spark, "sample-index")
+    ids = examples(spark, sf).select(sample_id().alias("sample_id"))
+    running_offset(ids, "sample_id", F.shiftright(F.col("sample_id"), TURN_BITS + 10), None, out="idx").write.parquet(path)
+    s = spark.read.parquet(path)
     n = s.agg(F.count(F.lit(1))).scalar()
     draws = spark.range(N_BATCHES * MICRO_BATCH).select(F.col("id").alias("draw"),
                                                         F.pmod(h48(SEED, F.col("id")), n).alias("idx"))
@@ -130,6 +136,19 @@ def q_k13_truncate_at_stop(spark, sf):
     return e.select("conv_id", "turn", F.size(cut).cast("bigint").alias("n"), ids_md5(cut).alias("ids_md5"))
 
 
+def stop_words(spark, sf) -> list[list[int]]:
+    """Many stop sequences: the byte ids of the words of six letters or more of the benchmark (a list of
+    settings, as wide as the benchmark)."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).where(F.length("w") >= 6).distinct()
+    return [list(r["ids"]) for r in words.select(TOK.encode(F.col("w")).alias("ids")).collect()]
+
+
+def q_k13_truncate_many(spark, sf):
+    e = examples(spark, sf)
+    cut = truncate_at_stops(TOK.encode(F.col("response"), eos=True), stop_words(spark, sf))
+    return e.select("conv_id", "turn", cut.alias("ids")).select("conv_id", "turn", F.size("ids").cast("bigint").alias("n"), ids_md5("ids").alias("ids_md5"))
+
+
 def q_k13_truncate_compat(spark, sf):
     e = examples(spark, sf)
     ids = TOK.encode(F.col("response"), eos=True)
@@ -174,6 +193,7 @@ QUERIES = {
     "j3_fetch_draws": q_j3_fetch_draws,
     "k10_pad_batch": q_k10_pad_batch,
     "k13_truncate_at_stop": q_k13_truncate_at_stop,
+    "k13_truncate_many": q_k13_truncate_many,
     "k13_truncate_compat": q_k13_truncate_compat,
     "p7_extract_response": q_p7_extract_response,
     "p5_format_prompt": q_p5_format_prompt,
@@ -265,6 +285,15 @@ ORACLE = {
                  CASE WHEN p2 > 0 THEN length(substr(s, 1, p2)) - length(replace(substr(s, 1, p2), ',', '')) - 1 ELSE 1000000000 END,
                  len(ids)) AS k FROM rp)
         SELECT conv_id, turn, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
+    "k13_truncate_many": f"""WITH {_EX},
+        w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 6),
+        rb AS (SELECT conv_id, turn, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
+        ri AS (SELECT conv_id, turn, {_RESP_IDS} AS ids FROM rb),
+        m AS (SELECT conv_id, turn, octet_length(encode(substr(response, 1, strpos(response, w) - 1))) AS st, octet_length(encode(w)) AS n
+              FROM ex, w WHERE strpos(response, w) > 0),
+        f AS (SELECT conv_id, turn, arg_min(st, (st + n) * 1000000 - n) AS st FROM m GROUP BY conv_id, turn),
+        rk AS (SELECT ri.conv_id, ri.turn, ids, coalesce(f.st, len(ids)) AS k FROM ri LEFT JOIN f ON f.conv_id = ri.conv_id AND f.turn = ri.turn)
+        SELECT conv_id, turn, CAST(k AS BIGINT) AS n, {_md5('list_slice(ids, 1, k)')} AS ids_md5 FROM rk""",
     "k13_truncate_compat": f"""WITH {_EX},
         rb AS (SELECT conv_id, turn, hex(encode(response)) AS hx, octet_length(encode(response)) AS l FROM ex),
         ri AS (SELECT conv_id, turn, {_RESP_IDS} AS ids FROM rb),

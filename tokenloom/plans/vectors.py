@@ -12,7 +12,7 @@ from tokenloom.functions.quant import (fsq, fsq_bound, fsq_codes, fsq_codes_to_i
 from tokenloom.functions.scalar import entropy_term, rms_norm, softmax
 from tokenloom.operators.metrics import cross_entropy, validation_loss
 from tokenloom.operators.sampling import sample_tokens
-from tokenloom.operators.vectors import (batch_mmd, code_usage, gaussian_kernel, gram, lfq_long, lfq_losses, mean_pool,
+from tokenloom.operators.vectors import (batch_mmd, code_usage, gaussian_kernel, gram, lfq_long, lfq_losses, mean_pool, nearest_codes,
                                          salience)
 from tokenloom.plans.common import SEED, r, table, u_sql
 
@@ -84,6 +84,14 @@ def q_a6_sq_dist(spark, sf):
                     (F.array_position("dist", mn) - 1).cast("bigint").alias("argmin"))
 
 
+def q_a6_nearest_code(spark, sf):
+    """Every vector against a codebook table: the vectors whose id leaves 3 modulo 8."""
+    e = emb(spark, sf)
+    book = e.where(F.col("vec_id") % 8 == 3).select(F.col("vec_id").alias("code"), "embedding")
+    n = nearest_codes(e.where(F.col("vec_id") % 8 != 3), "vec_id", "embedding", book, "code", "embedding")
+    return n.select("vec_id", "code", r("distance").alias("distance"))
+
+
 def _losses(spark, sf):
     return lfq_losses(batched(spark, sf), "vec_id", "embedding", BITS, CODEBOOKS, batch="batch")
 
@@ -247,6 +255,7 @@ QUERIES = {
     "j4_pairwise": q_j4_pairwise,
     "a5_mean_pool": q_a5_mean_pool,
     "a6_sq_dist": q_a6_sq_dist,
+    "a6_nearest_code": q_a6_nearest_code,
     "a7_lfq_entropy": q_a7_lfq_entropy,
     "a8_lfq_commit": q_a8_lfq_commit,
     "a9_lfq_loss": q_a9_lfq_loss,
@@ -348,6 +357,9 @@ ORACLE = {
     "a5_mean_pool": f"WITH {_UN} SELECT label, CAST(pos AS BIGINT) AS pos, round(avg(x), 6) AS mean FROM un GROUP BY label, pos",
     "a6_sq_dist": f"""WITH {_LFQ} SELECT vec_id, CAST(cb AS BIGINT) AS codebook, round(min(d), 6) AS min_dist,
         CAST(arg_min(code, d) AS BIGINT) AS argmin FROM dist GROUP BY vec_id, cb""",
+    "a6_nearest_code": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        d AS (SELECT a.vec_id, b.vec_id AS code, list_distance(a.v, b.v) AS d FROM e a, e b WHERE a.vec_id % 8 <> 3 AND b.vec_id % 8 = 3)
+        SELECT vec_id, arg_min(code, (d, code)) AS code, round(min(d) * min(d), 6) AS distance FROM d GROUP BY vec_id""",
     "a7_lfq_entropy": f"""WITH {_LFQ} SELECT batch, round(per_sample_entropy, 6) AS per_sample_entropy,
         round(codebook_entropy, 6) AS codebook_entropy, round(entropy_aux_loss, 6) AS entropy_aux_loss FROM lo""",
     "a8_lfq_commit": f"WITH {_LFQ} SELECT batch, round(commit_loss, 6) AS commit_loss FROM lo",

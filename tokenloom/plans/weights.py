@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenloom.functions.quant import int4_code, pack_nibbles, quantize_weight, unpack_nibbles
-from tokenloom.operators.vectors import quant_params
+from tokenloom.operators.vectors import quant_error, quant_params
 from tokenloom.plans.common import r, table
 
 BITS = 4
@@ -42,9 +42,8 @@ def q_c11_quantize_weight(spark, sf):
 
 def q_a14_quant_error(spark, sf):
     """Σ (w - q)^2 with diagonal weights 1 / scale^2 per group."""
-    j = _coded(spark, sf)
-    e = ((F.col("l_extendedprice") - F.col("deq")) / F.col("scale")) ** 2
-    return j.groupBy("l_suppkey").agg(r(F.sum(e)).alias("error"), F.count(F.lit(1)).cast("bigint").alias("n"))
+    e = quant_error(_coded(spark, sf), ["l_suppkey"], F.col("l_extendedprice") / F.col("scale"), F.col("deq") / F.col("scale"))
+    return e.select("l_suppkey", r("error").alias("error"), "n")
 
 
 def q_c12_pack_nibbles(spark, sf):
