@@ -23,6 +23,15 @@ def q_s2_corpus_jsonl_gz(spark, sf):
     return d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 
+def q_s1_row_ids(spark, sf):
+    """JSON lines without ids, as a web corpus has them: rows are numbered by file and position."""
+    path = scratch_path(spark, "corpus-bare")
+    d = table(spark, sf, "documents").select("doc_id", "text", "source").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    d.select("text", F.col("source").alias("url")).write.json(path)
+    r = read_corpus(spark, path, "json")
+    return r.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def _stream(spark, sf):
     path = scratch_path(spark, "tokenstream")
     ch = packed_chunks(spark, sf)
@@ -69,6 +78,7 @@ def q_s6_packed_source(spark, sf):
 
 
 QUERIES = {
+    "s1_row_ids": q_s1_row_ids,
     "s2_corpus_jsonl_gz": q_s2_corpus_jsonl_gz,
     "s3_token_stream_sink": q_s3_token_stream_sink,
     "s4_token_stream_source": q_s4_token_stream_source,
@@ -80,6 +90,7 @@ QUERIES = {
 _K4 = CORPUS_ORACLE["k4_pack"]
 _CH = _K4[:_K4.rindex("SELECT")]
 ORACLE = {
+    "s1_row_ids": "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS doc_id, md5(text) AS text_md5 FROM documents",
     "s2_corpus_jsonl_gz": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "s3_token_stream_sink": _CH + "SELECT split, CAST(sum(n) AS BIGINT) AS n_tokens FROM chunkf GROUP BY split",
     "s4_token_stream_source": _K4,

@@ -36,6 +36,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
+    # fixed before the session starts: a running session refuses to change it
+    if SparkSession.getActiveSession() is None and not _configured("spark.checkpoint.dir") and re.match(r"local(\[|$)", master or f"local[{cpus}]"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tokenloom-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -49,8 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        d = tempfile.mkdtemp(prefix="tokenloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="tokenloom-ckpt-")
+        _LOCAL[spark.sparkContext.applicationId] = d
     try:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(d)
@@ -59,6 +62,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Folders of local sessions that were started by others without one; their setting can't be changed any more.
+_LOCAL: dict[str, str | None] = {}
+
+
+def _configured(key: str) -> bool:
+    """Whether Spark's own configuration (its files, and what was submitted) sets a key."""
+    from pyspark import SparkConf, SparkContext
+    SparkContext._ensure_initialized()
+    return bool(SparkConf().get(key, None))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, unless PYTHONPATH already names it."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

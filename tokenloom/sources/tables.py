@@ -4,29 +4,58 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line with any text of a text source ('' if there is none): the scan stops there."""
+    row = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return row[0]["value"] if row else ""
+
+
+def number_rows(scan: DataFrame, out: str, probe: str) -> DataFrame:
+    """Dense row numbers from 0 in the order of (file, position in it), whatever the splits of the scan.
+
+    Rows of one split (file, first byte) are consecutive in a task, so a row's number is its split's
+    first number plus its distance from the split's first row.  A narrow pass over ``probe`` counts the rows
+    of each split; splits are added up per file and files in their order (no more rows than the file
+    listing that the scan plan holds).  The texts are not shuffled.  ``scan`` must be a file scan.
+    """
+    at = F.monotonically_increasing_id()
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), at.alias("_at")]
+    # the column is read, so that lines without it are counted as the scan itself counts them
+    splits = scan.select(*where, F.col(probe).isNull().alias("_null")).groupBy("_file", "_block").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"), F.count("_null"))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+    before = lambda c, order, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("_file", before("_rows", "_file").alias("_base"))
+    starts = splits.withColumn("_in", before("_n", "_block", "_file")).join(files, "_file").select("_file", "_block", (F.col("_base") + F.col("_in") - F.col("_first")).alias("_shift"))
+    rows = scan.select(*scan.columns, *where)
+    return rows.join(starts, ["_file", "_block"]).select(*scan.columns, (F.col("_shift") + F.col("_at")).alias(out))
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text",
                 id_col: str | None = "doc_id", min_partitions: int | None = None, schema: str | None = None) -> DataFrame:
     """Read a text corpus.  parquet/json/text; JSON lines are read with a
-    schema (id and text unless given), never by a pass that infers one.
-    ``.json.gz`` shards are not splittable, so they are repartitioned after the
-    scan when asked.  Without an id column the id is a 60-bit digest of the file
-    name and the text, the same for any partitioning."""
+    schema (id and text unless given), never by a pass that infers one: the first line says whether
+    they carry the id.  ``.json.gz`` shards are not splittable, so they are repartitioned after the
+    scan when asked.  Rows without an id column are numbered from 0 by file and position, so that
+    equal rows have different ids and any partitioning gives the same ones."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "json":
-        df = spark.read.schema(schema or f"{id_col} bigint, {text_col} string" if id_col else schema or f"{text_col} string").json(path)
+        if schema is None:
+            carried = id_col and spark.range(1).select(F.array_contains(F.json_object_keys(F.lit(first_line(spark, path))), id_col)).first()[0]
+            schema = f"{id_col} bigint, {text_col} string" if carried else f"{text_col} string"
+        df = spark.read.schema(schema).json(path)
     elif fmt == "text":
         df = spark.read.text(path).withColumnRenamed("value", text_col)
     else:
         raise ValueError(f"unknown corpus format {fmt}")
     if id_col and id_col not in df.columns:
-        name = F.concat_ws("\n", F.input_file_name(), F.col(text_col))
-        df = df.withColumn(id_col, F.conv(F.substring(F.sha2(name, 256), 1, 15), 16, 10).cast("bigint"))
+        df = number_rows(df, id_col, text_col)
     if min_partitions:
         df = df.repartition(min_partitions)
     return df.withColumnRenamed(text_col, "text") if text_col != "text" else df
