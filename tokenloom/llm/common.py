@@ -7,13 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.session import ensure_checkpoint_dir
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; an unset one is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return path.rstrip("/")
+    """The shared folder that the cluster names (a local session without one has its own); elsewhere an unset one is an error."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
