@@ -14,6 +14,7 @@ from tokenloom.operators.offsets import running_offset
 from tokenloom.operators.tokenize import encode_words, token_to_id, vocab_size
 from tokenloom.plans.common import SEED, h_sql, r, table
 from tokenloom.session import scratch_path
+from tokenloom.sources.cache import AnswerCache
 from tokenloom.sources.tables import read_vocab, write_eval, write_vocab
 
 GLOBS = ["*ring", "red *", "s?all*", "[bg]lue*", "[!a-m]*widget"]
@@ -93,6 +94,19 @@ def q_j5_with_cache(spark, sf):
     return out.select("item_id", "score", "from_cache")
 
 
+def q_j5_persistent_cache(spark, sf):
+    """Two runs over the benchmark's items with one stored cache: the first asks for half of them, the
+    second for all; then the cache is compacted and a third run must find everything there."""
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    cache = AnswerCache(spark, scratch_path(spark, "answers"), "item_id", "score bigint")
+    score = lambda m: m.select("item_id", F.length("text").cast("bigint").alias("score"))
+    cache.lookup(b.where(F.pmod(h48(SEED, F.col("item_id")), F.lit(2)) == 0), score)
+    second = cache.lookup(b, score).select(F.lit(2).cast("bigint").alias("run"), "item_id", "score", "from_cache")
+    cache.compact()
+    third = cache.lookup(b, score).select(F.lit(3).cast("bigint").alias("run"), "item_id", "score", "from_cache")
+    return second.unionByName(third)
+
+
 def q_j6_overlay(spark, sf):
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
     patch = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
@@ -151,6 +165,7 @@ QUERIES = {
     "t4_vocab_size": q_t4_vocab_size,
     "s11_read_vocab": q_s11_read_vocab,
     "j5_with_cache": q_j5_with_cache,
+    "j5_persistent_cache": q_j5_persistent_cache,
     "j6_overlay": q_j6_overlay,
     "a18_eval_rollup": q_a18_eval_rollup,
     "a19_bootstrap_se": q_a19_bootstrap_se,
@@ -198,6 +213,8 @@ ORACLE = {
     "s11_read_vocab": f"WITH {_VOCAB} SELECT token, CAST(id AS BIGINT) AS id, is_special FROM vocab",
     "j5_with_cache": f"""SELECT item_id, CAST(CASE WHEN {h_sql('item_id')} % 2 = 0 THEN octet_length(encode(text)) ELSE length(text) END AS BIGINT)
         AS score, {h_sql('item_id')} % 2 = 0 AS from_cache FROM benchmark""",
+    "j5_persistent_cache": f"""SELECT CAST(run AS BIGINT) AS run, item_id, CAST(length(text) AS BIGINT) AS score,
+        run = 3 OR {h_sql('item_id')} % 2 = 0 AS from_cache FROM benchmark, range(2, 4) t(run)""",
     "j6_overlay": """SELECT coalesce(c.c_custkey, s.s_suppkey) AS key, CASE WHEN s.s_suppkey IS NOT NULL THEN s.s_acctbal ELSE c.c_acctbal END
         AS value, s.s_suppkey IS NOT NULL AS patched FROM customer c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey""",
     "a18_eval_rollup": f"""WITH {_SCORES} SELECT task, round(avg(score), 6) AS acc, CAST(count(*) AS BIGINT) AS n,
