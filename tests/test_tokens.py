@@ -248,3 +248,12 @@ def test_uniform_mixture(spark):
     counts = [sum(r.source == f"s{k}" for r in got) for k in range(3)]
     assert len(got) == 300 and min(counts) > 70
     assert mix(df.limit(0), "source", "doc_id", None, 10, 5).collect() == []
+
+
+def test_observed_totals(spark):
+    from pyspark.sql import Observation
+    from tokenloom.operators.metrics import observe_totals
+    df = spark.createDataFrame([(1, 3), (2, 5), (3, 1)], "id long, len int").repartition(3)
+    seen, none = Observation("some"), Observation("none")
+    assert observe_totals(df, seen).count() == 3 and seen.get == {"rows": 3, "tokens": 9, "longest": 5}
+    assert observe_totals(df.where("id > 9"), none).collect() == [] and none.get == {"rows": 0, "tokens": 0, "longest": 0}

@@ -7,7 +7,7 @@ sums from ``running_offset`` and bounded frames from ``halo_window``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48
@@ -243,7 +243,8 @@ def score_examples(df: DataFrame, score_fn, key: str, text: str, task: str | Non
     return src.mapInPandas(run, f"{key} bigint, task string, score double")
 
 
-def observe_totals(df: DataFrame, name: str, length: str = "len") -> DataFrame:
-    """scalar statistics collected while the data flows (rows, tokens),
-    read from ``Observation.get`` after the action; no extra job."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.sum(length).alias("tokens"))
+def observe_totals(df: DataFrame, metric: Observation, length: str = "len") -> DataFrame:
+    """scalar statistics collected while the data flows (rows, tokens, the longest row), read from
+    ``metric.get`` after the action; no extra job."""
+    return df.observe(metric, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(length), F.lit(0)).cast("bigint").alias("tokens"),
+                      F.coalesce(F.max(length), F.lit(0)).cast("bigint").alias("longest"))

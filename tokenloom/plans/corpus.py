@@ -4,10 +4,11 @@ windows, mixture and calibration blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48
+from tokenloom.operators.metrics import observe_totals
 from tokenloom.operators.offsets import bucket_plan, contiguous_shards, hash_bucket, input_bytes, running_offset
 from tokenloom.operators.packing import assign_shards, blocks, calibration_blocks, chunk_groups, pack, token_totals
 from tokenloom.operators.sampling import mix, sample_rows, sample_windows_by_offset, shuffle_blocks, split
@@ -106,6 +107,16 @@ def q_t1_encode_bpe(spark, sf):
     return ids.select("doc_id", F.size("ids").cast("bigint").alias("len"), ids_md5("ids").alias("ids_md5"))
 
 
+def q_f3_observe(spark, sf):
+    """Tokenise and write the corpus once; the numbers of rows, dropped rows and tokens are observed on the way."""
+    read, made = Observation("read"), Observation("made")
+    d = drop_null_text(documents(spark, sf).select("doc_id", "text"), metric=read)
+    observe_totals(tokenize(d, TOK), made).write.parquet(scratch_path(spark, "observed"))
+    row = {**read.get, **{f"out_{k}": v for k, v in made.get.items()}}
+    return spark.createDataFrame([(row["rows"], row["dropped"], row["out_rows"], row["out_tokens"], row["out_longest"])],
+                                 "rows_read bigint, dropped bigint, rows bigint, tokens bigint, longest bigint")
+
+
 def q_t2_decode(spark, sf):
     d = documents(spark, sf)
     dec = TOK.decode(TOK.encode(F.col("text"), bos=True, eos=True))
@@ -210,6 +221,7 @@ QUERIES = {
     "p1_drop_columns": q_p1_drop_columns,
     "t1_encode": q_t1_encode,
     "t1_encode_bpe": q_t1_encode_bpe,
+    "f3_observe": q_f3_observe,
     "t2_decode": q_t2_decode,
     "k1_token_totals": q_k1_token_totals,
     "k2_running_offset": q_k2_running_offset,
@@ -260,6 +272,8 @@ ORACLE = {
     "p1_drop_columns": "SELECT doc_id, lang, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS len FROM documents",
     "t1_encode": f"""SELECT doc_id, CAST(l + 2 AS BIGINT) AS len,
                             {list_md5_sql(byte_ids_sql('text', eos=True, bos=True))} AS ids_md5 FROM {_DOC_BYTES}""",
+    "f3_observe": """SELECT CAST(count(*) AS BIGINT) AS rows_read, CAST(count(*) - count(text) AS BIGINT) AS dropped, CAST(count(text) AS BIGINT) AS rows,
+        CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS tokens, CAST(max(octet_length(encode(text)) + 1) AS BIGINT) AS longest FROM documents""",
     "t2_decode": "SELECT doc_id, md5(text) AS text_md5, true AS roundtrip FROM documents",
     "k1_token_totals": f"""WITH {SPLIT_CTE} SELECT split, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_tokens
                            FROM ds GROUP BY split""",
