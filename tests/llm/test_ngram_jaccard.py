@@ -39,7 +39,8 @@ def test_hot_group_makes_few_products(spark):
         for _ in range(rnd.choice([1, 1, 1, 3, 4])):
             w[rnd.randrange(150)] = f"x{i}-{rnd.random()}"
         rows.append((i, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string, key string, size int".replace(", key string, size int", ""))
+    wide = [(*r, f"k{r[0]}", -1) for r in rows]  # columns with the names of the join's own
+    df = spark.createDataFrame(wide, "doc_id long, text string, key string, size int")
     assert result(N.classes_of(df)) == brute.ngram_classes(rows)
 
 

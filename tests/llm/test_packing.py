@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from tokenizers import Tokenizer
 
 from tokenloom.llm import best_fit_packing as P
 from tokenloom.llm import bpe
@@ -43,8 +44,9 @@ def test_pack(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choice(["the", "of", "blorf", "é!", "x"]) for _ in range(rnd.randint(0, 90)))) for i in range(150)]
     rows += [(900, None), (901, ""), (902, "  odd  white\n\n space"), (903, "word " * 900), (903, "word " * 900)]
-    got = [r.asDict() for r in P.pack(spark.createDataFrame(rows, "doc_id long, text string, piece string, bucket string".replace(", piece string, bucket string", "")).repartition(3), max_len=64).collect()]
-    lib = bpe.Encoder(bpe.tokenizer_path()).lib
+    wide = [(*r, f"p{r[0]}", None, 7) for r in rows]  # columns with the names of the packing's own
+    got = [r.asDict() for r in P.pack(spark.createDataFrame(wide, "doc_id long, text string, piece string, bucket string, length int").repartition(3), max_len=64).collect()]
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
     want = []
     for i, t in rows:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from tests.llm import brute
@@ -66,7 +67,7 @@ def test_leaks(spark, outputs):
 
 def test_packing(outputs):
     got = outputs[5].collect()
-    lib = bpe.Encoder(bpe.tokenizer_path()).lib
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
     sizes = {d: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in rows(outputs[4])}
     per = {}
     for r in got:

@@ -5,7 +5,8 @@ between two visible characters always starts a new pre-token, and a pre-token's
 ids do not depend on its neighbours.  So a regular text is the concatenation of
 the ids of its " word" pieces: each piece is encoded by the library once per
 worker and looked up afterwards.  Texts with other white space, control
-characters or scripts beyond Latin letters are encoded whole by the library.
+characters, scripts beyond Latin letters or the string of an added token are encoded
+whole by the library, whose settings are left as they are.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        #: Strings of added tokens: the library takes them out of a text first, so texts that hold one go to it whole.
+        self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         line = self.whole(["\n"])[0]
         self.line = int(line[0]) if len(line) == 1 else None
         self.forget()
@@ -113,7 +115,8 @@ class Encoder:
             b = raw[off[i]:off[i + 1]]
             if not b:
                 continue
-            if (self.line is None or odd[i] != odd[i + 1] or b[0] in b" \n" or b[-1] in b" \n" or b"  " in b or b" \n" in b or b"\n " in b or b"\n\n" in b):
+            if (self.line is None or odd[i] != odd[i + 1] or b[0] in b" \n" or b[-1] in b" \n" or b"  " in b or b" \n" in b or b"\n " in b or b"\n\n" in b
+                    or any(t in b for t in self.added)):
                 rest.append(i)
                 continue
             w = b.decode().replace("\n", " \n").split(" ")
