@@ -13,12 +13,13 @@ def brute(docs, items):
         w = words(t)
         for i, s in items.items():
             b = words(s)
-            best = 0
-            for shift in range(-len(b), len(w)):
-                hit = any(all(0 <= shift + j + o < len(w) and w[shift + j + o] == b[j + o] for o in m) for j in range(len(b) - D.SPAN + 1) for m in D.MASKS if 0 <= shift + j and shift + j + D.SPAN <= len(w))
-                if hit:
-                    best = max(best, sum(0 <= shift + k < len(w) and w[shift + k] == x for k, x in enumerate(b)))
-            need = min(-(-len(b) * 3 // 5), D.ENOUGH)
+            best, n = 0, min(len(b), D.WINDOW)
+            for j in range(len(b) - D.SPAN + 1):
+                for at in range(len(w) - D.SPAN + 1):
+                    if any(all(w[at + o] == b[j + o] for o in m) for m in D.MASKS):
+                        lo = max(0, min(j - D.BEFORE, len(b) - D.WINDOW))
+                        best = max(best, sum(0 <= at - j + k < len(w) and w[at - j + k] == b[k] for k in range(lo, lo + n)))
+            need = -(-n * 3 // 5)
             if best >= need and best:
                 out.setdefault(d, []).append((i, best))
     return {d: (len(v), min(i for i, _ in v), max(x for _, x in v)) for d, v in out.items()}
@@ -47,6 +48,34 @@ def test_equals_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in D.clean(df, bench).collect()} == {d for d, _ in docs} - set(want)
     monkeypatch.setattr(D, "BLOCK_WORDS", 60)
     assert read() == want
+    monkeypatch.setattr(D, "PART_WORDS", 11)  # items over several parts, parts over several blocks
+    assert read() == want
+
+
+def zipf_text(rnd, n):
+    return [f"z{k}" for k in rnd.choices(range(4000), [1 / (k + 2) for k in range(4000)], k=n)]
+
+
+def test_long_items_need_a_local_overlap(spark):
+    """Twenty long texts against one long item: ten share a nine-word phrase only, ten a passage with substitutions."""
+    rnd = random.Random(3)
+    item = zipf_text(rnd, 2500)
+    docs = []
+    for d in range(20):
+        w = zipf_text(rnd, 2500)
+        at, j = rnd.randrange(100, 2300), rnd.randrange(100, 2300)
+        passage = item[j:j + (9 if d < 10 else 40)]
+        if d >= 10:
+            passage = [x if k % 6 != 4 else "sub" for k, x in enumerate(passage)]
+        else:  # what follows must differ
+            passage = ["left", *passage, "right"]
+        w[at:at + len(passage)] = passage
+        docs.append((d, " ".join(w)))
+    docs.append((30, " ".join(item[2380:])))  # the end of the item
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"] for r in D.contaminated(df, bench).collect()}
+    assert got == {d for d in range(10, 20)} | {30}
 
 
 def test_empty_and_clashing(spark):

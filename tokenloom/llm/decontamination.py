@@ -2,15 +2,17 @@
 
 A seed is a fixed mask over a span of words; only its care positions are
 hashed, so substitutions at the others do not matter.  Seeds of every position
-of every text are joined with those of the benchmark items; around a hit the
-item is laid along the text and words that agree on that diagonal are counted,
-at substituted places too.  A text overlaps an item when ``need`` words agree:
-``SHARE`` of the item, at most ``ENOUGH`` words.
+of every text are joined with those of the benchmark items; around a hit ``WINDOW``
+words of the item (``BEFORE`` of them before the seed, or the whole of a shorter item) are laid
+along the text and those that agree are counted, at substituted places too.  A text
+overlaps an item when ``SHARE`` of some window agrees.  Agreement by chance far from the
+hit does not count, however long the item.
 
 Hits are verified where they arise, in the task that holds the text: neither
 texts nor seeds are shuffled, only (document, item, agreement) rows after a
-partial aggregation.  The seeds of the items are broadcast in blocks of at most
-``BLOCK_WORDS`` item words, so a larger benchmark means more passes, not a
+partial aggregation.  Items are cut into parts of ``PART_WORDS`` words (with the words around
+them that windows need), and the seeds of parts are broadcast in blocks of about
+``BLOCK_WORDS`` item words, so a larger benchmark or a longer item means more passes, not a
 larger broadcast.
 
 Words: lower case, ASCII marks are separators.  Null texts, and items without
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 4, 5, 7, 8), (0, 1, 2, 4, 7, 8))
 SPAN = 9
 SHARE = 0.6
-ENOUGH = 12
+WINDOW, BEFORE = 20, 5
+PART_WORDS = 2_000
 BLOCK_WORDS = 100_000
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r"
@@ -49,23 +52,30 @@ def _seeds(df: DataFrame, at: str) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, agreeing words, item words) of every text that overlaps an item."""
+    """(id, item_id, agreeing words of the best window, item words) of every text that overlaps an item."""
     items = (benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).groupBy(F.col(item_col).alias("item")).agg(F.min(item_text).alias("t"))
              .select("item", words(F.col("t")).alias("w")).where(F.size("w") >= SPAN))
     total = items.agg(F.sum(F.size("w"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_WORDS))
+    part = lambda at: F.floor(F.col(at) / PART_WORDS).cast("int")
+    base = F.greatest(F.col("part") * PART_WORDS - WINDOW, F.lit(0))
+    parts = items.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PART_WORDS).cast("int"))))
+    parts = parts.select("item", "part", F.size("w").alias("item_words"), base.alias("base"), F.slice("w", base + 1, F.lit(PART_WORDS + SPAN + 2 * WINDOW)).alias("iw"))
+    seeds = _seeds(items, "j").select("seed", "item", "j", part("j").alias("part")).distinct()
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    own = F.pmod(F.xxhash64("item", "part"), F.lit(blocks))
+    length = F.least(F.col("item_words"), F.lit(WINDOW))
+    first = F.greatest(F.least(F.col("j") - BEFORE, F.col("item_words") - WINDOW), F.lit(0))
+    agree = F.size(F.filter(F.sequence(F.col("lo"), F.col("lo") + length - 1), lambda k: F.get("w", F.col("i") - F.col("j") + k) == F.get("iw", k - F.col("base"))))
     found = []
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
-        seeds = _seeds(block, "j").select("seed", "item", "j").distinct()
-        full = block.select("item", F.col("w").alias("iw"))
-        agree = F.size(F.filter(F.sequence(F.lit(0), F.size("iw") - 1), lambda k: F.get("w", F.col("i") - F.col("j") + k) == F.get("iw", k)))
-        found.append(_seeds(texts, "i").join(F.broadcast(seeds), "seed").join(F.broadcast(full), "item")
-                     .select("id", "item", agree.alias("agree"), F.size("iw").alias("item_words"))
-                     .where(F.col("agree") >= F.least(F.ceil(F.col("item_words") * SHARE), F.lit(ENOUGH)))
+        hits = _seeds(texts, "i").join(F.broadcast(seeds.where(own == b)), "seed").join(F.broadcast(parts.where(own == b)), ["item", "part"])
+        found.append(hits.withColumn("lo", first).select("id", "item", agree.alias("agree"), "item_words")
+                     .where(F.col("agree") >= F.ceil(length * SHARE))
                      .groupBy("id", "item", "item_words").agg(F.max("agree").alias("agree")))
-    return reduce(DataFrame.unionByName, found).select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("agree").alias("agreeing_words"), "item_words")
+    # an item's parts may lie in several blocks
+    out = found[0] if blocks == 1 else reduce(DataFrame.unionByName, found).groupBy("id", "item", "item_words").agg(F.max("agree").alias("agree"))
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("agree").alias("agreeing_words"), "item_words")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
@@ -93,9 +103,9 @@ dp AS (SELECT doc_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS i FROM dw WHER
 bp AS (SELECT item_id, w, unnest(range(0, len(w) - {SPAN - 1})) AS j FROM bw WHERE len(w) >= {SPAN}),
 ds AS ({seed.format(id="doc_id", at="i", src="dp")}),
 bs AS ({seed.format(id="item_id", at="j", src="bp")}),
-hit AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i - bs.j AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
-v AS (SELECT hit.doc_id, hit.item_id, len(bw.w) AS item_words,
-        len(list_filter(range(0, len(bw.w)), lambda k: shift + k >= 0 AND dw.w[shift + k + 1] = bw.w[k + 1])) AS agree
-      FROM hit JOIN dw USING (doc_id) JOIN bw USING (item_id)),
-ok AS (SELECT doc_id, item_id, max(agree) AS agree FROM v WHERE agree >= least(ceil(item_words * {SHARE}), {ENOUGH}) GROUP BY ALL)
+hit AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.i - bs.j AS shift, bs.j FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+win AS (SELECT hit.*, dw.w, bw.w AS iw, greatest(least(j - {BEFORE}, len(bw.w) - {WINDOW}), 0) AS lo, least(len(bw.w), {WINDOW}) AS n
+        FROM hit JOIN dw USING (doc_id) JOIN bw USING (item_id)),
+v AS (SELECT doc_id, item_id, n, len(list_filter(range(lo, lo + n), lambda k: shift + k >= 0 AND w[shift + k + 1] = iw[k + 1])) AS agree FROM win),
+ok AS (SELECT doc_id, item_id, max(agree) AS agree FROM v WHERE agree >= ceil(n * {SHARE}) GROUP BY ALL)
 SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, CAST(max(agree) AS INTEGER) AS agreeing_words FROM ok GROUP BY doc_id"""
