@@ -102,12 +102,15 @@ def licence(text, phrases, notices, block, threshold):
         at = [k for k in range(len(w) - len(p) + 1) if w[k:k + len(p)] == p]
         places += at
         base |= {label} if at else set()
-    half = block // 2
     labels, best = set(base), 0.0
-    for b in range(max(1, -(-len(w) // half) - 1)):
-        have = set(w[b * half:b * half + block])
-        for label, t in notices:
-            t = set(ALNUM.findall(t.translate(LOWER)))
+    for label, t in notices:
+        t = ALNUM.findall(t.translate(LOWER))
+        half = block // 2
+        while half < len(t):
+            half *= 2
+        t = set(t)
+        for b in range(max(1, -(-len(w) // half) - 1)):
+            have = set(w[b * half:(b + 2) * half])
             if len(have & t) >= threshold * len(t) - 1e-9:
                 labels.add(label)
                 best = max(best, len(have & t) / len(t))
