@@ -100,12 +100,12 @@ def test_toxic_model_equals_dictionaries(spark):
         cells = (c[0], c[1], size - c[0], size - c[1])
         rows = (c[0] + c[1], 2 * size - c[0] - c[1])
         g2 = 2 * sum(n * log(n / (rows[k // 2] / 2)) for k, n in enumerate(cells) if n)
-        return g2 >= toxicity.EVIDENCE and c[1] >= toxicity.RATIO * c[0]
+        return g2 >= toxicity.EVIDENCE and (c[1] >= toxicity.RATIO * c[0] or c[0] >= toxicity.RATIO * c[1])
 
     kept_words = {w for w in shared if strong([alone[w, y] for y in (0, 1)])}
     kept_pairs = {(a, b) for a, b, _ in pairs if strong([holds[a, b, y] for y in (0, 1)])}
     kept_stems = {s for s, _ in stems if s and strong([held_stems[s, y] for y in (0, 1)])}
-    assert {"rotten", "vile"} <= kept_words and b"rott" in kept_stems and not kept_words & set(good_words)
+    assert {"rotten", "vile", "lovely", "nice"} <= kept_words and b"rott" in kept_stems and not kept_words & {"the", "common", "words"}
 
     def discount(c):
         n1, n2 = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
@@ -163,3 +163,22 @@ def test_a_very_long_document_does_not_empty_the_training(spark):
     assert len(got) == len(rows) and all(said[i] == i % 2 for i in range(2, 200))
     assert quality_crf.fitting([0, 1, 0, 1, 1], [5, 90, 4, 3, 60], 100) == [0, 2, 3, 4]
     assert quality_crf.draw_limit(10 ** 12) > 1 and quality_crf.draw_limit(10) == 1 << 53
+
+
+def test_ordinary_expressions_speak_for_the_ordinary_class(spark):
+    """A text with wording that only ordinary texts have scores below one of plain words, a toxic one above it."""
+    import random
+    rnd = random.Random(2)
+    plain = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(600):
+        w = rnd.choices(plain, k=30)
+        toxic = i % 2
+        if rnd.random() < 0.6:
+            w[rnd.randrange(30)] = "vile" if toxic else "lovely"
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    probe = {1000 + k: " ".join([*plain[:3], x, *plain[4:6]]) for k, x in enumerate(("lovely", plain[3], "vile"))}
+    docs = spark.createDataFrame(rows + list(probe.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id >= 1000").collect()}
+    assert got[1000] < got[1001] < got[1002]

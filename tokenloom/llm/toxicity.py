@@ -8,9 +8,9 @@ texts, share their lowest order: the word distribution of the whole corpus.
 
 c counts pairs in the training texts, N counts the distinct left neighbours
 of a word (Kneser-Ney continuation counts) and L is the mass that is left.  The first
-terms are kept for expressions that are typical of the toxic class (``EVIDENCE``,
-``RATIO``); all others, the rare ones above all, back off to the shared counts, which
-cancel.  Words without a term of their own pass through one more backoff, a
+terms are kept for expressions that are typical of one of the classes (``EVIDENCE``,
+``RATIO``), toxic or ordinary; all others, the rare ones above all, back off to the shared
+counts, which cancel.  Words without a term of their own pass through one more backoff, a
 Kneser-Ney distribution of their stems (first ``STEM`` bytes), so that unseen
 forms of a known expression count.  A text's feature is the mean over its words
 of log P_toxic - log P_ordinary, above that of a plain word at the same place; a one-feature
@@ -45,7 +45,7 @@ from .common import written
 SAMPLE = 3000
 SAMPLE_WORDS = 4_000_000
 #: Expressions have a class term if texts of the two classes hold them differently (G squared of at
-#: least EVIDENCE) and toxic ones at least RATIO times as often; the others are left to the shared backoff.
+#: least EVIDENCE) and those of one class at least RATIO times as often; the others are left to the shared backoff.
 EVIDENCE = 24.0
 RATIO = 3.0
 #: Bytes of a word's stem (words no longer have none), and the step of the score's feature.
@@ -156,7 +156,7 @@ def strong(sizes: dict[int, int]):
     shares = bad / (bad + good), good / (bad + good)
     held, rest = b + g, F.lit(bad + good) - b - g
     g2 = 2 * (term(b, shares[0], held) + term(g, shares[1], held) + term(bad - b, shares[0], rest) + term(good - g, shares[1], rest))
-    return (g2 >= EVIDENCE) & (b * good >= RATIO * g * bad)
+    return (g2 >= EVIDENCE) & ((b * good >= RATIO * g * bad) | (g * bad >= RATIO * b * good))
 
 
 def kept_tables(counts: DataFrame, shared: DataFrame, sizes: dict[int, int]):
@@ -276,8 +276,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model, slope, bias, scale = None, 0.0, 0.0, 1.0
     else:
         share = {c: min(1.0, SAMPLE / n) for c, n in sizes.items()}
-        u = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
-        picked = F.broadcast(known.where(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])))  # about 2 * SAMPLE rows
+        u = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 53))  # fine enough for any number of labels
+        picked = F.broadcast(known.where(u < F.when(F.col("toxic") == 1, share[1] * (1 << 53)).otherwise(share[0] * (1 << 53))))  # about 2 * SAMPLE rows
         texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "id")
                         .withColumn("fold", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(FOLDS))), "toxic-sample")
         learn = texts.where("fold > 0")
