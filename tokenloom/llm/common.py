@@ -15,9 +15,22 @@ def shared_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 
+#: Folders that this process has made under the shared one, the oldest first.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one."""
-    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that nothing reads any more."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(p)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
