@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import best_fit_packing, decontamination, ngram_jaccard, substring_dedup, toxicity
-from tokenloom.llm.common import bounded_batches, documents, table, written
+from tokenloom.llm.common import MADE, bounded_batches, clear, documents, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's table.  Once a stage is written, its working tables and the table it read are removed."""
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES:
+        first = len(MADE)
         docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        clear(spark, before + MADE[first:-1])
+        before = MADE[-1:]
     return docs
