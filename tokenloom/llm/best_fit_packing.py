@@ -1,19 +1,18 @@
 """Best-fit packing of token sequences into sequences of at most ``max_len`` tokens.
 
 A document's ids (with the end id) that exceed ``max_len`` are cut into full
-pieces, the first piece taking the remainder.  Bulk-synchronous best fit:
+pieces, the first piece taking the remainder.
 
-* Range-sort: pieces are ordered by length; a piece's rank among those of its
+* Range-sort: Spark orders pieces by length; a piece's rank among those of its
   length comes from counts per (length, bucket) and a window inside a bucket.
-  There are at most ``max_len`` lengths, whatever the corpus.
-* A superstep sweeps lengths from large to small: the pieces of a length meet
-  their successor gaps (the smallest open gap that holds them), as many as there
-  are, by rank; pieces that are left over go on to the next larger gap, and
-  what finds no gap opens new sequences.  A gap takes one piece length in a
-  sweep step; the gaps are updated and the step repeats until no piece is left.
-* Equal pieces and equal gaps are interchangeable, so a step handles runs of
-  them: (length, ranks) to (gap, sequences).  The plan has a bounded number
-  of runs, and every piece finds its place by joining its length and rank.
+* Equal pieces and equal gaps are interchangeable, so best fit depends on the number of pieces per
+  length alone: at most ``max_len`` numbers, whatever the corpus.  They go to the driver, where
+  ``plan`` sweeps lengths from large to small: the pieces of a length meet their successor gaps
+  (the smallest open gaps that hold them), as many as there are, by rank; the gaps are updated and the
+  step repeats; what finds no gap opens new sequences.  The sweeps are not Spark jobs: each would
+  be a job over some hundred rows, a thousand of them in all.
+* The plan is a bounded number of runs (length, ranks) to (sequences, offset), and every piece
+  finds its place in Spark by joining its length and rank.
 
 The result is the exact best-fit-decreasing packing.
 
