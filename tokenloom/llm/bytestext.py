@@ -36,10 +36,8 @@ HELD: dict[str, object] = {}
 
 
 def _give_back() -> None:
-    """Return freed memory to the system (where the C library can)."""
+    """Return freed memory to the system (where the C library can): a worker lives on after its task."""
     import ctypes
-    import gc
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -66,8 +64,9 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, holds: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of at most ``max_bytes`` of text (one row at least).  ``holds``: the task uses what the worker holds."""
     if not holds and HELD:
+        import gc
         HELD.clear()
-        _give_back()
+        gc.collect()
     data, off = utf8_column(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:
@@ -75,6 +74,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, hol
         j = min(max(j, i + 1), n)
         yield batch.slice(i, j - i), data[off[i]:off[j]], off[i:j + 1] - off[i]
         i = j
+    _give_back()
 
 
 def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -221,10 +221,9 @@ def _ranged(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[Da
     bounds, ranges, buckets = _bounds(docs, id_col, text_col)
     cuts = np.array(bounds, dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def found(ids):
-        import pandas as pd
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype(np.int32))
+    @F.arrow_udf("int")
+    def found(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
 
     sent = docs.select(id_col, text_col).mapInArrow(_sender(id_col, text_col, width, bounds, buckets), "bucket int, hashes binary, ranges binary, codes binary")
     answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, "id_range int, hashes binary")

@@ -183,10 +183,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "
     bounds = sorted({int(c) for c in tokens.approxQuantile("id", [k / parts for k in range(1, parts)], 1 / (8 * parts))}) if parts > 1 else []
     cuts = np.array(bounds, dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(ids):
-        import pandas as pd
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype(np.int32))
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
 
     code = spark.sparkContext.broadcast(lengths)
 
