@@ -46,7 +46,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 
 #: Rows per Arrow batch: whole texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def bounded_batches(spark: SparkSession) -> None:

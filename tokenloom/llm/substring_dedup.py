@@ -38,9 +38,9 @@ from . import bytestext as B
 
 #: Text per id range, and window hashes per bucket (both bounded groups).
 RANGE_BYTES = 4 << 20
-BUCKET_WINDOWS = 1 << 20
+BUCKET_WINDOWS = 1 << 19
 #: Window hashes that a task holds before it sends them.
-HOLD = 1 << 20
+HOLD = 1 << 19
 _NULL_ID = -(1 << 63)
 _RANGE = "__tl_id_range"
 
@@ -59,12 +59,13 @@ def _hash_windows(data, off, width):
     """Word bounds, first word per document, window hashes and their first words; hashed slice by slice."""
     out, i, n = [], 0, len(off) - 1
     seen = 0
+    place = np.int32 if len(data) < 1 << 31 else np.int64  # places are most of what a group holds
     while i < n:
         j = min(max(int(np.searchsorted(off, off[i] + B.SLICE_BYTES, side="right")) - 1, i + 1), n)
         part = data[off[i]:off[j]]
         starts, ends, first = B.words(part, off[i:j + 1] - off[i], B.SPACED)
         h, at = B.window_hashes(B.word_hashes(part, starts, ends), first, width)
-        out.append((starts + off[i], ends + off[i], first[:-1] + seen, h, at + seen))
+        out.append(((starts + off[i]).astype(place), (ends + off[i]).astype(place), first[:-1] + seen, h, (at + seen).astype(place)))
         seen += len(starts)
         i = j
     if not out:
@@ -156,6 +157,7 @@ def _removed(ids: np.ndarray, data, off, width, known: np.ndarray):
         sh, sd = h[order], doc[order]
         new = np.concatenate(([True], sh[1:] != sh[:-1]))
         bad[order] |= sd > sd[np.flatnonzero(new)][np.cumsum(new) - 1]
+        del order, sh, sd, new, doc, h
         cover = np.zeros(len(starts) + 1, np.int32)
         np.add.at(cover, at[bad], 1)
         np.add.at(cover, at[bad] + width, -1)
