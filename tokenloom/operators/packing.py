@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tokenloom.operators.offsets import running_offset
 
 
+#: Chunks of a part into which long rows are cut before they are cut chunk by chunk.
+SPAN = 4
+
+
 def token_totals(df: DataFrame, part: list[str] | str = "split", length: str = "len") -> DataFrame:
     """K1: total tokens per split (partial + final aggregation)."""
     part = [part] if isinstance(part, str) else part
@@ -52,18 +56,25 @@ def pack(df: DataFrame, chunk_size: int, sep: int, order: list[str] | str, bucke
     if late:
         d = d.withColumn("_ids", ids)
         ids = "_ids"
-    first = F.expr(f"_start div {C}")  # whole-number division: offsets beyond 2**53 stay exact
-    last = F.expr(f"(_start + _len - 1) div {C}")
-    # a row's pieces are cut inside the row (an array of slices, each id once) and
-    # exploded: a row of L ids carries L ids through the explode, not L per chunk
-    d = d.select(*part, "_start", "_len", F.col(ids).alias("_row"), F.sequence(first, last).alias("_cs"))
-    lo = F.transform("_cs", lambda c: F.greatest(F.col("_start"), c * C))
-    hi = F.transform("_cs", lambda c: F.least(F.col("_start") + F.col("_len"), (c + 1) * C))
-    d = d.withColumn("_lo", lo).withColumn("_hi", hi)
-    cuts = F.zip_with("_lo", "_hi", lambda x, y: F.struct(
-        F.call_function("div", x, F.lit(C)).alias("chunk_id"), x.alias("_lo"),
-        F.slice(F.col("_row"), (x - F.col("_start") + 1).cast("int"), (y - x).cast("int")).alias("_p")))
-    pieces = d.select(*part, F.explode(cuts).alias("_c")).select(*part, "_c.chunk_id", "_c._lo", "_c._p")
+    # A row's pieces are cut in two steps: first, inside the row, into parts of SPAN chunks (a row within one part, as
+    # most are, is passed on as it is), then chunk by chunk after an explode that carries at most such a
+    # part.  So a row of L ids carries L ids through the first explode, and the slices per chunk are compiled code
+    # (inside a lambda they would be interpreted, id by id).
+    W = C * SPAN
+    d = d.select(*part, "_start", "_len", F.col(ids).alias("_row"))
+    last = F.col("_start") + F.col("_len") - 1
+    div = lambda x, n: F.call_function("div", x, F.lit(n))  # noqa: E731  whole-number division: offsets beyond 2**53 stay exact
+    cs = F.sequence(div(F.col("_start"), W), div(last, W))
+    parts = F.transform(cs, lambda c: F.struct(
+        F.greatest(F.col("_start"), c * W).alias("_lo"),
+        F.slice(F.col("_row"), (F.greatest(F.col("_start"), c * W) - F.col("_start") + 1).cast("int"),
+                (F.least(F.col("_start") + F.col("_len"), (c + 1) * W) - F.greatest(F.col("_start"), c * W)).cast("int")).alias("_ids")))
+    whole = F.array(F.struct(F.col("_start").alias("_lo"), F.col("_row").alias("_ids")))
+    d = d.select(*part, F.explode(F.when(div(F.col("_start"), W) == div(last, W), whole).otherwise(parts)).alias("_c")).select(*part, "_c._lo", "_c._ids")
+    d = d.withColumn("_end", F.col("_lo") + F.size("_ids"))
+    d = d.withColumn("chunk_id", F.explode(F.sequence(div(F.col("_lo"), C), div(F.col("_end") - 1, C))))
+    a, b = F.greatest("_lo", F.col("chunk_id") * C), F.least("_end", (F.col("chunk_id") + 1) * C)
+    pieces = d.select(*part, "chunk_id", a.alias("_lo"), F.slice("_ids", (a - F.col("_lo") + 1).cast("int"), (b - a).cast("int")).alias("_p"))
     g = pieces.groupBy(*part, "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("_lo", "_p"))).alias("_ps"))
     flat = F.flatten(F.transform("_ps", lambda s: s["_p"]))
