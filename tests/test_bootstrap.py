@@ -68,3 +68,27 @@ def test_tables_and_empty_input(spark):
         lo, cdf = M.poisson_table(n)
         assert cdf[-1] == pytest.approx(1, abs=1e-6) and lo + np.searchsorted(cdf, 0.5) == pytest.approx(n, abs=1)
     assert M.bootstrap_se(spark.createDataFrame([], "task string, score double"), "task", "score", 100).collect() == []
+
+
+def test_every_example_draws_its_own_weight(spark, monkeypatch):
+    monkeypatch.setattr(M, "BOOT_BLOCK", 70)
+    rows = [("a", float(i % 2), i) for i in range(40)] + [("b", 0.5 * (i % 3), i) for i in range(9)] + [("b", None, 50), ("b", 1.0, None), ("a", 1.0, 3), (None, 2.0, 7), (None, 1.0, 8)]
+    df = spark.createDataFrame(rows, "task string, score double, id long").repartition(3)
+    got = {r["task"]: (r["stderr"], r["iters"]) for r in M.bootstrap_se(df, "task", "score", 200, key="id").collect()}
+    key = lambda i: int(hashlib.md5(("42" if i is None else f"42:{i}").encode()).hexdigest()[:12], 16)
+    for task in ("a", "b", None):
+        own = [(s, key(i)) for t, s, i in rows if t == task and s is not None]
+        drawn = [[(s, weight(1, uniform(k, it))) for s, k in own] for it in range(200)]
+        means = [sum(s * w for s, w in d) / sum(w for _, w in d) for d in drawn if sum(w for _, w in d)]
+        assert got[task][1] == len(means) and got[task][0] == pytest.approx(np.std(means, ddof=1), abs=1e-12)
+
+
+def test_the_registered_query_draws_per_example(spark, tmp_path):
+    from tokenloom.plans import lookups
+    spark.createDataFrame([(i, i % 2, int(i < 5)) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["task"]: r["stderr"] for r in lookups.q_a19_bootstrap_se(spark, str(tmp_path)).collect()}
+    scores = lookups.task_scores(spark, str(tmp_path))
+    want = {r["task"]: r["stderr"] for r in M.bootstrap_se(scores, "task", "score", lookups.BOOT_ITERS, key="doc_id").collect()}
+    assert all(got[t] == pytest.approx(want[t], abs=1e-9) for t in want) and set(got) == set(want)
+    grouped = {r["task"]: r["stderr"] for r in M.bootstrap_se(scores, "task", "score", lookups.BOOT_ITERS).collect()}
+    assert got["quality"] != pytest.approx(grouped["quality"], abs=1e-8)

@@ -7,6 +7,10 @@ sums from ``running_offset`` and bounded frames from ``halo_window``.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -131,43 +135,54 @@ def eval_rollup(scores: DataFrame, task: str, score: str, config: dict) -> DataF
 
 #: Iterations of one vector of the bootstrap, and vectors a task holds before it sends them.
 BOOT_BLOCK, BOOT_HOLD = 1 << 13, 512
+#: Examples drawn at a time.
+BOOT_ROWS = 16
+#: Cumulative probabilities of Poisson(1); larger weights than 18 lie beyond the resolution of a draw.
+POISSON1 = list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(18)))
 
 
 def counter_uniforms(key: int, first: int, n: int):
     """``n`` uniforms in (0, 1) of a counter-based generator: the finaliser of ``key`` plus a multiple of
     the counter, 48 bits each; any range of counters can be had by itself."""
     import numpy as np
-    z = np.uint64(key) + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(16)).astype(np.float64) / 2.0 ** 48 + 2.0 ** -49
+    return (_mixed(np.uint64(key), first, n) >> np.uint64(16)).astype(np.float64) / 2.0 ** 48 + 2.0 ** -49
+
+
+def _mixed(key, first: int, n: int):
+    import numpy as np
+    z = key + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
 
 
 def poisson_table(n: int):
     """(least count, cumulative probabilities) of Poisson(n) within 12 standard deviations: O(sqrt n) entries."""
-    import math
-
     import numpy as np
     lo, hi = max(0, int(n - 12 * n ** 0.5 - 20)), int(n + 12 * n ** 0.5 + 40)
     logs = np.concatenate(([lo * math.log(n) - n - math.lgamma(lo + 1)], math.log(n) - np.log(np.arange(lo + 1, hi + 1))))
     return lo, np.cumsum(np.exp(np.cumsum(logs)))
 
 
+def _boot_batch(held: dict):
+    """The vectors held so far as one batch; they are let go."""
+    import pyarrow as pa
+    rows = list(held.items())
+    held.clear()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()),
+         pa.array([v[0] for _, v in rows], pa.list_(pa.float64())), pa.array([v[1] for _, v in rows], pa.list_(pa.float64()))],
+        names=["task", "block", "sums", "weights"])
+
+
 def _boot_partials(iters: int):
     """Arrow batches of (task, score, n, key, block) -> weighted sums and weights per iteration of a (task, block)."""
     def run(batches):
         import numpy as np
-        import pyarrow as pa
         held, tables = {}, {}
-
-        def send():
-            rows = list(held.items())
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()),
-                 pa.array([v[0] for _, v in rows], pa.list_(pa.float64())), pa.array([v[1] for _, v in rows], pa.list_(pa.float64()))],
-                names=["task", "block", "sums", "weights"])
-
         for b in batches:
             for task, score, n, key, block in zip(*(b.column(c).to_pylist() for c in ("task", "score", "n", "key", "block")), strict=True):
                 size = min(BOOT_BLOCK, iters - block * BOOT_BLOCK)
@@ -181,9 +196,9 @@ def _boot_partials(iters: int):
                 sums += w * score
                 weights += w
                 if len(held) >= BOOT_HOLD:
-                    yield send()
+                    yield _boot_batch(held)
         if held:
-            yield send()
+            yield _boot_batch(held)
 
     return run
 
@@ -197,21 +212,79 @@ def _boot_means(group):
     return pa.table({"task": pa.array(group.column("task").to_pylist()[:1], pa.string()), "means": pa.array([means], pa.list_(pa.float64()))})
 
 
-def bootstrap_se(scores: DataFrame, task: str, score: str, iters: int, seed: int = 42) -> DataFrame:
+@functools.lru_cache(maxsize=1)
+def _poisson1_table():
+    """Weights by a draw's upper 16 bits: where these leave it open, 255."""
+    import numpy as np
+    cdf = np.array(POISSON1)
+    top = np.arange(1 << 16, dtype=np.float64) * 2.0 ** 32
+    low, high = (np.searchsorted(cdf, (top + m + 0.5) / 2.0 ** 48, side="right") for m in (0, 2.0 ** 32 - 1))
+    return cdf, np.where(low == high, low, 255).astype(np.uint8)
+
+
+def poisson1_weights(keys, first: int, n: int):
+    """Poisson(1) weights of each key's counters ``first`` to ``first + n - 1``: one row per key."""
+    import numpy as np
+    cdf, table = _poisson1_table()
+    z = _mixed(np.asarray(keys).astype(np.uint64)[:, None], first, n)
+    out = table[z >> np.uint64(48)]
+    at = np.nonzero(out == 255)
+    out[at] = np.searchsorted(cdf, (z[at] >> np.uint64(16)).astype(np.float64) / 2.0 ** 48 + 2.0 ** -49, side="right")
+    return out
+
+
+def _boot_examples(iters: int):
+    """Arrow batches of (task, score, key), a row per example -> weighted sums and weights per iteration of a (task, block)."""
+    def run(batches):
+        import numpy as np
+        held = {}
+        for b in batches:
+            key, score = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "score"))
+            tasks = b.column("task").to_pylist()
+            for lo in range(0, len(tasks), BOOT_ROWS):
+                rows = slice(lo, lo + BOOT_ROWS)
+                kinds = list(dict.fromkeys(tasks[rows]))
+                count = np.array([[t == k for t in tasks[rows]] for k in kinds], np.float64)
+                take = np.concatenate([count * score[rows], count])
+                for block in range(-(-iters // BOOT_BLOCK)):
+                    size = min(BOOT_BLOCK, iters - block * BOOT_BLOCK)
+                    made = take @ poisson1_weights(key[rows], block * BOOT_BLOCK, size)
+                    for i, k in enumerate(kinds):
+                        sums, weights = held.setdefault((k, block), (np.zeros(size), np.zeros(size)))
+                        sums += made[i]
+                        weights += made[len(kinds) + i]
+                    if len(held) >= BOOT_HOLD:
+                        yield _boot_batch(held)
+        if held:
+            yield _boot_batch(held)
+
+    return run
+
+
+def bootstrap_se(scores: DataFrame, task: str, score: str, iters: int, seed: int = 42, key: str | None = None) -> DataFrame:
     """(task, stderr, iters), the bootstrap standard error of the per-task mean.
 
-    Every example has a Poisson(1) weight in an iteration, so the n examples that share a score
-    have a Poisson(n) weight together: it is drawn once per distinct (task, score) and iteration,
-    by inversion of a uniform from a counter-based generator.  Tasks add up vectors of
-    ``BOOT_BLOCK`` iterations, the shuffle carries those vectors, and the result does not depend
-    on the partitioning.  Null scores are left out, as are iterations that draw nothing.
+    Every example has a Poisson(1) weight in an iteration.  With ``key``, the column that names an
+    example, each example draws its own weight in every iteration, by inversion of a uniform from a
+    counter-based generator (a resample is the same for all tasks an example has).  Without one,
+    examples are not told apart: the n that share a score have a Poisson(n) weight together, drawn
+    once per distinct (task, score) and iteration.  Tasks add up vectors of ``BOOT_BLOCK``
+    iterations, the shuffle carries those vectors, and the result does not depend on the
+    partitioning.  Null scores are left out, as are iterations that draw nothing.
     """
     spark = scores.sparkSession
-    d = scores.where(F.col(score).isNotNull()).select(F.col(task).cast("string").alias("task"), F.col(score).cast("double").alias("score"))
-    d = d.groupBy("task", "score").agg(F.count(F.lit(1)).alias("n")).withColumn("key", h48(seed, F.col("task"), F.col("score")))
-    d = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-iters // BOOT_BLOCK) - 1).cast("long"))))
-    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "score", "block")  # the draws are the work, not the bytes
-    parts = d.mapInArrow(_boot_partials(iters), "task string, block long, sums array<double>, weights array<double>")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the draws are the work, not the bytes
+    named = [F.col(task).cast("string").alias("task"), F.col(score).cast("double").alias("score")]
+    d = scores.where(F.col(score).isNotNull())
+    if key is not None:
+        d = d.select(*named, h48(seed, F.col(key)).alias("key")).repartition(tasks, "key").sortWithinPartitions("task")  # few tasks are held at a time
+        partials = _boot_examples(iters)
+    else:
+        d = d.select(*named).groupBy("task", "score").agg(F.count(F.lit(1)).alias("n")).withColumn("key", h48(seed, F.col("task"), F.col("score")))
+        d = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-iters // BOOT_BLOCK) - 1).cast("long"))))
+        d = d.repartition(tasks, "score", "block")
+        partials = _boot_partials(iters)
+    parts = d.mapInArrow(partials, "task string, block long, sums array<double>, weights array<double>")
     means = parts.groupBy("task", "block").applyInArrow(_boot_means, "task string, means array<double>")
     return means.select("task", F.explode("means").alias("_m")).groupBy("task").agg(
         F.stddev_samp("_m").alias("stderr"), F.count(F.lit(1)).cast("bigint").alias("iters")).withColumnRenamed("task", task)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.hashing import h48
 from tokenloom.operators.joins import lookup_tokens, overlay, with_cache
-from tokenloom.operators.metrics import bootstrap_se, eval_rollup, score_examples
+from tokenloom.operators.metrics import POISSON1, bootstrap_se, eval_rollup, score_examples
 from tokenloom.operators.text import glob_filter, glob_to_regex, glob_union, limit_per_group
 from tokenloom.operators.offsets import running_offset
 from tokenloom.operators.tokenize import encode_words, token_to_id, vocab_size
@@ -128,7 +128,7 @@ def q_a18_eval_rollup(spark, sf):
 
 
 def q_a19_bootstrap_se(spark, sf):
-    b = bootstrap_se(task_scores(spark, sf), "task", "score", BOOT_ITERS, SEED)
+    b = bootstrap_se(task_scores(spark, sf), "task", "score", BOOT_ITERS, SEED, key="doc_id")
     return b.select("task", r("stderr", 9).alias("stderr"), "iters")
 
 
@@ -180,13 +180,32 @@ _SCORES = """ts AS (SELECT doc_id, 'quality' AS task, CAST(quality AS DOUBLE) AS
        UNION ALL SELECT doc_id, 'toxic' AS task, CAST(toxic AS DOUBLE) AS score FROM labels)"""
 
 
-def _uniform_sql(key: str, i: str) -> str:
-    """The counter-based uniform of the bootstrap: 64-bit products modulo 2**64."""
-    mul = lambda x, c: f"CAST((CAST({x} AS UHUGEINT) * {c}) % 18446744073709551616 AS UBIGINT)"
-    z0 = f"CAST((CAST({key} AS UHUGEINT) + CAST({i} + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15}) % 18446744073709551616 AS UBIGINT)"
-    return f"""a AS (SELECT *, {z0} AS z FROM ex), b AS (SELECT * REPLACE ({mul('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)} AS z) FROM a),
-        c AS (SELECT * REPLACE ({mul('xor(z, z >> 27)', 0x94D049BB133111EB)} AS z) FROM b),
-        u AS (SELECT *, CAST(xor(z, z >> 31) >> 16 AS DOUBLE) / 281474976710656.0 + 1.0 / 562949953421312.0 AS u FROM c)"""
+def _poisson_sql(u: str) -> str:
+    return "CASE " + " ".join(f"WHEN {u} < {p!r} THEN {k}" for k, p in enumerate(POISSON1)) + f" ELSE {len(POISSON1)} END"
+
+
+def _counter_sql(i: str) -> str:
+    """The multiple of a counter that is added to a key, modulo 2**64."""
+    return f"CAST((CAST({i} + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15}) % 18446744073709551616 AS UBIGINT)"
+
+
+def _uniform_sql() -> str:
+    """The counter-based uniform of the bootstrap from ``ex`` (key k, counter's multiple g): sums and products modulo
+    2**64 by halves of 32 bits."""
+    low = lambda x: f"({x} & 4294967295::UBIGINT)"
+    join = lambda hi, lo: f"(({low(hi)} << 32) | {low(lo)})"
+
+    def mul(n: int, c: int, new: str) -> str:
+        """Stage ``n``: z times ``c``, with z = xor(z, z >> ``new``) before."""
+        h, l = f"{c >> 32}::UBIGINT", f"{c & 0xFFFFFFFF}::UBIGINT"
+        return f"""x{n} AS (SELECT * REPLACE (xor(z, z >> {new}) AS z) FROM z{n - 1}),
+        p{n} AS (SELECT *, {low('z')} * {l} AS lo, {low(f"(z >> 32) * {l}")} + {low(f"{low('z')} * {h}")} AS mid FROM x{n}),
+        z{n} AS (SELECT * EXCLUDE (lo, mid) REPLACE ({join('((lo >> 32) + mid)', 'lo')} AS z) FROM p{n})"""
+
+    return f"""s AS (SELECT *, {low('k')} + {low('g')} AS lo FROM ex),
+        z0 AS (SELECT * EXCLUDE (lo, k, g), {join('((k >> 32) + (g >> 32) + (lo >> 32))', 'lo')} AS z FROM s),
+        {mul(1, 0xBF58476D1CE4E5B9, '30')}, {mul(2, 0x94D049BB133111EB, '27')},
+        u AS (SELECT *, CAST(xor(z, z >> 31) >> 16 AS DOUBLE) / 281474976710656.0 + 1.0 / 562949953421312.0 AS u FROM z2)"""
 
 
 ORACLE = {
@@ -220,11 +239,10 @@ ORACLE = {
     "a18_eval_rollup": f"""WITH {_SCORES} SELECT task, round(avg(score), 6) AS acc, CAST(count(*) AS BIGINT) AS n,
         CAST({TASK_CONFIG['num_fewshot']} AS BIGINT) AS num_fewshot, CAST({TASK_CONFIG['bootstrap_iters']} AS BIGINT) AS bootstrap_iters
         FROM ts GROUP BY task""",
-    "a19_bootstrap_se": f"""WITH {_SCORES}, g AS (SELECT task, score, count(*) AS n FROM ts GROUP BY ALL),
-        t AS (SELECT task, score, n, unnest(range(greatest(0, CAST(n - 12 * sqrt(n) - 20 AS BIGINT)), CAST(n + 12 * sqrt(n) + 40 AS BIGINT))) AS k FROM g),
-        cdf AS (SELECT task, score, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY task, score ORDER BY k) AS p FROM t),
-        ex AS (SELECT task, score, it, {h_sql('task', 'score')} AS key FROM g, range(0, {BOOT_ITERS}) r(it)), {_uniform_sql('key', 'it')},
-        w AS (SELECT u.task, u.it, u.score, cdf.k AS w FROM u ASOF JOIN cdf ON u.task = cdf.task AND u.score = cdf.score AND u.u <= cdf.p),
+    "a19_bootstrap_se": f"""WITH {_SCORES}, kx AS (SELECT task, score, CAST({h_sql('doc_id')} AS UBIGINT) AS k FROM ts WHERE score IS NOT NULL),
+        its AS MATERIALIZED (SELECT it, {_counter_sql('it')} AS g FROM range(0, {BOOT_ITERS}) r(it)),
+        ex AS (SELECT task, score, it, k, g FROM kx, its), {_uniform_sql()},
+        w AS (SELECT task, it, score, {_poisson_sql('u')} AS w FROM u),
         m AS (SELECT task, it, sum(w * score) / nullif(sum(w), 0) AS mean FROM w GROUP BY task, it)
         SELECT task, round(stddev_samp(mean), 9) AS stderr, CAST(count(mean) AS BIGINT) AS iters FROM m GROUP BY task""",
     "s10_eval_json": f"""WITH {_SCORES} SELECT task, round(avg(score), 6) AS acc, CAST(count(*) AS BIGINT) AS n,
