@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.session import bounded_batches
+
 
 def use_bos_policy(tokenizer_config: dict | None) -> bool:
     """BOS default from a ``tokenizer_config.json`` dict."""
@@ -65,6 +67,7 @@ def _arrow_byte_ids(s: pa.Array) -> pa.Array:
     """UTF-8 bytes + 3 for a whole Arrow batch: the value buffer of a string
     array already holds the bytes, so ids are one vectorised add and the
     list offsets are the string offsets (no per-row Python)."""
+    pa.default_memory_pool().release_unused()  # what the batch before took goes back
     if s.null_count:
         s = pc.fill_null(s, "")
     big = pa.types.is_large_string(s.type)
@@ -89,6 +92,8 @@ class ByteTokenizer(Tokenizer):
 
     def _ids(self, text: Column) -> Column:
         if self.impl == "arrow":
+            if spark := SparkSession.getActiveSession():
+                bounded_batches(spark)
             return F.arrow_udf(_arrow_byte_ids, T.ArrayType(T.IntegerType()))(text)
         hx = F.hex(F.encode(text, "UTF-8"))
         pairs = F.regexp_extract_all(hx, F.lit("(..)"), 1)

@@ -88,6 +88,20 @@ def ship_package(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch: the JVM and Python both hold a batch, and what Python makes of it.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` for this session's Python tasks
+    (smaller settings stay): whole texts are long, and Spark's own limit counts rows alone."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        n, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", spark.conf.get(key).strip().lower()).groups()
+        if not 0 < int(n) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) <= most:
+            spark.conf.set(key, str(most))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
