@@ -41,3 +41,52 @@ def test_smaller_settings_stay(fresh):
     fresh.conf.set(KEYS[0], "0")  # no limit
     bounded_batches(fresh)
     assert int(fresh.conf.get(KEYS[0])) == BATCH_ROWS
+
+
+class _State:
+    """One state variable of a processor, kept in a list."""
+
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    appendList = lambda self, rows: self.rows.extend(rows)
+    clear = lambda self: self.rows.clear()
+
+
+class _Value(_State):
+    def update(self, row):
+        self.rows = row
+
+
+def test_a_lane_packs_with_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tokenloom.streaming.jobs import Packer
+    p = Packer(512, 0)
+    p.at, p.tail = _Value(), _State()
+
+    def rows():  # 800 documents of 20,000 tokens, the newest first: 64 MB
+        for i in reversed(range(100)):
+            yield pd.DataFrame({"doc_id": range(8 * i, 8 * i + 8), "ids": [np.full(20000, 8 * i + k, np.int32) for k in range(8)]})
+
+    tracemalloc.start()
+    n, seen = 0, []
+    for pdf in p.handleInputRows(("a", 0), rows(), None):
+        n += int(pdf["n_tokens"].sum())
+        seen += [int(x[0]) for x in pdf["ids"]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 800 * 20000 and seen == sorted(seen)
+    assert peak < 24 << 20

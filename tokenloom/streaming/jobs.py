@@ -10,6 +10,7 @@ checkpoint location.
 from __future__ import annotations
 
 import contextlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tokenloom.operators.tokenize import Tokenizer
+from tokenloom.session import bounded_batches
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -68,6 +70,8 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 PACK_OUT = "source string, lane int, chunk_id bigint, n_tokens int, ids array<int>, closed boolean"
 #: Closed chunks that a task hands over at a time.
 PACK_ROWS = 64
+#: Tokens of a lane's micro-batch up to this size wait in memory, more of them in a temporary file.
+SPOOL_BYTES = 4 << 20
 
 
 def _entry(ids: np.ndarray) -> tuple[bytes]:
@@ -93,21 +97,30 @@ class Packer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         size = self.chunk_size
         nxt, held = self.at.get() if self.at.exists() else (0, 0)
-        docs = [(d, np.asarray(x, np.int32)) for pdf in rows for d, x in zip(pdf["doc_id"], pdf["ids"], strict=True)]
-        docs.sort(key=lambda d: (d[0] is not None and d[0] == d[0], d[0]))  # arrival order inside a batch
-        closes = held + sum(len(x) for _, x in docs) >= size
         kept = [np.frombuffer(t[0], "<i4") for t in self.tail.get()] if held else []
         buffer, have, old = list(kept), held, len(kept)
-        for i, (_, x) in enumerate(docs):
-            docs[i] = None  # what is packed is let go
-            buffer.append(x)
-            have += len(x)
-            if have >= size * PACK_ROWS or (i + 1 == len(docs) and have >= size):
-                stream = np.concatenate(buffer)
-                n = len(stream) // size
-                yield self._rows(key, nxt, stream[:n * size].reshape(n, size))
-                nxt, buffer = nxt + n, [stream[n * size:]]
-                have = len(buffer[0])
+        # the lane's documents wait in a temporary file, so memory holds places and at most PACK_ROWS chunks of tokens
+        with tempfile.SpooledTemporaryFile(SPOOL_BYTES) as waiting:
+            docs = []
+            for pdf in rows:
+                for d, x in zip(pdf["doc_id"], pdf["ids"], strict=True):
+                    docs.append((d, waiting.tell(), len(x)))
+                    waiting.write(np.asarray(x, "<i4").tobytes())
+            docs.sort(key=lambda d: (d[0] is not None and d[0] == d[0], d[0]))  # arrival order inside a batch
+            closes = held + sum(d[2] for d in docs) >= size
+            for i, (_, at, n) in enumerate(docs):
+                waiting.seek(at)
+                while n:  # a long document in parts
+                    x = np.frombuffer(waiting.read(4 * min(n, size * PACK_ROWS)), "<i4")
+                    n -= len(x)
+                    buffer.append(x)
+                    have += len(x)
+                    if have >= size * PACK_ROWS or (i + 1 == len(docs) and not n and have >= size):
+                        stream = np.concatenate(buffer)
+                        full = len(stream) // size
+                        yield self._rows(key, nxt, stream[:full * size].reshape(full, size))
+                        nxt, buffer = nxt + full, [stream[full * size:]]
+                        have = len(buffer[0])
         if closes:
             self.tail.put([_entry(x) for x in buffer if len(x)]) if have else self.tail.clear()
         else:
@@ -122,11 +135,12 @@ def stream_pack(sdf: DataFrame, key: str, tok: Tokenizer, chunk_size: int, sep:
                 lane: Column | None = None) -> None:
     """Per (``key``, lane) concatenate tokenised rows in arrival order (doc_id order inside a
     micro-batch) and emit fixed-size chunks.  ``lanes`` sub-streams per source (by a hash of the id
-    unless ``lane`` says otherwise) spread a hot source over as many tasks, each of which holds its own
-    lane's part of one micro-batch; limit that by the source's ``maxBytesPerTrigger``."""
+    unless ``lane`` says otherwise) spread a hot source over as many tasks, each of which orders its own
+    lane's part of one micro-batch in a temporary file (memory holds an id and a place per document)."""
     where = lane if lane is not None else F.pmod(F.xxhash64("doc_id"), F.lit(lanes))
     t = sdf.select(F.col(key).alias("source"), where.cast("int").alias("lane"), "doc_id",
                    F.concat(tok.encode(F.col("text")), F.array(F.lit(tok.eos_id))).alias("ids"))
+    bounded_batches(sdf.sparkSession)
     with _rocksdb(sdf.sparkSession):
         packed = t.groupBy("source", "lane").transformWithStateInPandas(Packer(chunk_size, sep), PACK_OUT, "Update", "None")
         _run(packed, out, checkpoint, ["closed"])
