@@ -3,6 +3,7 @@ the batch form over the same arrival order."""
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,48 @@ def test_records_later_than_the_buffer_are_marked(spark, tmp_path):
     assert got == {k: pytest.approx(v) if v is not None else None for k, v in want.items()}
 
 
+def test_state_calls_do_not_grow_with_the_runs(spark, tmp_path):
+    """More runs than groups: each micro-batch makes one state call per group, and every run keeps its own window."""
+    from tokenloom.streaming import jobs
+    calls = []
+
+    class State:
+        rows = []
+        exists = lambda self: bool(self.rows)
+
+        def get(self):
+            calls.append("get")
+            return self.rows
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = list(rows)
+
+    rnd = random.Random(8)
+    rows = [(run, float(i), 100 * run + i, rnd.random()) for run in range(300) for i in range(24)]
+    p = jobs.RateWindow(["x"], 5, 4)
+    p.rings = State()
+    got, dropped = {}, set()
+    for k in range(2):
+        part = [r for r in rows if r[1] // 12 == k] + [(7, 0.5, 99999, 1.0)] * (k == 1)  # the last one is too late
+        rnd.shuffle(part)
+        pdf = pd.DataFrame(part, columns=["run", "t", "tie", "x"]).assign(none=False)
+        for out in p.handleInputRows((0,), iter([pdf[:1000], pdf[1000:]]), None):
+            for r in out.itertuples():
+                dropped |= {(r.run, r.tie)} if r.dropped else set()
+                if not r.dropped:
+                    got[r.run, r.tie] = None if pd.isna(r.x_per_sec) else r.x_per_sec
+    assert calls == ["put", "get", "put"]
+    assert dropped == {(7, 99999)}
+    assert got == {k: pytest.approx(v) if v is not None else None for k, v in _rates(rows, 5).items()}
+
+
+def test_runs_without_a_name_are_a_run_of_their_own(spark, tmp_path):
+    rows = [(run, float(i), 100 * (run or 0) + i + (50 if run is None else 0), float(i)) for run in (0, None) for i in range(12)]
+    got, dropped = _stream_rates(spark, tmp_path, [rows], window=4, late=4)
+    assert not dropped and got == {k: pytest.approx(v) if v is not None else None for k, v in _rates(rows, 4).items()}
+
+
 def test_stream_metric_log_equals_batch(spark, tmp_path):
     from tokenloom.sources.tables import read_metrics
     from tokenloom.streaming.jobs import stream_metric_log

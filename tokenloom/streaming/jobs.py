@@ -170,52 +170,87 @@ def stream_metrics(sdf: DataFrame, ts: str, keys: list[str], value: str, window:
     _run(flat, out, checkpoint)
 
 
+#: Groups of runs that share one state entry, fixed for a checkpoint's life.
+RUN_GROUPS = 1024
+#: Records of one state entry's part, and of one batch handed over.
+STATE_ROWS, RATE_ROWS = 1 << 13, 1 << 13
+
+
 class RateWindow(StatefulProcessor):
-    """Rates of one run over its last ``window`` records, from a ring buffer of records in time order.
+    """Rates of each run of a group over its last ``window`` records, from a ring buffer of records in time order per run.
 
-    The buffer keeps ``window - 1`` records more than the ``late`` newest ones, so a record that comes
+    A buffer keeps ``window - 1`` records more than the ``late`` newest ones, so a record that comes
     up to ``late`` records late finds its place and its whole window; the rates from there on
-    are emitted again.  Records that come later than that are marked as dropped.
+    are emitted again.  Records that come later than that are marked as dropped.  The state calls of
+    a micro-batch are made once per group, whatever the number of its runs.
     """
 
     def __init__(self, counters: list[str], window: int, late: int):
         self.counters, self.window, self.late = counters, window, late
+        self.record = np.dtype([("none", "?"), ("run", "<i8"), ("t", "<f8"), ("tie", "<i8"), ("add", "<f8", (len(counters),)), ("cut", "?")])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", "t double, tie bigint, " + ", ".join(f"{c} double" for c in self.counters))
-        self.cut = handle.getValueState("cut", "cut boolean")
+        self.rings = handle.getListState("rings", "records binary")  # of all runs of the group, one after the other
+
+    def _records(self, pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(len(pdf), self.record)
+        for c in ("none", "run", "tie"):
+            out[c] = pdf[c].astype(self.record[c])
+        out["t"] = pdf["t"].astype("f8")
+        out["add"] = pdf[self.counters].to_numpy("f8")
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["t", "tie", *self.counters]
-        old = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
-        cut = self.cut.exists() and bool(self.cut.get()[0])
-        new = [r for pdf in rows for r in pdf[columns].itertuples(index=False, name=None)]
-        # with records already let go, a place before the first whole window comes too late
-        limit = old[self.window - 1][:2] if cut else None
-        dropped = [r for r in new if limit is not None and r[:2] < limit]
-        new = sorted(r for r in new if limit is None or r[:2] >= limit)
-        if dropped:
-            yield self._frame(key, dropped, np.full((len(dropped), len(self.counters)), np.nan), True)
-        if not new:
-            return
-        all_ = sorted(old + new)
-        first = next(i for i, r in enumerate(all_) if i >= len(old) or r != old[i])
-        a = np.array(all_, np.float64)
-        total = np.cumsum(a[:, 2:], axis=0)
-        at = np.arange(first, len(all_))
+        old = [np.frombuffer(r[0], self.record) for r in self.rings.get()] if self.rings.exists() else []
+        new = [self._records(pdf) for pdf in rows]
+        came = np.repeat([False, True], [sum(map(len, old)), sum(map(len, new))])
+        all_ = np.concatenate(old + new)
+        order = np.lexsort((came, *all_["add"].T[::-1], all_["tie"], all_["t"], all_["run"], all_["none"]))
+        all_, came = all_[order], came[order]
+        edge = np.flatnonzero((all_["run"][1:] != all_["run"][:-1]) | (all_["none"][1:] != all_["none"][:-1])) + 1
+        kept, out, n = [], [], 0
+        for a, b in zip([0, *edge], [*edge, len(all_)], strict=True):
+            ring, made = self._run(all_[a:b], came[a:b])
+            kept.append(ring)
+            out += made
+            n += sum(len(r) for r, _, _ in made)
+            if n >= RATE_ROWS:
+                yield self._frame(out)
+                out, n = [], 0
+        if out:
+            yield self._frame(out)
+        rings = np.concatenate(kept)
+        self.rings.put([(rings[i:i + STATE_ROWS].tobytes(),) for i in range(0, len(rings), STATE_ROWS)])
+
+    def _run(self, r: np.ndarray, came: np.ndarray) -> tuple[np.ndarray, list]:
+        """One run's records, old and new in order -> (its ring buffer, [(records, rates, dropped)])."""
+        cut, made = bool(r["cut"].any()), []
+        if cut and came.any():
+            # with records already let go, a place before the first whole window comes too late
+            limit = r[~came][self.window - 1]
+            late = came & ((r["t"] < limit["t"]) | ((r["t"] == limit["t"]) & (r["tie"] < limit["tie"])))
+            if late.any():
+                made.append((r[late], np.full((late.sum(), len(self.counters)), np.nan), True))
+                r, came = r[~late], came[~late]
+        if not came.any():
+            return r, made
+        first = int(came.argmax())
+        total = np.cumsum(r["add"], axis=0)
+        at = np.arange(first, len(r))
         back = np.maximum(at - self.window + 1, 0)
-        dt = a[at, 0] - a[back, 0]
-        rates = (total[at] - total[back]) / np.where(dt > 0, dt, np.nan)[:, None]
-        yield self._frame(key, all_[first:], rates, False)
+        dt = r["t"][at] - r["t"][back]
+        made.append((r[first:], (total[at] - total[back]) / np.where(dt > 0, dt, np.nan)[:, None], False))
         keep = self.window - 1 + self.late
-        self.ring.put(all_[-keep:])
-        self.cut.update((cut or len(all_) > keep,))
+        ring = r[-keep:].copy()
+        ring["cut"] = cut or len(r) > keep
+        return ring, made
 
-    def _frame(self, key, records, rates, dropped: bool) -> pd.DataFrame:
-        out = pd.DataFrame({"run": [key[0]] * len(records), "t": [r[0] for r in records], "tie": [int(r[1]) for r in records]})
+    def _frame(self, made: list) -> pd.DataFrame:
+        r, rates = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+        out = pd.DataFrame({"run": pd.Series(r["run"]).astype("Int64").mask(r["none"]), "t": r["t"], "tie": r["tie"]})
         for i, c in enumerate(self.counters):
-            out[f"{c}_per_sec"] = pd.Series(rates[:, i], dtype="object").where(~np.isnan(rates[:, i]), None)
-        out["dropped"] = dropped
+            out[f"{c}_per_sec"] = rates[:, i]
+        out["dropped"] = np.repeat([m[2] for m in made], [len(m[0]) for m in made])
         return out
 
 
@@ -224,11 +259,13 @@ def stream_throughput(sdf: DataFrame, run: str, t: Column, tie: str, counters: d
     """X2 by records: W1 on a log as it arrives.  ``t`` is in seconds, ``tie`` (unique in a run) orders
     records of one time, ``counters`` are what each record adds; rates are (last - first) / (t_last -
     t_first) over the last ``window`` records, NULL while no time has passed."""
-    d = sdf.select(F.col(run).alias("run"), t.cast("double").alias("t"), F.col(tie).cast("bigint").alias("tie"),
+    d = sdf.select(F.col(run).cast("bigint").alias("run"), t.cast("double").alias("t"), F.col(tie).cast("bigint").alias("tie"),
                    *[c.cast("double").alias(k) for k, c in counters.items()])
+    d = d.select(F.pmod(F.xxhash64("run"), F.lit(RUN_GROUPS)).alias("group"), F.col("run").isNull().alias("none"),
+                 F.coalesce("run", F.lit(0)).alias("run"), "t", "tie", *counters)
     schema = "run bigint, t double, tie bigint, " + ", ".join(f"{c}_per_sec double" for c in counters) + ", dropped boolean"
     with _rocksdb(sdf.sparkSession):
-        rates = d.groupBy("run").transformWithStateInPandas(RateWindow(list(counters), window, late), schema, "Update", "None")
+        rates = d.groupBy("group").transformWithStateInPandas(RateWindow(list(counters), window, late), schema, "Update", "None")
         _run(rates, out, checkpoint)
 
 
