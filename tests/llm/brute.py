@@ -115,3 +115,36 @@ def licence(text, phrases, notices, block, threshold):
                 labels.add(label)
                 best = max(best, len(have & t) / len(t))
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else best)
+
+
+def word_levels(rows, half, spell):
+    """log-perplexity per (lang, text) from dictionaries: word pairs of the other half's texts, modified Kneser-Ney."""
+    import math
+    from collections import Counter
+
+    def discounts(counts):
+        n = [max(1, sum(v == i for v in counts.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+        return [0.0] + [min(max(x, 0.1), hi) for x, hi in zip(raw, (0.9, 1.8, 2.7))]
+
+    pairs = {}
+    for lang, text in rows:
+        words = SPACED.findall(text or "")
+        pairs.setdefault((lang, half(text)), Counter()).update(zip([None, *words], words))
+    out = {}
+    for lang, text in set(rows):
+        words, c = SPACED.findall(text or ""), pairs.get((lang, 1 - half(text)), Counter())
+        before = Counter(w for _, w in c)
+        d, e, cost = discounts(c), discounts(before), 0.0
+        for v, w in zip([None, *words], words):
+            p = spell(lang, w)
+            if c:
+                p = (before[w] - e[min(before[w], 3)]) / len(c) + sum(e[min(n, 3)] for n in before.values()) / len(c) * p
+            after = [n for (x, _), n in c.items() if x == v]
+            if after:
+                p = (c[v, w] - d[min(c[v, w], 3)]) / sum(after) + sum(d[min(n, 3)] for n in after) / sum(after) * p
+            cost -= math.log(p)
+        letters = sum(b >= 0x80 or chr(b).isalnum() for b in (text or "").encode())
+        out[lang, text] = cost / (letters + len(words)) if words else 0.0
+    return out

@@ -64,3 +64,59 @@ def test_bands_reject_labelled_junk(spark):
     print("junk rejected", caught, "of", len(junk), "clean rejected", lost, "of", len(clean))
     assert caught > 0.5 and lost < 0.1
     assert any(r["log_perplexity"] < r["band_low"] for r in rows)
+
+
+def arrays(texts):
+    raw = [(t or "").encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+
+
+def half_of(text):
+    data, off = arrays([text])
+    starts, ends, first = Q.B.words(data, off, Q.B.SPACED)
+    return int(Q._half(Q.B.word_hashes(data, starts, ends), first)[0]) if len(starts) else 0
+
+
+def odd_corpus():
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("abcdeéñ你好#") for _ in range(rnd.randint(1, 6))) for _ in range(40)]
+    texts = [(rnd.choice(["en", "fr", None]), rnd.choice([" ", "\n"]).join(rnd.choices(vocab, [1 / (k + 1) for k in range(40)], k=rnd.randint(1, 90)))) for _ in range(60)]
+    return texts + texts[:9] + [("en", texts[9][1]), ("zz", "alone here"), ("en", None), (None, " \n"), ("", "a b a b a b")]
+
+
+def test_levels_equal_dictionaries_of_words(spark, monkeypatch):
+    rows = odd_corpus()
+    data = {}
+    for lang in {x for x, _ in rows}:
+        codes = Q._codes(*arrays([t for x, t in rows if x == lang]))
+        if len(codes):
+            data[lang] = Q.Model(*np.unique(codes, return_counts=True))
+
+    def spell(lang, word):
+        text = np.frombuffer(f" {word} ".encode(), np.uint8)
+        return math.exp(data[lang].score(Q._codes(text, np.array([0, len(text)])))[1:].sum())
+
+    want = brute.word_levels(rows, half_of, spell)
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(4)
+    got = Q.assess(df).collect()
+    assert len(got) == len(rows) and {half_of(t) for _, t in rows} == {0, 1}
+    for r in got:
+        assert math.isclose(r["log_perplexity"], want[rows[r["doc_id"]]], rel_tol=1e-5, abs_tol=1e-6), (r, want[rows[r["doc_id"]]])
+    monkeypatch.setattr(Q, "CELL_BYTES", 1 << 10)  # a grid of several cells a side, and many arrays a cell
+    monkeypatch.setattr(Q, "HOLD_WORDS", 200)
+    again = {r["doc_id"]: r["log_perplexity"] for r in Q.assess(df).collect()}
+    assert again == {r["doc_id"]: r["log_perplexity"] for r in got}
+
+
+def test_wrong_words_of_usual_letters(spark):
+    """Texts of unknown words stand out though their letter sequences are usual, in Latin and in other scripts."""
+    rnd = random.Random(6)
+    rows = []
+    for lang, letters in (("en", "etaoinshr"), ("zh", "的一是不了人我在有")):
+        word = lambda: "".join(rnd.choice(letters) for _ in range(4))  # noqa: B023, E731
+        vocab = [word() for _ in range(60)]
+        rows += [(len(rows) + i, " ".join(rnd.choice(vocab) for _ in range(100)), lang) for i in range(60)]  # noqa: B031
+        rows += [(1000 + len(rows) + i, " ".join(word() for _ in range(100)), lang) for i in range(3)]
+    got = {r["doc_id"]: r["kept"] for r in Q.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("NOT base_failed").collect()}
+    assert sum(k >= 1000 for k in got) == 6 and not any(v for k, v in got.items() if k >= 1000)
+    assert sum(v for k, v in got.items() if k < 1000) > 0.9 * sum(k < 1000 for k in got)

@@ -1,20 +1,34 @@
-"""Quality rules with an n-gram perplexity band per language.
+"""Quality rules with a word n-gram perplexity band per language.
 
 Base counts come from one vectorised pass over the bytes of every whole text.
-The perplexity model is a modified Kneser-Ney model of order 4 over characters
-folded into 64 classes (ASCII letters one by one; capitals, digits, marks and
-bytes of other scripts in groups), one per language:
+The perplexity model of a language is a modified Kneser-Ney model over words (``[^\\x20\\x09-\\x0D]+``, by
+64-bit hashes; a text opens with hash 0):
 
-* Spark counts the 4-grams of all texts (partial sums per task, then by key).
-* Each language's model is estimated from its counts: discounts D1, D2, D3+ from
-  counts of counts, lower orders from continuation counts, interpolation down
-  to a uniform distribution.  Every order is a sorted array of n-gram codes with log
-  probabilities and backoff weights, written as one row.
-* Scoring finds every 4-gram by binary search, backing off where it is missing.
+    P(w | v) = (c(v w) - D(c(v w))) / c(v .) + L(v) P(w)      (P(w) where v is unknown)
+    P(w)     = (N(. w) - D'(N(. w))) / N(. .) + L' S(w)
 
-A code has 24 bits, so a language's model has at most 2**24 entries, whatever the
-corpus; models go to the tasks in groups of languages of at most ``MODEL_BYTES``
-together (a language of its own if larger).
+N(. w) is the number of distinct words before w, D and D' are the three discounts from counts
+of counts, L the mass left.  S spells w: a modified Kneser-Ney model of order 4 over characters folded into 64
+classes, which only spreads the mass of words that were never seen.
+
+A text is not scored by counts that it made itself: texts form two halves, by the least hash of a text's
+``SHINGLE``-word shingles (copies stay together, near copies mostly), each half is counted apart, and
+a text is scored with the counts of the other half.
+
+* Word pairs go to a grid of cells by hash range of v (row) and of w (column), as sorted hash
+  arrays with their texts' keys, made per task for ``HOLD_WORDS`` words at a time.  The grid has a cell
+  for every ``CELL_BYTES`` of text, so a cell does not grow with the corpus, and the pairs of a
+  frequent word lie in a whole row or column of cells.
+* A cell counts its pairs; rows of cells add up c(v .) and what is left after v, columns N(. w), and
+  the sums go back to the cells.  No count leaves Spark and none is dropped.
+* A cell scores its pairs and adds them up per text; sums are of integers (steps of 2**-20 nats), so order does not matter.
+
+``log_perplexity`` is in nats per letter: bytes of letters, digits and other scripts, and one a word for the space
+after it.  Marks cost what the model says but do not dilute a text's level.
+
+Spelling: Spark counts the character 4-grams of all texts; each language's model is one row of sorted
+code arrays.  A code has 24 bits, so this model has at most 2**24 entries; they go to the
+tasks in groups of languages of at most ``MODEL_BYTES`` together (a language of its own if larger).
 
 Bands: exact quantiles of the log-perplexity, in steps of ``1/STEPS`` nats, per
 language over documents that pass the base rules: the median plus and minus
@@ -35,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytestext as B
-from .common import written
+from .common import text_bytes, written
 
 ORDER = 4
 MODEL_BYTES = 128 << 20
@@ -43,6 +57,10 @@ STEPS = 1000
 WIDTH = 3.0
 FLOOR = 0.05
 _HOLD = 1 << 23
+CELL_BYTES = 24 << 20
+HOLD_WORDS = 1 << 21
+SHINGLE = 3
+_NATS = float(1 << 20)
 
 #: The symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -114,6 +132,13 @@ def _count(text_col, lang_col):
     return run
 
 
+def _discounts(t):
+    """(0, D1, D2, D3+) from the numbers of n-grams that were counted once to four times."""
+    t = [max(1, int(x)) for x in t]
+    y = t[0] / (t[0] + 2 * t[1])
+    return np.clip([0.0, 1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], [0, 0.1, 0.1, 0.1], [0, 0.9, 1.8, 2.7])
+
+
 class Model:
     """Modified Kneser-Ney probabilities of one language in sorted arrays, order by order."""
 
@@ -126,9 +151,7 @@ class Model:
         self.keys, self.logp, self.contexts, self.backoff = [], [], [], []
         lower = None
         for n, (k, c) in enumerate(tables, 1):
-            t = [max(1, int((c == i).sum())) for i in (1, 2, 3, 4)]
-            y = t[0] / (t[0] + 2 * t[1])
-            d = np.clip([0.0, 1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]], [0, 0.1, 0.1, 0.1], [0, 0.9, 1.8, 2.7])
+            d = _discounts([int((c == i).sum()) for i in (1, 2, 3, 4)])
             cut = d[np.minimum(c, 3)]
             ctx, of = np.unique(k >> np.uint32(6), return_inverse=True)  # the context of a code is its high part
             total = np.bincount(of, weights=c)
@@ -211,28 +234,220 @@ def _estimate(group: pa.Table) -> pa.Table:
     return pa.table({"lang": group.column("lang").slice(0, 1), "model": pa.array([pickle.dumps(m)], pa.binary()), "bytes": pa.array([m.nbytes()], pa.int64())})
 
 
-def _score(models, text_col, lang_col, id_col):
+def _spelling(model, data, starts, ends):
+    """Log probability of the letters of each word and the space after it."""
+    size = ends - starts + 2
+    off = np.concatenate(([0], np.cumsum(size)))
+    text = np.full(off[-1], 0x20, np.uint8)
+    at = np.arange(off[-1]) - np.repeat(off[:-1], size)
+    inner = (at > 0) & (at < np.repeat(size - 1, size))
+    text[inner] = data[(np.repeat(starts, size) + at - 1)[inner]]
+    logp = model.score(_codes(text, off)).astype(np.float64)
+    logp[off[:-1]] = 0.0
+    return np.add.reduceat(logp, off[:-1])
+
+
+def _half(w, first):
+    """0 or 1 per text: a bit of the least hash of its shingles (of all its words if it has fewer)."""
+    size = np.diff(first)
+    h, at = B.window_hashes(w, first, SHINGLE)
+    least = B.mix(B.poly_hash(w, first[:-1], first[1:]))
+    n = np.maximum(size - SHINGLE + 1, 0)
+    if len(h):
+        least[n > 0] = np.minimum.reduceat(h, (np.cumsum(n) - n)[n > 0])
+    return B.mix(least) & np.uint64(1)
+
+
+def _small(index, kinds):
+    return index.astype("<u2" if kinds <= 1 << 16 else "<u4").tobytes()
+
+
+def _large(blob, kinds):
+    return np.frombuffer(blob, "<u2" if kinds <= 1 << 16 else "<u4").astype(np.int64)
+
+
+_PAIRS = "lkey string, i int, j int, v binary, w binary, s binary, k binary, vi binary, wi binary, ki binary"
+_SUMS = "lkey string, axis int, k int, at int, words binary, sums binary"
+_ANSWERS = "lkey string, i int, j int, axis int, at int, sums binary"
+
+
+def _pairs(models, grid: int):
+    """Word pairs with their texts' keys, per language and cell, as sorted hash arrays with places in them."""
+
+    def coded(values):
+        kinds, at = np.unique(values, return_inverse=True)
+        return kinds, at.ravel(), B.pack_sorted(kinds)
+
+    def rows(lang, parts):
+        v, w, s, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cell = _range(v, grid) * grid + _range(w, grid)
+        order = np.lexsort((w, v, cell))
+        v, w, s, key, cell = v[order], w[order], s[order], key[order], cell[order]
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            (vk, vi, vb), (wk, wi, wb), (kk, ki, kb) = coded(v[a:b]), coded(w[a:b]), coded(key[a:b])
+            spelt = np.zeros(len(wk), "<f4")
+            spelt[wi] = s[a:b]
+            row = [lang, int(cell[a]) // grid, int(cell[a]) % grid, vb, wb, spelt.tobytes(), kb, _small(np.diff(vi, prepend=0), len(vk)), _small(wi, len(wk)), _small(ki, len(kk))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int32(), pa.int32()] + [pa.binary()] * 7, strict=True)],
+                                             names=["lkey", "i", "j", "v", "w", "s", "k", "vi", "wi", "ki"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
         loaded = {k: pickle.loads(v) for k, v in models.value.items()}
+        held: dict[str, list] = {}
+        n = 0
         for batch in batches:
-            for part, data, off in B.slices(batch, text_col):
-                n_words, word_chars, n_symbols, n_dup, n_repeat = base_counts(data, off)
-                failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
-                code = _codes(data, off)
-                langs = part.column(lang_col).to_pylist()
-                of = np.repeat(np.arange(part.num_rows), np.diff(off))
-                logp = np.zeros(len(code), np.float64)
-                for lang in set(langs):
-                    mine = np.array([x == lang for x in langs])[of]
-                    if lang in loaded and mine.any():
-                        logp[mine] = loaded[lang].score(code[mine])
-                total = np.concatenate(([0], np.cumsum(logp)))
-                n = np.diff(off)
-                level = np.where(n > 0, -(total[off[1:]] - total[off[:-1]]) / np.maximum(n, 1), 0.0)
+            for part, data, off in B.slices(batch, "text"):
+                starts, ends, first = B.words(data, off, B.SPACED)
+                w = B.word_hashes(data, starts, ends)
+                v = np.concatenate((np.zeros(1, np.uint64), w))[:-1]
+                v[first[:-1][first[:-1] < first[1:]]] = 0
+                size = np.diff(first)
+                key = np.repeat(part.column("key").to_numpy().view(np.uint64) | _half(w, first), size)
+                lkeys = part.column("lkey").dictionary_encode()
+                of = np.repeat(lkeys.indices.to_numpy(), size)
+                for c in np.unique(of):
+                    lang, mine = lkeys.dictionary[int(c)].as_py(), np.flatnonzero(of == c)
+                    _, at, back = np.unique(w[mine], return_index=True, return_inverse=True)
+                    s = _spelling(loaded[lang], data, starts[mine][at], ends[mine][at]).astype(np.float32)[back]
+                    held.setdefault(lang, []).append((v[mine], w[mine], s, key[mine]))
+                n += len(w)
+                if n >= HOLD_WORDS:
+                    for lang, parts in held.items():
+                        yield from rows(lang, parts)
+                    held, n = {}, 0
+        for lang, parts in held.items():
+            yield from rows(lang, parts)
+
+    return run
+
+
+def _range(h, grid: int):
+    return ((h >> np.uint64(32)) * np.uint64(grid) >> np.uint64(32)).astype(np.int64)
+
+
+class _Cell:
+    """A cell's pairs of words, counted apart for the two halves of the texts."""
+
+    def __init__(self, table: pa.Table):
+        v, w, key, words, spelt = [], [], [], [], []
+        for r in table.select(["v", "w", "s", "k", "vi", "wi", "ki"]).to_batches():
+            for vb, wb, sb, kb, vi, wi, ki in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                vk, wk, kk = B.unpack_sorted(vb), B.unpack_sorted(wb), B.unpack_sorted(kb)
+                v.append(vk[np.cumsum(_large(vi, len(vk)))])
+                w.append(wk[_large(wi, len(wk))])
+                key.append(kk[_large(ki, len(kk))])
+                words.append(wk)
+                spelt.append(np.frombuffer(sb, "<f4"))
+        v, w, self.key = np.concatenate(v), np.concatenate(w), np.concatenate(key)
+        self.w, at = np.unique(np.concatenate(words), return_index=True)
+        self.spelt = np.exp(np.concatenate(spelt)[at].astype(np.float64))
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        new = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+        self.pair = np.empty(len(v), np.int64)
+        self.pair[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        v = v[first]
+        self.w_of = np.searchsorted(self.w, w[first])
+        self.v_at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        self.v, self.v_of = v[self.v_at], np.cumsum(np.concatenate(([False], v[1:] != v[:-1])))
+        half = (self.key & np.uint64(1)).astype(np.int64)
+        self.n = np.stack([np.bincount(self.pair[half == f], minlength=len(first)) for f in (0, 1)])
+
+
+def _sums(grid: int):
+    """What a cell adds to its row (per v: count, pairs counted once, twice, more often), to its column
+    (per w: distinct words before it) and to the language (pairs counted once to four times); all for both halves."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        lang, i, j = (k.as_py() for k in key)
+        c = _Cell(group)
+        after = np.concatenate([np.add.reduceat(np.stack([n, n == 1, n == 2, n > 2]).astype(np.int64), c.v_at, axis=1) for n in c.n])
+        before = np.stack([np.bincount(c.w_of[n > 0], minlength=len(c.w)) for n in c.n]).astype(np.int64)
+        few = np.array([[(n == x).sum() for x in (1, 2, 3, 4)] for n in c.n], np.int64)
+        rows = [(lang, 0, i, j, B.pack_sorted(c.v), after.tobytes()), (lang, 1, j, i, B.pack_sorted(c.w), before.tobytes())]
+        rows += [(lang, 0, k, -1, b"", few.tobytes()) for k in range(grid)]
+        return _table(rows, ["lkey", "axis", "k", "at", "words", "sums"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _answers(grid: int):
+    """Sums over a row or a column of cells, for each of its cells: per v count and mass left, per w the words before
+    it.  Axis 2 has the discounts of pairs (at 0) and a column's counts of counts (at 1), for every cell that needs them."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        lang, axis, k = (x.as_py() for x in key)
+        parts = [(r["at"], B.unpack_sorted(r["words"]), np.frombuffer(r["sums"], np.int64)) for r in group.select(["at", "words", "sums"]).to_pylist()]
+        few = sum((x.reshape(2, 4) for at, _, x in parts if at < 0), np.zeros((2, 4), np.int64))
+        parts = [(at, words, x.reshape(-1, len(words))) for at, words, x in parts if at >= 0]
+        if not parts:
+            return _table([], ["lkey", "i", "j", "axis", "at", "sums"], [pa.string(), *[pa.int32()] * 4, pa.binary()])
+        words = np.unique(np.concatenate([x for _, x, _ in parts]))
+        total = np.zeros((len(parts[0][2]), len(words)), np.int64)
+        for _, x, sums in parts:
+            total[:, np.searchsorted(words, x)] += sums
+        if axis == 0:
+            d = np.stack([_discounts(x) for x in few])
+            left = [np.where(total[4 * f] > 0, d[f, 1:] @ total[4 * f + 1:4 * f + 4] / np.maximum(total[4 * f], 1), 1.0) for f in (0, 1)]
+            values = np.stack([total[0], total[4], *left])
+            rows = [(lang, k, at, 2, 0, d.tobytes()) for at, _, _ in parts]
+            cell = lambda at: (k, at)
+        else:
+            values = total.astype(np.float64)
+            few = np.array([[*((n == x).sum() for x in (1, 2, 3, 4)), (n > 2).sum(), n.sum()] for n in total], np.int64)
+            rows = [(lang, i, j, 2, 1, few.tobytes()) for i in range(grid) for j in range(grid)]
+            cell = lambda at: (at, k)
+        rows += [(lang, *cell(at), axis, 0, values[:, np.searchsorted(words, x)].astype("<f4").tobytes()) for at, x, _ in parts]
+        return _table(rows, ["lkey", "i", "j", "axis", "at", "sums"], [pa.string(), *[pa.int32()] * 4, pa.binary()])
+
+    return run
+
+
+def _table(rows, names, types) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _cost(key: tuple[pa.Scalar, ...], pairs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Per text key, the cost of its words in this cell (steps of ``1/_NATS`` nats) and their number."""
+    if not pairs.num_rows:
+        return _table([], ["lkey", "key", "cost", "n"], [pa.string(), pa.int64(), pa.int64(), pa.int64()])
+    c = _Cell(pairs)
+    few = np.zeros((2, 6), np.int64)
+    for r in answers.select(["axis", "at", "sums"]).to_pylist():
+        if r["axis"] == 2 and r["at"]:
+            few = few + np.frombuffer(r["sums"], np.int64).reshape(2, 6)
+        elif r["axis"] == 2:
+            cut = np.frombuffer(r["sums"], np.float64).reshape(2, 4)
+        elif r["axis"] == 0:
+            after = np.frombuffer(r["sums"], "<f4").reshape(4, -1).astype(np.float64)
+        else:
+            before = np.frombuffer(r["sums"], "<f4").reshape(2, -1).astype(np.int64)
+    costs = []
+    for o in (1, 0):  # texts of half 0 are scored with the counts of half 1
+        d, kinds = _discounts(few[o, :4]), max(1, few[o, 5])
+        word = (before[o] - d[np.minimum(before[o], 3)]) / kinds + ((d[1] * few[o, 0] + d[2] * few[o, 1] + d[3] * few[o, 4]) / kinds if few[o, 5] else 1.0) * c.spelt
+        n, size = c.n[o], after[o][c.v_of]
+        p = (n - cut[o][np.minimum(n, 3)]) / np.maximum(size, 1) + after[2 + o][c.v_of] * word[c.w_of]
+        costs.append(np.rint(-np.log(np.maximum(p, 1e-300)) * _NATS))
+    kinds, of = np.unique(c.key, return_inverse=True)
+    half = (c.key & np.uint64(1)).astype(np.int64)
+    cost = np.bincount(of, weights=np.stack(costs)[half, c.pair])
+    return pa.table({"lkey": pa.array([key[0].as_py()] * len(kinds), pa.string()), "key": pa.array(kinds.view(np.int64)), "cost": pa.array(cost.astype(np.int64)), "n": pa.array(np.bincount(of).astype(np.int64))})
+
+
+def _base(id_col):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in B.slices(batch, "text"):
+                counts = base_counts(data, off)
+                letters = np.concatenate(([0], np.cumsum(B.ALNUM[data])))
+                failed = (counts[0] < 50) | (100 * counts[4] > 50 * counts[0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), part.column(lang_col), *(pa.array(x.astype(np.int64)) for x in (n_words, word_chars, n_symbols, n_dup, n_repeat)), pa.array(failed), pa.array(level)],
-                    names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity"])
+                    [*(part.column(c) for c in (id_col, "lang", "lkey", "key")), *(pa.array(x.astype(np.int64)) for x in counts), pa.array(failed), pa.array((letters[off[1:]] - letters[off[:-1]] + counts[0]).astype(np.int64))],
+                    names=["id", "lang", "lkey", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_letters"])
 
     return run
 
@@ -240,7 +455,8 @@ def _score(models, text_col, lang_col, id_col):
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base counts, log-perplexity, the language's band and the verdict ``kept`` per document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.withColumns({"lkey": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")), "key": F.xxhash64("text").bitwiseAND(-2)})  # equal texts share a key and a level; the last bit is their half
     counts = rows.select("lang", "text").mapInArrow(_count("text", "lang"), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     models = written(counts.groupBy("lang").applyInArrow(_estimate, "lang string, model binary, bytes long"), "kn-models")
     groups, held = [[]], 0
@@ -251,16 +467,20 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         groups[-1].append(r["lang"])
         held += r["bytes"]
     member = lambda langs: F.coalesce(F.col("lang").isin([x for x in langs if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in langs))
-    parts = []
-    for k, langs in enumerate(groups):
-        blobs = {r["lang"]: bytes(r["model"]) for r in models.where(member(langs)).toLocalIterator()}
+    grid = max(1, int(np.ceil(np.sqrt(text_bytes(rows) / CELL_BYTES))))
+    pairs = None
+    for langs in groups:
+        blobs = {"" if r["lang"] is None else "=" + r["lang"]: bytes(r["model"]) for r in models.where(member(langs)).toLocalIterator()}
         mine = rows if len(groups) == 1 else rows.where(member(langs))
-        parts.append(mine.mapInArrow(_score(spark.sparkContext.broadcast(blobs), "text", "lang", "id"),
-                                     f"id {docs.schema[id_col].dataType.simpleString()}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    scored = written(scored, "kn-scores")
+        part = mine.select("lkey", "key", "text").mapInArrow(_pairs(spark.sparkContext.broadcast(blobs), grid), _PAIRS)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    cells = ("lkey", "i", "j")
+    sums = pairs.groupBy(*cells).applyInArrow(_sums(grid), _SUMS)
+    answers = sums.groupBy("lkey", "axis", "k").applyInArrow(_answers(grid), _ANSWERS)
+    costs = pairs.groupBy(*cells).cogroup(answers.groupBy(*cells)).applyInArrow(_cost, "lkey string, key long, cost long, n long")
+    costs = costs.groupBy("lkey", F.col("key").bitwiseAND(-2).alias("key")).agg((F.sum("cost") / F.sum("n") / _NATS).alias("cost"))
+    base = rows.mapInArrow(_base("id"), f"id {docs.schema[id_col].dataType.simpleString()}, lang string, lkey string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_letters long")
+    scored = written(base.join(costs, ["lkey", "key"], "left").withColumn("log_perplexity", F.coalesce(F.col("cost") * F.col("n_words") / F.col("n_letters"), F.lit(0.0))).drop("lkey", "key", "cost", "n_letters"), "kn-scores")
     # exact quantiles at the histogram's resolution; its rows per language are bounded by the log-perplexity's range
     bins = scored.where(~F.col("base_failed")).groupBy("lang", F.floor(F.col("log_perplexity") * STEPS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang").orderBy("bin")
