@@ -2,7 +2,7 @@
 
 Base counts come from one vectorised pass over the bytes of every whole text.
 The perplexity model of a language is a modified Kneser-Ney model over words (``[^\\x20\\x09-\\x0D]+``, by
-64-bit hashes; a text opens with hash 0):
+44-bit hashes; a text opens with hash 0):
 
     P(w | v) = (c(v w) - D(c(v w))) / c(v .) + L(v) P(w)      (P(w) where v is unknown)
     P(w)     = (N(. w) - D'(N(. w))) / N(. .) + L' S(w)
@@ -57,10 +57,12 @@ STEPS = 1000
 WIDTH = 3.0
 FLOOR = 0.05
 _HOLD = 1 << 23
-CELL_BYTES = 24 << 20
-HOLD_WORDS = 1 << 21
+CELL_BYTES = 48 << 20
+HOLD_WORDS = 3 << 20
 SHINGLE = 3
 _NATS = float(1 << 20)
+#: Words are told apart by the upper 44 bits of their hashes: of n distinct words n / 2**44 share theirs with another.
+_SHIFT = np.uint64(20)
 
 #: The symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -258,12 +260,23 @@ def _half(w, first):
     return B.mix(least) & np.uint64(1)
 
 
-def _small(index, kinds):
-    return index.astype("<u2" if kinds <= 1 << 16 else "<u4").tobytes()
+def _press(values, kind: str) -> bytes:
+    """Numbers as bytes of equal weight side by side, compressed."""
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _large(blob, kinds):
-    return np.frombuffer(blob, "<u2" if kinds <= 1 << 16 else "<u4").astype(np.int64)
+def _open(blob: bytes, kind: str) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _sorted(values) -> bytes:
+    return _press(np.diff(values, prepend=np.uint64(0)), "<u8")
+
+
+def _unsorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(_open(blob, "<u8"), dtype=np.uint64)
 
 
 _PAIRS = "lkey string, i int, j int, v binary, w binary, s binary, k binary, vi binary, wi binary, ki binary"
@@ -276,7 +289,7 @@ def _pairs(models, grid: int):
 
     def coded(values):
         kinds, at = np.unique(values, return_inverse=True)
-        return kinds, at.ravel(), B.pack_sorted(kinds)
+        return kinds, at.ravel(), _sorted(kinds)
 
     def rows(lang, parts):
         v, w, s, key = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -286,9 +299,9 @@ def _pairs(models, grid: int):
         cuts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             (vk, vi, vb), (wk, wi, wb), (kk, ki, kb) = coded(v[a:b]), coded(w[a:b]), coded(key[a:b])
-            spelt = np.zeros(len(wk), "<f4")
+            spelt = np.zeros(len(wk), np.float16)
             spelt[wi] = s[a:b]
-            row = [lang, int(cell[a]) // grid, int(cell[a]) % grid, vb, wb, spelt.tobytes(), kb, _small(np.diff(vi, prepend=0), len(vk)), _small(wi, len(wk)), _small(ki, len(kk))]
+            row = [lang, int(cell[a]) // grid, int(cell[a]) % grid, vb, wb, _press(spelt, "<f2"), kb, _press(np.diff(vi, prepend=0), "<u4"), _press(wi, "<u4"), _press(ki, "<u4")]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int32(), pa.int32()] + [pa.binary()] * 7, strict=True)],
                                              names=["lkey", "i", "j", "v", "w", "s", "k", "vi", "wi", "ki"])
 
@@ -300,7 +313,7 @@ def _pairs(models, grid: int):
         for batch in batches:
             for part, data, off in B.slices(batch, "text"):
                 starts, ends, first = B.words(data, off, B.SPACED)
-                w = B.word_hashes(data, starts, ends)
+                w = B.word_hashes(data, starts, ends) >> _SHIFT << _SHIFT
                 v = np.concatenate((np.zeros(1, np.uint64), w))[:-1]
                 v[first[:-1][first[:-1] < first[1:]]] = 0
                 size = np.diff(first)
@@ -334,12 +347,12 @@ class _Cell:
         v, w, key, words, spelt = [], [], [], [], []
         for r in table.select(["v", "w", "s", "k", "vi", "wi", "ki"]).to_batches():
             for vb, wb, sb, kb, vi, wi, ki in zip(*(c.to_pylist() for c in r.columns), strict=True):
-                vk, wk, kk = B.unpack_sorted(vb), B.unpack_sorted(wb), B.unpack_sorted(kb)
-                v.append(vk[np.cumsum(_large(vi, len(vk)))])
-                w.append(wk[_large(wi, len(wk))])
-                key.append(kk[_large(ki, len(kk))])
+                vk, wk, kk = _unsorted(vb), _unsorted(wb), _unsorted(kb)
+                v.append(vk[np.cumsum(_open(vi, "<u4"))])
+                w.append(wk[_open(wi, "<u4")])
+                key.append(kk[_open(ki, "<u4")])
                 words.append(wk)
-                spelt.append(np.frombuffer(sb, "<f4"))
+                spelt.append(_open(sb, "<f2"))
         v, w, self.key = np.concatenate(v), np.concatenate(w), np.concatenate(key)
         self.w, at = np.unique(np.concatenate(words), return_index=True)
         self.spelt = np.exp(np.concatenate(spelt)[at].astype(np.float64))
@@ -367,8 +380,8 @@ def _sums(grid: int):
         after = np.concatenate([np.add.reduceat(np.stack([n, n == 1, n == 2, n > 2]).astype(np.int64), c.v_at, axis=1) for n in c.n])
         before = np.stack([np.bincount(c.w_of[n > 0], minlength=len(c.w)) for n in c.n]).astype(np.int64)
         few = np.array([[(n == x).sum() for x in (1, 2, 3, 4)] for n in c.n], np.int64)
-        rows = [(lang, 0, i, j, B.pack_sorted(c.v), after.tobytes()), (lang, 1, j, i, B.pack_sorted(c.w), before.tobytes())]
-        rows += [(lang, 0, k, -1, b"", few.tobytes()) for k in range(grid)]
+        rows = [(lang, 0, i, j, _sorted(c.v), _press(after.ravel(), "<i8")), (lang, 1, j, i, _sorted(c.w), _press(before.ravel(), "<i8"))]
+        rows += [(lang, 0, k, -1, _sorted(c.v[:0]), _press(few.ravel(), "<i8")) for k in range(grid)]
         return _table(rows, ["lkey", "axis", "k", "at", "words", "sums"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
@@ -380,7 +393,7 @@ def _answers(grid: int):
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         lang, axis, k = (x.as_py() for x in key)
-        parts = [(r["at"], B.unpack_sorted(r["words"]), np.frombuffer(r["sums"], np.int64)) for r in group.select(["at", "words", "sums"]).to_pylist()]
+        parts = [(r["at"], _unsorted(r["words"]), _open(r["sums"], "<i8")) for r in group.select(["at", "words", "sums"]).to_pylist()]
         few = sum((x.reshape(2, 4) for at, _, x in parts if at < 0), np.zeros((2, 4), np.int64))
         parts = [(at, words, x.reshape(-1, len(words))) for at, words, x in parts if at >= 0]
         if not parts:
@@ -400,7 +413,7 @@ def _answers(grid: int):
             few = np.array([[*((n == x).sum() for x in (1, 2, 3, 4)), (n > 2).sum(), n.sum()] for n in total], np.int64)
             rows = [(lang, i, j, 2, 1, few.tobytes()) for i in range(grid) for j in range(grid)]
             cell = lambda at: (at, k)
-        rows += [(lang, *cell(at), axis, 0, values[:, np.searchsorted(words, x)].astype("<f4").tobytes()) for at, x, _ in parts]
+        rows += [(lang, *cell(at), axis, 0, _press(values[:, np.searchsorted(words, x)].ravel(), "<f4")) for at, x, _ in parts]
         return _table(rows, ["lkey", "i", "j", "axis", "at", "sums"], [pa.string(), *[pa.int32()] * 4, pa.binary()])
 
     return run
@@ -422,9 +435,9 @@ def _cost(key: tuple[pa.Scalar, ...], pairs: pa.Table, answers: pa.Table) -> pa.
         elif r["axis"] == 2:
             cut = np.frombuffer(r["sums"], np.float64).reshape(2, 4)
         elif r["axis"] == 0:
-            after = np.frombuffer(r["sums"], "<f4").reshape(4, -1).astype(np.float64)
+            after = _open(r["sums"], "<f4").reshape(4, -1).astype(np.float64)
         else:
-            before = np.frombuffer(r["sums"], "<f4").reshape(2, -1).astype(np.int64)
+            before = _open(r["sums"], "<f4").reshape(2, -1).astype(np.int64)
     costs = []
     for o in (1, 0):  # texts of half 0 are scored with the counts of half 1
         d, kinds = _discounts(few[o, :4]), max(1, few[o, 5])
