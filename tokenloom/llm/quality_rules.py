@@ -423,10 +423,34 @@ def _table(rows, names, types) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _cost(key: tuple[pa.Scalar, ...], pairs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Per text key, the cost of its words in this cell (steps of ``1/_NATS`` nats) and their number."""
-    if not pairs.num_rows:
-        return _table([], ["lkey", "key", "cost", "n"], [pa.string(), pa.int64(), pa.int64(), pa.int64()])
+def _costs(grid: int):
+    """Per text key, the cost of its words in this cell (steps of ``1/_NATS`` nats) and their number, as arrays by key range."""
+    names, types = ["lkey", "part", "keys", "cost", "n"], [pa.string(), pa.int32(), *[pa.binary()] * 3]
+
+    def run(key: tuple[pa.Scalar, ...], pairs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not pairs.num_rows:
+            return _table([], names, types)
+        kinds, cost, n = _cell_costs(pairs, answers)
+        part = _range(kinds, grid * grid)
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part))
+        return _table([(key[0].as_py(), int(part[a]), _sorted(kinds[a:b]), _press(cost[a:b], "<i8"), _press(n[a:b], "<i8")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], names, types)
+
+    return run
+
+
+def _totals(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Mean cost of a word per text key, in nats, over all cells."""
+    parts = group.select(["keys", "cost", "n"]).to_pylist()
+    kinds = np.concatenate([_unsorted(r["keys"]) for r in parts])
+    order = np.argsort(kinds, kind="stable")
+    kinds = kinds[order]
+    at = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1])))
+    cost, n = (np.add.reduceat(np.concatenate([_open(r[c], "<i8") for r in parts])[order], at) for c in ("cost", "n"))
+    kinds = (kinds[at] & ~np.uint64(1)).view(np.int64)  # without the half
+    return pa.table({"lkey": pa.array([key[0].as_py()] * len(kinds), pa.string()), "key": pa.array(kinds), "cost": pa.array(cost / n / _NATS)})
+
+
+def _cell_costs(pairs: pa.Table, answers: pa.Table):
     c = _Cell(pairs)
     few = np.zeros((2, 6), np.int64)
     for r in answers.select(["axis", "at", "sums"]).to_pylist():
@@ -447,8 +471,7 @@ def _cost(key: tuple[pa.Scalar, ...], pairs: pa.Table, answers: pa.Table) -> pa.
         costs.append(np.rint(-np.log(np.maximum(p, 1e-300)) * _NATS))
     kinds, of = np.unique(c.key, return_inverse=True)
     half = (c.key & np.uint64(1)).astype(np.int64)
-    cost = np.bincount(of, weights=np.stack(costs)[half, c.pair])
-    return pa.table({"lkey": pa.array([key[0].as_py()] * len(kinds), pa.string()), "key": pa.array(kinds.view(np.int64)), "cost": pa.array(cost.astype(np.int64)), "n": pa.array(np.bincount(of).astype(np.int64))})
+    return kinds, np.bincount(of, weights=np.stack(costs)[half, c.pair]).astype(np.int64), np.bincount(of)
 
 
 def _base(id_col):
@@ -490,8 +513,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     cells = ("lkey", "i", "j")
     sums = pairs.groupBy(*cells).applyInArrow(_sums(grid), _SUMS)
     answers = sums.groupBy("lkey", "axis", "k").applyInArrow(_answers(grid), _ANSWERS)
-    costs = pairs.groupBy(*cells).cogroup(answers.groupBy(*cells)).applyInArrow(_cost, "lkey string, key long, cost long, n long")
-    costs = costs.groupBy("lkey", F.col("key").bitwiseAND(-2).alias("key")).agg((F.sum("cost") / F.sum("n") / _NATS).alias("cost"))
+    costs = pairs.groupBy(*cells).cogroup(answers.groupBy(*cells)).applyInArrow(_costs(grid), "lkey string, part int, keys binary, cost binary, n binary")
+    costs = costs.groupBy("lkey", "part").applyInArrow(_totals, "lkey string, key long, cost double")
     base = rows.mapInArrow(_base("id"), f"id {docs.schema[id_col].dataType.simpleString()}, lang string, lkey string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_letters long")
     scored = written(base.join(costs, ["lkey", "key"], "left").withColumn("log_perplexity", F.coalesce(F.col("cost") * F.col("n_words") / F.col("n_letters"), F.lit(0.0))).drop("lkey", "key", "cost", "n_letters"), "kn-scores")
     # exact quantiles at the histogram's resolution; its rows per language are bounded by the log-perplexity's range
