@@ -16,12 +16,13 @@ A text is not scored by counts that it made itself: texts form two halves, by th
 a text is scored with the counts of the other half.
 
 * Word pairs go to a grid of cells by hash range of v (row) and of w (column), as sorted hash
-  arrays with their texts' keys, made per task for ``HOLD_WORDS`` words at a time.  The grid has a cell
-  for every ``CELL_BYTES`` of text, so a cell does not grow with the corpus, and the pairs of a
+  arrays, made per task for chunks of ``HOLD_WORDS`` words.  A pair comes once a chunk, with its numbers in the two halves and the
+  numbers of its texts in the chunk; the texts' keys go once a chunk.  A language's grid has a cell
+  for every ``CELL_BYTES`` of its text, so a cell does not grow with the corpus, and the pairs of a
   frequent word lie in a whole row or column of cells.
 * A cell counts its pairs; rows of cells add up c(v .) and what is left after v, columns N(. w), and
   the sums go back to the cells.  No count leaves Spark and none is dropped.
-* A cell scores its pairs and adds them up per text; sums are of integers (steps of 2**-20 nats), so order does not matter.
+* A cell scores its pairs and adds them up per text of a chunk, a chunk adds up its cells; sums are of integers (steps of 2**-20 nats), so order does not matter.
 
 ``log_perplexity`` is in nats per letter: bytes of letters, digits and other scripts, and one a word for the space
 after it.  Marks cost what the model says but do not dilute a text's level.
@@ -41,6 +42,7 @@ its own; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytestext as B
-from .common import text_bytes, written
+from .common import written
 
 ORDER = 4
 MODEL_BYTES = 128 << 20
@@ -57,8 +59,8 @@ STEPS = 1000
 WIDTH = 3.0
 FLOOR = 0.05
 _HOLD = 1 << 23
-CELL_BYTES = 48 << 20
-HOLD_WORDS = 3 << 20
+CELL_BYTES = 64 << 20
+HOLD_WORDS = 9 << 19
 SHINGLE = 3
 _NATS = float(1 << 20)
 #: Words are told apart by the upper 44 bits of their hashes: of n distinct words n / 2**44 share theirs with another.
@@ -279,59 +281,124 @@ def _unsorted(blob: bytes) -> np.ndarray:
     return np.cumsum(_open(blob, "<u8"), dtype=np.uint64)
 
 
-_PAIRS = "lkey string, i int, j int, v binary, w binary, s binary, k binary, vi binary, wi binary, ki binary"
-_SUMS = "lkey string, axis int, k int, at int, words binary, sums binary"
-_ANSWERS = "lkey string, i int, j int, axis int, at int, sums binary"
+_SMALL = np.array([(n - k, k) for n in range(22) for k in range(n + 1)], np.int64).T
+
 
+def _joint(n0, n1) -> bytes:
+    """Two small numbers each in a byte (their place in ``_SMALL``); pairs of a larger sum apart."""
+    both = n0 + n1
+    few = both < 22
+    head = _press(np.where(few, both * (both + 1) // 2 + n1, 255), "u1")
+    return len(head).to_bytes(8, "little") + head + _press(np.concatenate((n0[~few], n1[~few])), "<u4")
 
-def _pairs(models, grid: int):
-    """Word pairs with their texts' keys, per language and cell, as sorted hash arrays with places in them."""
 
-    def coded(values):
-        kinds, at = np.unique(values, return_inverse=True)
-        return kinds, at.ravel(), _sorted(kinds)
+def _split(blob: bytes) -> np.ndarray:
+    """The numbers of ``_joint`` as two rows."""
+    cut = 8 + int.from_bytes(blob[:8], "little")
+    at = _open(blob[8:cut], "u1")
+    out = _SMALL[:, np.where(at < 255, at, 0)]
+    out[:, at == 255] = _open(blob[cut:], "<u4").reshape(2, -1)
+    return out
 
-    def rows(lang, parts):
-        v, w, s, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-        cell = _range(v, grid) * grid + _range(w, grid)
-        order = np.lexsort((w, v, cell))
-        v, w, s, key, cell = v[order], w[order], s[order], key[order], cell[order]
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            (vk, vi, vb), (wk, wi, wb), (kk, ki, kb) = coded(v[a:b]), coded(w[a:b]), coded(key[a:b])
-            spelt = np.zeros(len(wk), np.float16)
-            spelt[wi] = s[a:b]
-            row = [lang, int(cell[a]) // grid, int(cell[a]) % grid, vb, wb, _press(spelt, "<f2"), kb, _press(np.diff(vi, prepend=0), "<u4"), _press(wi, "<u4"), _press(ki, "<u4")]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int32(), pa.int32()] + [pa.binary()] * 7, strict=True)],
-                                             names=["lkey", "i", "j", "v", "w", "s", "k", "vi", "wi", "ki"])
+
+_PAIRS = "lkey string, i int, j int, chunk long, zero int, v binary, w binary, s binary, vi binary, wi binary, n binary, t binary, k binary, size binary"
+_SUMS = "lkey string, axis int, k int, at int, words binary, sums binary"
+_ANSWERS = "lkey string, i int, j int, axis int, at int, sums binary"
+_COSTS = "lkey string, chunk long, n long, t binary, cost binary, k binary, size binary"
+
+
+def _firsts(*values) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values[0])), bool), np.any([x[1:] != x[:-1] for x in values], axis=0))))
+
+
+def _steps(values, first) -> bytes:
+    """Numbers that rise within runs (``first``: where runs begin), as steps."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return _press(out, "<u4")
+
+
+def _unstepped(blob: bytes, first) -> np.ndarray:
+    steps = _open(blob, "<u4").astype(np.int64)
+    sums = np.cumsum(steps)
+    return sums - np.repeat(sums[first] - steps[first], np.diff(np.append(first, len(sums))))
+
+
+def _pairs(models, grids):
+    """Word pairs with their texts, per language, cell and chunk (the texts that a task held together), as sorted hash
+    arrays, places in them and numbers of the chunk's texts, half 0 first.  One row of a chunk has its texts' keys and sizes."""
+    names, types = [x.split(" ")[0] for x in _PAIRS.split(", ")], [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()] + [pa.binary()] * 9
+
+    def rows(lang, parts, spelt):
+        grid = grids[lang]
+        zero = sum(len(size) for _, size, _ in parts[0])
+        w, size, key = (np.concatenate(x) for x in zip(*parts[0], *parts[1], strict=True))
+        for part in parts:
+            part.clear()
+        wk, wi = np.unique(w, return_inverse=True)
+        wi = wi.astype(np.int32)
+        del w
+        s = np.zeros(len(wk), np.float16)
+        for words, cost in spelt:
+            s[np.searchsorted(wk, words)] = cost
+        opens = 0 if wk[0] == 0 else 1  # a text opens with hash 0
+        vk = np.concatenate((np.zeros(opens, np.uint64), wk))
+        vi = np.concatenate((np.zeros(1, np.int32), wi[:-1] + np.int32(opens)))
+        vi[np.cumsum(size) - size] = 0
+        t = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        order = np.argsort(vi * np.int64(len(wk)) + wi, kind="stable")
+        vi, wi, t = vi[order], wi[order], t[order]
+        small = np.uint16 if grid < 256 else np.int64
+        cell = (_range(vk, grid) * grid).astype(small)[vi] + _range(wk, grid).astype(small)[wi]
+        order = np.argsort(cell, kind="stable")
+        vi, wi, t, cell = vi[order], wi[order], t[order], cell[order]
+        del order
+        cuts = np.append(_firsts(cell), len(cell))
+        keys = key.tobytes(), size.astype(np.uint32).tobytes()
+        chunk = int.from_bytes(hashlib.blake2b(b"".join(keys), digest_size=8).digest(), "little", signed=True)
+        for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            pair = _firsts(vi[a:b], wi[a:b])
+            pv, pw, half = vi[a:b][pair], wi[a:b][pair], t[a:b] >= zero
+            v_at, (wu, at) = _firsts(pv), np.unique(pw, return_inverse=True)
+            n1 = np.add.reduceat(half.astype(np.int64), pair)
+            mine = c == chunk % (len(cuts) - 1)
+            new = np.zeros(len(pv), np.uint8)
+            new[v_at] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(
+                [lang, int(cell[a]) // grid, int(cell[a]) % grid, chunk, zero, _sorted(vk[pv[v_at]]), _sorted(wk[wu]), _press(s[wu], "<f2"), _press(new, "u1"), _steps(at, v_at),
+                 _joint(np.diff(np.append(pair, b - a)) - n1, n1), _steps(t[a:b] - zero * half, _firsts(vi[a:b], wi[a:b], half)),
+                 _press(key, "<u8") if mine else None, _press(size, "<u4") if mine else None], types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
         loaded = {k: pickle.loads(v) for k, v in models.value.items()}
-        held: dict[str, list] = {}
+        held: dict[str, tuple] = {}
         n = 0
         for batch in batches:
             for part, data, off in B.slices(batch, "text"):
                 starts, ends, first = B.words(data, off, B.SPACED)
                 w = B.word_hashes(data, starts, ends) >> _SHIFT << _SHIFT
-                v = np.concatenate((np.zeros(1, np.uint64), w))[:-1]
-                v[first[:-1][first[:-1] < first[1:]]] = 0
                 size = np.diff(first)
-                key = np.repeat(part.column("key").to_numpy().view(np.uint64) | _half(w, first), size)
+                key, half = part.column("key").to_numpy().view(np.uint64), _half(w, first)
                 lkeys = part.column("lkey").dictionary_encode()
-                of = np.repeat(lkeys.indices.to_numpy(), size)
-                for c in np.unique(of):
-                    lang, mine = lkeys.dictionary[int(c)].as_py(), np.flatnonzero(of == c)
-                    _, at, back = np.unique(w[mine], return_index=True, return_inverse=True)
-                    s = _spelling(loaded[lang], data, starts[mine][at], ends[mine][at]).astype(np.float32)[back]
-                    held.setdefault(lang, []).append((v[mine], w[mine], s, key[mine]))
+                of = np.where(size > 0, lkeys.indices.to_numpy(), -1)
+                for c in np.unique(of[of >= 0]):
+                    lang, mine = lkeys.dictionary[int(c)].as_py(), np.flatnonzero(np.repeat(of == c, size))
+                    words, at = np.unique(w[mine], return_index=True)
+                    parts, spelt = held.setdefault(lang, (([], []), []))
+                    spelt.append((words, _spelling(loaded[lang], data, starts[mine][at], ends[mine][at]).astype(np.float32)))
+                    for h in (0, 1):
+                        texts = (of == c) & (half == h)
+                        parts[h].append((w[np.repeat(texts, size)], size[texts], key[texts]))
                 n += len(w)
                 if n >= HOLD_WORDS:
-                    for lang, parts in held.items():
-                        yield from rows(lang, parts)
-                    held, n = {}, 0
-        for lang, parts in held.items():
-            yield from rows(lang, parts)
+                    for lang in list(held):
+                        yield from rows(lang, *held.pop(lang))
+                    n = 0
+        for lang in list(held):
+            yield from rows(lang, *held.pop(lang))
+        B._give_back()
 
     return run
 
@@ -344,33 +411,31 @@ class _Cell:
     """A cell's pairs of words, counted apart for the two halves of the texts."""
 
     def __init__(self, table: pa.Table):
-        v, w, key, words, spelt = [], [], [], [], []
-        for r in table.select(["v", "w", "s", "k", "vi", "wi", "ki"]).to_batches():
-            for vb, wb, sb, kb, vi, wi, ki in zip(*(c.to_pylist() for c in r.columns), strict=True):
-                vk, wk, kk = _unsorted(vb), _unsorted(wb), _unsorted(kb)
-                v.append(vk[np.cumsum(_open(vi, "<u4"))])
-                w.append(wk[_open(wi, "<u4")])
-                key.append(kk[_open(ki, "<u4")])
-                words.append(wk)
-                spelt.append(_open(sb, "<f2"))
-        v, w, self.key = np.concatenate(v), np.concatenate(w), np.concatenate(key)
-        self.w, at = np.unique(np.concatenate(words), return_index=True)
-        self.spelt = np.exp(np.concatenate(spelt)[at].astype(np.float64))
-        order = np.lexsort((w, v))
-        v, w = v[order], w[order]
-        new = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
-        self.pair = np.empty(len(v), np.int64)
-        self.pair[order] = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        v = v[first]
-        self.w_of = np.searchsorted(self.w, w[first])
-        self.v_at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        self.v, self.v_of = v[self.v_at], np.cumsum(np.concatenate(([False], v[1:] != v[:-1])))
-        half = (self.key & np.uint64(1)).astype(np.int64)
-        self.n = np.stack([np.bincount(self.pair[half == f], minlength=len(first)) for f in (0, 1)])
-
-
-def _sums(grid: int):
+        column = lambda name: (x.as_py() for x in table.column(name))
+        words = [(_unsorted(v), _unsorted(w)) for v, w in zip(column("v"), column("w"), strict=True)]
+        self.v = np.unique(np.concatenate([x for x, _ in words]))
+        self.w, at = np.unique(np.concatenate([x for _, x in words]), return_index=True)
+        self.spelt = np.exp(np.concatenate([_open(s, "<f2") for s in column("s")])[at].astype(np.float64))
+        pairs, self.counts = [], []
+        for (vk, wk), vi, wi, n in zip(words, column("vi"), column("wi"), column("n"), strict=True):
+            new = _open(vi, "u1")
+            v = np.searchsorted(self.v, vk)[np.cumsum(new, dtype=np.int64) - 1]
+            pairs.append(v * len(self.w) + np.searchsorted(self.w, wk)[_unstepped(wi, np.flatnonzero(new))])
+            self.counts.append(_split(n).astype(np.int32))
+        del words
+        kinds = np.concatenate(pairs)
+        kinds.sort()
+        kinds = kinds[_firsts(kinds)]
+        self.pairs = [np.searchsorted(kinds, x).astype(np.int32) for x in pairs]  # a unit's pairs among the cell's
+        self.n = np.zeros((2, len(kinds)), np.int64)
+        for at, n in zip(self.pairs, self.counts, strict=True):
+            self.n[:, at] += n
+        self.v_of = (kinds // len(self.w)).astype(np.int32)
+        self.w_of = (kinds % len(self.w)).astype(np.int32)
+        self.v_at = _firsts(self.v_of)
+
+
+def _sums(grids):
     """What a cell adds to its row (per v: count, pairs counted once, twice, more often), to its column
     (per w: distinct words before it) and to the language (pairs counted once to four times); all for both halves."""
 
@@ -381,18 +446,21 @@ def _sums(grid: int):
         before = np.stack([np.bincount(c.w_of[n > 0], minlength=len(c.w)) for n in c.n]).astype(np.int64)
         few = np.array([[(n == x).sum() for x in (1, 2, 3, 4)] for n in c.n], np.int64)
         rows = [(lang, 0, i, j, _sorted(c.v), _press(after.ravel(), "<i8")), (lang, 1, j, i, _sorted(c.w), _press(before.ravel(), "<i8"))]
-        rows += [(lang, 0, k, -1, _sorted(c.v[:0]), _press(few.ravel(), "<i8")) for k in range(grid)]
+        rows += [(lang, 0, k, -1, _sorted(c.v[:0]), _press(few.ravel(), "<i8")) for k in range(grids[lang])]
+        del c
+        B._give_back()
         return _table(rows, ["lkey", "axis", "k", "at", "words", "sums"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _answers(grid: int):
-    """Sums over a row or a column of cells, for each of its cells: per v count and mass left, per w the words before
+def _answers(grids):
+    """Sums over a row or a column of cells, for each of its cells: per v the numbers of ``_sums``, per w the words before
     it.  Axis 2 has the discounts of pairs (at 0) and a column's counts of counts (at 1), for every cell that needs them."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         lang, axis, k = (x.as_py() for x in key)
+        grid = grids[lang]
         parts = [(r["at"], _unsorted(r["words"]), _open(r["sums"], "<i8")) for r in group.select(["at", "words", "sums"]).to_pylist()]
         few = sum((x.reshape(2, 4) for at, _, x in parts if at < 0), np.zeros((2, 4), np.int64))
         parts = [(at, words, x.reshape(-1, len(words))) for at, words, x in parts if at >= 0]
@@ -403,17 +471,13 @@ def _answers(grid: int):
         for _, x, sums in parts:
             total[:, np.searchsorted(words, x)] += sums
         if axis == 0:
-            d = np.stack([_discounts(x) for x in few])
-            left = [np.where(total[4 * f] > 0, d[f, 1:] @ total[4 * f + 1:4 * f + 4] / np.maximum(total[4 * f], 1), 1.0) for f in (0, 1)]
-            values = np.stack([total[0], total[4], *left])
-            rows = [(lang, k, at, 2, 0, d.tobytes()) for at, _, _ in parts]
+            rows = [(lang, k, at, 2, 0, np.stack([_discounts(x) for x in few]).tobytes()) for at, _, _ in parts]
             cell = lambda at: (k, at)
         else:
-            values = total.astype(np.float64)
             few = np.array([[*((n == x).sum() for x in (1, 2, 3, 4)), (n > 2).sum(), n.sum()] for n in total], np.int64)
             rows = [(lang, i, j, 2, 1, few.tobytes()) for i in range(grid) for j in range(grid)]
             cell = lambda at: (at, k)
-        rows += [(lang, *cell(at), axis, 0, _press(values[:, np.searchsorted(words, x)].ravel(), "<f4")) for at, x, _ in parts]
+        rows += [(lang, *cell(at), axis, 0, _press(total[:, np.searchsorted(words, x)].ravel(), "<i8")) for at, x, _ in parts]
         return _table(rows, ["lkey", "i", "j", "axis", "at", "sums"], [pa.string(), *[pa.int32()] * 4, pa.binary()])
 
     return run
@@ -423,35 +487,40 @@ def _table(rows, names, types) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _costs(grid: int):
-    """Per text key, the cost of its words in this cell (steps of ``1/_NATS`` nats) and their number, as arrays by key range."""
-    names, types = ["lkey", "part", "keys", "cost", "n"], [pa.string(), pa.int32(), *[pa.binary()] * 3]
-
-    def run(key: tuple[pa.Scalar, ...], pairs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not pairs.num_rows:
-            return _table([], names, types)
-        kinds, cost, n = _cell_costs(pairs, answers)
-        part = _range(kinds, grid * grid)
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part))
-        return _table([(key[0].as_py(), int(part[a]), _sorted(kinds[a:b]), _press(cost[a:b], "<i8"), _press(n[a:b], "<i8")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], names, types)
-
-    return run
+def _costs(key: tuple[pa.Scalar, ...], pairs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Per chunk, the cost of its texts' words in this cell (steps of ``1/_NATS`` nats), by numbers of texts."""
+    rows = []
+    if pairs.num_rows:
+        c = _Cell(pairs)
+        costs = _pair_costs(c, answers)
+        texts = (r for batch in pairs.select(["chunk", "zero", "t", "k", "size"]).to_batches(1) for r in batch.to_pylist())
+        for r, n, at in zip(texts, c.counts, c.pairs, strict=True):
+            n = n.T.ravel()  # per pair the words of half 0, then those of half 1
+            full = np.flatnonzero(n)
+            n, cost = n[full], costs[:, at].T.ravel()[full]
+            t = _unstepped(r["t"], np.cumsum(n) - n) + r["zero"] * np.repeat(full % 2, n)
+            kinds = np.flatnonzero(np.bincount(t))
+            rows.append((key[0].as_py(), r["chunk"], len(t), _press(np.diff(kinds, prepend=0), "<u4"), _press(np.bincount(t, weights=np.repeat(cost, n))[kinds], "<i8"), r["k"], r["size"]))
+        del c, costs
+        B._give_back()
+    return _table(rows, [x.split(" ")[0] for x in _COSTS.split(", ")], [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4])
 
 
 def _totals(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Mean cost of a word per text key, in nats, over all cells."""
-    parts = group.select(["keys", "cost", "n"]).to_pylist()
-    kinds = np.concatenate([_unsorted(r["keys"]) for r in parts])
-    order = np.argsort(kinds, kind="stable")
-    kinds = kinds[order]
-    at = np.flatnonzero(np.concatenate(([True], kinds[1:] != kinds[:-1])))
-    cost, n = (np.add.reduceat(np.concatenate([_open(r[c], "<i8") for r in parts])[order], at) for c in ("cost", "n"))
-    kinds = (kinds[at] & ~np.uint64(1)).view(np.int64)  # without the half
-    return pa.table({"lkey": pa.array([key[0].as_py()] * len(kinds), pa.string()), "key": pa.array(kinds), "cost": pa.array(cost / n / _NATS)})
-
-
-def _cell_costs(pairs: pa.Table, answers: pa.Table):
-    c = _Cell(pairs)
+    """Mean cost of a word per text of a chunk, in nats, over all cells.  Chunks of the same texts are one, their words add up."""
+    rows = group.select(["n", "t", "cost", "k", "size"]).to_pylist()
+    held = [r for r in rows if r["k"] is not None]
+    size = np.sum([_open(r["size"], "<u4") for r in held], axis=0, dtype=np.int64)
+    if np.sum(size) != sum(r["n"] for r in rows):
+        raise RuntimeError("a task that ran again met its texts in another order: words of a chunk are missing")
+    cost = np.zeros(len(size), np.int64)
+    for r in rows:
+        cost[np.cumsum(_open(r["t"], "<u4"), dtype=np.int64)] += _open(r["cost"], "<i8")
+    return pa.table({"lkey": pa.array([key[0].as_py()] * len(size), pa.string()), "key": pa.array(_open(held[0]["k"], "<u8").view(np.int64)), "cost": pa.array(cost / size / _NATS)})
+
+
+def _pair_costs(c: _Cell, answers: pa.Table) -> np.ndarray:
+    """Cost of each pair in a text of half 0 and of half 1."""
     few = np.zeros((2, 6), np.int64)
     for r in answers.select(["axis", "at", "sums"]).to_pylist():
         if r["axis"] == 2 and r["at"]:
@@ -459,19 +528,21 @@ def _cell_costs(pairs: pa.Table, answers: pa.Table):
         elif r["axis"] == 2:
             cut = np.frombuffer(r["sums"], np.float64).reshape(2, 4)
         elif r["axis"] == 0:
-            after = _open(r["sums"], "<f4").reshape(4, -1).astype(np.float64)
+            after = _open(r["sums"], "<i8").reshape(2, 4, -1)
         else:
-            before = _open(r["sums"], "<f4").reshape(2, -1).astype(np.int64)
-    costs = []
+            before = _open(r["sums"], "<i8").reshape(2, -1)
+    costs = np.empty(c.n.shape, np.int32)  # at most 691 nats, so below 2**30 steps
     for o in (1, 0):  # texts of half 0 are scored with the counts of half 1
         d, kinds = _discounts(few[o, :4]), max(1, few[o, 5])
         word = (before[o] - d[np.minimum(before[o], 3)]) / kinds + ((d[1] * few[o, 0] + d[2] * few[o, 1] + d[3] * few[o, 4]) / kinds if few[o, 5] else 1.0) * c.spelt
-        n, size = c.n[o], after[o][c.v_of]
-        p = (n - cut[o][np.minimum(n, 3)]) / np.maximum(size, 1) + after[2 + o][c.v_of] * word[c.w_of]
-        costs.append(np.rint(-np.log(np.maximum(p, 1e-300)) * _NATS))
-    kinds, of = np.unique(c.key, return_inverse=True)
-    half = (c.key & np.uint64(1)).astype(np.int64)
-    return kinds, np.bincount(of, weights=np.stack(costs)[half, c.pair]).astype(np.int64), np.bincount(of)
+        size, once, twice, more = after[o]
+        left = np.where(size > 0, (cut[o, 1] * once + cut[o, 2] * twice + cut[o, 3] * more) / np.maximum(size, 1), 1.0).astype(np.float32).astype(np.float64)
+        size = np.maximum(size, 1)
+        for a in range(0, c.n.shape[1], 1 << 20):
+            n, v, w = c.n[o, a:a + (1 << 20)], c.v_of[a:a + (1 << 20)], c.w_of[a:a + (1 << 20)]
+            p = (n - cut[o][np.minimum(n, 3)]) / size[v] + left[v] * word[w]
+            costs[1 - o, a:a + (1 << 20)] = np.rint(-np.log(np.maximum(p, 1e-300)) * _NATS)
+    return costs
 
 
 def _base(id_col):
@@ -503,18 +574,20 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         groups[-1].append(r["lang"])
         held += r["bytes"]
     member = lambda langs: F.coalesce(F.col("lang").isin([x for x in langs if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in langs))
-    grid = max(1, int(np.ceil(np.sqrt(text_bytes(rows) / CELL_BYTES))))
+    sizes = rows.groupBy("lkey").agg(F.sum(F.octet_length("text")).alias("n")).toLocalIterator()
+    grids = {r["lkey"]: max(1, int(np.ceil(np.sqrt(r["n"] / CELL_BYTES)))) for r in sizes}
     pairs = None
     for langs in groups:
         blobs = {"" if r["lang"] is None else "=" + r["lang"]: bytes(r["model"]) for r in models.where(member(langs)).toLocalIterator()}
         mine = rows if len(groups) == 1 else rows.where(member(langs))
-        part = mine.select("lkey", "key", "text").mapInArrow(_pairs(spark.sparkContext.broadcast(blobs), grid), _PAIRS)
+        part = mine.select("lkey", "key", "text").mapInArrow(_pairs(spark.sparkContext.broadcast(blobs), grids), _PAIRS)
         pairs = part if pairs is None else pairs.unionByName(part)
     cells = ("lkey", "i", "j")
-    sums = pairs.groupBy(*cells).applyInArrow(_sums(grid), _SUMS)
-    answers = sums.groupBy("lkey", "axis", "k").applyInArrow(_answers(grid), _ANSWERS)
-    costs = pairs.groupBy(*cells).cogroup(answers.groupBy(*cells)).applyInArrow(_costs(grid), "lkey string, part int, keys binary, cost binary, n binary")
-    costs = costs.groupBy("lkey", "part").applyInArrow(_totals, "lkey string, key long, cost double")
+    sums = pairs.groupBy(*cells).applyInArrow(_sums(grids), _SUMS)
+    answers = sums.groupBy("lkey", "axis", "k").applyInArrow(_answers(grids), _ANSWERS)
+    costs = pairs.groupBy(*cells).cogroup(answers.groupBy(*cells)).applyInArrow(_costs, _COSTS)
+    costs = costs.groupBy("lkey", "chunk").applyInArrow(_totals, "lkey string, key long, cost double")
+    costs = costs.groupBy("lkey", "key").agg(F.min("cost").alias("cost"))  # equal texts cost the same
     base = rows.mapInArrow(_base("id"), f"id {docs.schema[id_col].dataType.simpleString()}, lang string, lkey string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_letters long")
     scored = written(base.join(costs, ["lkey", "key"], "left").withColumn("log_perplexity", F.coalesce(F.col("cost") * F.col("n_words") / F.col("n_letters"), F.lit(0.0))).drop("lkey", "key", "cost", "n_letters"), "kn-scores")
     # exact quantiles at the histogram's resolution; its rows per language are bounded by the log-perplexity's range
