@@ -1,4 +1,8 @@
+import json
+import os
 import random
+import subprocess
+import sys
 
 from tokenloom.llm import decontamination as D
 
@@ -85,3 +89,42 @@ def test_empty_and_clashing(spark):
     assert D.clean(docs, bench).collect() == []
     assert D.contaminated(docs.limit(0), bench).collect() == [] and D.contaminated(docs, bench.limit(0)).collect() == []
     assert D.clean(docs, bench.limit(0)).count() == 2
+
+
+def test_pieces_of_long_texts(spark):
+    """Texts about as long as one or several pieces, with passages of a short and of a long item across their edges and at both ends."""
+    rnd = random.Random(5)
+    items = {1: " ".join(f"s{k}" for k in range(14)), 2: " ".join(f"l{k}" for k in range(45))}
+    docs = []
+    for n in (9, 30, D.PIECE + D.SPAN - 2, D.PIECE + D.SPAN - 1, D.PIECE + D.SPAN, 3 * D.PIECE + 5):
+        for at in sorted({0, n // 2, *(x for x in range(D.PIECE - 46, D.PIECE + 12, 6) if x < n), max(0, n - 12), n}):
+            w, p = [f"d{rnd.randrange(50)}" for _ in range(n)], items[1 + len(docs) % 2].split()
+            for k in range(3, len(p), rnd.choice([4, 5, 7])):
+                p[k] = "sub"
+            w[at:at] = p[rnd.randint(0, 2):]
+            docs.append((len(docs), " ".join(w[:rnd.choice([n, len(w)])])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    want = brute(docs, items)
+    assert len(want) > 20
+    assert {r["doc_id"]: (r["n_items"], r["first_item"], r["agreeing_words"]) for r in D.contaminated(df, bench).collect()} == want
+
+
+def test_long_texts_with_many_hits_fit_in_little_memory(tmp_path):
+    """A text of 20,000 words that is full of an item: its hits' rows times its words would take some 20 GB."""
+    code = """
+import json, sys
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.memory", "768m")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate())
+from tokenloom.llm import decontamination as D
+item = " ".join(f"i{k}" for k in range(30))
+docs = spark.createDataFrame([(1, " ".join([item] * 667)), (2, " ".join(f"x{k}" for k in range(20000)))], "doc_id long, text string")
+bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+print("ROWS", json.dumps([list(r) for r in D.contaminated(docs, bench).collect()]))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {**os.environ, "PYTHONPATH": root + os.pathsep + os.environ.get("PYTHONPATH", "")}
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    rows = [line[5:] for line in out.stdout.splitlines() if line.startswith("ROWS ")]
+    assert out.returncode == 0 and [json.loads(r) for r in rows] == [[[1, 1, 7, 20]]], out.stderr[-2000:]

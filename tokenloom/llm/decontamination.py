@@ -10,8 +10,11 @@ hit does not count, however long the item.
 
 Hits are verified where they arise, in the task that holds the text: neither
 texts nor seeds are shuffled, only (document, item, agreement) rows after a
-partial aggregation.  Items are cut into parts of ``PART_WORDS`` words (with the words around
-them that windows need), and the seeds of parts are broadcast in blocks of about
+partial aggregation.  Texts are cut into pieces of ``PIECE`` positions (with the words around
+them that windows need) and a hit's row holds the words of its two windows: Spark keeps
+all rows that generated code makes of one row it reads, so with whole texts a text's hits
+times its words would be in memory at once.  Items are cut into parts of ``PART_WORDS`` words
+likewise, and the seeds of parts are broadcast in blocks of about
 ``BLOCK_WORDS`` item words, so a larger benchmark or a longer item means more passes, not a
 larger broadcast.
 
@@ -29,11 +32,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Care positions of the masks (span 9, six words each); fixed parameters of the operator.
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 4, 5, 7, 8), (0, 1, 2, 4, 7, 8))
 SPAN = 9
 SHARE = 0.6
 WINDOW, BEFORE = 20, 5
+#: Words that a window may have before its seed: ``BEFORE``, or more at an item's end.
+LEAD = max(BEFORE, WINDOW - SPAN)
+PIECE = 128
 PART_WORDS = 2_000
 BLOCK_WORDS = 100_000
 
@@ -44,9 +52,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.lower(text), MARKS, " " * len(MARKS)), " "), "")
 
 
-def _seeds(df: DataFrame, at: str) -> DataFrame:
-    """Every position of the word array ``w`` with every mask's hash."""
-    placed = df.where(F.size("w") >= SPAN).withColumn(at, F.explode(F.sequence(F.lit(0), F.size("w") - SPAN)))
+def _pieces(texts: DataFrame) -> DataFrame:
+    """(id, w, from, to): the words of a piece and around it, and its first and last position in them.
+
+    The lambda keeps the pieces out of the generated code that makes their seeds, which so reads them one by one."""
+    piece = lambda at: F.struct(F.least(at, F.lit(LEAD)).alias("from"), F.slice("w", F.greatest(at - LEAD, F.lit(0)) + 1, F.lit(LEAD + PIECE + WINDOW)).alias("w"))
+    cut = texts.where(F.size("w") >= SPAN).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - SPAN, F.lit(PIECE)), piece)).alias("piece"))
+    return cut.select("id", "piece.w", "piece.from", F.least(F.col("piece.from") + PIECE - 1, F.size("piece.w") - SPAN).alias("to"))
+
+
+def _seeds(df: DataFrame, at: str, first: Column, last: Column) -> DataFrame:
+    """Positions ``first`` to ``last`` of the word array ``w`` with every mask's hash."""
+    placed = df.withColumn(at, F.explode(F.sequence(first, last)))
     hashes = [F.xxhash64(F.lit(k), *[F.get("w", F.col(at) + o) for o in mask]) for k, mask in enumerate(MASKS)]
     return placed.withColumn("seed", F.explode(F.array(*hashes)))
 
@@ -61,18 +78,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     base = F.greatest(F.col("part") * PART_WORDS - WINDOW, F.lit(0))
     parts = items.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PART_WORDS).cast("int"))))
     parts = parts.select("item", "part", F.size("w").alias("item_words"), base.alias("base"), F.slice("w", base + 1, F.lit(PART_WORDS + SPAN + 2 * WINDOW)).alias("iw"))
-    seeds = _seeds(items, "j").select("seed", "item", "j", part("j").alias("part")).distinct()
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    seeds = _seeds(items, "j", F.lit(0), F.size("w") - SPAN).select("seed", "item", "j", part("j").alias("part")).distinct()
+    texts = _pieces(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")))
     own = F.pmod(F.xxhash64("item", "part"), F.lit(blocks))
     length = F.least(F.col("item_words"), F.lit(WINDOW))
     first = F.greatest(F.least(F.col("j") - BEFORE, F.col("item_words") - WINDOW), F.lit(0))
-    agree = F.size(F.filter(F.sequence(F.col("lo"), F.col("lo") + length - 1), lambda k: F.get("w", F.col("i") - F.col("j") + k) == F.get("iw", k - F.col("base"))))
+    # the words of both windows, without those that would stand before the text; those after it are null when laid side by side
+    gone = F.greatest(F.col("j") - F.col("lo") - F.col("i"), F.lit(0))
+    windows = F.inline(F.array(F.struct(F.slice("w", F.col("i") - F.col("j") + F.col("lo") + gone + 1, length - gone).alias("tw"),
+                                        F.slice("iw", F.col("lo") - F.col("base") + gone + 1, length - gone).alias("bw"))))
+    agree = F.size(F.filter(F.zip_with("tw", "bw", lambda x, y: x == y), lambda same: same))
     found = []
     for b in range(blocks):
-        hits = _seeds(texts, "i").join(F.broadcast(seeds.where(own == b)), "seed").join(F.broadcast(parts.where(own == b)), ["item", "part"])
-        found.append(hits.withColumn("lo", first).select("id", "item", agree.alias("agree"), "item_words")
-                     .where(F.col("agree") >= F.ceil(length * SHARE))
-                     .groupBy("id", "item", "item_words").agg(F.max("agree").alias("agree")))
+        hits = (_seeds(texts, "i", F.col("from"), F.col("to")).join(F.broadcast(seeds.where(own == b)), "seed")
+                .join(F.broadcast(parts.where(own == b)), ["item", "part"]).withColumn("lo", first))
+        best = (hits.select("id", "item", "item_words", windows).select("id", "item", "item_words", agree.alias("agree"))
+                .where(F.col("agree") >= F.ceil(length * SHARE))
+                .groupBy("id", "item", "item_words").agg(F.max("agree").alias("agree")))
+        found.append(best if blocks == 1 else written(best, "overlaps"))  # pass by pass: one plan would hold the broadcasts of all blocks at once
     # an item's parts may lie in several blocks
     out = found[0] if blocks == 1 else reduce(DataFrame.unionByName, found).groupBy("id", "item", "item_words").agg(F.max("agree").alias("agree"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("agree").alias("agreeing_words"), "item_words")
